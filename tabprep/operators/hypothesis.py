@@ -25,20 +25,21 @@ from typing import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabprep.operators import pvalues
 
 PREFIX_BUCKETS = 256
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _t_p(t: pd.Series, dof: pd.Series) -> pd.Series:
     return pd.Series([pvalues.t_two_sided_p(None if pd.isna(a) else float(a),
                                             None if pd.isna(b) else float(b))
                       for a, b in zip(t, dof)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _chi2_p(h: pd.Series, dof: pd.Series) -> pd.Series:
     return pd.Series([pvalues.chi2_sf(None if pd.isna(a) else float(a),
                                       None if pd.isna(b) else float(b))
