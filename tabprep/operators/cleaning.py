@@ -50,20 +50,18 @@ def null_counts(df: DataFrame) -> DataFrame:
 
 
 def stacked_values(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """``column, v_num, v_str`` rows, one per (row, column): numeric columns
+    """``column, v_num, v_str`` rows, one per (row, column), from a single
+    projection (``inline`` of an array of structs, one scan): numeric columns
     order by ``v_num``, the others by ``v_str``."""
     types = {f.name: f.dataType for f in df.schema.fields}
-    parts = []
+    structs = []
     for c in cols:
         numeric = isinstance(types[c], NUMERIC_TYPES)
-        parts.append(df.select(
+        structs.append(F.struct(
             F.lit(c).alias("column"),
             (F.col(c).cast("double") if numeric else F.lit(None).cast("double")).alias("v_num"),
             F.col(c).cast("string").alias("v_str")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return df.select(F.inline(F.array(*structs)))
 
 
 def most_frequent_values(df: DataFrame, cols: Sequence[str]) -> DataFrame:

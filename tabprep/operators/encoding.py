@@ -3,9 +3,10 @@
 - Label codes rank the *distinct* values of every categorical column of
   train and test together (one grouped aggregate over stacked
   ``(column, value)`` pairs, then a row number per column over distinct values
-  only), in the column's own order: numbers numerically, text as text.
-  Apply is one left join per column, broadcast when that column's code table
-  is checked small.
+  only), in the column's own order: numbers numerically, text as text. The
+  code table is written once to the checkpoint folder. Apply is a map literal
+  inside the projection for columns with few codes, a broadcast left join for
+  a checked-small table, and a shuffle join beyond that.
 - Standard scaling uses the *population* deviation (zero -> divide by 1);
   min-max scaling maps a zero range to a divisor of 1. Both fit one aggregate
   on the training split and apply literals.
@@ -22,13 +23,16 @@ from tabprep.operators.cleaning import stacked_values
 from tabprep.operators.joins import BROADCAST_ROW_LIMIT
 from tabprep.splits import Splits
 
+# Columns with at most this many codes are encoded by a map literal.
+MAP_LITERAL_LIMIT = 20_000
+
 
 class LabelCodes(NamedTuple):
     codes: DataFrame            # column, value, code
     sizes: dict                 # column -> number of codes
 
 
-def fit_label_encoder(splits: Splits, cols: Sequence[str]) -> LabelCodes:
+def fit_label_encoder(splits: Splits, cols: Sequence[str], keep: bool = True) -> LabelCodes:
     """E1 fit: sorted distinct values of train ∪ test -> 0..k-1 per column."""
     both = splits.train.select(*cols).unionByName(splits.test.select(*cols))
     distinct = (stacked_values(both, cols).where(F.col("v_str").isNotNull())
@@ -36,26 +40,56 @@ def fit_label_encoder(splits: Splits, cols: Sequence[str]) -> LabelCodes:
     w = Window.partitionBy("column").orderBy(F.col("v_num").asc_nulls_last(), "v_str")
     codes = distinct.select("column", F.col("v_str").alias("value"),
                             (F.row_number().over(w) - 1).cast("int").alias("code"))
+    if keep:
+        from tabprep.session import materialize
+        codes = materialize(codes, "label-codes")
     sizes = {r["column"]: r["k"] for r in
              codes.groupBy("column").agg(F.count(F.lit(1)).alias("k")).collect()}
     return LabelCodes(codes, sizes)
 
 
+def _sql_text(v: str) -> str:
+    return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _code_map(pairs) -> "F.Column":
+    """A ``map<string,int>`` literal, parsed once by the JVM (building it from
+    per-element Python literals costs one py4j call per value)."""
+    keys = ", ".join(_sql_text(v) for v, _ in pairs)
+    vals = ", ".join(str(int(k)) for _, k in pairs)
+    return F.expr(f"map_from_arrays(array({keys}), array({vals}))")
+
+
 def apply_label_encoder(df: DataFrame, state: LabelCodes, cols: Sequence[str]) -> DataFrame:
     """E1 apply: replace each categorical column by its code (NULL -> NULL;
     a value without a code raises, like an unseen label)."""
+    small = [c for c in cols if state.sizes.get(c, 0) <= MAP_LITERAL_LIMIT]
+    literal = {}
+    if small:
+        for row in state.codes.where(F.col("column").isin(small)).collect():
+            literal.setdefault(row["column"], []).append((row["value"], row["code"]))
     out = df
+    code_cols = {}
     for c in cols:
-        table = state.codes.where(F.col("column") == c).select(
-            F.col("value").alias(f"_v_{c}"), F.col("code").alias(f"_c_{c}"))
-        if state.sizes.get(c, 0) <= BROADCAST_ROW_LIMIT:
-            table = F.broadcast(table)
-        out = out.join(table, F.col(c).cast("string") == F.col(f"_v_{c}"), "left")
-        missing = F.col(c).isNotNull() & F.col(f"_c_{c}").isNull()
-        out = out.withColumn(
-            c, F.when(missing, F.raise_error(F.lit(f"unseen label in column {c}")))
-                .otherwise(F.col(f"_c_{c}")).cast("int")).drop(f"_v_{c}", f"_c_{c}")
-    return out.select(*df.columns)
+        if c in small:
+            pairs = literal.get(c, [])
+            code_cols[c] = (F.try_element_at(_code_map(pairs), F.col(c).cast("string"))
+                            if pairs else F.lit(None).cast("int"))
+        else:
+            table = state.codes.where(F.col("column") == c).select(
+                F.col("value").alias(f"_v_{c}"), F.col("code").alias(f"_c_{c}"))
+            if state.sizes.get(c, 0) <= BROADCAST_ROW_LIMIT:
+                table = F.broadcast(table)
+            out = out.join(table, F.col(c).cast("string") == F.col(f"_v_{c}"), "left")
+            code_cols[c] = F.col(f"_c_{c}")
+
+    def checked(c: str):
+        code = code_cols[c]
+        missing = F.col(c).isNotNull() & code.isNull()
+        return F.when(missing, F.raise_error(F.lit(f"unseen label in column {c}"))) \
+            .otherwise(code).cast("int").alias(c)
+
+    return out.select(*[checked(c) if c in code_cols else F.col(c) for c in df.columns])
 
 
 def decode_labels(df: DataFrame, state: LabelCodes, cols: Sequence[str]) -> DataFrame:
@@ -128,7 +162,14 @@ def preprocess(splits: Splits, numerical: Sequence[str], categorical: Sequence[s
         lambda d: apply_label_encoder(d, codes, categorical))
     std = fit_standard(enc.train, numerical) if numerical else None
     mm = fit_minmax(enc.train, categorical) if categorical else None
-    std_rows = std.collect() if std is not None else []
-    mm_rows = mm.collect() if mm is not None else []
+    # both parameter tables from one pass over the training split
+    both = None
+    if std is not None and mm is not None:
+        both = std.withColumn("_kind", F.lit("std")).unionByName(
+            mm.withColumn("_kind", F.lit("mm"))).collect()
+    std_rows = [r for r in both if r["_kind"] == "std"] if both else (
+        std.collect() if std is not None else [])
+    mm_rows = [r for r in both if r["_kind"] == "mm"] if both else (
+        mm.collect() if mm is not None else [])
     out = enc.map(lambda d: apply_affine(apply_affine(d, std_rows), mm_rows))
     return out, Preprocessor(codes, std, mm)

@@ -106,13 +106,14 @@ def welch_table(df: DataFrame, features: Sequence[str], label: str) -> DataFrame
 
 def welch_t(df: DataFrame, features: Sequence[str] | str, label: str,
             alpha: float = 0.05) -> DataFrame:
-    """H1: ``feature, test, n_classes, statistic, df, p_value, significant,
+    """H1: ``feature, test, n_classes, n, statistic, df, p_value, significant,
     status``."""
     feats = [features] if isinstance(features, str) else list(features)
     wt = welch_table(df, feats, label)
     p = t_p_value(F.col("statistic"), F.col("df"))
     return wt.select(
-        "feature", F.lit("welch_t").alias("test"), "n_classes", "statistic", "df",
+        "feature", F.lit("welch_t").alias("test"), "n_classes",
+        (F.col("n1") + F.col("n2")).cast("bigint").alias("n"), "statistic", "df",
         p.alias("p_value")).select(
         "*", F.coalesce(F.col("p_value") < F.lit(alpha), F.lit(False)).alias("significant"),
         F.when(F.col("n_classes") != 2, F.lit("skipped: not binary"))
@@ -179,13 +180,13 @@ def kruskal_table(df: DataFrame, features: Sequence[str], label: str) -> DataFra
 
 def kruskal(df: DataFrame, features: Sequence[str] | str, label: str,
             alpha: float = 0.05) -> DataFrame:
-    """H2: ``feature, test, n_classes, statistic, df, p_value, significant,
+    """H2: ``feature, test, n_classes, n, statistic, df, p_value, significant,
     status`` (p from the chi-square tail with k - 1 df)."""
     feats = [features] if isinstance(features, str) else list(features)
     kt = kruskal_table(df, feats, label)
     p = chi2_p_value(F.col("statistic"), F.col("df").cast("double"))
     return kt.select(
-        "feature", F.lit("kruskal").alias("test"), "n_classes", "statistic",
+        "feature", F.lit("kruskal").alias("test"), "n_classes", "n", "statistic",
         F.col("df").cast("double").alias("df"), p.alias("p_value")).select(
         "*", F.coalesce(F.col("p_value") < F.lit(alpha), F.lit(False)).alias("significant"),
         F.when(F.col("n_classes") <= 2, F.lit("skipped: needs 3+ categories"))

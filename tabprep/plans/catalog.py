@@ -503,3 +503,258 @@ def q_preprocessed(spark, sf_dir):
     parts = [_round_doubles(d).select(F.lit(n).alias("split"), "row_id", "fl_date", *PRE_COLS,
                                       "arr_delay") for n, d in run.preprocessed.items()]
     return parts[0].unionByName(parts[1])
+
+
+# --------------------------------------------------------------------------- describe
+NUM_CLEAN = ["crs_dep_time", "crs_arr_time", "crs_elapsed_time", "distance", "arr_delay"]
+
+
+def _union_sql(parts: list[str]) -> str:
+    return " union all ".join(f"({p})" for p in parts)
+
+
+def _describe_sql(src: str, split: str, cols: list[str]) -> str:
+    return _union_sql([
+        f"select '{split}' as split, '{c}' as feature, count({c}) as count, {r(f'avg({c})')} as mean, "
+        f"{r(f'stddev_samp({c})')} as std, {r(f'min(cast({c} as double))')} as min, "
+        f"{r(f'quantile_cont({c}, 0.25)')} as q25, {r(f'quantile_cont({c}, 0.5)')} as q50, "
+        f"{r(f'quantile_cont({c}, 0.75)')} as q75, {r(f'max(cast({c} as double))')} as max "
+        f"from {src}" for c in cols])
+
+
+@query("describe_splits", with_stages(_union_sql([
+    _describe_sql("ptrain", "train", PRE_COLS + ["arr_delay"]),
+    _describe_sql("ptest", "test", PRE_COLS + ["arr_delay"])])))
+def q_describe(spark, sf_dir):
+    """A2: count, mean, sample std, min, quartiles (linear interpolation) and
+    max of every preprocessed feature, for both splits."""
+    run = _run(spark, sf_dir)
+    parts = [describe.describe_table(d, PRE_COLS + ["arr_delay"]).withColumn("split", F.lit(n))
+             for n, d in run.preprocessed.items()]
+    out = parts[0].unionByName(parts[1])
+    return _round_doubles(out.select("split", "feature", F.col("count").cast("bigint"), "mean",
+                                     "std", "min", "q25", "q50", "q75", "max"))
+
+
+def _hist_sql(src: str, cols: list[str], bins: int = 30) -> str:
+    parts = []
+    for c in cols:
+        parts.append(f"""
+select '{c}' as feature, g.bin,
+  {r(f'p.lo + g.bin * ((p.hi - p.lo) / {bins}e0)')} as lo,
+  {r(f'p.lo + (g.bin + 1) * ((p.hi - p.lo) / {bins}e0)')} as hi,
+  coalesce(h.n, 0) as n
+from (select case when min(x) = max(x) then min(x) - 0.5 else min(x) end as lo,
+             case when min(x) = max(x) then max(x) + 0.5 else max(x) end as hi
+      from (select cast({c} as double) as x from {src} where {c} is not null)) p
+cross join (select cast(range as int) as bin from range({bins})) g
+left join (
+  select cast(least(floor((x - q.lo) / (q.hi - q.lo) * {bins}), {bins - 1}) as int) as bin,
+         count(*) as n
+  from (select cast({c} as double) as x from {src} where {c} is not null) v,
+       (select case when min(cast({c} as double)) = max(cast({c} as double))
+                    then min(cast({c} as double)) - 0.5 else min(cast({c} as double)) end as lo,
+               case when min(cast({c} as double)) = max(cast({c} as double))
+                    then max(cast({c} as double)) + 0.5 else max(cast({c} as double)) end as hi
+        from {src}) q
+  group by 1) h on h.bin = g.bin""")
+    return _union_sql(parts)
+
+
+@query("histogram_train", with_stages(_hist_sql("train4", NUM_CLEAN)))
+def q_histogram(spark, sf_dir):
+    """A3: 30 equal-width bins per numeric column of the cleaned training
+    split, empty bins included; no row cap."""
+    run = _run(spark, sf_dir)
+    h = describe.histogram(run.cleaned.train, NUM_CLEAN, 30)
+    return h.select("feature", F.col("bin").cast("int"), rnd("lo").alias("lo"),
+                    rnd("hi").alias("hi"), F.col("n").cast("bigint"))
+
+
+def _corr_sql(src: str, cols: list[str]) -> str:
+    parts = []
+    for i, a in enumerate(cols):
+        for b in cols:
+            parts.append(
+                f"select '{a}' as a, '{b}' as b, "
+                f"{r(f'covar_pop(x, y) / nullif(stddev_pop(x) * stddev_pop(y), 0)')} as r, "
+                f"count(x) as n from (select cast({a} as double) as x, cast({b} as double) as y "
+                f"from {src} where {a} is not null and {b} is not null)")
+    return _union_sql(parts)
+
+
+CORR_COLS = osql.NUMERICAL + ["arr_delay"]
+
+
+@query("correlation_train", with_stages(_corr_sql("ptrain", CORR_COLS)))
+def q_correlation(spark, sf_dir):
+    """A4: Pearson matrix of the scaled numeric features and the target."""
+    run = _run(spark, sf_dir)
+    c = describe.correlation_matrix(run.preprocessed.train, CORR_COLS)
+    return c.select("a", "b", rnd("r").alias("r"), F.col("n").cast("bigint"))
+
+
+ORDER_CORR_COLS = ["o_totalprice", "c_acctbal", "o_custkey", "constant_one"]
+
+
+@query("correlation_orders", f"""with oc as (
+  select o_totalprice, c_acctbal, o_custkey, 1e0 as constant_one
+  from orders join customer on o_custkey = c_custkey)
+{_corr_sql('oc', ORDER_CORR_COLS)}""")
+def q_correlation_orders(spark, sf_dir):
+    """A4 on a native join, with a constant column (its r is NULL)."""
+    o = table(spark, sf_dir, "orders")
+    c = table(spark, sf_dir, "customer")
+    oc = o.join(c, o.o_custkey == c.c_custkey).select(
+        "o_totalprice", "c_acctbal", "o_custkey", F.lit(1.0).alias("constant_one"))
+    m = describe.correlation_matrix(oc, ORDER_CORR_COLS)
+    return m.select("a", "b", rnd("r").alias("r"), F.col("n").cast("bigint"))
+
+
+def _box_sql(src: str, cols: list[str]) -> str:
+    parts = []
+    for c in cols:
+        parts.append(f"""
+select '{c}' as feature, {r('q1')} as q1, {r('med')} as med, {r('q3')} as q3,
+  {r(f'(select min(cast({c} as double)) from {src} where {c} >= q1 - 1.5 * (q3 - q1))')} as lo_whisker,
+  {r(f'(select max(cast({c} as double)) from {src} where {c} <= q3 + 1.5 * (q3 - q1))')} as hi_whisker,
+  (select count(*) from {src} where {c} < q1 - 1.5 * (q3 - q1) or {c} > q3 + 1.5 * (q3 - q1)) as n_out
+from (select quantile_cont({c}, 0.25) as q1, quantile_cont({c}, 0.5) as med,
+             quantile_cont({c}, 0.75) as q3 from {src})""")
+    return _union_sql(parts)
+
+
+@query("box_stats_train", with_stages(_box_sql("train4", NUM_CLEAN)))
+def q_box(spark, sf_dir):
+    """A5: quartiles, whiskers (last points within 1.5 IQR) and outlier counts
+    per numeric column of the cleaned training split; no row cap."""
+    run = _run(spark, sf_dir)
+    b = describe.box_stats(run.cleaned.train, NUM_CLEAN)
+    return _round_doubles(b)
+
+
+DENSITY_COLS = ["crs_elapsed_time", "distance", "arr_delay"]
+
+
+def _density_sql(src: str, cols: list[str], grid: int = 200) -> str:
+    parts = []
+    for c in cols:
+        parts.append(f"""
+select '{c}' as feature, cast(g.i as int) as i, {r('p.lo + g.i * p.step')} as x,
+  {r('sum(v.w * exp(-0.5 * ((p.lo + g.i * p.step - v.x) / p.bw) * ((p.lo + g.i * p.step - v.x) / p.bw))) / (p.n * p.bw * sqrt(2 * pi()))')} as density
+from (select n, bw, mn - 3 * bw as lo, ((mx + 3 * bw) - (mn - 3 * bw)) / {grid - 1} as step
+      from (select count({c}) as n, stddev_samp({c}) * pow(count({c}), -1.0 / 5.0) as bw,
+                   min(cast({c} as double)) as mn, max(cast({c} as double)) as mx from {src})) p
+cross join (select range as i from range({grid})) g
+cross join (select cast({c} as double) as x, count(*) as w from {src} where {c} is not null group by 1) v
+group by g.i, p.lo, p.step, p.n, p.bw""")
+    return _union_sql(parts)
+
+
+@query("density_train", with_stages(_density_sql("train4", DENSITY_COLS)))
+def q_density(spark, sf_dir):
+    """Gaussian kernel density (Scott bandwidth, 200 points, 3 bandwidths
+    past the ends) of numeric columns of the cleaned training split."""
+    run = _run(spark, sf_dir)
+    d = describe.density(run.cleaned.train, DENSITY_COLS)
+    return d.select("feature", F.col("i").cast("int"), rnd("x").alias("x"),
+                    rnd("density").alias("density"))
+
+
+CLASS_FEATURES = ["airline_code", "time_of_day", "season", "flight_type", "day_of_week", "month",
+                  "is_weekend", "is_holiday_month"]
+
+
+@query("feature_classes", with_stages(_union_sql([
+    f"select '{c}' as feature, cast({c} as varchar) as cls, count(*) as n from ftrain "
+    f"where {c} is not null group by {c}" for c in CLASS_FEATURES])))
+def q_classes(spark, sf_dir):
+    """Distinct non-null classes (and sizes) of the categorical features."""
+    run = _run(spark, sf_dir)
+    cs = hypothesis.class_stats(run.featured.train, CLASS_FEATURES, "arr_delay")
+    return cs.select("feature", "cls", F.col("n").cast("bigint"))
+
+
+# --------------------------------------------------------------------------- hypothesis tests
+def _welch_sql(src: str, feats: list[str], label: str = "arr_delay") -> str:
+    parts = []
+    for f in feats:
+        parts.append(f"""
+select '{f}' as feature, cast(k as int) as n_classes,
+  case when k = 2 then n1 end as n1, case when k = 2 then n2 end as n2,
+  case when k = 2 then {r('(m1 - m2) / sqrt(v1 / n1 + v2 / n2)')} end as statistic,
+  case when k = 2 then {r('(v1 / n1 + v2 / n2) * (v1 / n1 + v2 / n2) / ((v1 / n1) * (v1 / n1) / (n1 - 1) + (v2 / n2) * (v2 / n2) / (n2 - 1))')} end as df
+from (select max(k) as k, max(case when ci = 1 then n end) as n1, max(case when ci = 2 then n end) as n2,
+             max(case when ci = 1 then m end) as m1, max(case when ci = 2 then m end) as m2,
+             max(case when ci = 1 then v end) as v1, max(case when ci = 2 then v end) as v2
+      from (select count(*) as n, avg({label}) as m, var_samp({label}) as v,
+                   row_number() over (order by {f}) as ci, count(*) over () as k
+            from {src} where {f} is not null and {label} is not null group by {f}))""")
+    return _union_sql(parts)
+
+
+WELCH_FEATURES = ["is_weekend", "is_holiday_month"]
+
+
+@query("welch_t_binary", with_stages(_welch_sql("ftrain", WELCH_FEATURES)))
+def q_welch(spark, sf_dir):
+    """H1: Welch t statistic and degrees of freedom of the target between the
+    two classes (ascending) of each binary feature."""
+    run = _run(spark, sf_dir)
+    w = hypothesis.welch_table(run.featured.train, WELCH_FEATURES, "arr_delay")
+    return w.select("feature", "n_classes", "n1", "n2", rnd("statistic").alias("statistic"),
+                    rnd("df").alias("df"))
+
+
+def _kruskal_sql(src: str, f: str, y: str, feature_name: str | None = None) -> str:
+    name = feature_name or f
+    return f"""
+select '{name}' as feature, cast(k as int) as n_classes, cast(nn as bigint) as n,
+  {r('h')} as statistic, cast(k - 1 as int) as df,
+  {r('exp(-h / 2) * list_sum([pow(h / 2, j) / gamma(j + 1) for j in range(0, cast((k - 1) / 2 as bigint))])')} as p_value
+from (select k, nn, (12e0 / (nn * (nn + 1)) * sr - 3 * (nn + 1)) / (1 - ties / (nn * nn * nn - nn)) as h
+      from (select count(*) as k, sum(ni) as nn, sum(rs * rs / ni) as sr,
+                   (select sum(t * t * t - t) from (select count(*) as t from {src}
+                      where {f} is not null and {y} is not null group by {y})) as ties
+            from (select {f}, count(*) as ni, sum(mr) as rs
+                  from (select {f}, rank() over (order by {y}) + (count(*) over (partition by {y}) - 1) / 2e0 as mr
+                        from {src} where {f} is not null and {y} is not null)
+                  group by {f})))"""
+
+
+def _kruskal_spark(df: DataFrame, feats: list[str], label: str) -> DataFrame:
+    k = hypothesis.kruskal(df, feats, label)
+    return k.select("feature", "n_classes", F.col("n").cast("bigint"),
+                    rnd("statistic").alias("statistic"), F.col("df").cast("int"),
+                    rnd("p_value").alias("p_value"))
+
+
+@query("kruskal_airline", with_stages(_kruskal_sql("ftrain", "airline_code", "arr_delay")))
+def q_kruskal_airline(spark, sf_dir):
+    """H2: Kruskal-Wallis H (tie-corrected) of the target across the five
+    airline codes, p from chi-square with 4 df."""
+    run = _run(spark, sf_dir)
+    return _kruskal_spark(run.featured.train, ["airline_code"], "arr_delay")
+
+
+@query("kruskal_day_of_week", with_stages(_kruskal_sql("ftrain", "day_of_week", "arr_delay")))
+def q_kruskal_dow(spark, sf_dir):
+    """H2 over seven weekdays (6 df)."""
+    run = _run(spark, sf_dir)
+    return _kruskal_spark(run.featured.train, ["day_of_week"], "arr_delay")
+
+
+@query("kruskal_events", _kruskal_sql("events", "event_type", "value"))
+def q_kruskal_events(spark, sf_dir):
+    """H2 on a native table: event value across event types."""
+    ev = table(spark, sf_dir, "events")
+    return _kruskal_spark(ev, ["event_type"], "value")
+
+
+@query("hypothesis_battery")
+def q_battery(spark, sf_dir):
+    """H3: Welch on the binary features, Kruskal-Wallis on the multi-class
+    ones, with p-values and significance at 0.05 (p-values of odd-df and t
+    tests have no SQL closed form; checked against closed forms in tests)."""
+    run = _run(spark, sf_dir)
+    return hypothesis.run_tests(run.featured.train, "arr_delay")
