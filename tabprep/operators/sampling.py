@@ -97,15 +97,14 @@ def sample_n(df: DataFrame, n: int, key: str = "row_id", seed: int = DEFAULT_SEE
     return df.where(prefix_condition(df, n, key, seed, tag))
 
 
-def hash_rank(df: DataFrame, key: str = "row_id", seed: int = DEFAULT_SEED,
-              tag: str = "shuffle", out: str = "rank",
-              partition_by: Sequence[str] = ()) -> DataFrame:
-    """Exact 1-based rank of every row in hash order (optionally within
-    groups), without a global sort: group offsets from counts per 4-digit
-    hash prefix (bounded table, broadcast), plus a row number inside each
-    prefix group (a shuffle on a uniform hash prefix, so no hot partition)."""
+def rank_by(df: DataFrame, h: Column, key: str, partition_by: Sequence[str] = (),
+            out: str = "rank") -> DataFrame:
+    """Exact 1-based rank of every row by ``(h, key)`` within groups, where
+    ``h`` is a uniform hex hash: group offsets come from counts per 4-digit
+    hash prefix (a bounded table, broadcast), plus a row number inside each
+    prefix group (a shuffle on a uniform hash prefix, so no hot partition and
+    no global sort)."""
     parts = list(partition_by)
-    h = hash_col(key, seed, tag)
     with_h = df.withColumn("_h", h).withColumn("_p", F.substring("_h", 1, PREFIX_DIGITS))
     counts = with_h.groupBy(*parts, "_p").agg(F.count(F.lit(1)).alias("_c"))
     offsets = counts.withColumn(
@@ -114,11 +113,22 @@ def hash_rank(df: DataFrame, key: str = "row_id", seed: int = DEFAULT_SEED,
             Window.partitionBy(*parts).orderBy("_p")
             .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_c")
     w = Window.partitionBy(*parts, "_p").orderBy("_h", key)
-    return (with_h.join(F.broadcast(offsets), [*parts, "_p"])
+    # without groups the offset table has at most 65,536 rows: broadcast it;
+    # with groups it grows with their number, so the planner decides
+    offsets = F.broadcast(offsets) if not parts else offsets
+    return (with_h.join(offsets, [*parts, "_p"])
             .withColumn(out, (F.col("_off") + F.row_number().over(w)).cast("bigint"))
             .drop("_h", "_p", "_off"))
 
 
+def hash_rank(df: DataFrame, key: str = "row_id", seed: int = DEFAULT_SEED,
+              tag: str = "shuffle", out: str = "rank",
+              partition_by: Sequence[str] = ()) -> DataFrame:
+    """Exact 1-based rank of every row in ``tag`` hash order (optionally
+    within groups); see :func:`rank_by`."""
+    return rank_by(df, hash_col(key, seed, tag), key, partition_by, out)
+
+
 def shuffle_order(df: DataFrame, key: str = "row_id", seed: int = DEFAULT_SEED,
                   out: str = "shuffle_rank") -> DataFrame:
     """M3: the full shuffle as an order column (a DataFrame has no order)."""

@@ -758,3 +758,108 @@ def q_battery(spark, sf_dir):
     tests have no SQL closed form; checked against closed forms in tests)."""
     run = _run(spark, sf_dir)
     return hypothesis.run_tests(run.featured.train, "arr_delay")
+
+
+# --------------------------------------------------------------------------- models
+from tabprep.operators import models, projection  # noqa: E402
+
+PCA_COLS = PRE_COLS
+
+
+def _cov_sql(src: str, cols: list[str]) -> str:
+    return _union_sql([
+        f"select '{a}' as a, '{b}' as b, {r(f'covar_samp(cast({a} as double), cast({b} as double))')} as cov "
+        f"from {src}" for a in cols for b in cols])
+
+
+@query("pca_covariance", with_stages(_cov_sql("ptrain", PCA_COLS)))
+def q_pca_cov(spark, sf_dir):
+    """R4 (checkable part): the sample covariance matrix PCA decomposes, from
+    one distributed pass of partial Gram matrices."""
+    run = _run(spark, sf_dir)
+    cov, _, _ = models.covariance(run.preprocessed.train, PCA_COLS)
+    rows = [(a, b, float(cov[i, j])) for i, a in enumerate(PCA_COLS)
+            for j, b in enumerate(PCA_COLS)]
+    # the p x p matrix Spark reduced the table to, as a small frame
+    out = spark.createDataFrame(rows, "a string, b string, cov double")
+    return out.select("a", "b", rnd("cov").alias("cov"))
+
+
+@query("pca_scores")
+def q_pca_scores(spark, sf_dir):
+    """Two principal components of the scaled features for every
+    training row (no row cap)."""
+    run = _run(spark, sf_dir)
+    scores, _ = models.pca(run.preprocessed.train, PCA_COLS, 2)
+    return scores
+
+
+@query("pca_embeddings")
+def q_pca_embeddings(spark, sf_dir):
+    """R4 on a native vector column: two components of every embedding."""
+    emb = table(spark, sf_dir, "embeddings")
+    scores, _ = models.pca(emb, "embedding", 2, key="vec_id")
+    return scores
+
+
+@query("lda_scatter", """
+with e as (select vec_id, label, unnest(cast(embedding as double[])) as v,
+                  generate_subscripts(embedding, 1) - 1 as i from embeddings),
+m as (select label, i, avg(v) as mu from e group by label, i),
+c as (select e.vec_id, e.i, e.v - m.mu as d from e join m on e.label = m.label and e.i = m.i)
+select cast(x.i as int) as a, cast(y.i as int) as b, round(sum(x.d * y.d), 6) + 0.0 as s_w
+from c x join c y on x.vec_id = y.vec_id group by x.i, y.i""")
+def q_lda_scatter(spark, sf_dir):
+    """R5 (checkable part): within-class scatter of the embeddings by label,
+    from one grouped pass of partial Gram matrices."""
+    emb = table(spark, sf_dir, "embeddings")
+    m = models.moments(emb, "embedding", "label")
+    sw = sum(m.scatter[g] for g in m.groups)
+    p = sw.shape[0]
+    rows = [(i, j, float(sw[i, j])) for i in range(p) for j in range(p)]
+    out = spark.createDataFrame(rows, "a int, b int, s_w double")
+    return out.select("a", "b", rnd("s_w").alias("s_w"))
+
+
+@query("lda_projection")
+def q_lda(spark, sf_dir):
+    """Two linear discriminants of the embeddings by label."""
+    emb = table(spark, sf_dir, "embeddings")
+    scores, _ = models.lda_projection(emb, "embedding", "label", 2, key="vec_id")
+    return scores
+
+
+@query("projection_labels")
+def q_projection_labels(spark, sf_dir):
+    """PCA scores with the late-over-15-minutes label and the airline
+    code, as the data behind the coloured scatter plots."""
+    run = _run(spark, sf_dir)
+    scores, _ = models.pca(run.preprocessed.train, PCA_COLS, 2)
+    lab = filters.binary_label(run.featured.train, "arr_delay")
+    return models.projection_with(scores, lab, ["label_binary", "airline_code"])
+
+
+@query("forest_importance")
+def q_forest(spark, sf_dir):
+    """Random forest (10 trees, seed 42) on the scaled features and
+    permutation importance (2 repeats), ascending."""
+    run = _run(spark, sf_dir)
+    train = run.preprocessed.train
+    model = models.fit_forest(train, PRE_COLS, "arr_delay")
+    return models.permutation_importance(model, train, PRE_COLS, "arr_delay", 2)
+
+
+@query("knn_graph", """
+select src, dst, cast(rank as int) as rank, dist from (
+  select a.vec_id as src, b.vec_id as dst,
+         round(list_distance(cast(a.embedding as double[]), cast(b.embedding as double[])), 6) + 0.0 as dist,
+         row_number() over (partition by a.vec_id order by
+           list_distance(cast(a.embedding as double[]), cast(b.embedding as double[])), b.vec_id) as rank
+  from embeddings a join embeddings b on a.vec_id <> b.vec_id)
+where rank <= 15""")
+def q_knn(spark, sf_dir):
+    """Exact 15-nearest-neighbour graph of the embeddings (pivot
+    partitioning with triangle-inequality pruning; no cross join)."""
+    emb = table(spark, sf_dir, "embeddings")
+    g = projection.knn_graph(emb, "embedding", 15, key="vec_id")
+    return g.select("src", "dst", F.col("rank").cast("int"), rnd("dist").alias("dist"))
