@@ -25,9 +25,15 @@ BUCKETS = 4096
 FETCH_ROWS = 100_000
 
 
+def _num(c: str) -> Column:
+    """The column as a double with NaN treated as missing (as pandas does)."""
+    x = F.col(c).cast("double")
+    return F.when(~F.isnan(x), x)
+
+
 def stacked(df: DataFrame, cols: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
-    """``k`` (column index), ``x`` (double) rows for the non-null values."""
-    structs = [F.struct(F.lit(i).alias("k"), F.col(c).cast("double").alias("x"))
+    """``k`` (column index), ``x`` (double) rows for the non-missing values."""
+    structs = [F.struct(F.lit(i).alias("k"), _num(c).alias("x"))
                for i, c in enumerate(cols)]
     return (df.select(*keep, F.inline(F.array(*structs)))
             .where(F.col("x").isNotNull()))
@@ -37,7 +43,7 @@ def column_stats(df: DataFrame, cols: Sequence[str]) -> dict:
     """count, mean, sample std, min, max per column: one aggregate."""
     aggs = []
     for i, c in enumerate(cols):
-        x = F.col(c).cast("double")
+        x = _num(c)
         aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"m{i}"),
                  F.stddev_samp(x).alias(f"s{i}"), F.min(x).alias(f"lo{i}"),
                  F.max(x).alias(f"hi{i}")]
@@ -183,7 +189,7 @@ def describe_table(df: DataFrame, cols: Sequence[str], approx: bool = False) ->
     q = approx_quantiles(df, cols, probs) if approx else exact_quantiles(df, cols, probs, stats)
     aggs = []
     for i, c in enumerate(cols):
-        x = F.col(c).cast("double")
+        x = _num(c)
         aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"m{i}"),
                  F.stddev_samp(x).alias(f"s{i}"), F.min(x).alias(f"lo{i}"),
                  F.max(x).alias(f"hi{i}")]
@@ -237,9 +243,9 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     for i, a in enumerate(cols):
         for j in range(i, len(cols)):
             b = cols[j]
-            both = F.col(a).isNotNull() & F.col(b).isNotNull()
-            xa = F.when(both, F.col(a).cast("double"))
-            xb = F.when(both, F.col(b).cast("double"))
+            both = _num(a).isNotNull() & _num(b).isNotNull()
+            xa = F.when(both, _num(a))
+            xb = F.when(both, _num(b))
             r = F.try_divide(F.covar_pop(xa, xb), F.stddev_pop(xa) * F.stddev_pop(xb))
             aggs += [r.alias(f"r_{i}_{j}"), F.count(xa).alias(f"n_{i}_{j}")]
             pairs.append((i, j))
@@ -267,7 +273,7 @@ def box_stats(df: DataFrame, cols: Sequence[str], whis: float = 1.5) -> DataFram
             continue
         iqr = q3 - q1
         lo_f, hi_f = q1 - whis * iqr, q3 + whis * iqr
-        x = F.col(c).cast("double")
+        x = _num(c)
         aggs += [F.min(F.when(x >= F.lit(lo_f), x)).alias(f"lw{i}"),
                  F.max(F.when(x <= F.lit(hi_f), x)).alias(f"hw{i}"),
                  F.count(F.when((x < F.lit(lo_f)) | (x > F.lit(hi_f)), 1)).alias(f"no{i}")]

@@ -91,8 +91,8 @@ def _infer_numeric(df: DataFrame) -> T.StructType:
     for c in df.columns:
         col = F.col(f"`{c}`")
         aggs.append(F.count(col).alias(f"n_{c}"))
-        aggs.append(F.count(F.try_cast(col, T.LongType())).alias(f"l_{c}"))
-        aggs.append(F.count(F.try_cast(col, T.DoubleType())).alias(f"d_{c}"))
+        aggs.append(F.count(col.try_cast(T.LongType())).alias(f"l_{c}"))
+        aggs.append(F.count(col.try_cast(T.DoubleType())).alias(f"d_{c}"))
     row = df.agg(*aggs).first()
     fields = []
     for c in df.columns:
