@@ -370,7 +370,7 @@ def _fill_sql(dest: str, arr: str, elapsed: str, arr_double: bool = True) -> str
     out = []
     for split, src in (("train", "train2"), ("test", "test1")):
         a = arr.format(s=src)
-        a = r(a) if arr_double else a
+        a = r(a if arr_double else f"cast({a} as double)")   # nullable int -> double
         out.append(f"""select '{split}' as split, row_id, {dest.format(s=src)} as dest,
   {a} as crs_arr_time, {r(elapsed.format(s=src))} as crs_elapsed_time from {src}""")
     return with_stages(" union all ".join(out))

@@ -52,3 +52,24 @@ def test_entry_contract(spark):
     assert out.count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert "pipeline" not in entry.queries()
+
+
+def test_streaming_stateless_stage(spark, flights001, run001):
+    from tabprep.plans import flights as fl
+    from tabprep.streaming import apply_hour_map, stateless_flight_stage
+
+    src = tempfile.mkdtemp(prefix="tabprep-stream-src-")
+    flights001.write.mode("overwrite").parquet(src)
+    stream = spark.readStream.schema(flights001.schema).parquet(src)
+    out = apply_hour_map(stateless_flight_stage(stream), run001.hour_map)
+    q = (out.writeStream.format("memory").queryName("flights_stream")
+         .option("checkpointLocation", tempfile.mkdtemp(prefix="tabprep-stream-ck-"))
+         .outputMode("append").start())
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    got = spark.sql("select * from flights_stream")
+    assert got.count() == 1483
+    assert got.where("arr_delay < 0").count() == 0
+    assert "avg_delay_per_hour" in got.columns
