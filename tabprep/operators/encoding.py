@@ -160,16 +160,26 @@ def preprocess(splits: Splits, numerical: Sequence[str], categorical: Sequence[s
     codes = fit_label_encoder(splits, categorical) if categorical else None
     enc = splits if codes is None else splits.map(
         lambda d: apply_label_encoder(d, codes, categorical))
-    std = fit_standard(enc.train, numerical) if numerical else None
-    mm = fit_minmax(enc.train, categorical) if categorical else None
-    # both parameter tables from one pass over the training split
-    both = None
-    if std is not None and mm is not None:
-        both = std.withColumn("_kind", F.lit("std")).unionByName(
-            mm.withColumn("_kind", F.lit("mm"))).collect()
-    std_rows = [r for r in both if r["_kind"] == "std"] if both else (
-        std.collect() if std is not None else [])
-    mm_rows = [r for r in both if r["_kind"] == "mm"] if both else (
-        mm.collect() if mm is not None else [])
+    # both parameter tables from one aggregate over the encoded training split
+    aggs = []
+    for i, c in enumerate(numerical):
+        aggs += [F.avg(c).alias(f"m{i}"), F.stddev_pop(c).alias(f"s{i}")]
+    for i, c in enumerate(categorical):
+        aggs += [F.min(F.col(c).cast("double")).alias(f"lo{i}"),
+                 F.max(F.col(c).cast("double")).alias(f"hi{i}")]
+    row = enc.train.agg(*aggs).first() if aggs else None
+    std_rows, mm_rows = [], []
+    for i, c in enumerate(numerical):
+        sd = row[f"s{i}"]
+        std_rows.append({"column": c, "mean": row[f"m{i}"],
+                         "scale": 1.0 if not sd else float(sd)})
+    for i, c in enumerate(categorical):
+        lo, hi = row[f"lo{i}"], row[f"hi{i}"]
+        span = (hi - lo) if lo is not None and hi is not None else 0.0
+        mm_rows.append({"column": c, "mean": lo, "scale": float(span) if span else 1.0})
+    spark = splits.train.sparkSession
+    schema = "column string, mean double, scale double"
+    std = spark.createDataFrame([(r["column"], r["mean"], r["scale"]) for r in std_rows], schema)
+    mm = spark.createDataFrame([(r["column"], r["mean"], r["scale"]) for r in mm_rows], schema)
     out = enc.map(lambda d: apply_affine(apply_affine(d, std_rows), mm_rows))
     return out, Preprocessor(codes, std, mm)

@@ -43,20 +43,26 @@ def _le_bound(h: Column, key: Column, h_n: str, key_n) -> Column:
 
 
 def prefix_bound(df: DataFrame, n: int, key: str, seed: int = DEFAULT_SEED,
-                 tag: str = "sample", boundary_rows: int = BOUNDARY_ROWS):
+                 tag: str = "sample", boundary_rows: int = BOUNDARY_ROWS,
+                 first_level: dict | None = None):
     """The ``(hash, key)`` of the n-th row in hash order, or ``None`` when the
     table has at most n rows. Jobs: one grouped count per refinement level
-    (usually one or two), then one bounded fetch of the boundary group."""
+    (usually one or two; the first can be passed in as ``first_level``,
+    prefix -> count, when an earlier aggregate already produced it), then one
+    bounded fetch of the boundary group."""
     if n <= 0:
         return ("", None)
     h = hash_col(key, seed, tag)
     probe = df.select(h.alias("_h"), F.col(key).alias("_k"))
     digits, prefix, before = PREFIX_DIGITS, "", 0
     while True:
-        scoped = probe if not prefix else probe.where(
-            F.substring("_h", 1, len(prefix)) == F.lit(prefix))
-        rows = (scoped.groupBy(F.substring("_h", 1, digits).alias("p"))
-                .count().collect())
+        if not prefix and first_level is not None:
+            rows = [{"p": k, "count": v} for k, v in first_level.items()]
+        else:
+            scoped = probe if not prefix else probe.where(
+                F.substring("_h", 1, len(prefix)) == F.lit(prefix))
+            rows = (scoped.groupBy(F.substring("_h", 1, digits).alias("p"))
+                    .count().collect())
         rows.sort(key=lambda r: r["p"])
         total = before + sum(r["count"] for r in rows)
         if total <= n and not prefix:
@@ -81,9 +87,9 @@ def prefix_bound(df: DataFrame, n: int, key: str, seed: int = DEFAULT_SEED,
 
 
 def prefix_condition(df: DataFrame, n: int, key: str, seed: int = DEFAULT_SEED,
-                     tag: str = "sample") -> Column:
+                     tag: str = "sample", first_level: dict | None = None) -> Column:
     """Boolean column: the row is among the n first in hash order."""
-    bound = prefix_bound(df, n, key, seed, tag)
+    bound = prefix_bound(df, n, key, seed, tag, first_level=first_level)
     if bound is None:
         return F.lit(True)
     if bound[1] is None:
@@ -142,9 +148,36 @@ def class_counts(df: DataFrame, cond_by_class: dict) -> dict:
     return {name: row[str(name)] for name in cond_by_class}
 
 
+def class_prefix_counts(df: DataFrame, label: str, key: str = "row_id",
+                        seed: int = DEFAULT_SEED, tag: str = "balance",
+                        positive=None, negative=None,
+                        scope: Column | None = None) -> tuple[dict, dict]:
+    """One grouped count over ``(class, 4-digit hash prefix)`` (at most
+    4 x 65,536 groups): the sizes ``raw`` (every row), ``all`` (rows in
+    ``scope``), ``pos`` and ``neg`` (in scope), and per class the first-level
+    prefix histogram that balancing needs."""
+    pos = positive if positive is not None else F.col(label) > 0
+    neg = negative if negative is not None else F.col(label) == 0
+    cls = F.when(pos, F.lit("pos")).when(neg, F.lit("neg")).otherwise(F.lit("other"))
+    if scope is not None:
+        cls = F.when(~F.coalesce(scope, F.lit(False)), F.lit("out")).otherwise(cls)
+    p = F.substring(hash_col(key, seed, tag), 1, PREFIX_DIGITS)
+    rows = df.groupBy(cls.alias("c"), p.alias("p")).count().collect()
+    counts = {"raw": 0, "all": 0, "pos": 0, "neg": 0}
+    hist: dict = {"pos": {}, "neg": {}, "other": {}, "out": {}}
+    for r in rows:
+        counts["raw"] += r["count"]
+        if r["c"] != "out":
+            counts["all"] += r["count"]
+        if r["c"] in ("pos", "neg"):
+            counts[r["c"]] += r["count"]
+        hist[r["c"]][r["p"]] = r["count"]
+    return counts, hist
+
+
 def balance_classes(df: DataFrame, label: str, key: str = "row_id",
                     seed: int = DEFAULT_SEED, positive=None, negative=None,
-                    counts: dict | None = None) -> DataFrame:
+                    counts: dict | None = None, hist: dict | None = None) -> DataFrame:
     """M1: keep every row of the smaller class and exactly as many rows of the
     larger one, chosen in ``balance`` hash order. Rows in neither class (null
     target) are dropped. Default classes: ``label > 0`` and ``label = 0``."""
@@ -153,11 +186,13 @@ def balance_classes(df: DataFrame, label: str, key: str = "row_id",
     pos = positive if positive is not None else F.col(label) > 0
     neg = negative if negative is not None else F.col(label) == 0
     if counts is None:
-        counts = class_counts(df, {"pos": pos, "neg": neg})
+        counts, hist = class_prefix_counts(df, label, key, seed, "balance", positive, negative)
     require_classes(counts, ["pos", "neg"])
     m = min(counts["pos"], counts["neg"])
-    major, minor = (pos, neg) if counts["pos"] > counts["neg"] else (neg, pos)
-    keep_major = prefix_condition(df.where(major), m, key, seed, "balance")
+    major_name = "pos" if counts["pos"] > counts["neg"] else "neg"
+    major, minor = (pos, neg) if major_name == "pos" else (neg, pos)
+    first = hist.get(major_name) if hist else None
+    keep_major = prefix_condition(df.where(major), m, key, seed, "balance", first_level=first)
     return df.where(minor | (major & keep_major))
 
 

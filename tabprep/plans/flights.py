@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from tabprep.operators import cleaning, encoding, features, filters, sampling
 from tabprep.session import materialize
-from tabprep.sources.readers import REQUIRED_COLUMNS, require_columns, require_rows
+from tabprep.sources.readers import REQUIRED_COLUMNS, require_columns
 from tabprep.splits import Splits
 
 KEY = "row_id"
@@ -55,15 +55,17 @@ def load_and_split(df: DataFrame, seed: int = SEED, test_size: float = TEST_SIZE
     from tabprep.errors import EmptyInputError
 
     require_columns(df, REQUIRED_COLUMNS)
-    require_rows(df, "the loaded table has no rows")
-    completed = filters.keep_completed(df)
-    clipped = filters.clip_lower(completed, LABEL, 0.0)
-    counts = sampling.class_counts(clipped, {
-        "all": F.lit(True), "pos": filters.positive_class(LABEL),
-        "neg": filters.zero_class(LABEL)})
+    # one aggregate gives the raw size, the completed size, the class sizes
+    # and the balance-order prefix histograms (the clip commutes with P1)
+    done = (F.col("cancelled") == 0) & (F.col("diverted") == 0)
+    counts, hist = sampling.class_prefix_counts(
+        filters.clip_lower(df, LABEL, 0.0), LABEL, KEY, seed, "balance", scope=done)
+    if counts["raw"] == 0:
+        raise EmptyInputError("the loaded table has no rows")
+    clipped = filters.clip_lower(filters.keep_completed(df), LABEL, 0.0)
     if counts["all"] == 0:
         raise EmptyInputError("no rows left after removing cancelled and diverted flights")
-    balanced = sampling.balance_classes(clipped, LABEL, KEY, seed, counts=counts)
+    balanced = sampling.balance_classes(clipped, LABEL, KEY, seed, counts=counts, hist=hist)
     if keep:
         balanced = materialize(balanced, "balanced")
     n = 2 * min(counts["pos"], counts["neg"])
