@@ -575,7 +575,7 @@ def q_histogram(spark, sf_dir):
     """A3: 30 equal-width bins per numeric column of the cleaned training
     split, empty bins included; no row cap."""
     run = _run(spark, sf_dir)
-    h = describe.histogram(run.cleaned.train, NUM_CLEAN, 30)
+    h = describe.histogram(run.featured.train, NUM_CLEAN, 30)
     return h.select("feature", F.col("bin").cast("int"), rnd("lo").alias("lo"),
                     rnd("hi").alias("hi"), F.col("n").cast("bigint"))
 
@@ -638,7 +638,7 @@ def q_box(spark, sf_dir):
     """A5: quartiles, whiskers (last points within 1.5 IQR) and outlier counts
     per numeric column of the cleaned training split; no row cap."""
     run = _run(spark, sf_dir)
-    b = describe.box_stats(run.cleaned.train, NUM_CLEAN)
+    b = describe.box_stats(run.featured.train, NUM_CLEAN)
     return _round_doubles(b)
 
 
@@ -665,7 +665,7 @@ def q_density(spark, sf_dir):
     """Gaussian kernel density (Scott bandwidth, 200 points, 3 bandwidths
     past the ends) of numeric columns of the cleaned training split."""
     run = _run(spark, sf_dir)
-    d = describe.density(run.cleaned.train, DENSITY_COLS)
+    d = describe.density(run.featured.train, DENSITY_COLS)
     return d.select("feature", F.col("i").cast("int"), rnd("x").alias("x"),
                     rnd("density").alias("density"))
 
