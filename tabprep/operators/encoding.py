@@ -23,8 +23,10 @@ from tabprep.operators.cleaning import stacked_values
 from tabprep.operators.joins import BROADCAST_ROW_LIMIT
 from tabprep.splits import Splits
 
-# Columns with at most this many codes are encoded by a map literal.
-MAP_LITERAL_LIMIT = 20_000
+# Columns with at most this many codes are encoded by a map literal. Spark looks
+# a key up in a map by scanning it, so larger tables go through a broadcast
+# hash join instead (measured: a 625-entry literal cost ~40x a 25-entry one).
+MAP_LITERAL_LIMIT = 64
 
 
 class LabelCodes(NamedTuple):

@@ -536,13 +536,23 @@ def _describe_sql(src: str, split: str, cols: list[str]) -> str:
     _describe_sql("ptest", "test", PRE_COLS + ["arr_delay"])])))
 def q_describe(spark, sf_dir):
     """A2: count, mean, sample std, min, quartiles (linear interpolation) and
-    max of every preprocessed feature, for both splits."""
+    max of every preprocessed feature, for both splits. Both splits are
+    described in the same passes: the union carries one column per (split,
+    feature), NULL on the other split's rows, which every statistic skips."""
     run = _run(spark, sf_dir, "preprocess")
-    parts = [describe.describe_table(d, PRE_COLS + ["arr_delay"]).withColumn("split", F.lit(n))
-             for n, d in run.preprocessed.items()]
-    out = parts[0].unionByName(parts[1])
-    return _round_doubles(out.select("split", "feature", F.col("count").cast("bigint"), "mean",
-                                     "std", "min", "q25", "q50", "q75", "max"))
+    cols = PRE_COLS + ["arr_delay"]
+    parts = []
+    for name, d in run.preprocessed.items():
+        parts.append(d.select(*[
+            (F.col(c) if n == name else F.lit(None).cast("double")).cast("double").alias(f"{c}__{n}")
+            for n, _ in run.preprocessed.items() for c in cols]))
+    both = parts[0].unionByName(parts[1])
+    wide = [f"{c}__{n}" for n, _ in run.preprocessed.items() for c in cols]
+    out = describe.describe_table(both, wide)
+    name = F.split(F.col("feature"), "__")
+    return _round_doubles(out.select(
+        F.element_at(name, 2).alias("split"), F.element_at(name, 1).alias("feature"),
+        F.col("count").cast("bigint"), "mean", "std", "min", "q25", "q50", "q75", "max"))
 
 
 def _hist_sql(src: str, cols: list[str], bins: int = 30) -> str:
