@@ -15,6 +15,12 @@ kNN-join scheme for MapReduce-style engines (Lu et al., VLDB 2012):
 4. per cell, a numpy kernel finds every query's k nearest candidates and
    emits only those k rows (ties by key).
 
+A cell larger than ``block_rows`` (one dense cluster can hold a third of the
+data) is split into query chunks x candidate chunks by key hash, so no task
+holds more than ``block_rows`` queries and ``block_rows`` candidates; each
+block emits its local k best per query, and a final per-query window keeps
+the k best of those (the global top k is always among the block top k lists).
+
 Exact by construction; the work is the pruned candidate pairs, not n².
 """
 
@@ -24,7 +30,7 @@ from typing import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabprep.operators import sampling
@@ -40,7 +46,8 @@ def _vectors(df: DataFrame, features: Sequence[str] | str, key: str) -> DataFram
 
 def knn_graph(df: DataFrame, features: Sequence[str] | str, k: int = 15,
               key: str = "row_id", n_pivots: int | None = None,
-              rows_per_cell: int = 2000, seed: int = 42) -> DataFrame:
+              rows_per_cell: int = 2000, seed: int = 42,
+              block_rows: int = 20_000) -> DataFrame:
     """``src, dst, rank, dist``: the k nearest other rows of every row
     (Euclidean; ties by ``dst``)."""
     data = _vectors(df, features, key)
@@ -89,49 +96,106 @@ def knn_graph(df: DataFrame, features: Sequence[str] | str, k: int = 15,
     reach = radius + theta
     reach = reach + 1e-6 * (1.0 + reach)      # margin for rounding of the distances
 
+    def targets(v: np.ndarray):
+        d = dist_to_pivots(v)
+        own = d.argmin(1)
+        hit = d <= reach[None, :]
+        hit[np.arange(len(own)), own] = True
+        return own, hit
+
+    def cell_sizes(batches):
+        q = np.zeros(len(pivots), dtype=np.int64)
+        c = np.zeros(len(pivots), dtype=np.int64)
+        for pdf in batches:
+            own, hit = targets(np.stack(pdf["_v"].to_numpy()).astype(float))
+            np.add.at(q, own, 1)
+            c += hit.sum(0)
+        yield pd.DataFrame({"cell": np.arange(len(pivots), dtype=np.int32), "q": q, "c": c})
+
+    sizes = (data.mapInPandas(cell_sizes, "cell int, q long, c long").groupBy("cell")
+             .agg(F.sum("q").alias("q"), F.sum("c").alias("c")).collect())
+    q_chunks = np.ones(len(pivots), dtype=np.int64)
+    c_chunks = np.ones(len(pivots), dtype=np.int64)
+    for r in sizes:
+        q_chunks[r["cell"]] = max(1, -(-int(r["q"]) // block_rows))
+        c_chunks[r["cell"]] = max(1, -(-int(r["c"]) // block_rows))
+
     def route(batches):
         for pdf in batches:
-            v = np.stack(pdf["_v"].to_numpy()).astype(float)
-            d = dist_to_pivots(v)
-            own = d.argmin(1)
-            hit = d <= reach[None, :]
-            hit[np.arange(len(own)), own] = True
+            keys = pdf["_key"].to_numpy()
+            vals = pdf["_v"].to_numpy()
+            own, hit = targets(np.stack(vals).astype(float))
             rows_i, cells = np.nonzero(hit)
+            is_own = cells == own[rows_i]
+            simple = (q_chunks[cells] == 1) & (c_chunks[cells] == 1)
+            # cells of one block: one row per (row, cell), vectorized
             yield pd.DataFrame({
-                "cell": cells.astype("int32"),
-                "query": (cells == own[rows_i]),
-                "_key": pdf["_key"].to_numpy()[rows_i],
-                "_v": pdf["_v"].to_numpy()[rows_i],
-            })
-
-    routed = data.mapInPandas(route, "cell int, query boolean, _key bigint, _v array<double>")
+                "cell": cells[simple].astype("int32"), "qc": np.zeros(simple.sum(), "int32"),
+                "cc": np.zeros(simple.sum(), "int32"), "query": is_own[simple],
+                "cand": np.ones(simple.sum(), bool), "_key": keys[rows_i[simple]],
+                "_v": vals[rows_i[simple]]})
+            if simple.all():
+                continue
+            # oversized cells: a query meets every candidate block, a candidate
+            # every query block (blocks chosen by a hash of the key)
+            mix = (keys.astype(np.int64) * 0x9E3779B1) & 0x7FFFFFFF
+            out = {"cell": [], "qc": [], "cc": [], "query": [], "cand": [], "_key": [], "_v": []}
+
+            def emit(a, qc, cc, query, cand, i):
+                out["cell"].append(a); out["qc"].append(qc); out["cc"].append(cc)
+                out["query"].append(query); out["cand"].append(cand)
+                out["_key"].append(keys[i]); out["_v"].append(vals[i])
+
+            for i, a, mine in zip(rows_i[~simple], cells[~simple], is_own[~simple]):
+                qn, cn = int(q_chunks[a]), int(c_chunks[a])
+                cy = int(mix[i] % cn)
+                qy = int(mix[i] % qn) if mine else -1
+                if mine:
+                    for cc in range(cn):
+                        emit(a, qy, cc, True, cc == cy, i)
+                for qc in range(qn):
+                    if qc != qy:
+                        emit(a, qc, cy, False, True, i)
+            yield pd.DataFrame(out).astype({"cell": "int32", "qc": "int32", "cc": "int32"})
+
+    routed = data.mapInPandas(
+        route, "cell int, qc int, cc int, query boolean, cand boolean, _key bigint, "
+               "_v array<double>")
 
     def nearest(pdf: pd.DataFrame) -> pd.DataFrame:
-        keys = pdf["_key"].to_numpy()
-        vecs = np.stack(pdf["_v"].to_numpy()).astype(float)
-        qmask = pdf["query"].to_numpy()
-        q_idx = np.nonzero(qmask)[0]
+        cand = pdf[pdf["cand"].to_numpy()]
+        qry = pdf[pdf["query"].to_numpy()]
         out = []
-        norms = (vecs * vecs).sum(1)
-        for s in range(0, len(q_idx), 1024):
-            qi = q_idx[s:s + 1024]
-            d2 = norms[qi][:, None] - 2 * vecs[qi] @ vecs.T + norms[None, :]
+        if len(cand) == 0 or len(qry) == 0:
+            return pd.DataFrame(out, columns=["src", "dst", "rank", "dist"])
+        ckeys = cand["_key"].to_numpy()
+        cvecs = np.stack(cand["_v"].to_numpy()).astype(float)
+        qkeys = qry["_key"].to_numpy()
+        qvecs = np.stack(qry["_v"].to_numpy()).astype(float)
+        cnorm = (cvecs * cvecs).sum(1)
+        for s0 in range(0, len(qkeys), 512):
+            qv, qk = qvecs[s0:s0 + 512], qkeys[s0:s0 + 512]
+            d2 = (qv * qv).sum(1)[:, None] - 2 * qv @ cvecs.T + cnorm[None, :]
             d = np.sqrt(np.maximum(d2, 0.0))
-            d[np.arange(len(qi)), qi] = np.inf         # not its own neighbour
-            m = min(k, len(keys) - 1)
-            if m <= 0:
-                continue
-            for row, q in enumerate(qi):
+            d[qk[:, None] == ckeys[None, :]] = np.inf            # not its own neighbour
+            for row in range(len(qk)):
+                finite = np.isfinite(d[row]).sum()
+                m = min(k, int(finite))
+                if m <= 0:
+                    continue
                 # select with the fast expanded form, with a margin, then rank
                 # the few survivors by exact distance (ties by key)
                 t = np.partition(d[row], m - 1)[m - 1]
                 near = np.nonzero(d[row] <= t * (1 + 1e-6) + 1e-9)[0]
-                exact = np.sqrt(((vecs[near] - vecs[q]) ** 2).sum(1))
-                order = np.lexsort((keys[near], exact))[:m]
-                for rank, j in enumerate(order, start=1):
-                    out.append((int(keys[q]), int(keys[near][j]), rank, float(exact[j])))
-        return pd.DataFrame(out, columns=["src", "dst", "rank", "dist"])
-
-    return routed.groupBy("cell").applyInPandas(
-        nearest, "src bigint, dst bigint, rank int, dist double")
-
+                exact = np.sqrt(((cvecs[near] - qv[row]) ** 2).sum(1))
+                order = np.lexsort((ckeys[near], exact))[:m]
+                for j in order:
+                    out.append((int(qk[row]), int(ckeys[near][j]), float(exact[j])))
+        return pd.DataFrame(out, columns=["src", "dst", "dist"])
+
+    local = routed.groupBy("cell", "qc", "cc").applyInPandas(
+        nearest, "src bigint, dst bigint, dist double")
+    # merge the block lists: each query has at most k rows per candidate block
+    w = Window.partitionBy("src").orderBy("dist", "dst")
+    return (local.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+            .select("src", "dst", F.col("rank").cast("int"), "dist"))

@@ -101,3 +101,22 @@ def test_permutation_importance_planted(spark):
     assert imp["signal"] > 0.5
     assert imp["const"] == pytest.approx(0.0, abs=1e-12)
     assert imp["signal"] == max(imp.values())
+
+
+def test_knn_hot_cell_blocks(spark):
+    # a dense cluster holding a third of the rows, split into 3x3 blocks
+    rng = np.random.default_rng(11)
+    n = 300
+    x = rng.normal(size=(n, 4))
+    x[::3] = rng.normal(scale=1e-3, size=(n // 3 + (n % 3 > 0), 4)) + 5.0
+    pdf = pd.DataFrame({"row_id": np.arange(n), "a": x[:, 0], "b": x[:, 1], "c": x[:, 2], "d": x[:, 3]})
+    df = spark.createDataFrame(pdf)
+    g = projection.knn_graph(df, ["a", "b", "c", "d"], 4, n_pivots=3, block_rows=40).toPandas()
+    d = np.sqrt(((x[:, None, :] - x[None, :, :]) ** 2).sum(-1))
+    np.fill_diagonal(d, np.inf)
+    keys = np.arange(n)
+    assert len(g) == 4 * n
+    for i in range(n):
+        order = np.lexsort((keys, d[i]))[:4]
+        got = g[g.src == i].sort_values("rank")
+        assert list(got.dst) == list(order)
