@@ -40,16 +40,21 @@ def stacked(df: DataFrame, cols: Sequence[str], keep: Sequence[str] = ()) -> Dat
 
 
 def column_stats(df: DataFrame, cols: Sequence[str]) -> dict:
-    """count, mean, sample std, min, max per column: one aggregate."""
-    aggs = []
+    """count, mean, sample std, min, max per column: one grouped aggregate over
+    the stacked ``(k, x)`` rows (five aggregate functions whatever the number
+    of columns, so the plan stays small; partial aggregation leaves one row
+    per column per partition)."""
+    rows = (stacked(df, cols).groupBy("k")
+            .agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("m"),
+                 F.stddev_samp("x").alias("s"), F.min("x").alias("lo"),
+                 F.max("x").alias("hi")).collect())
+    by_k = {r["k"]: r for r in rows}
+    out = {}
     for i, c in enumerate(cols):
-        x = _num(c)
-        aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"m{i}"),
-                 F.stddev_samp(x).alias(f"s{i}"), F.min(x).alias(f"lo{i}"),
-                 F.max(x).alias(f"hi{i}")]
-    row = df.agg(*aggs).first()
-    return {c: dict(n=row[f"n{i}"], mean=row[f"m{i}"], std=row[f"s{i}"],
-                    min=row[f"lo{i}"], max=row[f"hi{i}"]) for i, c in enumerate(cols)}
+        r = by_k.get(i)
+        out[c] = (dict(n=r["n"], mean=r["m"], std=r["s"], min=r["lo"], max=r["hi"]) if r
+                  else dict(n=0, mean=None, std=None, min=None, max=None))
+    return out
 
 
 def _select_ranks(df: DataFrame, cols: Sequence[str], wanted: dict, stats: dict) -> dict:
@@ -183,22 +188,21 @@ def approx_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
 def describe_table(df: DataFrame, cols: Sequence[str], approx: bool = False) -> DataFrame:
     """A2: ``feature, count, mean, std, min, q25, q50, q75, max`` per column
     (sample std; quartiles by linear interpolation). The moments come from one
-    aggregate over the table; the quartiles are attached as literals."""
+    grouped aggregate, the quartiles from the selection passes; the result is
+    the one-row-per-column table Spark reduced the input to (no second scan)."""
     stats = column_stats(df, cols)
     probs = [0.25, 0.5, 0.75]
     q = approx_quantiles(df, cols, probs) if approx else exact_quantiles(df, cols, probs, stats)
-    aggs = []
-    for i, c in enumerate(cols):
-        x = _num(c)
-        aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"m{i}"),
-                 F.stddev_samp(x).alias(f"s{i}"), F.min(x).alias(f"lo{i}"),
-                 F.max(x).alias(f"hi{i}")]
-    entries = ", ".join(
-        f"'{c}', n{i}, m{i}, s{i}, lo{i}, {_lit(q[c][0])}, {_lit(q[c][1])}, {_lit(q[c][2])}, hi{i}"
-        for i, c in enumerate(cols))
-    return df.agg(*aggs).select(F.expr(
-        f"stack({len(cols)}, {entries}) as (feature, count, mean, std, min, q25, q50, q75, max)"
-    )).withColumn("count", F.col("count").cast("bigint"))
+    rows = [(c, int(stats[c]["n"]), _f(stats[c]["mean"]), _f(stats[c]["std"]),
+             _f(stats[c]["min"]), _f(q[c][0]), _f(q[c][1]), _f(q[c][2]), _f(stats[c]["max"]))
+            for c in cols]
+    return df.sparkSession.createDataFrame(
+        rows, "feature string, count bigint, mean double, std double, min double, "
+              "q25 double, q50 double, q75 double, max double")
+
+
+def _f(v) -> float | None:
+    return None if v is None else float(v)
 
 
 def histogram(df: DataFrame, cols: Sequence[str], bins: int = 30) -> DataFrame:
@@ -237,26 +241,32 @@ def histogram(df: DataFrame, cols: Sequence[str], bins: int = 30) -> DataFrame:
 
 def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """A4: ``a, b, r, n`` for every ordered pair, Pearson over the pairwise
-    complete rows; a constant column gives NULL (not an error). One
-    aggregate for all pairs."""
-    aggs, pairs = [], []
-    for i, a in enumerate(cols):
-        for j in range(i, len(cols)):
-            b = cols[j]
-            both = _num(a).isNotNull() & _num(b).isNotNull()
-            xa = F.when(both, _num(a))
-            xb = F.when(both, _num(b))
-            r = F.try_divide(F.covar_pop(xa, xb), F.stddev_pop(xa) * F.stddev_pop(xb))
-            aggs += [r.alias(f"r_{i}_{j}"), F.count(xa).alias(f"n_{i}_{j}")]
-            pairs.append((i, j))
-    row = df.agg(*aggs)
-    entries = []
-    for i, j in pairs:
-        entries.append(f"'{cols[i]}', '{cols[j]}', r_{i}_{j}, n_{i}_{j}")
-        if i != j:
-            entries.append(f"'{cols[j]}', '{cols[i]}', r_{i}_{j}, n_{i}_{j}")
-    return row.select(F.expr(f"stack({len(entries)}, {', '.join(entries)}) as (a, b, r, n)")) \
-        .select("a", "b", "r", F.col("n").cast("bigint"))
+    complete rows; a constant column gives NULL (not an error).
+
+    Each row is stacked into one ``(i, j, x, y)`` entry per unordered pair
+    where both values are present, and a single grouped aggregate computes
+    ``covar_pop / (stddev_pop * stddev_pop)`` per pair (Spark's stable
+    online moments; four aggregate functions whatever the number of pairs;
+    partial aggregation leaves one row per pair per partition). A pair with
+    no complete row is reported with ``n = 0`` and ``r`` NULL."""
+    spark = df.sparkSession
+    xs = [_num(c).alias(f"_x{i}") for i, c in enumerate(cols)]
+    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
+    entries = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"),
+                        F.col(f"_x{i}").alias("x"), F.col(f"_x{j}").alias("y"))
+               for i, j in pairs]
+    stats = (df.select(*xs).select(F.inline(F.array(*entries)))
+             .where(F.col("x").isNotNull() & F.col("y").isNotNull())
+             .groupBy("i", "j")
+             .agg(F.try_divide(F.covar_pop("x", "y"),
+                               F.stddev_pop("x") * F.stddev_pop("y")).alias("r"),
+                  F.count(F.lit(1)).alias("n")))
+    # every ordered pair, named (p^2 rows: bounded by the column count)
+    grid = spark.createDataFrame(
+        [(i, j, cols[i], cols[j]) for i, j in pairs] +
+        [(i, j, cols[j], cols[i]) for i, j in pairs if i != j], "i int, j int, a string, b string")
+    return (grid.join(F.broadcast(stats), ["i", "j"], "left")
+            .select("a", "b", "r", F.coalesce("n", F.lit(0)).cast("bigint").alias("n")))
 
 
 def box_stats(df: DataFrame, cols: Sequence[str], whis: float = 1.5) -> DataFrame:
