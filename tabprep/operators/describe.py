@@ -80,17 +80,9 @@ def _select_ranks(df: DataFrame, cols: Sequence[str], wanted: dict, stats: dict)
         if not to_split:
             break
         ivs = list(to_split)
-        iv_id = None
-        for j, (k, lo, hi, _) in enumerate(ivs):
-            cond = (F.col("k") == k) & (F.col("x") >= F.lit(lo)) & (F.col("x") <= F.lit(hi))
-            iv_id = F.when(cond, F.lit(j)) if iv_id is None else iv_id.when(cond, F.lit(j))
-        lo_arr = F.array(*[F.lit(float(iv[1])) for iv in ivs])
-        hi_arr = F.array(*[F.lit(float(iv[2])) for iv in ivs])
-        tagged = data.withColumn("iv", iv_id).where(F.col("iv").isNotNull())
-        lo_c = F.element_at(lo_arr, F.col("iv") + 1)
-        hi_c = F.element_at(hi_arr, F.col("iv") + 1)
-        bucket = F.least(F.floor((F.col("x") - lo_c) / (hi_c - lo_c) * F.lit(BUCKETS)),
-                         F.lit(BUCKETS - 1))
+        tagged = _tag_intervals(data, ivs)
+        bucket = F.least(F.floor((F.col("x") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
+                                 * F.lit(BUCKETS)), F.lit(BUCKETS - 1))
         rows = (tagged.groupBy("iv", bucket.alias("b"))
                 .agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("bmin"),
                      F.max("x").alias("bmax")).collect())
@@ -121,14 +113,25 @@ def _select_ranks(df: DataFrame, cols: Sequence[str], wanted: dict, stats: dict)
     return result
 
 
+def _tag_intervals(data: DataFrame, ivs: list) -> DataFrame:
+    """Rows of ``data`` (``k, x``) inside one of the pending closed value
+    intervals ``(k, lo, hi, _)``, with its index ``iv`` and bounds ``_lo``,
+    ``_hi``. Intervals of one column are disjoint (they are distinct value
+    buckets), so a row matches at most one. The interval table has at most
+    (columns x wanted ranks) rows: a broadcast of proven size, joined on the
+    column index with the range as a join condition."""
+    table = data.sparkSession.createDataFrame(
+        [(j, int(k), float(lo), float(hi)) for j, (k, lo, hi, _) in enumerate(ivs)],
+        "iv int, _k int, _lo double, _hi double")
+    cond = ((data["k"] == table["_k"]) & (data["x"] >= table["_lo"])
+            & (data["x"] <= table["_hi"]))
+    return data.join(F.broadcast(table), cond).drop("_k")
+
+
 def _fetch(data: DataFrame, intervals: dict, result: dict) -> None:
     """Distinct (value, count) pairs of small intervals, ranked on the driver."""
     ivs = list(intervals)
-    iv_id = None
-    for j, (k, lo, hi, _) in enumerate(ivs):
-        cond = (F.col("k") == k) & (F.col("x") >= F.lit(lo)) & (F.col("x") <= F.lit(hi))
-        iv_id = F.when(cond, F.lit(j)) if iv_id is None else iv_id.when(cond, F.lit(j))
-    rows = (data.withColumn("iv", iv_id).where(F.col("iv").isNotNull())
+    rows = (_tag_intervals(data, ivs)
             .groupBy("iv", "x").agg(F.count(F.lit(1)).alias("n")).collect())
     by_iv = {}
     for r in rows:

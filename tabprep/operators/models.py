@@ -271,15 +271,15 @@ def permutation_importance(model, df: DataFrame, features: Sequence[str], label:
     # value of every feature at every base rank
     values = ranked.select("_base", F.inline(F.array(*[
         F.struct(F.lit(f).alias("_f"), F.col(f).cast("double").alias("_v")) for f in feats])))
-    # permuted rank of every row, per (feature, repeat)
-    copies = ranked.select(key, F.inline(F.array(*[
+    # permuted rank of every row, per (feature, repeat); each copy carries its
+    # row's own values, so only the permuted value has to be joined in
+    copies = ranked.select(key, label, *feats, F.inline(F.array(*[
         F.struct(F.lit(f).alias("_f"), F.lit(r).alias("_r")) for f in feats
         for r in range(n_repeats)])))
     h = F.md5(F.concat(F.lit("perm:"), F.col("_f"), F.lit(":"), F.col("_r").cast("string"),
                        F.lit(f":{seed}:"), F.col(key).cast("string")))
     perm = sampling.rank_by(copies, h, key, ["_f", "_r"], out="_base")
-    permuted = perm.join(values, ["_f", "_base"]).select(key, "_f", "_r", "_v")
-    wide = permuted.join(ranked.drop("_base"), key)
+    wide = perm.join(values, ["_f", "_base"])
     wide = wide.select(key, label, "_f", "_r", *[
         F.when(F.col("_f") == F.lit(f), F.col("_v")).otherwise(F.col(f).cast("double")).alias(f)
         for f in feats])
