@@ -268,6 +268,12 @@ def permutation_importance(model, df: DataFrame, features: Sequence[str], label:
     feats = list(features)
     base = df.select(key, label, *feats).na.drop()
     ranked = sampling.hash_rank(base, key, seed, "perm-base", out="_base")
+    # the copies below multiply the rows by (features x repeats) inside the
+    # tasks that read ``ranked``; AQE sizes those partitions for the 1x data,
+    # so spread them to the session's shuffle parallelism first (an explicit
+    # count, which AQE keeps)
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranked = ranked.repartition(parts, key)
     # value of every feature at every base rank
     values = ranked.select("_base", F.inline(F.array(*[
         F.struct(F.lit(f).alias("_f"), F.col(f).cast("double").alias("_v")) for f in feats])))
