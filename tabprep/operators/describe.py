@@ -22,6 +22,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BUCKETS = 4096
+# driver-side bounds per selection pass: rows of the bucket table and
+# (value, count) pairs fetched, summed over all pending intervals
+TABLE_ROWS = 262_144
 FETCH_ROWS = 100_000
 
 
@@ -80,9 +83,10 @@ def _select_ranks(df: DataFrame, cols: Sequence[str], wanted: dict, stats: dict)
         if not to_split:
             break
         ivs = list(to_split)
+        n_buckets = min(BUCKETS, max(64, TABLE_ROWS // len(ivs)))
         tagged = _tag_intervals(data, ivs)
         bucket = F.least(F.floor((F.col("x") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
-                                 * F.lit(BUCKETS)), F.lit(BUCKETS - 1))
+                                 * F.lit(n_buckets)), F.lit(n_buckets - 1))
         rows = (tagged.groupBy("iv", bucket.alias("b"))
                 .agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("bmin"),
                      F.max("x").alias("bmax")).collect())
@@ -90,6 +94,7 @@ def _select_ranks(df: DataFrame, cols: Sequence[str], wanted: dict, stats: dict)
         for r in rows:
             by_iv.setdefault(r["iv"], []).append(r)
         nxt = {}
+        fetched = 0
         for j, iv in enumerate(ivs):
             k, _, _, before = iv
             run = before
@@ -102,8 +107,11 @@ def _select_ranks(df: DataFrame, cols: Sequence[str], wanted: dict, stats: dict)
                     if r["bmin"] == r["bmax"]:
                         for q in inside:
                             result[(k, q)] = r["bmin"]
-                    elif r["n"] <= FETCH_ROWS:
+                    elif fetched + r["n"] <= FETCH_ROWS:
+                        # small enough to rank on the driver, within the
+                        # pass's total budget; the rest is refined again
                         to_fetch[child] = inside
+                        fetched += r["n"]
                     else:
                         nxt[child] = inside
                 run += r["n"]

@@ -24,11 +24,15 @@ def frame(spark):
     return spark.createDataFrame(pdf), pdf
 
 
-@pytest.mark.parametrize("buckets,fetch", [(4096, 100_000), (4, 3)])
-def test_exact_quantiles(frame, monkeypatch, buckets, fetch):
+@pytest.mark.parametrize("buckets,fetch,table", [(4096, 100_000, 262_144), (4, 3, 262_144),
+                                                (4096, 40, 8)])
+def test_exact_quantiles(frame, monkeypatch, buckets, fetch, table):
+    """Exact against numpy, also when the per-pass budgets (bucket table,
+    fetched pairs) force more refinement passes."""
     df, pdf = frame
     monkeypatch.setattr(describe, "BUCKETS", buckets)
     monkeypatch.setattr(describe, "FETCH_ROWS", fetch)
+    monkeypatch.setattr(describe, "TABLE_ROWS", table)
     cols = ["cont", "ties", "skew", "const"]
     probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.999, 1.0]
     got = describe.exact_quantiles(df, cols, probs)
