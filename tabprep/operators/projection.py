@@ -35,6 +35,8 @@ from pyspark.sql import functions as F
 
 from tabprep.operators import sampling
 
+SALTS = 64
+
 
 def _vectors(df: DataFrame, features: Sequence[str] | str, key: str) -> DataFrame:
     if isinstance(features, str):
@@ -86,9 +88,19 @@ def knn_graph(df: DataFrame, features: Sequence[str] | str, k: int = 15,
     for row in r_rows:
         radius[row["pivot"]] = row["r"]
     u = np.full(len(pivots), np.inf)
-    cand = (st.where("j >= 0").select("pivot", "d").groupBy("pivot")
-            .agg(F.sort_array(F.collect_list("d")).alias("ds")).collect())
-    for row in cand:          # at most partitions x (k+1) values per pivot
+    # the (k+1) smallest distances per pivot, reduced on the executors: the
+    # stats hold partitions x (k+1) values per pivot, so they are first cut to
+    # k+1 inside salted groups, then merged per pivot; the driver receives
+    # pivots x (k+1) values
+    def k_smallest(c):
+        return F.slice(F.sort_array(F.collect_list(c)), 1, kk)
+
+    cand = (st.where("j >= 0")
+            .groupBy("pivot", F.pmod(F.hash("d", "j"), F.lit(SALTS)).alias("_s"))
+            .agg(k_smallest("d").alias("ds"))
+            .select("pivot", F.explode("ds").alias("d"))
+            .groupBy("pivot").agg(k_smallest("d").alias("ds")).collect())
+    for row in cand:
         ds = row["ds"]
         if len(ds) >= kk:
             u[row["pivot"]] = ds[kk - 1]
