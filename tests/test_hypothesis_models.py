@@ -71,9 +71,12 @@ def test_lda_components_limit(spark):
         models.fit_lda(df, ["a", "b"], "c", 2)
 
 
-@pytest.mark.parametrize("pivots", [1, 8])
-def test_knn_exact_against_brute_force(spark, pivots):
+@pytest.mark.parametrize("pivots,spread", [(1, 0), (8, 0), (8, 24)])
+def test_knn_exact_against_brute_force(spark, pivots, spread):
     emb = spark.read.parquet(f"{SF001}/embeddings.parquet")
+    if spread:
+        # many input partitions: the per-pivot radii merge many partial lists
+        emb = emb.repartition(spread, "vec_id")
     g = projection.knn_graph(emb, "embedding", 5, key="vec_id", n_pivots=pivots).toPandas()
     pdf = emb.toPandas()
     x = np.stack(pdf.embedding.to_numpy()).astype(float)
