@@ -86,6 +86,21 @@ def prefix_bound(df: DataFrame, n: int, key: str, seed: int = DEFAULT_SEED,
         digits = min(32, digits + PREFIX_DIGITS)
 
 
+def boundary_prefix(first_level: dict, n: int) -> str | None:
+    """The first-level hash prefix holding the n-th row in hash order, from
+    its prefix -> count histogram; ``None`` when the n first rows are the
+    whole table. Every row whose prefix is greater is never among the n first,
+    so ``prefix <= boundary`` is a superset filter known before any fetch."""
+    if n <= 0:
+        return ""
+    run = 0
+    for p in sorted(first_level):
+        run += first_level[p]
+        if run >= n:
+            return p
+    return None
+
+
 def prefix_condition(df: DataFrame, n: int, key: str, seed: int = DEFAULT_SEED,
                      tag: str = "sample", first_level: dict | None = None) -> Column:
     """Boolean column: the row is among the n first in hash order."""
@@ -196,6 +211,29 @@ def balance_classes(df: DataFrame, label: str, key: str = "row_id",
     return df.where(minor | (major & keep_major))
 
 
+def balance_superset(df: DataFrame, label: str, key: str, seed: int, counts: dict,
+                     hist: dict, positive=None, negative=None) -> DataFrame:
+    """Rows that can be in the balanced set, known from the first-level
+    histograms alone: the smaller class, and the larger one up to (and
+    including) the prefix that holds its m-th row. :func:`balance_classes`
+    over this superset (with the same ``counts`` and ``hist``) gives exactly
+    the balanced set, so the source is read once for the counts and once to
+    write the superset; the boundary is found on the written rows."""
+    from tabprep.sources.readers import require_classes
+
+    pos = positive if positive is not None else F.col(label) > 0
+    neg = negative if negative is not None else F.col(label) == 0
+    require_classes(counts, ["pos", "neg"])
+    m = min(counts["pos"], counts["neg"])
+    major_name = "pos" if counts["pos"] > counts["neg"] else "neg"
+    major, minor = (pos, neg) if major_name == "pos" else (neg, pos)
+    bp = boundary_prefix(hist.get(major_name, {}), m)
+    if bp is None:
+        return df.where(minor | major)
+    prefix = F.substring(hash_col(key, seed, "balance"), 1, PREFIX_DIGITS)
+    return df.where(minor | (major & (prefix <= F.lit(bp))))
+
+
 def split_sizes(n: int, test_size: float = 0.2) -> tuple[int, int]:
     """(n_train, n_test) with ``n_test = ceil(test_size * n)``."""
     n_test = int(math.ceil(test_size * n))

@@ -65,9 +65,15 @@ def load_and_split(df: DataFrame, seed: int = SEED, test_size: float = TEST_SIZE
     clipped = filters.clip_lower(filters.keep_completed(df), LABEL, 0.0)
     if counts["all"] == 0:
         raise EmptyInputError("no rows left after removing cancelled and diverted flights")
-    balanced = sampling.balance_classes(clipped, LABEL, KEY, seed, counts=counts, hist=hist)
     if keep:
-        balanced = materialize(balanced, "balanced")
+        # write the rows that can be in the balanced set (known from the
+        # histograms), then find the exact boundary on the written rows: two
+        # reads of the source instead of three or more
+        superset = materialize(sampling.balance_superset(
+            clipped, LABEL, KEY, seed, counts, hist), "balanced")
+        balanced = sampling.balance_classes(superset, LABEL, KEY, seed, counts=counts, hist=hist)
+    else:
+        balanced = sampling.balance_classes(clipped, LABEL, KEY, seed, counts=counts, hist=hist)
     n = 2 * min(counts["pos"], counts["neg"])
     splits = sampling.train_test_split(balanced, test_size, KEY, seed, n=n)
     n_train, n_test = sampling.split_sizes(n, test_size)

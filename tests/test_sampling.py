@@ -73,3 +73,32 @@ def test_balance_single_class_raises(spark):
     df = spark.range(0, 10).select(F.col("id").alias("row_id"), F.lit(1.0).alias("y"))
     with pytest.raises(SingleClassError):
         sampling.balance_classes(df, "y", "row_id")
+
+
+@pytest.mark.parametrize("boundary_rows,late_every", [(50_000, 4), (1, 4), (50_000, 2)])
+def test_balance_superset_gives_the_same_rows(spark, monkeypatch, boundary_rows, late_every):
+    """Balancing over the histogram superset (what the flight plan writes) keeps
+    exactly the rows balancing over the whole table keeps - also when the
+    boundary needs refinement levels, and when the classes are equal."""
+    monkeypatch.setattr(sampling, "BOUNDARY_ROWS", boundary_rows)
+    df = spark.range(0, 4000).select(
+        F.col("id").alias("row_id"),
+        F.when(F.col("id") % late_every == 0, 5.0).otherwise(0.0).alias("y"))
+    counts, hist = sampling.class_prefix_counts(df, "y", "row_id", 42, "balance")
+    direct = sampling.balance_classes(df, "y", "row_id", 42, counts=counts, hist=hist)
+    sup = sampling.balance_superset(df, "y", "row_id", 42, counts, hist)
+    via = sampling.balance_classes(sup, "y", "row_id", 42, counts=counts, hist=hist)
+    a = {r["row_id"] for r in direct.select("row_id").collect()}
+    b = {r["row_id"] for r in via.select("row_id").collect()}
+    m = min(counts["pos"], counts["neg"])
+    assert len(a) == 2 * m and a == b
+    assert sup.count() >= len(a)
+
+
+def test_boundary_prefix():
+    hist = {"0001": 3, "00a0": 2, "ffff": 5}
+    assert sampling.boundary_prefix(hist, 0) == ""
+    assert sampling.boundary_prefix(hist, 3) == "0001"
+    assert sampling.boundary_prefix(hist, 4) == "00a0"
+    assert sampling.boundary_prefix(hist, 10) == "ffff"
+    assert sampling.boundary_prefix(hist, 11) is None
