@@ -282,34 +282,35 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 def box_stats(df: DataFrame, cols: Sequence[str], whis: float = 1.5) -> DataFrame:
     """A5: ``feature, q1, med, q3, lo_whisker, hi_whisker, n_out``. Whiskers
-    are the most extreme data points within ``whis * IQR`` of the quartiles."""
+    are the most extreme data points within ``whis * IQR`` of the quartiles.
+    After the quartiles, one grouped aggregate over the stacked ``(k, x)``
+    rows finds the whiskers and outlier counts of every column (the fences
+    are literals picked by the column index)."""
     stats = column_stats(df, cols)
     q = exact_quantiles(df, cols, [0.25, 0.5, 0.75], stats)
-    aggs = []
-    for i, c in enumerate(cols):
-        q1, _, q3 = q[c]
-        if q1 is None:
-            aggs += [F.lit(None).cast("double").alias(f"lw{i}"),
-                     F.lit(None).cast("double").alias(f"hw{i}"), F.lit(0).alias(f"no{i}")]
-            continue
-        iqr = q3 - q1
-        lo_f, hi_f = q1 - whis * iqr, q3 + whis * iqr
-        x = _num(c)
-        aggs += [F.min(F.when(x >= F.lit(lo_f), x)).alias(f"lw{i}"),
-                 F.max(F.when(x <= F.lit(hi_f), x)).alias(f"hw{i}"),
-                 F.count(F.when((x < F.lit(lo_f)) | (x > F.lit(hi_f)), 1)).alias(f"no{i}")]
-    row = df.agg(*aggs)
-    entries = ", ".join(
-        f"'{c}', {_lit(q[c][0])}, {_lit(q[c][1])}, {_lit(q[c][2])}, lw{i}, hw{i}, no{i}"
-        for i, c in enumerate(cols))
-    return row.select(F.expr(
-        f"stack({len(cols)}, {entries}) as (feature, q1, med, q3, lo_whisker, hi_whisker, n_out)"
-    )).select("feature", "q1", "med", "q3", "lo_whisker", "hi_whisker",
-              F.col("n_out").cast("bigint"))
-
-
-def _lit(v) -> str:
-    return "cast(null as double)" if v is None else f"cast({float(v)!r} as double)"
+    live = [k for k, c in enumerate(cols) if q[c][0] is not None]
+    found = {}
+    if live:
+        fences = {k: (q[cols[k]][0] - whis * (q[cols[k]][2] - q[cols[k]][0]),
+                      q[cols[k]][2] + whis * (q[cols[k]][2] - q[cols[k]][0])) for k in live}
+        idx = F.array_position(F.array(*[F.lit(k) for k in live]), F.col("k")).cast("int")
+        lo_f = F.element_at(F.array(*[F.lit(float(fences[k][0])) for k in live]), idx)
+        hi_f = F.element_at(F.array(*[F.lit(float(fences[k][1])) for k in live]), idx)
+        x = F.col("x")
+        rows = (stacked(df, cols).where(F.col("k").isin(live))
+                .groupBy("k")
+                .agg(F.min(F.when(x >= lo_f, x)).alias("lw"), F.max(F.when(x <= hi_f, x)).alias("hw"),
+                     F.count(F.when((x < lo_f) | (x > hi_f), 1)).alias("no"))
+                .collect())
+        found = {r["k"]: r for r in rows}
+    out = []
+    for k, c in enumerate(cols):
+        r = found.get(k)
+        out.append((c, _f(q[c][0]), _f(q[c][1]), _f(q[c][2]), _f(r["lw"]) if r else None,
+                    _f(r["hw"]) if r else None, int(r["no"]) if r else 0))
+    return df.sparkSession.createDataFrame(
+        out, "feature string, q1 double, med double, q3 double, lo_whisker double, "
+             "hi_whisker double, n_out bigint")
 
 
 def density(df: DataFrame, cols: Sequence[str], grid: int = 200, cut: float = 3.0,
