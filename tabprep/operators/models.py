@@ -260,12 +260,16 @@ def permutation_importance(model, df: DataFrame, features: Sequence[str], label:
     Every (feature, repeat) permutation is built at once: rows are ranked in a
     base hash order and, per (feature, repeat), in another hash order; a row
     takes the feature value of the row whose base rank equals its permuted
-    rank (a shuffle join on ``(feature, rank)``). All permuted copies are then
-    scored by one model transform and one grouped R² aggregate.
+    rank (a shuffle join on ``(feature, rank)``). The copies that go through
+    the two shuffles of (features x repeats) times the table are narrow (key,
+    feature index, repeat, rank, value); the row's other features are joined
+    back on the key from the 1x table. All permuted copies are then scored by
+    one model transform and one grouped R² aggregate.
     """
     from pyspark.ml.feature import VectorAssembler
 
     feats = list(features)
+    names = F.array(*[F.lit(f) for f in feats])
     base = df.select(key, label, *feats).na.drop()
     ranked = sampling.hash_rank(base, key, seed, "perm-base", out="_base")
     # the copies below multiply the rows by (features x repeats) inside the
@@ -276,26 +280,29 @@ def permutation_importance(model, df: DataFrame, features: Sequence[str], label:
     ranked = ranked.repartition(parts, key)
     # value of every feature at every base rank
     values = ranked.select("_base", F.inline(F.array(*[
-        F.struct(F.lit(f).alias("_f"), F.col(f).cast("double").alias("_v")) for f in feats])))
-    # permuted rank of every row, per (feature, repeat); each copy carries its
-    # row's own values, so only the permuted value has to be joined in
-    copies = ranked.select(key, label, *feats, F.inline(F.array(*[
-        F.struct(F.lit(f).alias("_f"), F.lit(r).alias("_r")) for f in feats
+        F.struct(F.lit(i).alias("_f"), F.col(f).cast("double").alias("_v"))
+        for i, f in enumerate(feats)])))
+    # permuted rank of every row, per (feature, repeat)
+    copies = ranked.select(key, F.inline(F.array(*[
+        F.struct(F.lit(i).alias("_f"), F.lit(r).alias("_r")) for i in range(len(feats))
         for r in range(n_repeats)])))
-    h = F.md5(F.concat(F.lit("perm:"), F.col("_f"), F.lit(":"), F.col("_r").cast("string"),
-                       F.lit(f":{seed}:"), F.col(key).cast("string")))
+    h = F.md5(F.concat(F.lit("perm:"), F.element_at(names, F.col("_f") + 1), F.lit(":"),
+                       F.col("_r").cast("string"), F.lit(f":{seed}:"),
+                       F.col(key).cast("string")))
     perm = sampling.rank_by(copies, h, key, ["_f", "_r"], out="_base")
-    wide = perm.join(values, ["_f", "_base"])
+    permuted = perm.join(values, ["_f", "_base"]).select(key, "_f", "_r", "_v")
+    wide = permuted.join(ranked.drop("_base"), key)
     wide = wide.select(key, label, "_f", "_r", *[
-        F.when(F.col("_f") == F.lit(f), F.col("_v")).otherwise(F.col(f).cast("double")).alias(f)
-        for f in feats])
+        F.when(F.col("_f") == F.lit(i), F.col("_v")).otherwise(F.col(f).cast("double")).alias(f)
+        for i, f in enumerate(feats)])
     assembler = VectorAssembler(inputCols=feats, outputCol="_features")
     scored = model.transform(assembler.transform(wide))
     r2 = r2_score(scored, label, "_pred", ["_f", "_r"])
     base_r2 = r2_score(model.transform(assembler.transform(
         base.select(key, label, *[F.col(f).cast("double").alias(f) for f in feats]))),
         label, "_pred").first()["r2"]
-    drops = r2.select("_f", (F.lit(base_r2) - F.col("r2")).alias("drop"))
+    drops = r2.select(F.element_at(names, F.col("_f") + 1).alias("_f"),
+                      (F.lit(base_r2) - F.col("r2")).alias("drop"))
     return (drops.groupBy(F.col("_f").alias("feature"))
             .agg(F.avg("drop").alias("importance_mean"),
                  F.stddev_pop("drop").alias("importance_std"))
