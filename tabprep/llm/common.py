@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
-#: Words of letters and digits: everything outside ASCII counts as a letter.
-ALNUM_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Words between ASCII white space.
-SPACE_WORD = r"[^\x20\x09-\x0D]+"
+#: What separates words of (lower-case) letters and digits, where everything
+#: outside ASCII counts as a letter.
+ALNUM_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What separates words between ASCII white space.
+SPACE_GAP = r"[\x20\x09-\x0D]+"
 
 #: Rows up to which a lookup side is broadcast; larger ones are shuffled.
 BROADCAST_ROWS = 500_000
@@ -28,10 +29,10 @@ def ascii_lower(text) -> Column:
         F.translate(t, UPPER, UPPER.lower()))
 
 
-def words(text, pattern: str) -> Column:
-    """All matches of ``pattern`` in order; an empty array for a null text."""
-    return F.coalesce(F.regexp_extract_all(col(text), F.lit(pattern), F.lit(0)),
-                      F.array().cast("array<string>"))
+def words(text, gap: str) -> Column:
+    """The words between matches of ``gap``, in order; none for a null text.
+    (Splitting is several times faster than extracting all matches.)"""
+    return F.coalesce(F.array_remove(F.split(col(text), gap), ""), F.array().cast("array<string>"))
 
 
 def text_key(text, row_id) -> Column:

@@ -5,16 +5,18 @@ is shorter) is a set of word shingles. A document contains the window only if
 it contains *all* its shingles, so for containment 1 the necessary prefix of
 the rarity-ordered shingles has length 1: the rarest shingle. The plan:
 
-1. count, over all documents, the shingles that occur in windows at all;
-2. keep for each window its rarest shingle (a window with a shingle that no
-   document has cannot occur and is dropped);
-3. join document shingles with these prefix shingles, apply the positional and
-   length bounds (the window must fit around the shingle), and verify the whole
-   window word by word in the same stage.
-
-The prefix table is broadcast only when its counted size is below
-``broadcast_rows``; beyond, shingles and candidates are shuffled instead and
-the words are fetched again for the verification only.
+1. one pass over the documents keeps the word positions whose shingle occurs in
+   some window, with the digest of the words that a window there would have
+   (one row per document besides, for the word counts), and writes them;
+2. shingles are ordered by their counts over all documents, and each window
+   keeps its rarest one (a window with a shingle that no document has is out);
+3. document shingles are joined with these prefix shingles, under the
+   positional and length bounds (the window must fit around the shingle);
+4. the whole window is verified at its start by its digest (128 bits).
+
+Texts are split into words once, nothing but matching positions is shuffled,
+and copies of a text are looked up once. The shingle table is broadcast only
+when its counted size is below ``broadcast_rows``, else it is shuffled.
 
 Defined results: a null or empty text has no words and no hit; an item without
 words has no window; an item without an id is left out; equal texts get equal
@@ -27,14 +29,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabprep.llm.common import ALNUM_WORD, BROADCAST_ROWS, ascii_lower, text_key, words
+from tabprep.llm.common import ALNUM_GAP, BROADCAST_ROWS, ascii_lower, text_key, words
+from tabprep.session import materialize
 
 WINDOW = 10
-SHINGLE = 3
+SHINGLE = 5
 
 
 def word_array(text) -> Column:
-    return words(ascii_lower(text), ALNUM_WORD)
+    return words(ascii_lower(text), ALNUM_GAP)
 
 
 def _shingle(arr: str, at, size: int) -> Column:
@@ -52,50 +55,49 @@ def benchmark_windows(benchmark: DataFrame, item_id: str = "item_id", text: str
     return out.withColumn("wid", F.md5(F.array_join("ww", " "))).dropDuplicates(["item_id", "wid"])
 
 
-def _doc_shingles(docs: DataFrame, size: int) -> DataFrame:
-    """One row per document word with the key of the shingle that begins there."""
-    d = docs.select("tkey", "w", F.posexplode("w").alias("pos", "_word"))
-    return d.select("tkey", "w", "pos", _shingle("w", F.col("pos"), size).alias("key"))
+def _digest(arr: str, at, length: int) -> Column:
+    return F.md5(F.array_join(F.slice(F.col(arr), at + 1, length), " "))
 
 
-def find_windows(docs: DataFrame, windows: DataFrame, shingle: int = SHINGLE,
-                 broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Occurrences ``(tkey, start, len, wid)`` of the windows in ``docs(tkey, w)``."""
-    win = windows.select("wid", "ww", F.size("ww").alias("len")).dropDuplicates(["wid"])
-    win = win.withColumn("k", F.least(F.lit(shingle), F.col("len")))
-    sizes = [r[0] for r in win.groupBy("k").count().select("k").orderBy("k").collect()]  # <= shingle rows
-    found = None
+def candidate_positions(docs: DataFrame, grams: DataFrame, sizes: list[int], lengths: list[int],
+                        small: bool) -> DataFrame:
+    """``(doc_id, tkey, n, pos, k, key, digests)``: the positions of ``docs(doc_id, tkey, w)``
+    whose shingle of ``k`` words is in ``grams``, and one row without key per document row."""
+    out = None
     for k in sizes:
-        w = win.filter(F.col("k") == k)
-        grams = (w.select("wid", "ww", "len", F.explode(F.sequence(F.lit(0), F.col("len") - k)).alias("off"))
-                 .select("wid", "len", "off", _shingle("ww", F.col("off"), k).alias("key")))
-        n_grams = grams.count()
-        small = n_grams <= broadcast_rows
-        shingles = _doc_shingles(docs, k)
-        keys = grams.select("key").distinct()
-        freq = (shingles.select("key").join(F.broadcast(keys) if small else keys, "key", "left_semi")
-                .groupBy("key").agg(F.count("*").alias("freq")))
-        # the necessary prefix: the rarest shingle of each window
-        prefix = (grams.join(freq, "key", "left")
-                  .groupBy("wid").agg(F.min(F.struct(F.coalesce("freq", F.lit(0)).alias("freq"), "key", "off",
-                                                     "len")).alias("p"))
-                  .select("wid", "p.*").filter("freq > 0").drop("freq"))
-        prefix = prefix.join(w.select("wid", "ww"), "wid")
-        fits = (F.col("pos") >= F.col("off")) & (F.col("pos") - F.col("off") + F.col("len") <= F.col("n"))
-        at = (F.col("pos") - F.col("off")).alias("start")
-        same = F.expr("slice(w, start + 1, len) = ww")
-        if small:
-            hit = (shingles.withColumn("n", F.size("w")).join(F.broadcast(prefix), "key").filter(fits)
-                   .select("tkey", at, "len", "wid", "w", "ww").filter(same))
-        else:
-            cand = (shingles.select("tkey", "pos", "key", F.size("w").alias("n")).join(prefix, "key").filter(fits)
-                    .select("tkey", at, "len", "wid", "ww").distinct())
-            hit = cand.join(docs.select("tkey", "w").dropDuplicates(["tkey"]), "tkey").filter(same)
-        hit = hit.select("tkey", "start", "len", "wid")
-        found = hit if found is None else found.unionByName(hit)
-    if found is None:
-        return docs.sparkSession.createDataFrame([], "tkey string, start int, len int, wid string")
-    return found
+        keys = grams.filter(F.col("k") == k).select("key", F.lit(k).alias("k")).distinct()
+        # the outer form keeps documents without words, and no filter on the words is inferred
+        at = docs.select("doc_id", "tkey", "w", F.posexplode_outer("w").alias("pos", "_word")).select(
+            "doc_id", "tkey", "w", "pos", _shingle("w", F.col("pos"), k).alias("key"))
+        rows = at.join(F.broadcast(keys) if small else keys, "key", "left")
+        marker = F.coalesce(F.col("pos") == 0, F.lit(True))
+        rows = rows.filter(F.col("k").isNotNull() & F.col("pos").isNotNull() | (marker if k == sizes[0] else F.lit(False)))
+        known = F.col("k").isNotNull() & F.col("pos").isNotNull()
+        rows = rows.select("doc_id", "tkey", F.size("w").alias("n"), "pos", F.when(known, F.col("k")).alias("k"),
+                           F.when(known, F.col("key")).alias("key"),
+                           F.when(known, F.array(*[_digest("w", F.col("pos"), n) for n in lengths])).alias("digests"),
+                           (marker if k == sizes[0] else F.lit(False)).alias("marker"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def find_windows(candidates: DataFrame, grams: DataFrame, small: bool) -> DataFrame:
+    """Occurrences ``(tkey, start, len, wid)`` of the windows among the candidates."""
+    found = candidates.filter("key is not null")
+    freq = found.groupBy("key").agg(F.count("*").alias("freq"))
+    # the necessary prefix: the rarest shingle of each window
+    prefix = (grams.join(freq, "key", "left")
+              .groupBy("wid").agg(F.min(F.struct(F.coalesce("freq", F.lit(0)).alias("freq"), "key", "off",
+                                                 "len", "k")).alias("p"))
+              .select("wid", "p.*").filter("freq > 0").drop("freq"))
+    texts = found.select("tkey", "n", "pos", "k", "key", "digests").dropDuplicates(["tkey", "pos", "k"])
+    start = F.col("pos") - F.col("off")
+    fits = (start >= 0) & (start + F.col("len") <= F.col("n"))
+    possible = (texts.select("tkey", "n", "pos", "k", "key").join(F.broadcast(prefix) if small else prefix, ["key", "k"])
+                .filter(fits).select("tkey", "k", start.alias("start"), "len", "wid").distinct())
+    at = texts.select("tkey", "k", F.col("pos").alias("start"), "digests")
+    return (possible.join(at, ["tkey", "k", "start"]).filter(F.array_contains("digests", F.col("wid")))
+            .select("tkey", "start", "len", "wid"))
 
 
 #: Words covered by the sorted, possibly overlapping spans ``(start, len)``.
@@ -109,10 +111,22 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
                   shingle: int = SHINGLE, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """One row per document row: ``doc_id, n_words, n_hit, item_ids`` (sorted
     strings). See the module docstring for the defined edge cases."""
-    windows = benchmark_windows(benchmark, item_id, item_text, window)
+    windows = materialize(benchmark_windows(benchmark, item_id, item_text, window), "windows")
+    distinct = windows.select("wid", "ww", F.size("ww").alias("len")).dropDuplicates(["wid"])
+    distinct = distinct.withColumn("k", F.least(F.lit(shingle), F.col("len")))
+    shape = distinct.groupBy("k", "len").count().collect()  # at most one row per length up to the window's
+    sizes, lengths = sorted({r["k"] for r in shape}) or [shingle], sorted({r["len"] for r in shape}) or [window]
+    grams = None
+    for k in sizes:
+        g = distinct.filter(F.col("k") == k).select("wid", "ww", "len", "k", F.explode(
+            F.sequence(F.lit(0), F.col("len") - k)).alias("off"))
+        g = g.select("wid", "len", "k", "off", _shingle("ww", F.col("off"), k).alias("key"))
+        grams = g if grams is None else grams.unionByName(g)
+    small = sum(r["count"] * (r["len"] - r["k"] + 1) for r in shape) <= broadcast_rows
     base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     base = base.select("doc_id", text_key("text", "doc_id").alias("tkey"), word_array("text").alias("w"))
-    found = find_windows(base.select("tkey", "w"), windows, shingle, broadcast_rows)
+    candidates = materialize(candidate_positions(base, grams, sizes, lengths, small), "decontaminate")
+    found = find_windows(candidates, grams, small)
     # copies of a text repeat its occurrences: sets remove them map-side
     spans = (found.groupBy("tkey").agg(F.collect_set(F.struct("start", "len")).alias("spans"),
                                        F.collect_set("wid").alias("wids")))
@@ -121,7 +135,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
              .join(windows.select("wid", F.col("item_id").cast("string").alias("item_id")), "wid")
              .groupBy("tkey").agg(F.sort_array(F.collect_set("item_id")).alias("item_ids")))
     per_text = hits.select("tkey", "n_hit").join(items, "tkey")
-    return (base.select("doc_id", "tkey", F.size("w").cast("long").alias("n_words"))
+    return (candidates.filter("marker").select("doc_id", "tkey", F.col("n").cast("long").alias("n_words"))
             .join(per_text, "tkey", "left")
             .select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
                     F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids")))
