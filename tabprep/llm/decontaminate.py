@@ -134,7 +134,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     items = (hits.select("tkey", F.explode("wids").alias("wid"))
              .join(windows.select("wid", F.col("item_id").cast("string").alias("item_id")), "wid")
              .groupBy("tkey").agg(F.sort_array(F.collect_set("item_id")).alias("item_ids")))
-    per_text = hits.select("tkey", "n_hit").join(items, "tkey")
+    # written, so that the join with all documents has a counted side to broadcast
+    # or, beyond, two shuffles of which a hot text's partition can be split
+    per_text = materialize(hits.select("tkey", "n_hit").join(items, "tkey"), "contaminated")
     return (candidates.filter("marker").select("doc_id", "tkey", F.col("n").cast("long").alias("n_words"))
             .join(per_text, "tkey", "left")
             .select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
