@@ -11,7 +11,7 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabprep.llm import decontaminate
+from tabprep.llm import decontaminate, quality, secrets, suffix_tree, urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -58,3 +58,107 @@ def op1_decontaminate(spark, sf_dir):
     return out.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
                       F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"),
                       (F.col("n_hit") > 0).alias("contaminated"))
+
+
+# ------------------------------------------------------------------ 9 URL filter
+# The rules of the contract, in its order.
+URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
+             ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+#: Domains whose pages are listed, as name prefixes of the canonical host.
+LISTED_NAMES = ["adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm"]
+_LISTED = "^(" + "|".join(LISTED_NAMES) + r")\."
+_OP9_HOST = r"""translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1),
+ 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"""
+
+
+def _op9_rule(value: int) -> str:
+    cases = [f"when (host = '{h}' or ends_with(host, '.{h}')) and starts_with(path, '{p}') then "
+             f"'{(h + p, v)[value]}'" for h, p, v in sorted(URL_RULES, key=lambda r: -len(r[0] + r[1]))]
+    return f"case {' '.join(cases)} end"
+
+
+@query("op9_urlfilter", f"""
+with parts as (select page_id, {_OP9_HOST} as host,
+    regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) as path,
+    ltrim(regexp_replace(regexp_extract(coalesce(url, ''), '(?s)^[^?#]*\\?([^#]*)', 1),
+      '{urlfilter.TRACKING}', '', 'g'), '&') as q from pages),
+forms as (select *, case when regexp_replace(regexp_replace(host, '^(www|m)\\.', ''), '\\.?(:80|:443)?$', '') <> ''
+    then regexp_replace(regexp_replace(host, '^(www|m)\\.', ''), '\\.?(:80|:443)?$', '')
+      || regexp_replace(regexp_replace(path, '(/index)?\\.html?$', ''), '/+$', '')
+      || case when q <> '' then '?' || q else '' end end as canon from parts),
+listed as (select distinct canon from forms where regexp_matches(canon, '{_LISTED}'))
+select page_id, host, path, {_op9_rule(0)} as rule,
+  coalesce({_op9_rule(1)}, case when canon in (select canon from listed) then 'block' else 'allow' end) as verdict
+from forms""")
+def op9_urlfilter(spark, sf_dir):
+    """The list: canonical URLs of all pages on listed domains, so that other
+    spellings (scheme, ``www.``, tracking parameters, ``.html``) are found."""
+    pages = table(spark, sf_dir, "pages")
+    forms = pages.select(urlfilter.canonical("url").alias("canon"))
+    listed = forms.filter(F.col("canon").rlike(_LISTED))
+    return urlfilter.judge(pages, listed, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+# ------------------------------------------------------------------ 10 secret scan
+def _op10_spans(kind: str) -> str:
+    """DuckDB: the base spans of one kind from the matches and the pieces between them."""
+    regex, group, least = {"assign": secrets.ASSIGN, "access": secrets.ACCESS, "hex": secrets.HEX}[kind]
+    regex = regex.replace("'", "''")
+    return f"""select doc_id, '{kind}' as kind, {secrets.BASE_KINDS.index(kind)} as rank, s as start_, s + len_ as end_
+  from (select doc_id, v, length(m) as len_, sum(length(g) + length(m)) over (partition by doc_id order by i)
+      - length(m) as s
+    from (select doc_id, unnest(range(1, len(ms) + 1)) as i, unnest(ms) as m, unnest(vs) as v,
+        unnest(gs[1 : len(ms)]) as g
+      from (select doc_id, regexp_extract_all(t, '{regex}') as ms, regexp_extract_all(t, '{regex}', {group}) as vs,
+        string_split_regex(t, '{regex}') as gs from docs where regexp_matches(t, '{regex}'))))
+  where length(v) >= {least}"""
+
+
+def _op10_check() -> str:
+    return f"""
+with docs as (select doc_id, coalesce(text, '') as t from documents),
+spans as ({' union all '.join(_op10_spans(k) for k in secrets.BASE_KINDS)}),
+per_doc as (select doc_id, count(*) filter (kind = 'assign') as a, count(*) filter (kind = 'access') as c,
+  count(*) filter (kind = 'hex') as h,
+  string_agg(kind || ':' || cast(start_ as bigint) || ':' || cast(end_ as bigint), ',' order by start_, rank) as s
+  from spans group by doc_id)
+select doc_id, coalesce(a, 0) as n_assign, coalesce(c, 0) as n_access, coalesce(h, 0) as n_hex,
+  sha256(coalesce(s, '')) as base_sha256, coalesce(s, '') as base_spans
+from docs left join per_doc using (doc_id)"""
+
+
+#: The base spans as DuckDB SQL; the tests compare them and add the corpus counts by brute force.
+OP10_BASE_SQL = _op10_check()
+
+
+@query("op10_secrets")
+def op10_secrets(spark, sf_dir):
+    found = secrets.find_secrets(table(spark, sf_dir, "documents"))
+    line = lambda kind, s: F.concat_ws(":", kind, s["start"].cast("string"), s["end"].cast("string"))
+    base = F.transform("base", lambda s: line(s["kind"], s))
+    every = F.concat(
+        F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"),
+                                               line(s["kind"], s).alias("line"))),
+        F.transform("live", lambda s: F.struct(s["start"].alias("start"), F.lit(3).alias("rank"),
+                                               line(F.lit("live"), s).alias("line"))))
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
+    classes = lambda k: F.size(F.filter("classes", lambda c: c["class"] == k)).cast("long")
+    return found.select(
+        "doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"),
+        F.sha2(F.array_join(base, ","), 256).alias("base_sha256"),
+        F.array_join(F.transform(F.sort_array(every), lambda s: s["line"]), ",").alias("spans"),
+        classes("live").alias("n_owner_specific"), classes("example").alias("n_widely_copied"))
+
+
+# ------------------------------------------------------------------ 2 quality rules
+@query("op2_quality")
+def op2_quality(spark, sf_dir):
+    return quality.judge(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        "class_distance", "word_distance")
+
+
+# ------------------------------------------------------------------ 3 suffix tree
+@query("op3_suffix_tree")
+def op3_suffix_tree(spark, sf_dir):
+    return suffix_tree.score(table(spark, sf_dir, "documents"))
