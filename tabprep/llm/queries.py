@@ -11,7 +11,7 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabprep.llm import decontaminate, quality, secrets, suffix_tree, urlfilter
+from tabprep.llm import decontaminate, language_id, quality, secrets, suffix_tree, token_counts, urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -162,3 +162,15 @@ def op2_quality(spark, sf_dir):
 @query("op3_suffix_tree")
 def op3_suffix_tree(spark, sf_dir):
     return suffix_tree.score(table(spark, sf_dir, "documents"))
+
+
+# ------------------------------------------------------------------ 4 token counts
+@query("op4_token_counts")
+def op4_token_counts(spark, sf_dir):
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"))
+
+
+# ------------------------------------------------------------------ 7 language ID
+@query("op7_language_id")
+def op7_language_id(spark, sf_dir):
+    return language_id.identify(table(spark, sf_dir, "documents"))
