@@ -11,7 +11,8 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabprep.llm import decontaminate, language_id, quality, secrets, suffix_tree, token_counts, urlfilter
+from tabprep.llm import (decontaminate, language_id, personal, quality, secrets, suffix_tree,
+                         token_counts, urlfilter)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -174,3 +175,15 @@ def op4_token_counts(spark, sf_dir):
 @query("op7_language_id")
 def op7_language_id(spark, sf_dir):
     return language_id.identify(table(spark, sf_dir, "documents"))
+
+
+# ------------------------------------------------------------------ 5 personal data
+@query("op5_personal")
+def op5_personal(spark, sf_dir):
+    found = personal.find_personal(table(spark, sf_dir, "documents"))
+    of = lambda kind: F.size(F.filter("spans", lambda s: s.startswith(kind + ":"))).cast("long")
+    base = F.filter("spans", lambda s: ~s.startswith("term:"))
+    return found.select("doc_id", *[of(k).alias(f"n_{k}") for k in personal.KINDS],
+                        F.sha2(F.array_join(base, ","), 256).alias("base_sha256"),
+                        F.array_join("spans", ",").alias("spans"),
+                        F.sha2("sanitised", 256).alias("sanitised_sha256"))

@@ -31,7 +31,7 @@ LONG = 48
 
 
 class ForwardTrie:
-    """Prefixes of ``▁``-words with their forward scores and token counts."""
+    """Prefixes of marked words with their forward scores and token counts."""
 
     def __init__(self, pieces: pc.Pieces):
         self.scores, self.longest = pieces.scores, pieces.longest
