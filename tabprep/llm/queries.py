@@ -11,7 +11,7 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabprep.llm import (decontaminate, language_id, personal, quality, secrets, suffix_tree,
+from tabprep.llm import (decontaminate, language_id, personal, quality, sampled_pieces, secrets, suffix_tree,
                          token_counts, urlfilter)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -187,3 +187,11 @@ def op5_personal(spark, sf_dir):
                         F.sha2(F.array_join(base, ","), 256).alias("base_sha256"),
                         F.array_join("spans", ",").alias("spans"),
                         F.sha2("sanitised", 256).alias("sanitised_sha256"))
+
+
+# ------------------------------------------------------------------ 6 sampled segmentations
+@query("op6_sampled_pieces")
+def op6_sampled_pieces(spark, sf_dir):
+    return sampled_pieces.sample(table(spark, sf_dir, "documents")).select(
+        "doc_id", "rank", F.size("ids").cast("long").alias("n_tokens"), F.xxhash64("ids").alias("ids_hash"),
+        "log_prob", "perturbed", "inclusion", "round_trip")
