@@ -11,7 +11,7 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabprep.llm import (decontaminate, language_id, personal, quality, sampled_pieces, secrets, suffix_tree,
+from tabprep.llm import (chosen_path, decontaminate, language_id, personal, quality, sampled_pieces, secrets, suffix_tree,
                          token_counts, urlfilter)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -195,3 +195,9 @@ def op6_sampled_pieces(spark, sf_dir):
     return sampled_pieces.sample(table(spark, sf_dir, "documents")).select(
         "doc_id", "rank", F.size("ids").cast("long").alias("n_tokens"), F.xxhash64("ids").alias("ids_hash"),
         "log_prob", "perturbed", "inclusion", "round_trip")
+
+
+# ------------------------------------------------------------------ 8 n-gram Jaccard join
+@query("op8_chosen_path")
+def op8_chosen_path(spark, sf_dir):
+    return chosen_path.jaccard_classes(table(spark, sf_dir, "documents"))
