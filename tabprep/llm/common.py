@@ -45,3 +45,11 @@ def text_key(text, row_id) -> Column:
 def small_or_shuffled(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """A broadcast hint only when the counted ``rows`` stay below ``limit``."""
     return F.broadcast(df) if rows <= limit else df
+
+
+def without_texts(docs: DataFrame, keys: DataFrame, text: str = "text", limit: int = BROADCAST_ROWS) -> DataFrame:
+    """``docs`` (all columns) without the texts whose MD5 is in ``keys.tkey``
+    (a written table of distinct keys; a null text counts as empty). The keys are
+    broadcast below a counted size, so that the texts are not shuffled."""
+    side = small_or_shuffled(keys.select(F.col("tkey").alias("_text_key")), keys.count(), limit)
+    return docs.join(side, F.md5(F.coalesce(F.col(text), F.lit(""))) == F.col("_text_key"), "left_anti")

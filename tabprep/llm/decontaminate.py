@@ -29,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabprep.llm.common import ALNUM_GAP, BROADCAST_ROWS, ascii_lower, text_key, words
+from tabprep.llm.common import ALNUM_GAP, BROADCAST_ROWS, ascii_lower, text_key, without_texts, words
 from tabprep.session import materialize
 
 WINDOW = 10
@@ -110,7 +110,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
                   item_id: str = "item_id", item_text: str = "text", window: int = WINDOW,
                   shingle: int = SHINGLE, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """One row per document row: ``doc_id, n_words, n_hit, item_ids`` (sorted
-    strings). See the module docstring for the defined edge cases."""
+    strings) and ``tkey``, the text's key. See the module docstring for the defined edge cases."""
     windows = materialize(benchmark_windows(benchmark, item_id, item_text, window), "windows")
     distinct = windows.select("wid", "ww", F.size("ww").alias("len")).dropDuplicates(["wid"])
     distinct = distinct.withColumn("k", F.least(F.lit(shingle), F.col("len")))
@@ -140,4 +140,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     return (candidates.filter("marker").select("doc_id", "tkey", F.col("n").cast("long").alias("n_words"))
             .join(per_text, "tkey", "left")
             .select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
-                    F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids")))
+                    F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"), "tkey"))
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text",
+                      **options) -> DataFrame:
+    """``docs`` (all columns) without the texts that hold a benchmark window."""
+    found = contamination(docs, benchmark, doc_id, text, **options)
+    keys = materialize(found.filter("n_hit > 0").select("tkey").distinct(), "contaminated")
+    return without_texts(docs, keys, text)

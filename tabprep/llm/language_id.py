@@ -34,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabprep.llm.common import without_texts
 from tabprep.session import materialize
 
 FEATURES = 1 << 15
@@ -199,14 +200,25 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
 
 
 def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", model=None) -> DataFrame:
-    """One row per document row: ``doc_id, held_out, lang_pred, score, ambiguous``.
+    """One row per document row: ``doc_id, held_out, lang_pred, score, ambiguous``
+    and ``tkey``, the text's key.
     ``model`` is what :func:`fit` returns; without it, it is fitted on ``docs``."""
     model = docs.sparkSession.sparkContext.broadcast(model or fit(docs, doc_id, text, lang))
     id_text = F.coalesce(F.col(doc_id).cast("string"), F.lit(""))
     d = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"),
                     F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("letters"),
                     F.col(doc_id).alias("doc_id"),
-                    (F.crc32(id_text) % HOLD_OUT_MOD == HOLD_OUT_REST).alias("held_out"))
+                    (F.crc32(id_text) % HOLD_OUT_MOD == HOLD_OUT_REST).alias("held_out"),
+                    F.md5(F.coalesce(F.col(text), F.lit(""))).alias("tkey"))
     out = d.mapInArrow(_predict(model), "lang_pred string, score double, ambiguous boolean, "
-                                        f"doc_id {dict(d.dtypes)['doc_id']}, held_out boolean")
-    return out.select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
+                                        f"doc_id {dict(d.dtypes)['doc_id']}, held_out boolean, tkey string")
+    return out.select("doc_id", "held_out", "lang_pred", "score", "ambiguous", "tkey")
+
+
+def keep_identified(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang",
+                    model=None) -> DataFrame:
+    """``docs`` (all columns) without the texts that have no language (``und``)
+    or whose nearest codeword is ambiguous. Predictions depend on the text, so
+    the rejected texts are taken out by their key."""
+    rejected = identify(docs, doc_id, text, lang, model).filter((F.col("lang_pred") == UNKNOWN) | F.col("ambiguous"))
+    return without_texts(docs, materialize(rejected.select("tkey").distinct(), "rejected"), text)

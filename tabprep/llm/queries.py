@@ -174,7 +174,7 @@ def op4_token_counts(spark, sf_dir):
 # ------------------------------------------------------------------ 7 language ID
 @query("op7_language_id")
 def op7_language_id(spark, sf_dir):
-    return language_id.identify(table(spark, sf_dir, "documents"))
+    return language_id.identify(table(spark, sf_dir, "documents")).drop("tkey")
 
 
 # ------------------------------------------------------------------ 5 personal data
@@ -190,11 +190,15 @@ def op5_personal(spark, sf_dir):
 
 
 # ------------------------------------------------------------------ 6 sampled segmentations
+def segmentation_digest(sampled: DataFrame) -> DataFrame:
+    """The samples with the number and a hash of their ids instead of the ids."""
+    return sampled.select("doc_id", "rank", F.size("ids").cast("long").alias("n_tokens"),
+                          F.xxhash64("ids").alias("ids_hash"), "log_prob", "perturbed", "inclusion", "round_trip")
+
+
 @query("op6_sampled_pieces")
 def op6_sampled_pieces(spark, sf_dir):
-    return sampled_pieces.sample(table(spark, sf_dir, "documents")).select(
-        "doc_id", "rank", F.size("ids").cast("long").alias("n_tokens"), F.xxhash64("ids").alias("ids_hash"),
-        "log_prob", "perturbed", "inclusion", "round_trip")
+    return segmentation_digest(sampled_pieces.sample(table(spark, sf_dir, "documents")))
 
 
 # ------------------------------------------------------------------ 8 n-gram Jaccard join
