@@ -35,6 +35,8 @@ from tabprep.llm.common import SPACE_GAP, small_or_shuffled, words
 from tabprep.session import materialize
 
 COMMON = 20
+#: Common words of all languages up to which they are one literal set.
+SET_WORDS = 2000
 MIN_CHARS = 200
 MIN_WORDS = 100
 MIN_REFERENCE = 1000
@@ -79,22 +81,29 @@ def measure(docs: DataFrame, common: DataFrame, n_langs: int, doc_id: str = "doc
     classes = F.array(*[a - b for a, b in zip(lengths, lengths[1:])], lengths[-1])
     after_marks = f"rest{[n for n, _ in CLASSES].index('mark') + 1}"
     hashes = F.when(F.size("w") >= REPEAT, F.expr(
-        f"transform(sequence(0, size(w) - {REPEAT}), i -> xxhash64("
-        + ", ".join(f"get(w, i + {j})" for j in range(REPEAT)) + "))"))
+        f"transform(slice(w, 1, size(w) - {REPEAT - 1}), (x, i) -> xxhash64(x, "
+        + ", ".join(f"w[i + {j}]" for j in range(1, REPEAT)) + "))"))
+    if n_langs * COMMON <= SET_WORDS:  # one hash look-up per word among the common words of all languages
+        every = [r[0] for r in common.select(F.explode("common")).distinct().collect()]
+        is_common = lambda x: x.isin(every)
+    else:
+        is_common = lambda x: F.array_contains(F.col("common"), x)
     lines = F.filter(F.split("text", "\n"), lambda s: s.rlike(r"[^\x20\x09-\x0D]"))
     d = d.select("doc_id", "lang", "common", "w", classes.alias("classes"),
                  (F.char_length("text") - (lengths[2] - lengths[3])).cast("long").alias("word_chars"),
                  F.regexp_count(after_marks, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
                  lines.alias("lines"), hashes.alias("hashes"),
-                 F.filter("w", lambda x: F.array_contains(F.col("common"), x)).alias("cw"))
+                 F.filter("w", is_common).alias("cw"))
     grams = F.when(F.size(F.array_distinct("hashes")) < F.size("hashes"), F.sort_array(F.transform(
         "hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
     d = d.withColumn("grams", grams)
     hits = F.transform("common", lambda c: F.size("cw") - F.size(F.array_remove("cw", c)))
+    d = d.withColumn("hits", hits)
+    other = F.size("w") - F.aggregate("hits", F.lit(0), lambda n, x: n + x)
     d = d.select("doc_id", "lang", F.size("w").cast("long").alias("n_words"), "word_chars", "n_symbols",
                  (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
                  F.coalesce(F.expr(_REPEATED), F.lit(0)).cast("long").alias("n_repeat_words"), "classes",
-                 F.concat(hits, F.array(F.size("w") - F.size("cw"))).alias("word_bins"))
+                 F.concat("hits", F.array(other)).alias("word_bins"))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return d.withColumn("base_failed", failed)
 
