@@ -1,9 +1,11 @@
 """Duplicates, missing values and outliers.
 
 - Duplicates are removed by a grouped aggregate over the feature columns that
-  keeps ``min(struct(key, ...))``: the map-side partial aggregate collapses a
-  hot duplicate group before the shuffle, where a window would send the whole
-  group to one task.
+  keeps the lowest key and the other columns of its row: the map-side partial
+  aggregate collapses a hot duplicate group before the shuffle, where a window
+  would send the whole group to one task. With fixed-width columns it is a hash
+  aggregate (``min`` and ``min_by``), else a sort aggregate (``min`` of a struct).
+- NULL and NaN are the same missing value in every operator.
 - Fill values and outlier statistics are one aggregate each, over all columns
   at once; their few scalars come back as literals.
 - Most-frequent values stack ``(column, value)`` pairs and count them in one
@@ -19,9 +21,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabprep.errors import UnknownStrategyError
+from tabprep.functions.missing import present
 from tabprep.operators.filters import NUMERIC_TYPES, numeric_columns
 from tabprep.splits import Splits
 
+FIXED_WIDTH = (*NUMERIC_TYPES, T.BooleanType, T.DateType, T.TimestampType)
 STRATEGIES = ("mean", "median", "most_frequent", "constant", "drop")
 
 
@@ -32,6 +36,12 @@ def drop_duplicate_rows(df: DataFrame, feature_cols: Sequence[str] | None = None
     feats = list(feature_cols) if feature_cols is not None else [
         c for c in df.columns if c not in (key, label)]
     rest = [c for c in df.columns if c not in feats and c != key]
+    types = {f.name: f.dataType for f in df.schema.fields}
+    if all(isinstance(types[c], FIXED_WIDTH) for c in [key, *rest]):
+        # one hash aggregate: the key orders the rows of a group, so the other
+        # columns may come from separate aggregates unless rows share a key
+        return (df.groupBy(*feats).agg(F.min(key).alias(key), *[F.min_by(c, key).alias(c) for c in rest])
+                .select(*df.columns))
     first = F.min(F.struct(F.col(key), *[F.col(c) for c in rest])).alias("_first")
     grouped = df.groupBy(*feats).agg(first)
     return grouped.select(*[F.col(c) for c in feats],
@@ -40,10 +50,10 @@ def drop_duplicate_rows(df: DataFrame, feature_cols: Sequence[str] | None = None
 
 
 def null_counts(df: DataFrame) -> DataFrame:
-    """``column, n_null`` for every column, from one aggregate."""
+    """``column, n_null`` for every column (NaN counts), from one aggregate."""
     cols = df.columns
-    row = df.agg(*[F.count(F.when(F.col(f"`{c}`").isNull(), 1)).alias(f"n{i}")
-                   for i, c in enumerate(cols)])
+    row = df.agg(*[F.count(F.when(present(F.col(f"`{f.name}`"), f.dataType).isNull(), 1)).alias(f"n{i}")
+                   for i, f in enumerate(df.schema.fields)])
     pairs = ", ".join(f"'{c}', n{i}" for i, c in enumerate(cols))
     return row.select(F.expr(f"stack({len(cols)}, {pairs}) as (column, n_null)")).select(
         "column", F.col("n_null").cast("bigint"))
@@ -57,10 +67,11 @@ def stacked_values(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     structs = []
     for c in cols:
         numeric = isinstance(types[c], NUMERIC_TYPES)
+        v = present(c, types[c])
         structs.append(F.struct(
             F.lit(c).alias("column"),
-            (F.col(c).cast("double") if numeric else F.lit(None).cast("double")).alias("v_num"),
-            F.col(c).cast("string").alias("v_str")))
+            (v.cast("double") if numeric else F.lit(None).cast("double")).alias("v_num"),
+            v.cast("string").alias("v_str")))
     return df.select(F.inline(F.array(*structs)))
 
 
@@ -85,7 +96,7 @@ def fit_fill_values(df: DataFrame, strategy: str, cols: Sequence[str] | None = N
         if not cols:
             return {}
         if strategy == "mean":
-            row = df.agg(*[F.avg(c).alias(c) for c in cols]).first()
+            row = df.agg(*[F.avg(present(c, types[c])).alias(c) for c in cols]).first()
             return {c: row[c] for c in cols if row[c] is not None}
         from tabprep.operators.describe import exact_quantiles
         q = exact_quantiles(df, cols, [0.5])
@@ -95,7 +106,8 @@ def fit_fill_values(df: DataFrame, strategy: str, cols: Sequence[str] | None = N
         out = {}
         for r in most_frequent_values(df, cols).collect():
             c = r["column"]
-            out[c] = r["v_num"] if isinstance(types[c], NUMERIC_TYPES) else r["v_str"]
+            # the text is exact in the column's own type; the double orders only
+            out[c] = r["v_str"]
         return out
     if strategy == "constant":
         if value is None:
@@ -108,6 +120,8 @@ def fit_fill_values(df: DataFrame, strategy: str, cols: Sequence[str] | None = N
                 ok.append(c)
             elif isinstance(value, (int, float)) and not isinstance(value, bool) and \
                     isinstance(t, NUMERIC_TYPES):
+                if isinstance(t, T.IntegralType) and value != int(value):
+                    raise ValueError(f"constant {value!r} does not fit the integral column {c}")
                 ok.append(c)
         return {c: value for c in ok}
     raise UnknownStrategyError(f"invalid strategy: {strategy!r}; use one of {STRATEGIES}")
@@ -121,7 +135,7 @@ def apply_fill_values(df: DataFrame, fills: dict, widen: bool = False) -> DataFr
     for c, v in fills.items():
         t = types[c]
         target = T.DoubleType() if widen and isinstance(t, NUMERIC_TYPES) else t
-        repl[c] = F.coalesce(F.col(c).cast(target), F.lit(v).cast(target))
+        repl[c] = F.coalesce(present(c, t).cast(target), F.lit(v).cast(target))
     return df.withColumns(repl) if repl else df
 
 
@@ -152,22 +166,24 @@ def fill_missing(splits: Splits, strategy: str = "drop", value=None, fit_on: str
 
 
 def outlier_stats(df: DataFrame, cols: Sequence[str]) -> dict:
-    """Mean and sample standard deviation of every column, one aggregate."""
+    """Mean and sample standard deviation of every column's present values, one
+    aggregate."""
     aggs = []
     for i, c in enumerate(cols):
-        aggs += [F.avg(c).alias(f"m{i}"), F.stddev_samp(c).alias(f"s{i}")]
+        x = present(F.col(c).cast("double"))
+        aggs += [F.avg(x).alias(f"m{i}"), F.stddev_samp(x).alias(f"s{i}")]
     row = df.agg(*aggs).first()
     return {c: (row[f"m{i}"], row[f"s{i}"]) for i, c in enumerate(cols)}
 
 
 def outlier_flag(stats: dict, threshold: float) -> Column:
-    """True when any column's |z| exceeds the threshold. A NULL value, or
-    a constant column (zero deviation), never flags."""
+    """True when any column's |z| exceeds the threshold. A missing value
+    (NULL or NaN), or a constant column (zero deviation), never flags."""
     flag = F.lit(False)
     for c, (mean, std) in stats.items():
         if mean is None or std is None:
             continue
-        z = F.try_divide(F.col(c) - F.lit(mean), F.lit(std))
+        z = F.try_divide(present(F.col(c).cast("double")) - F.lit(mean), F.lit(std))
         flag = flag | F.coalesce(F.abs(z) > F.lit(threshold), F.lit(False))
     return flag
 

@@ -16,6 +16,7 @@ skew (a value held by a third of the rows is one bucket with min = max).
 from __future__ import annotations
 
 import math
+import sys
 from typing import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -26,6 +27,7 @@ BUCKETS = 4096
 # (value, count) pairs fetched, summed over all pending intervals
 TABLE_ROWS = 262_144
 FETCH_ROWS = 100_000
+MAX_DOUBLE = sys.float_info.max
 
 
 def _num(c: str) -> Column:
@@ -82,18 +84,26 @@ def _select_ranks(df: DataFrame, cols: Sequence[str], wanted: dict, stats: dict)
                 to_split[iv] = ranks
         if not to_split:
             break
-        ivs = list(to_split)
-        n_buckets = min(BUCKETS, max(64, TABLE_ROWS // len(ivs)))
+        # at most TABLE_ROWS / 2 intervals a pass, so the bucket table is bounded
+        ivs = list(to_split)[: TABLE_ROWS // 2]
+        waiting = {iv: to_split[iv] for iv in list(to_split)[TABLE_ROWS // 2:]}
+        n_buckets = min(BUCKETS, max(2, TABLE_ROWS // len(ivs)))
         tagged = _tag_intervals(data, ivs)
-        bucket = F.least(F.floor((F.col("x") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
-                                 * F.lit(n_buckets)), F.lit(n_buckets - 1))
+        # infinities get buckets of their own; a range too wide for a double is halved
+        lo, hi = F.greatest("_lo", F.lit(-MAX_DOUBLE)), F.least("_hi", F.lit(MAX_DOUBLE))
+        wide = hi - lo
+        part = F.when(wide <= F.lit(MAX_DOUBLE), (F.col("x") - lo) / wide).otherwise(
+            (F.col("x") / 2 - lo / 2) / (hi / 2 - lo / 2))
+        bucket = (F.when(F.col("x") == float("inf"), F.lit(n_buckets))
+                  .when(F.col("x") == float("-inf"), F.lit(-1))
+                  .otherwise(F.least(F.floor(part * F.lit(n_buckets)), F.lit(n_buckets - 1))))
         rows = (tagged.groupBy("iv", bucket.alias("b"))
                 .agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("bmin"),
                      F.max("x").alias("bmax")).collect())
         by_iv = {}
         for r in rows:
             by_iv.setdefault(r["iv"], []).append(r)
-        nxt = {}
+        nxt = waiting
         fetched = 0
         for j, iv in enumerate(ivs):
             k, _, _, before = iv
@@ -155,7 +165,7 @@ def _fetch(data: DataFrame, intervals: dict, result: dict) -> None:
 
 
 def _lerp(a: float, b: float, t: float) -> float:
-    return a if t == 0 else a + (b - a) * t
+    return a if t == 0 or a == b else a + (b - a) * t
 
 
 def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
@@ -219,9 +229,14 @@ def _f(v) -> float | None:
 def histogram(df: DataFrame, cols: Sequence[str], bins: int = 30) -> DataFrame:
     """A3: ``feature, bin, lo, hi, n`` - equal-width bins from min to max, the
     last one closed on the right, empty bins included (n = 0). A constant
-    column spans ``[v - 0.5, v + 0.5]``."""
+    column spans ``[v - 0.5, v + 0.5]``. Infinite values have no bin and are left
+    out; a column without finite values has no rows."""
+    finite = [F.when(F.abs(F.col(c).cast("double")) < float("inf"), F.col(c).cast("double")).alias(c) for c in cols]
+    df = df.select(*finite)
     stats = column_stats(df, cols)
     live = [(k, c) for k, c in enumerate(cols) if stats[c]["n"]]
+    if not live:
+        return df.sparkSession.createDataFrame([], "feature string, bin int, lo double, hi double, n bigint")
     lo_l, hi_l = [], []
     for _, c in live:
         lo, hi = stats[c]["min"], stats[c]["max"]
@@ -325,7 +340,7 @@ def density(df: DataFrame, cols: Sequence[str], grid: int = 200, cut: float = 3.
     live = []
     for k, c in enumerate(cols):
         s = stats[c]
-        if s["n"] and s["n"] >= 2 and s["std"]:
+        if s["n"] and s["n"] >= 2 and s["std"] and math.isfinite(s["std"]):
             bw = s["std"] * s["n"] ** (-1.0 / 5.0) * bw_adjust
             lo, hi = s["min"] - cut * bw, s["max"] + cut * bw
             live.append((k, c, bw, lo, (hi - lo) / (grid - 1), s["n"]))

@@ -19,6 +19,7 @@ from typing import NamedTuple, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabprep.functions.missing import present
 from tabprep.operators.cleaning import stacked_values
 from tabprep.operators.joins import BROADCAST_ROW_LIMIT
 from tabprep.splits import Splits
@@ -107,12 +108,17 @@ def decode_labels(df: DataFrame, state: LabelCodes, cols: Sequence[str]) -> Data
     return out.select(*df.columns)
 
 
+def _x(c: str):
+    """The column as a double, NaN as NULL."""
+    return present(F.col(c).cast("double"))
+
+
 def fit_standard(train: DataFrame, cols: Sequence[str]) -> DataFrame:
     """E2 fit: one row ``column, mean, scale`` per column; scale is the
     population deviation, 1 when it is 0."""
     aggs = []
     for i, c in enumerate(cols):
-        aggs += [F.avg(c).alias(f"m{i}"), F.stddev_pop(c).alias(f"s{i}")]
+        aggs += [F.avg(_x(c)).alias(f"m{i}"), F.stddev_pop(_x(c)).alias(f"s{i}")]
     row = train.agg(*aggs)
     pairs = ", ".join(f"'{c}', m{i}, s{i}" for i, c in enumerate(cols))
     return row.select(F.expr(f"stack({len(cols)}, {pairs}) as (column, mean, std)")).select(
@@ -125,8 +131,7 @@ def fit_minmax(train: DataFrame, cols: Sequence[str]) -> DataFrame:
     """E3 fit: ``column, mean (= min), scale (= max - min, 1 when 0)``."""
     aggs = []
     for i, c in enumerate(cols):
-        aggs += [F.min(F.col(c).cast("double")).alias(f"lo{i}"),
-                 F.max(F.col(c).cast("double")).alias(f"hi{i}")]
+        aggs += [F.min(_x(c)).alias(f"lo{i}"), F.max(_x(c)).alias(f"hi{i}")]
     row = train.agg(*aggs)
     pairs = ", ".join(f"'{c}', lo{i}, hi{i}" for i, c in enumerate(cols))
     return row.select(F.expr(f"stack({len(cols)}, {pairs}) as (column, lo, hi)")).select(
@@ -143,9 +148,9 @@ def apply_affine(df: DataFrame, params: DataFrame | list) -> DataFrame:
     for r in rows:
         c = r["column"]
         if r["mean"] is None:
-            repl[c] = F.col(c).cast("double")
+            repl[c] = _x(c)
         else:
-            repl[c] = (F.col(c).cast("double") - F.lit(float(r["mean"]))) / F.lit(float(r["scale"]))
+            repl[c] = (_x(c) - F.lit(float(r["mean"]))) / F.lit(float(r["scale"]))
     return df.withColumns(repl) if repl else df
 
 
@@ -165,10 +170,9 @@ def preprocess(splits: Splits, numerical: Sequence[str], categorical: Sequence[s
     # both parameter tables from one aggregate over the encoded training split
     aggs = []
     for i, c in enumerate(numerical):
-        aggs += [F.avg(c).alias(f"m{i}"), F.stddev_pop(c).alias(f"s{i}")]
+        aggs += [F.avg(_x(c)).alias(f"m{i}"), F.stddev_pop(_x(c)).alias(f"s{i}")]
     for i, c in enumerate(categorical):
-        aggs += [F.min(F.col(c).cast("double")).alias(f"lo{i}"),
-                 F.max(F.col(c).cast("double")).alias(f"hi{i}")]
+        aggs += [F.min(_x(c)).alias(f"lo{i}"), F.max(_x(c)).alias(f"hi{i}")]
     row = enc.train.agg(*aggs).first() if aggs else None
     std_rows, mm_rows = [], []
     for i, c in enumerate(numerical):

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabprep.functions.missing import present
+
 NUMERIC_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType,
                  T.DoubleType, T.DecimalType)
 
@@ -76,8 +78,8 @@ def existing(df: DataFrame, cols: Iterable[str]) -> list[str]:
 
 
 def positive_class(label: str) -> Column:
-    """Late flights (``label > 0``); NULL in neither class."""
-    return F.col(label) > 0
+    """Late flights (``label > 0``); NULL and NaN in neither class."""
+    return present(label) > 0
 
 
 def zero_class(label: str) -> Column:
@@ -86,8 +88,8 @@ def zero_class(label: str) -> Column:
 
 
 def binary_label_col(c: Column, threshold=15) -> Column:
-    """P10: 1 when strictly above the threshold, else 0 (NULL -> 0)."""
-    return F.when(c > F.lit(threshold), 1).otherwise(0).cast("int")
+    """P10: 1 when strictly above the threshold, else 0 (NULL and NaN -> 0)."""
+    return F.when(present(c) > F.lit(threshold), 1).otherwise(0).cast("int")
 
 
 def binary_label(df: DataFrame, col: str, threshold=15, out: str = "label_binary") -> DataFrame:

@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabprep.functions.missing import present
 from tabprep.operators import pvalues
 
 PREFIX_BUCKETS = 256
@@ -56,17 +57,17 @@ def chi2_p_value(h: Column, dof: Column) -> Column:
 
 def stacked_classes(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
     """H4 + stacking: ``feature, cls, cls_num, y`` for rows with a target and a
-    class. ``cls`` is the class as text; ``cls_num`` orders numeric classes
-    numerically (NULL for text classes, which order as text)."""
+    class (NULL and NaN are neither). ``cls`` is the class as text; ``cls_num``
+    orders numeric classes numerically (NULL for text classes, ordered as text)."""
     from tabprep.operators.filters import NUMERIC_TYPES
 
     types = {f.name: f.dataType for f in df.schema.fields}
-    structs = [F.struct(F.lit(f).alias("feature"), F.col(f).cast("string").alias("cls"),
-                        (F.col(f).cast("double") if isinstance(types[f], NUMERIC_TYPES)
+    structs = [F.struct(F.lit(f).alias("feature"), present(f, types[f]).cast("string").alias("cls"),
+                        (present(f, types[f]).cast("double") if isinstance(types[f], NUMERIC_TYPES)
                          else F.lit(None).cast("double")).alias("cls_num"))
                for f in features]
-    return (df.where(F.col(label).isNotNull())
-            .select(F.col(label).cast("double").alias("y"), F.inline(F.array(*structs)))
+    y = present(F.col(label).cast("double"))
+    return (df.where(y.isNotNull()).select(y.alias("y"), F.inline(F.array(*structs)))
             .where(F.col("cls").isNotNull()))
 
 
@@ -163,12 +164,13 @@ def kruskal_table(df: DataFrame, features: Sequence[str], label: str) -> DataFra
                  .groupBy("feature", "cls")
                  .agg(F.sum(F.col("n") * F.col("midrank")).alias("R"),
                       F.sum("n").alias("ni")))
-    agg = per_class.groupBy("feature").agg(
-        F.count(F.lit(1)).alias("k"),
-        F.sum(F.col("R") * F.col("R") / F.col("ni")).alias("sr"))
-    j = agg.join(per_feature, "feature")
+    # centred: the mean ranks' deviations from (N + 1) / 2 keep their digits
+    off = F.col("R") / F.col("ni") - (F.col("N") + 1) / 2
+    agg = per_class.join(F.broadcast(per_feature), "feature").groupBy("feature", "N", "ties").agg(
+        F.count(F.lit(1)).alias("k"), F.sum(F.col("ni") * off * off).alias("sr"))
+    j = agg
     n = F.col("N")
-    h0 = F.lit(12.0) / (n * (n + 1)) * F.col("sr") - F.lit(3.0) * (n + 1)
+    h0 = F.lit(12.0) / (n * (n + 1)) * F.col("sr")
     corr = F.lit(1.0) - F.try_divide(F.col("ties"), n * n * n - n)
     h = F.when(corr > 0, h0 / corr)
     multi = F.col("k") > 2

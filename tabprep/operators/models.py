@@ -248,7 +248,7 @@ def r2_score(pred: DataFrame, label: str, prediction: str = "_pred",
     y, yh = F.col(label), F.col(prediction)
     agg = pred.groupBy(*group).agg(
         F.sum((y - yh) * (y - yh)).alias("ss_res"),
-        (F.sum(y * y) - F.sum(y) * F.sum(y) / F.count(y)).alias("ss_tot"))
+        (F.var_pop(y) * F.count(y)).alias("ss_tot"))
     return agg.withColumn("r2", F.lit(1.0) - F.try_divide(F.col("ss_res"), F.col("ss_tot")))
 
 

@@ -43,7 +43,9 @@ def _vectors(df: DataFrame, features: Sequence[str] | str, key: str) -> DataFram
         v = F.transform(F.col(features), lambda x: x.cast("double"))
     else:
         v = F.array(*[F.col(c).cast("double") for c in features])
-    return df.select(F.col(key).alias("_key"), v.alias("_v")).where(F.col("_v").isNotNull())
+    # a row with a missing coordinate has no distance: not a query, not a neighbour
+    return (df.select(F.col(key).alias("_key"), v.alias("_v"))
+            .where(F.col("_v").isNotNull() & ~F.exists("_v", lambda x: x.isNull() | F.isnan(x))))
 
 
 def knn_graph(df: DataFrame, features: Sequence[str] | str, k: int = 15,

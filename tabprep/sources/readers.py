@@ -7,7 +7,6 @@ NULL). The guards raise typed errors instead of printing and carrying on.
 
 from __future__ import annotations
 
-import os
 from typing import Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +19,7 @@ from tabprep.errors import (
     MissingSourceError,
     SingleClassError,
 )
+from tabprep.functions.missing import nan_to_null
 
 # The text tokens pandas' CSV reader treats as missing by default.
 MISSING_TOKENS = [
@@ -33,23 +33,13 @@ REQUIRED_COLUMNS = ["cancelled", "diverted", "arr_delay"]
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
-    if "://" not in path:
-        return os.path.exists(path)
+    """Whether a path or glob matches something, asked of the file system that
+    Spark itself would read it from (the default one for a path without scheme)."""
     jvm = spark.sparkContext._jvm
     hpath = jvm.org.apache.hadoop.fs.Path(path)
     fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return fs.exists(hpath)
-
-
-def nan_to_null(df: DataFrame) -> DataFrame:
-    """Map floating NaN to SQL NULL (``NaN > 0`` is true in Spark)."""
-    cols = []
-    for field in df.schema.fields:
-        c = F.col(field.name)
-        if isinstance(field.dataType, (T.DoubleType, T.FloatType)):
-            c = F.when(F.isnan(c), F.lit(None).cast(field.dataType)).otherwise(c)
-        cols.append(c.alias(field.name))
-    return df.select(*cols)
+    found = fs.globStatus(hpath)
+    return found is not None and len(found) > 0
 
 
 def read_flights(spark: SparkSession, path: str, schema: T.StructType | None = None,
