@@ -19,6 +19,8 @@ import math
 import sys
 from typing import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +29,8 @@ BUCKETS = 4096
 # (value, count) pairs fetched, summed over all pending intervals
 TABLE_ROWS = 262_144
 FETCH_ROWS = 100_000
+#: Part of a bin's width by which a value may lie below an edge and still be on it.
+EDGE = 1e-9
 MAX_DOUBLE = sys.float_info.max
 
 
@@ -248,7 +252,8 @@ def histogram(df: DataFrame, cols: Sequence[str], bins: int = 30) -> DataFrame:
     idx = F.array_position(F.array(*[F.lit(k) for k in ks]), F.col("k")).cast("int")
     lo_c = F.element_at(F.array(*[F.lit(float(v)) for v in lo_l]), idx)
     hi_c = F.element_at(F.array(*[F.lit(float(v)) for v in hi_l]), idx)
-    b = F.least(F.floor((F.col("x") - lo_c) / (hi_c - lo_c) * F.lit(bins)), F.lit(bins - 1))
+    # a value on an edge belongs to the bin that begins there, whatever rounding did to it
+    b = F.least(F.floor((F.col("x") - lo_c) / (hi_c - lo_c) * F.lit(bins) + F.lit(EDGE)), F.lit(bins - 1))
     counts = (stacked(df, cols).where(F.col("k").isin(ks))
               .groupBy("k", b.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n")))
     grid_rows = [F.struct(F.lit(k).alias("k"), F.lit(cols[k]).alias("feature"),
@@ -269,30 +274,46 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """A4: ``a, b, r, n`` for every ordered pair, Pearson over the pairwise
     complete rows; a constant column gives NULL (not an error).
 
-    Each row is stacked into one ``(i, j, x, y)`` entry per unordered pair
-    where both values are present, and a single grouped aggregate computes
-    ``covar_pop / (stddev_pop * stddev_pop)`` per pair (Spark's stable
-    online moments; four aggregate functions whatever the number of pairs;
-    partial aggregation leaves one row per pair per partition). A pair with
-    no complete row is reported with ``n = 0`` and ``r`` NULL."""
+    Tasks reduce their rows to p x p sums (an Arrow pass of numpy products over
+    masked, centred columns), a grouped sum merges them and r is a column
+    expression over the p x p result. Columns are centred at their mean (a
+    constant one at its value), so the sums keep their digits. A pair with no
+    complete row has ``n = 0`` and ``r`` NULL."""
     spark = df.sparkSession
-    xs = [_num(c).alias(f"_x{i}") for i, c in enumerate(cols)]
-    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
-    entries = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"),
-                        F.col(f"_x{i}").alias("x"), F.col(f"_x{j}").alias("y"))
-               for i, j in pairs]
-    stats = (df.select(*xs).select(F.inline(F.array(*entries)))
-             .where(F.col("x").isNotNull() & F.col("y").isNotNull())
-             .groupBy("i", "j")
-             .agg(F.try_divide(F.covar_pop("x", "y"),
-                               F.stddev_pop("x") * F.stddev_pop("y")).alias("r"),
-                  F.count(F.lit(1)).alias("n")))
-    # every ordered pair, named (p^2 rows: bounded by the column count)
-    grid = spark.createDataFrame(
-        [(i, j, cols[i], cols[j]) for i, j in pairs] +
-        [(i, j, cols[j], cols[i]) for i, j in pairs if i != j], "i int, j int, a string, b string")
-    return (grid.join(F.broadcast(stats), ["i", "j"], "left")
-            .select("a", "b", "r", F.coalesce("n", F.lit(0)).cast("bigint").alias("n")))
+    stats = column_stats(df, cols)
+    shift = [0.0 if s["mean"] is None or not math.isfinite(s["mean"]) else
+             s["min"] if s["min"] == s["max"] else s["mean"] for s in (stats[c] for c in cols)]
+    p = len(cols)
+
+    def products(batches):
+        sums = np.zeros((4, p, p))
+        for pdf in batches:
+            x = pdf.to_numpy(dtype=float)
+            mask = (~np.isnan(x)).astype(float)
+            x = np.where(mask > 0, x - np.array(shift), 0.0)
+            sums += np.stack([mask.T @ mask, x.T @ mask, (x * x).T @ mask, x.T @ x])
+        i, j = np.indices((p, p))
+        yield pd.DataFrame({"i": i.ravel(), "j": j.ravel(), **{k: sums[q].ravel() for q, k in enumerate(
+            ["n", "sx", "sxx", "sxy"])}}).astype({"i": "int32", "j": "int32"})
+
+    parts = df.select(*[_num(c).alias(f"_x{i}") for i, c in enumerate(cols)]).mapInPandas(
+        products, "i int, j int, n double, sx double, sxx double, sxy double")
+    total = parts.groupBy("i", "j").agg(*[F.sum(k).alias(k) for k in ["n", "sx", "sxx", "sxy"]])
+    other = total.select(F.col("j").alias("i"), F.col("i").alias("j"), F.col("sx").alias("sy"),
+                         F.col("sxx").alias("syy"))
+    both = total.join(other, ["i", "j"])
+
+    def spread(square: str, plain: str) -> Column:
+        # what rounding leaves of a constant column's squares is no spread
+        v = F.col(square) - F.try_divide(F.col(plain) * F.col(plain), F.col("n"))
+        return F.when(v > F.col(square) * 1e-13, v)
+
+    r = (F.col("sxy") - F.try_divide(F.col("sx") * F.col("sy"), F.col("n"))) / F.sqrt(
+        spread("sxx", "sx") * spread("syy", "sy"))
+    names = spark.createDataFrame([(i, j, a, b) for i, a in enumerate(cols) for j, b in enumerate(cols)],
+                                  "i int, j int, a string, b string")
+    return (names.join(both, ["i", "j"], "left")
+            .select("a", "b", r.alias("r"), F.coalesce("n", F.lit(0)).cast("bigint").alias("n")))
 
 
 def box_stats(df: DataFrame, cols: Sequence[str], whis: float = 1.5) -> DataFrame:
@@ -332,10 +353,9 @@ def density(df: DataFrame, cols: Sequence[str], grid: int = 200, cut: float = 3.
             bw_adjust: float = 1.0) -> DataFrame:
     """``feature, i, x, density`` - Gaussian kernel density on ``grid``
     points from ``min - cut*bw`` to ``max + cut*bw``; Scott bandwidth
-    ``std * n ** (-1/5)`` (sample std). Work is grid x distinct values: values
-    are counted first, then each distinct value adds its ``grid`` terms inside
-    a partial aggregate. Columns with fewer than 2 values or zero spread get
-    no curve."""
+    ``std * n ** (-1/5)`` (sample std). Each task adds up its rows' terms (an
+    Arrow pass) and only ``grid`` sums per column and task are shuffled. Columns
+    with fewer than 2 values or without a finite, positive spread get no curve."""
     stats = column_stats(df, cols)
     live = []
     for k, c in enumerate(cols):
@@ -347,31 +367,26 @@ def density(df: DataFrame, cols: Sequence[str], grid: int = 200, cut: float = 3.
     if not live:
         return df.sparkSession.createDataFrame(
             [], "feature string, i int, x double, density double")
-    ks = [t[0] for t in live]
-    idx = F.array_position(F.array(*[F.lit(k) for k in ks]), F.col("k")).cast("int")
-
-    def arr(pos):
-        return F.element_at(F.array(*[F.lit(float(t[pos])) for t in live]), idx)
-
-    values = (stacked(df, cols).where(F.col("k").isin(ks))
-              .groupBy("k", "x").agg(F.count(F.lit(1)).alias("w")))
-    gx = arr(3) + F.col("i") * arr(4)
-    z = (gx - F.col("x")) / arr(2)
-    norm = F.lit(1.0) / (arr(5) * arr(2) * F.lit(math.sqrt(2 * math.pi)))
-    contrib = (values.select("k", "x", "w", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("i"))
-               .select("k", "i", (F.col("w") * F.exp(F.lit(-0.5) * z * z) * norm).alias("d")))
-    names = F.element_at(F.array(*[F.lit(cols[k]) for k in ks]), idx)
-    return (contrib.groupBy("k", "i").agg(F.sum("d").alias("density"))
-            .select(names.alias("feature"), F.col("i").cast("int"), gx.alias("x"), "density"))
-
-
-def distinct_classes(df: DataFrame, feature: str) -> DataFrame:
-    """Non-null classes of a feature with their counts."""
-    return (df.where(F.col(feature).isNotNull()).groupBy(feature)
-            .agg(F.count(F.lit(1)).alias("n")))
-
-
-def group_mean(df: DataFrame, key: str, value: str, out: str = "mean") -> DataFrame:
-    """A1: mean of ``value`` per non-null ``key``."""
-    return df.where(F.col(key).isNotNull()).groupBy(key).agg(F.avg(value).alias(out))
-
+    curves = {k: (bw, lo + np.arange(grid) * step) for k, _, bw, lo, step, _ in live}
+
+    def terms(batches):
+        sums = {k: np.zeros(grid) for k in curves}
+        for pdf in batches:
+            for k, xs in pdf.groupby("k")["x"]:
+                if k not in curves:
+                    continue
+                bw, gx = curves[k]
+                values, n = np.unique(xs.to_numpy(), return_counts=True)
+                for a in range(0, len(values), 2000):
+                    z = (gx[None, :] - values[a: a + 2000, None]) / bw
+                    sums[k] += n[a: a + 2000] @ np.exp(-0.5 * z * z)
+        yield pd.DataFrame({"k": np.repeat(list(sums), grid), "i": np.tile(np.arange(grid), len(sums)),
+                            "d": np.concatenate(list(sums.values()))}).astype({"k": "int32", "i": "int32"})
+
+    parts = stacked(df, cols).mapInPandas(terms, "k int, i int, d double")
+    scale = df.sparkSession.createDataFrame(
+        [(k, c, float(lo), float(step), 1.0 / (n * bw * math.sqrt(2 * math.pi))) for k, c, bw, lo, step, n in live],
+        "k int, feature string, lo double, step double, norm double")
+    return (parts.groupBy("k", "i").agg(F.sum("d").alias("d")).join(F.broadcast(scale), "k")
+            .select("feature", "i", (F.col("lo") + F.col("i") * F.col("step")).alias("x"),
+                    (F.col("d") * F.col("norm")).alias("density")))

@@ -2,8 +2,8 @@
 
 - Label codes rank the *distinct* values of every categorical column of
   train and test together (one grouped aggregate over stacked
-  ``(column, value)`` pairs, then a row number per column over distinct values
-  only), in the column's own order: numbers numerically, text as text. The
+  ``(column, value)`` pairs, then an ordered prefix sum over range-partitioned
+  distinct values), in the column's own order: numbers numerically, text as text. The
   code table is written once to the checkpoint folder. Apply is a map literal
   inside the projection for columns with few codes, a broadcast left join for
   a checked-small table, and a shuffle join beyond that.
@@ -16,12 +16,13 @@ from __future__ import annotations
 
 from typing import NamedTuple, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabprep.functions.missing import present
 from tabprep.operators.cleaning import stacked_values
 from tabprep.operators.joins import BROADCAST_ROW_LIMIT
+from tabprep.operators.ranges import ordered_prefix_sum
 from tabprep.splits import Splits
 
 # Columns with at most this many codes are encoded by a map literal. Spark looks
@@ -40,9 +41,9 @@ def fit_label_encoder(splits: Splits, cols: Sequence[str], keep: bool = True) ->
     both = splits.train.select(*cols).unionByName(splits.test.select(*cols))
     distinct = (stacked_values(both, cols).where(F.col("v_str").isNotNull())
                 .groupBy("column", "v_num", "v_str").agg(F.lit(1).alias("_one")))
-    w = Window.partitionBy("column").orderBy(F.col("v_num").asc_nulls_last(), "v_str")
-    codes = distinct.select("column", F.col("v_str").alias("value"),
-                            (F.row_number().over(w) - 1).cast("int").alias("code"))
+    ranked = ordered_prefix_sum(distinct, ["column"], [F.col("v_num").asc_nulls_last(), F.col("v_str").asc()],
+                                F.lit(1), "code")
+    codes = ranked.select("column", F.col("v_str").alias("value"), F.col("code").cast("int"))
     if keep:
         from tabprep.session import materialize
         codes = materialize(codes, "label-codes")

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabprep.functions import features as ff
+from tabprep.session import materialize
 from tabprep.operators.joins import sized_broadcast
 
 # The engineered columns in the order the studied pipeline previews them.
@@ -60,8 +61,9 @@ def fit_target_mean(train: DataFrame, key: str = "crs_dep_hour", label: str = "a
                     value: str = "avg_delay_per_hour") -> TargetMean:
     """E4 fit (A1 underneath): mean target per non-null key on the training
     split; the default for unseen keys is the mean of the group means."""
-    mapping = (train.where(F.col(key).isNotNull())
-               .groupBy(key).agg(F.avg(label).alias(value)))
+    # written once: every later use reads this small table, not the plan behind it
+    mapping = materialize(train.where(F.col(key).isNotNull())
+                          .groupBy(key).agg(F.avg(label).alias(value)), "target-means")
     row = mapping.agg(F.avg(value).alias("d"), F.count(F.lit(1)).alias("n")).first()
     default = float(row["d"]) if row["n"] else 0.0
     return TargetMean(mapping, default, int(row["n"]), key, value)

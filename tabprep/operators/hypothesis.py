@@ -8,9 +8,8 @@ consequence:
   aggregate over the features stacked as ``(feature, class, y)``.
 - Kruskal-Wallis: ``(feature, class, y) -> count``; midranks come from the
   per-value counts (``rank = values below + (ties + 1) / 2``), computed as an
-  ordered prefix sum over the *distinct* target values, range-partitioned by
-  approximate quantile cut points so no single task sees every value. Rank sums
-  per class are then a join of two aggregated tables - the rows are never
+  ordered prefix sum over the *distinct* target values, range-partitioned so
+  that no single task sees every value. Rank sums per class are then a join of two aggregated tables - the rows are never
   ranked one by one, and heavy ties (half the targets are 0 after balancing)
   collapse into single values.
 
@@ -29,9 +28,7 @@ from pyspark.sql import types as T
 
 from tabprep.functions.missing import present
 from tabprep.operators import pvalues
-
-PREFIX_BUCKETS = 256
-
+from tabprep.operators.ranges import ordered_prefix_sum
 
 @F.pandas_udf(T.DoubleType())
 def _t_p(t: pd.Series, dof: pd.Series) -> pd.Series:
@@ -122,40 +119,13 @@ def welch_t(df: DataFrame, features: Sequence[str] | str, label: str,
          .otherwise(F.lit("ok")).alias("status"))
 
 
-def ordered_prefix_sum(tbl: DataFrame, parts: Sequence[str], order: str, weight: str,
-                       out: str = "before", buckets: int = PREFIX_BUCKETS) -> DataFrame:
-    """Exclusive prefix sum of ``weight`` in ``order`` within ``parts``, for a
-    table with one row per (parts, order) value. Rows are range-partitioned by
-    approximate quantile cut points of ``order``; each bucket's offset comes
-    from the bounded table of bucket totals, and the running sum inside a
-    bucket is a window over that bucket only."""
-    probs = [i / buckets for i in range(1, buckets)]
-    cuts_row = tbl.agg(F.percentile_approx(order, probs, 10_000).alias("c")).first()
-    cuts = sorted(set(cuts_row["c"] or []))
-    if cuts:
-        b = F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]),
-                            lambda c: c <= F.col(order)))
-    else:
-        b = F.lit(0)
-    tb = tbl.withColumn("_b", b)
-    totals = tb.groupBy(*parts, "_b").agg(F.sum(weight).alias("_t"))
-    offsets = totals.withColumn("_off", F.coalesce(F.sum("_t").over(
-        Window.partitionBy(*parts).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)),
-        F.lit(0))).drop("_t")
-    inner = Window.partitionBy(*parts, "_b").orderBy(order).rowsBetween(
-        Window.unboundedPreceding, -1)
-    return (tb.join(F.broadcast(offsets), [*parts, "_b"])
-            .withColumn(out, F.col("_off") + F.coalesce(F.sum(weight).over(inner), F.lit(0)))
-            .drop("_b", "_off"))
-
-
 def kruskal_table(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
     """H2 without p: ``feature, n_classes, n, statistic, df`` - H with the
     tie correction; NULL when all targets are equal or fewer than 3 classes."""
     counts = (stacked_classes(df, features, label).groupBy("feature", "cls", "y")
               .agg(F.count(F.lit(1)).alias("n")))
     vc = counts.groupBy("feature", "y").agg(F.sum("n").alias("t"))
-    ranks = ordered_prefix_sum(vc, ["feature"], "y", "t").withColumn(
+    ranks = ordered_prefix_sum(vc, ["feature"], ["y"], "t").withColumn(
         "midrank", F.col("before") + (F.col("t") + F.lit(1)) / F.lit(2.0))
     per_feature = vc.groupBy("feature").agg(
         F.sum("t").cast("double").alias("N"),
@@ -201,6 +171,15 @@ BINARY_FEATURES = ["is_weekend", "is_holiday_month"]
 MULTICLASS_FEATURES = ["time_of_day", "season", "flight_type", "day_of_week", "month"]
 
 
+def _with_all(tests: DataFrame, features: Sequence[str], test: str, status: str) -> DataFrame:
+    """One row per asked feature: those without any class are skipped rows."""
+    asked = tests.sparkSession.createDataFrame([(f,) for f in features], "feature string")
+    return asked.join(tests, "feature", "left").select(
+        "feature", F.lit(test).alias("test"), F.coalesce("n_classes", F.lit(0)).alias("n_classes"), "n", "statistic",
+        "df", "p_value", F.coalesce("significant", F.lit(False)).alias("significant"),
+        F.coalesce("status", F.lit(status)).alias("status"))
+
+
 def run_tests(df: DataFrame, label: str = "arr_delay",
               binary: Sequence[str] = BINARY_FEATURES,
               multi: Sequence[str] = MULTICLASS_FEATURES, alpha: float = 0.05) -> DataFrame:
@@ -211,9 +190,9 @@ def run_tests(df: DataFrame, label: str = "arr_delay",
     m = [f for f in multi if f in present]
     parts = []
     if b:
-        parts.append(welch_t(df, b, label, alpha))
+        parts.append(_with_all(welch_t(df, b, label, alpha), b, "welch_t", "skipped: not binary"))
     if m:
-        parts.append(kruskal(df, m, label, alpha))
+        parts.append(_with_all(kruskal(df, m, label, alpha), m, "kruskal", "skipped: needs 3+ categories"))
     if not parts:
         raise ValueError("none of the requested features is present")
     out = parts[0]

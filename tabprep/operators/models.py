@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabprep.operators import sampling
+from tabprep.session import materialize
 
 
 def _vector_cols(df: DataFrame, features: Sequence[str] | str) -> list[Column]:
@@ -62,8 +63,11 @@ def _sum_partials(parts: DataFrame, col: str) -> dict:
     return {g: np.array([d[i] for i in range(len(d))]) for g, d in out.items()}
 
 
-def moments(df: DataFrame, features: Sequence[str] | str, group: str | None = None) -> Moments:
-    """Per-group count, mean and centred scatter matrix of complete rows.
+def moments(df: DataFrame, features: Sequence[str] | str, group: str | None = None,
+            pooled: bool = False) -> Moments:
+    """Per-group count, mean and centred scatter matrix of complete rows. With
+    ``pooled`` the scatters around the group means are summed over all groups
+    (``scatter["all"]``).
 
     Two passes, each a per-partition numpy reduction (``mapInPandas``) whose
     partials are summed by a grouped aggregate: first ``n`` and ``sum x``,
@@ -97,9 +101,11 @@ def moments(df: DataFrame, features: Sequence[str] | str, group: str | None = No
         for g, gram in acc.items():
             yield pd.DataFrame({"_g": [g], "ss": [gram.ravel().tolist()]})
 
-    grams = _sum_partials(data.mapInPandas(partial_gram, "_g string, ss array<double>"), "ss")
+    parts = data.mapInPandas(partial_gram, "_g string, ss array<double>")
+    if pooled:  # the driver receives one p x p matrix, whatever the number of groups
+        parts = parts.select(F.lit("all").alias("_g"), "ss")
     scatter = {}
-    for g, flat in grams.items():
+    for g, flat in _sum_partials(parts, "ss").items():
         p = int(round(len(flat) ** 0.5))
         scatter[g] = flat.reshape(p, p)
     groups = sorted(means)
@@ -188,7 +194,7 @@ def fit_lda(df: DataFrame, features: Sequence[str] | str, class_col: str,
     means and within-class scatter come from one grouped pass; the
     generalised eigenproblem ``S_B v = l S_W v`` is solved on the driver
     (p x p), axes scaled to unit within-class variance."""
-    m = moments(df, features, class_col)
+    m = moments(df, features, class_col, pooled=True)
     classes = m.groups
     c = len(classes)
     if c < 2:
@@ -198,7 +204,7 @@ def fit_lda(df: DataFrame, features: Sequence[str] | str, class_col: str,
         raise ValueError(f"k={k} exceeds classes - 1 = {c - 1}")
     n_tot = sum(m.n[g] for g in classes)
     mu = sum(m.n[g] * m.mean[g] for g in classes) / n_tot
-    sw = sum(m.scatter[g] for g in classes)
+    sw = m.scatter["all"]
     sb = sum(m.n[g] * np.outer(m.mean[g] - mu, m.mean[g] - mu) for g in classes)
     vals_w, vecs_w = np.linalg.eigh(sw)
     keep = vals_w > vals_w.max() * 1e-12
@@ -257,49 +263,32 @@ def permutation_importance(model, df: DataFrame, features: Sequence[str], label:
     """R2 + R3: drop in R² when one feature is permuted, mean and population
     std over repeats, ascending by mean (ties by name).
 
-    Every (feature, repeat) permutation is built at once: rows are ranked in a
-    base hash order and, per (feature, repeat), in another hash order; a row
-    takes the feature value of the row whose base rank equals its permuted
-    rank (a shuffle join on ``(feature, rank)``). The copies that go through
-    the two shuffles of (features x repeats) times the table are narrow (key,
-    feature index, repeat, rank, value); the row's other features are joined
-    back on the key from the 1x table. All permuted copies are then scored by
-    one model transform and one grouped R² aggregate.
+    A repeat has one permutation of the rows that all its features share: every
+    row is joined once with its donor, the row that holds its permuted rank (two
+    shuffles of ``n_repeats`` times the table, whatever the number of features).
+    Swapping one feature at a time for the donor's is a projection in the stage
+    that scores, so the features x repeats copies never cross a shuffle; each
+    feature's importance is still that of a uniform permutation.
     """
     from pyspark.ml.feature import VectorAssembler
 
     feats = list(features)
     names = F.array(*[F.lit(f) for f in feats])
     base = df.select(key, label, *feats).na.drop()
-    ranked = sampling.hash_rank(base, key, seed, "perm-base", out="_base")
-    # the copies below multiply the rows by (features x repeats) inside the
-    # tasks that read ``ranked``; AQE sizes those partitions for the 1x data,
-    # so spread them to the session's shuffle parallelism first (an explicit
-    # count, which AQE keeps)
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranked = ranked.repartition(parts, key)
-    # value of every feature at every base rank
-    values = ranked.select("_base", F.inline(F.array(*[
-        F.struct(F.lit(i).alias("_f"), F.col(f).cast("double").alias("_v"))
-        for i, f in enumerate(feats)])))
-    # permuted rank of every row, per (feature, repeat)
-    copies = ranked.select(key, F.inline(F.array(*[
-        F.struct(F.lit(i).alias("_f"), F.lit(r).alias("_r")) for i in range(len(feats))
-        for r in range(n_repeats)])))
-    h = F.md5(F.concat(F.lit("perm:"), F.element_at(names, F.col("_f") + 1), F.lit(":"),
-                       F.col("_r").cast("string"), F.lit(f":{seed}:"),
-                       F.col(key).cast("string")))
-    perm = sampling.rank_by(copies, h, key, ["_f", "_r"], out="_base")
-    permuted = perm.join(values, ["_f", "_base"]).select(key, "_f", "_r", "_v")
-    wide = permuted.join(ranked.drop("_base"), key)
-    wide = wide.select(key, label, "_f", "_r", *[
-        F.when(F.col("_f") == F.lit(i), F.col("_v")).otherwise(F.col(f).cast("double")).alias(f)
+    ranked = materialize(sampling.hash_rank(base, key, seed, "perm-base", out="_base"), "ranked")
+    donors = ranked.select("_base", *[F.col(f).cast("double").alias(f"_d{i}") for i, f in enumerate(feats)])
+    h = F.md5(F.concat(F.lit("perm:"), F.col("_r").cast("string"), F.lit(f":{seed}:"), F.col(key).cast("string")))
+    copies = ranked.drop("_base").withColumn("_r", F.explode(F.array(*[F.lit(r) for r in range(n_repeats)])))
+    permuted = sampling.rank_by(copies, h, key, ["_r"], out="_base").join(donors, "_base")
+    wide = permuted.withColumn("_f", F.explode(F.sequence(F.lit(0), F.lit(len(feats) - 1))))
+    wide = wide.select(label, "_f", "_r", *[
+        F.when(F.col("_f") == F.lit(i), F.col(f"_d{i}")).otherwise(F.col(f).cast("double")).alias(f)
         for i, f in enumerate(feats)])
     assembler = VectorAssembler(inputCols=feats, outputCol="_features")
     scored = model.transform(assembler.transform(wide))
     r2 = r2_score(scored, label, "_pred", ["_f", "_r"])
     base_r2 = r2_score(model.transform(assembler.transform(
-        base.select(key, label, *[F.col(f).cast("double").alias(f) for f in feats]))),
+        ranked.select(key, label, *[F.col(f).cast("double").alias(f) for f in feats]))),
         label, "_pred").first()["r2"]
     drops = r2.select(F.element_at(names, F.col("_f") + 1).alias("_f"),
                       (F.lit(base_r2) - F.col("r2")).alias("drop"))

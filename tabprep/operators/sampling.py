@@ -28,6 +28,8 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabprep.operators.filters import positive_class
+
 DEFAULT_SEED = 42
 PREFIX_DIGITS = 4
 BOUNDARY_ROWS = 50_000
@@ -156,13 +158,6 @@ def shuffle_order(df: DataFrame, key: str = "row_id", seed: int = DEFAULT_SEED,
     return hash_rank(df, key, seed, "shuffle", out)
 
 
-def class_counts(df: DataFrame, cond_by_class: dict) -> dict:
-    """Counts per class from one aggregate."""
-    row = df.agg(*[F.count(F.when(c, 1)).alias(str(name))
-                   for name, c in cond_by_class.items()]).first()
-    return {name: row[str(name)] for name in cond_by_class}
-
-
 def class_prefix_counts(df: DataFrame, label: str, key: str = "row_id",
                         seed: int = DEFAULT_SEED, tag: str = "balance",
                         positive=None, negative=None,
@@ -171,7 +166,7 @@ def class_prefix_counts(df: DataFrame, label: str, key: str = "row_id",
     4 x 65,536 groups): the sizes ``raw`` (every row), ``all`` (rows in
     ``scope``), ``pos`` and ``neg`` (in scope), and per class the first-level
     prefix histogram that balancing needs."""
-    pos = positive if positive is not None else F.col(label) > 0
+    pos = positive if positive is not None else positive_class(label)
     neg = negative if negative is not None else F.col(label) == 0
     cls = F.when(pos, F.lit("pos")).when(neg, F.lit("neg")).otherwise(F.lit("other"))
     if scope is not None:
@@ -198,7 +193,7 @@ def balance_classes(df: DataFrame, label: str, key: str = "row_id",
     target) are dropped. Default classes: ``label > 0`` and ``label = 0``."""
     from tabprep.sources.readers import require_classes
 
-    pos = positive if positive is not None else F.col(label) > 0
+    pos = positive if positive is not None else positive_class(label)
     neg = negative if negative is not None else F.col(label) == 0
     if counts is None:
         counts, hist = class_prefix_counts(df, label, key, seed, "balance", positive, negative)
@@ -221,7 +216,7 @@ def balance_superset(df: DataFrame, label: str, key: str, seed: int, counts: dic
     write the superset; the boundary is found on the written rows."""
     from tabprep.sources.readers import require_classes
 
-    pos = positive if positive is not None else F.col(label) > 0
+    pos = positive if positive is not None else positive_class(label)
     neg = negative if negative is not None else F.col(label) == 0
     require_classes(counts, ["pos", "neg"])
     m = min(counts["pos"], counts["neg"])

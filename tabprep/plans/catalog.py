@@ -515,9 +515,6 @@ def q_preprocessed(spark, sf_dir):
 
 
 # --------------------------------------------------------------------------- describe
-NUM_CLEAN = ["crs_dep_time", "crs_arr_time", "crs_elapsed_time", "distance", "arr_delay"]
-
-
 def _union_sql(parts: list[str]) -> str:
     return " union all ".join(f"({p})" for p in parts)
 
@@ -568,7 +565,7 @@ from (select case when min(x) = max(x) then min(x) - 0.5 else min(x) end as lo,
       from (select cast({c} as double) as x from {src} where {c} is not null)) p
 cross join (select cast(range as int) as bin from range({bins})) g
 left join (
-  select cast(least(floor((x - q.lo) / (q.hi - q.lo) * {bins}), {bins - 1}) as int) as bin,
+  select cast(least(floor((x - q.lo) / (q.hi - q.lo) * {bins} + 1e-9), {bins - 1}) as int) as bin,
          count(*) as n
   from (select cast({c} as double) as x from {src} where {c} is not null) v,
        (select case when min(cast({c} as double)) = max(cast({c} as double))
@@ -580,12 +577,12 @@ left join (
     return _union_sql(parts)
 
 
-@query("histogram_train", with_stages(_hist_sql("train4", NUM_CLEAN)))
+@query("histogram_train", with_stages(_hist_sql("ptrain", PRE_COLS)))
 def q_histogram(spark, sf_dir):
-    """A3: 30 equal-width bins per numeric column of the cleaned training
+    """A3: 30 equal-width bins of every model feature of the scaled training
     split, empty bins included; no row cap."""
-    run = _run(spark, sf_dir)
-    h = describe.histogram(run.featured.train, NUM_CLEAN, 30)
+    run = _run(spark, sf_dir, "preprocess")
+    h = describe.histogram(run.preprocessed.train, PRE_COLS, 30)
     return h.select("feature", F.col("bin").cast("int"), rnd("lo").alias("lo"),
                     rnd("hi").alias("hi"), F.col("n").cast("bigint"))
 
@@ -643,18 +640,15 @@ from (select quantile_cont({c}, 0.25) as q1, quantile_cont({c}, 0.5) as med,
     return _union_sql(parts)
 
 
-@query("box_stats_train", with_stages(_box_sql("train4", NUM_CLEAN)))
+@query("box_stats_train", with_stages(_box_sql("ptrain", PRE_COLS)))
 def q_box(spark, sf_dir):
     """A5: quartiles, whiskers (last points within 1.5 IQR) and outlier counts
-    per numeric column of the cleaned training split; no row cap."""
-    run = _run(spark, sf_dir)
-    b = describe.box_stats(run.featured.train, NUM_CLEAN)
+    of every model feature of the scaled training split; no row cap."""
+    run = _run(spark, sf_dir, "preprocess")
+    b = describe.box_stats(run.preprocessed.train, PRE_COLS)
     return _round_doubles(b)
 
 
-DENSITY_COLS = ["crs_elapsed_time", "distance", "arr_delay"]
-
-
 def _density_sql(src: str, cols: list[str], grid: int = 200) -> str:
     parts = []
     for c in cols:
@@ -666,22 +660,22 @@ from (select n, bw, mn - 3 * bw as lo, ((mx + 3 * bw) - (mn - 3 * bw)) / {grid -
                    min(cast({c} as double)) as mn, max(cast({c} as double)) as mx from {src})) p
 cross join (select range as i from range({grid})) g
 cross join (select cast({c} as double) as x, count(*) as w from {src} where {c} is not null group by 1) v
+where p.bw > 0
 group by g.i, p.lo, p.step, p.n, p.bw""")
     return _union_sql(parts)
 
 
-@query("density_train", with_stages(_density_sql("train4", DENSITY_COLS)))
+@query("density_train", with_stages(_density_sql("ptrain", PRE_COLS)))
 def q_density(spark, sf_dir):
     """Gaussian kernel density (Scott bandwidth, 200 points, 3 bandwidths
-    past the ends) of numeric columns of the cleaned training split."""
-    run = _run(spark, sf_dir)
-    d = describe.density(run.featured.train, DENSITY_COLS)
+    past the ends) of every model feature of the scaled training split."""
+    run = _run(spark, sf_dir, "preprocess")
+    d = describe.density(run.preprocessed.train, PRE_COLS)
     return d.select("feature", F.col("i").cast("int"), rnd("x").alias("x"),
                     rnd("density").alias("density"))
 
 
-CLASS_FEATURES = ["airline_code", "time_of_day", "season", "flight_type", "day_of_week", "month",
-                  "is_weekend", "is_holiday_month"]
+CLASS_FEATURES = osql.CATEGORICAL
 
 
 @query("feature_classes", with_stages(_union_sql([
@@ -770,6 +764,25 @@ def q_kruskal_events(spark, sf_dir):
     return _kruskal_spark(ev, ["event_type"], "value")
 
 
+def _battery_sql() -> str:
+    welch = _welch_sql("ftrain", hypothesis.BINARY_FEATURES)
+    rows = [f"""select feature, 'welch_t' as test, n_classes, cast(n1 + n2 as bigint) as n, statistic, df
+from ({welch})"""]
+    rows += [f"""select feature, 'kruskal' as test, n_classes, n, statistic, cast(df as double) as df
+from ({_kruskal_sql("ftrain", f, "arr_delay")})""" for f in hypothesis.MULTICLASS_FEATURES]
+    return _union_sql(rows)
+
+
+@query("battery_stats", with_stages(_battery_sql()))
+def q_battery_stats(spark, sf_dir):
+    """H3 without p-values: statistic, degrees of freedom, classes and rows of
+    every test of the battery."""
+    run = _run(spark, sf_dir)
+    t = hypothesis.run_tests(run.featured.train, "arr_delay")
+    return t.select("feature", "test", F.col("n_classes").cast("int"), F.col("n").cast("bigint"),
+                    rnd("statistic").alias("statistic"), rnd("df").alias("df"))
+
+
 @query("hypothesis_battery")
 def q_battery(spark, sf_dir):
     """H3: Welch on the binary features, Kruskal-Wallis on the multi-class
@@ -858,6 +871,37 @@ def q_projection_labels(spark, sf_dir):
     return models.projection_with(scores, lab, ["label_binary", "airline_code"])
 
 
+@query("projection_classes", with_stages("""
+select label_binary, airline_code, count(*) as n from (
+  select case when arr_delay > 15 then 1 else 0 end as label_binary, airline_code from ftrain) group by all"""))
+def q_projection_classes(spark, sf_dir):
+    """R6 without the scores: the points of each colour of the labelled
+    projection (one per training row)."""
+    p = QUERIES["projection_labels"](spark, sf_dir)
+    return p.groupBy("label_binary", "airline_code").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("pca_explained", with_stages(f"""
+select {r('sum(v)')} as total_variance, cast({len(PCA_COLS)} as int) as n_features from ({_union_sql([
+    f"select var_samp(cast({c} as double)) as v from ptrain" for c in PCA_COLS])})"""))
+def q_pca_explained(spark, sf_dir):
+    """The variance that all principal components explain together (the
+    sum of the eigenvalues equals the sum of the features' variances)."""
+    run = _run(spark, sf_dir, "preprocess")
+    model = models.fit_pca(run.preprocessed.train, PCA_COLS, len(PCA_COLS))
+    out = spark.createDataFrame([(float(v),) for v in model.explained_variance], "v double")
+    return out.agg(rnd(F.sum("v")).alias("total_variance"), F.count(F.lit(1)).cast("int").alias("n_features"))
+
+
+@query("pca_loadings")
+def q_pca_loadings(spark, sf_dir):
+    """Loadings and explained variance ratio of the first two components
+    (orthonormality and eigenvalues are checked in the tests)."""
+    run = _run(spark, sf_dir, "preprocess")
+    model = models.fit_pca(run.preprocessed.train, PCA_COLS, 2)
+    return models.pca_loadings(model, spark, PCA_COLS)
+
+
 @query("forest_importance")
 def q_forest(spark, sf_dir):
     """Random forest (10 trees, seed 42) on the scaled features and

@@ -80,13 +80,17 @@ def load_and_split(df: DataFrame, seed: int = SEED, test_size: float = TEST_SIZE
     return splits, LoadInfo(counts["all"], counts["pos"], counts["neg"], n, n_train, n_test)
 
 
-def clean(splits: Splits, threshold: float = OUTLIER_THRESHOLD) -> Splits:
+def clean(splits: Splits, threshold: float = OUTLIER_THRESHOLD, keep: bool = True) -> Splits:
     """Stage 2, in the order that matters: leakage columns go before null
-    dropping (they are empty for most completed flights)."""
+    dropping (they are empty for most completed flights). With ``keep`` the
+    deduplicated, complete rows are written, so that the outlier statistics and
+    all later passes read them instead of shuffling the duplicates again."""
     s = splits.map(filters.drop_leakage)
     feats = filters.feature_columns(s.train, KEY, LABEL)
     s = Splits(cleaning.drop_duplicate_rows(s.train, feats, KEY, LABEL), s.test)
     s = cleaning.fill_missing(s, "drop", key=KEY, label=LABEL)
+    if keep:
+        s = checkpoint(s, "complete")
     return cleaning.remove_outliers(s, threshold, key=KEY, label=LABEL)
 
 
@@ -119,7 +123,7 @@ class FlightRun(NamedTuple):
 def run_flights(df: DataFrame, through: str = "preprocess", keep: bool = True) -> FlightRun:
     """Run the stages up to ``through`` (``features`` or ``preprocess``)."""
     loaded, info = load_and_split(df, keep=keep)
-    cleaned = clean(loaded)
+    cleaned = clean(loaded, keep=keep)
     featured, hour_map = add_features(cleaned)
     if keep:
         featured = checkpoint(featured, "cleaned")

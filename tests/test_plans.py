@@ -22,20 +22,38 @@ def test_sample_n_is_one_filter_in_the_scan_stage(spark):
         assert op not in p, op
 
 
-def test_correlation_is_one_small_grouped_aggregate(spark):
+def test_correlation_reduces_rows_inside_the_scan_tasks(spark):
     orders = spark.read.parquet(f"{SF01}/orders.parquet")
     cols = ["o_totalprice", "o_custkey", "o_orderkey"]
     p = plan(describe.correlation_matrix(orders, cols))
-    # map-side partial aggregate with four functions, whatever the pair count
-    partial = [line for line in p.splitlines() if "partial_covar_pop" in line]
-    assert len(partial) == 1
-    assert len(re.findall(r"partial_\w+\(", partial[0])) == 4
+    # tasks give p x p sums, merged by one partial aggregate of four functions; no row is exploded
+    assert "MapInPandas" in p and "Generate" not in p
+    partial = [line for line in p.splitlines() if "partial_sum(n" in line]
+    assert partial and all(len(re.findall(r"partial_\w+\(", line)) == 4 for line in partial)
     # the scan reads only the named columns
     schema = re.search(r"ReadSchema: struct<([^>]*)>", p).group(1)
     assert sorted(f.split(":")[0] for f in schema.split(",")) == sorted(cols)
     assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
 
 
+def test_label_codes_are_ranked_by_range(spark, run001):
+    from tabprep.operators import ranges
+    t = spark.createDataFrame([("a", i) for i in range(500)], "column string, v int")
+    p = plan(ranges.ordered_prefix_sum(t, ["column"], ["v"], F.lit(1)))
+    windows = [line for line in p.splitlines() if "Window [" in line and "_range" not in line.split("windowspec")[0]]
+    assert not [line for line in windows if "[column#" in line and "_range" not in line]
+    got = {r["v"]: r["before"] for r in ranges.ordered_prefix_sum(t, ["column"], ["v"], F.lit(1)).collect()}
+    assert got == {i: i for i in range(500)}
+
+
+def test_duplicates_are_a_hash_aggregate_and_shuffled_once(spark, flights001):
+    from tabprep.operators import cleaning
+    feats = ["fl_date", "airline_code", "origin", "dest", "crs_dep_time", "crs_arr_time", "crs_elapsed_time",
+             "distance"]
+    df = flights001.select("row_id", "arr_delay", *feats)
+    assert "SortAggregate" not in plan(cleaning.drop_duplicate_rows(df, feats, "row_id", "arr_delay"))
+
+
 def test_column_stats_plan_does_not_grow_with_columns(spark):
     df = spark.range(100).select(*[(F.col("id") * i).cast("double").alias(f"c{i}")
                                    for i in range(40)])
