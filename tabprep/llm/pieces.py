@@ -7,7 +7,7 @@ piece is written as its UTF-8 bytes, each with ``BYTE_SCORE``.
 
 Text convention: a space marker is put before the text and stands for every
 space; a pre-token is one marker with all that follows up to the next space.
-Pieces with an inner marker are left out, so the best and the sampled
+Pieces with an inner marker or a line end are left out, so the best and the sampled
 segmentations of a text are those of its pre-tokens, one after the other. The
 file's marker is ``▁``; here it is a code point that no text can hold (a lone
 surrogate), so a ``▁`` in a text is written as bytes and decoding is exact.
@@ -45,7 +45,7 @@ def load(path: str = MODEL) -> Pieces:
     for i, p in enumerate(texts):
         if model.is_byte(i):
             byte_ids[int(p[1:-1], 16)] = i
-        elif not (model.is_control(i) or model.is_unknown(i) or FILE_SPACE in p[1:]):
+        elif not (model.is_control(i) or model.is_unknown(i) or FILE_SPACE in p[1:] or "\n" in p):
             ids[p.replace(FILE_SPACE, SPACE)] = i
     total = math.log(sum(1 / (r + 3) for r in range(len(ids))))
     scores = {p: -math.log(r + 3) - total for r, p in enumerate(ids)}

@@ -19,7 +19,7 @@ is empty, that is if the text has no further segmentation).
 Random numbers are a hash of the row key, the round, the position and the step,
 so a row's samples do not depend on its batch, partition or executor.
 
-Lattices are made once per distinct pre-token and kept for the task's next
+Lattices are made once per distinct word (see :func:`words_of`) and kept for the task's next
 blocks of texts (up to ``MAX_WORDS``), all steps are array operations over a
 block, and there is no shuffle. Decoding joins
 the pieces' bytes and gives the text back exactly.
@@ -34,8 +34,8 @@ result.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pac
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,15 +48,20 @@ ALPHA = 0.3
 #: Characters of text whose lattices and paths are in memory at a time.
 BLOCK_CHARS = 2_000_000
 #: Words whose lattices a task keeps; more are dropped and made anew when needed.
-MAX_WORDS = 200_000
+MAX_WORDS = 300_000
+#: Alternatives from which a path's cut-off is estimated.
+FIRST = 64
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (splitmix64)."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    x = x ^ (x >> np.uint64(30))
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
 
 
 def uniform(seed: np.ndarray, *parts) -> np.ndarray:
@@ -65,7 +70,10 @@ def uniform(seed: np.ndarray, *parts) -> np.ndarray:
     for p in parts:
         step = (np.atleast_1d(p).astype(np.uint64) + np.uint64(1)) * _BASE
         x = _mix(x + step)
-    return ((x >> np.uint64(11)).astype(np.float64) + 0.5) / float(1 << 53)
+    out = (x >> np.uint64(11)).astype(np.float64)
+    out += 0.5
+    out /= float(1 << 53)
+    return out
 
 
 def string_hashes(strings: list[str]) -> np.ndarray:
@@ -92,29 +100,32 @@ class Vocabulary:
                                  np.array([pieces.scores[texts[i]] for i in order]))
             self.bitmap[(h >> np.uint64(44)).astype(np.int64)] = True
 
-    def find(self, n: int, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Which of the hashes are pieces of length ``n``, their ids and scores."""
-        hashes, ids, scores = self.by_length[n]
+    def find(self, n: int, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the hashes are pieces of length ``n``, and their places in ``by_length[n]``."""
+        hashes = self.by_length[n][0]
         maybe = np.flatnonzero(self.bitmap[(h >> np.uint64(44)).astype(np.int64)])
         if not len(hashes) or not len(maybe):
-            return maybe[:0], ids[:0], scores[:0]
-        at = np.minimum(np.searchsorted(hashes, h[maybe]), len(hashes) - 1)
-        ok = hashes[at] == h[maybe]
-        return maybe[ok], ids[at[ok]], scores[at[ok]]
+            return maybe[:0], maybe[:0]
+        own = h[maybe]
+        at = np.searchsorted(hashes, own)
+        at[at == len(hashes)] = 0
+        ok = hashes[at] == own
+        return maybe[ok], at[ok]
 
 
 class Lattices:
     """The lattices of many words: nodes are numbered through, a word of ``n``
-    characters has ``n + 1``; arcs are grouped by source node, the longest first.
+    characters (its separator included) has ``n + 1``; arcs are grouped by source node, the longest first.
     Words of equal length are worked on together, as arrays of words x positions
     x piece lengths."""
 
     def __init__(self, vocab: Vocabulary, alpha: float = ALPHA):
         self.vocab, self.alpha, self.known = vocab, alpha, {}
+        self.mass = {n: np.exp(alpha * s) for n, (_, _, s) in vocab.by_length.items()}
         self.first, self.last = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.ptr = np.zeros(1, np.int64)
         self.end, self.piece = np.zeros(0, np.int32), np.zeros(0, np.int32)
-        self.logp, self.cdf = np.zeros(0), np.zeros(0, np.float32)
+        self.logp, self.cdf, self.rest = np.zeros(0), np.zeros(0, np.float32), np.zeros(0, np.float32)
 
     def index(self, words: list[str]) -> np.ndarray:
         """The numbers of distinct words, making the lattices that are missing."""
@@ -125,12 +136,12 @@ class Lattices:
 
     def _add(self, words: list[str]):
         self.known.update(zip(words, range(len(self.known), len(self.known) + len(words))))
-        size = np.fromiter(map(len, words), np.int64, len(words)) + 1
+        size = np.fromiter(map(len, words), np.int64, len(words))
         by_size = np.argsort(size, kind="stable")
-        chars = np.frombuffer("".join([pc.SPACE + words[i] for i in by_size]).encode("utf-32-le", "surrogatepass"),
+        chars = np.frombuffer("".join([words[i] for i in by_size]).encode("utf-32-le", "surrogatepass"),
                               np.uint32)
         first = np.zeros(len(words), np.int64)
-        src, dst, piece, logp, at, nodes = [], [], [], [], 0, 0
+        src, dst, piece, own, at, nodes = [], [], [], [], 0, 0
         sizes, counts = np.unique(size, return_counts=True)
         for n, mine in zip(sizes.tolist(), np.split(by_size, np.cumsum(counts)[:-1])):
             first[mine] = nodes + np.arange(len(mine)) * (n + 1)
@@ -139,13 +150,13 @@ class Lattices:
                 w = min(rows, len(mine) - a)
                 part = chars[at: at + w * n].reshape(w, n)
                 at += w * n
-                got = self._slice(part, self.vocab, self.alpha, nodes + a * (n + 1))
-                for whole, x in zip((src, dst, piece, logp), got):
+                got = self._slice(part, nodes + a * (n + 1))
+                for whole, x in zip((src, dst, piece, own), got):
                     whole.append(x)
             nodes += len(mine) * (n + 1)
-        start, end, piece, logp = (np.concatenate(x) for x in (src, dst, piece, logp))
+        start, end, piece, own = (np.concatenate(x) for x in (src, dst, piece, own))
         ptr = np.cumsum(np.bincount(start, minlength=nodes))
-        total = np.cumsum(np.exp(logp))
+        total = np.cumsum(own)
         cdf = (total - np.concatenate(([0.0], total))[np.concatenate(([0], ptr))[start]]).astype(np.float32)
         cdf[ptr[np.diff(ptr, prepend=0) > 0] - 1] = np.inf  # rounding never runs past a node's arcs
         base = len(self.ptr) - 1
@@ -154,41 +165,47 @@ class Lattices:
         self.ptr = np.concatenate((self.ptr, ptr + len(self.end)))
         self.end = np.concatenate((self.end, (end + base).astype(np.int32)))
         self.piece = np.concatenate((self.piece, piece.astype(np.int32)))
+        logp = np.log(own)
+        with np.errstate(divide="ignore"):
+            rest = np.where(own > 1 - 1e-12, -np.inf, np.log1p(-np.minimum(own, 1.0)))  # all other arcs of the node
         self.logp, self.cdf = np.concatenate((self.logp, logp)), np.concatenate((self.cdf, cdf))
+        self.rest = np.concatenate((self.rest, rest.astype(np.float32)))
 
-    @staticmethod
-    def _slice(chars: np.ndarray, vocab: Vocabulary, alpha: float, node: int):
-        """Arcs ``(source, target, piece, log-probability given the source)`` of words of one length."""
+    def _slice(self, chars: np.ndarray, node: int):
+        """Arcs ``(source, target, piece, probability given the source)`` of words of one length."""
         w, n = chars.shape
-        longest = min(n, vocab.pieces.longest)
-        score = np.full((w, n, longest), -np.inf)
+        longest = min(n, self.vocab.pieces.longest)
+        mass = np.zeros((w, n, longest))
         ids = np.zeros((w, n, longest), np.int32)
         code = chars.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(1)
         h = np.zeros((w, n), np.uint64)
         for k in range(1, longest + 1):
-            h = h[:, : n - k + 1] * _BASE + code[:, k - 1:]
-            hit, found, s = vocab.find(k, h.ravel())
+            h = h[:, : n - k + 1] * _BASE
+            h += code[:, k - 1:]
+            hit, at = self.vocab.find(k, h.ravel())
             row, col = np.divmod(hit, n - k + 1)
-            score[row, col, longest - k] = alpha * s
-            ids[row, col, longest - k] = found
-        lone = np.isneginf(score[:, :, longest - 1])               # characters without a piece: their bytes
+            cell = (row * n + col) * longest + (longest - k)
+            mass.reshape(-1)[cell] = self.mass[k][at]
+            ids.reshape(-1)[cell] = self.vocab.by_length[k][1][at]
+        lone = mass[:, :, longest - 1] == 0                         # characters without a piece: their bytes
         point = chars[lone].astype(np.int64)
         width = 1 + (point >= 0x80) + (point >= 0x800) + (point >= 0x10000)
-        score[lone, longest - 1] = alpha * pc.BYTE_SCORE * width
-        ids[lone, longest - 1] = np.where(width == 1, np.array(vocab.pieces.byte_ids)[np.minimum(point, 127)], -point)
-        beta = np.zeros((w, n + 1))
+        mass[lone, longest - 1] = np.exp(self.alpha * pc.BYTE_SCORE * width)
+        ids[lone, longest - 1] = np.where(width == 1, np.array(self.vocab.pieces.byte_ids)[np.minimum(point, 127)],
+                                          -point)
+        beta = np.ones((w, n + 1))
         for i in range(n - 1, -1, -1):                              # backward sums
             m = min(longest, n - i)
-            cand = score[:, i, longest - m:]
-            cand += beta[:, i + 1: i + m + 1][:, ::-1]
-            top = cand.max(axis=1)
-            beta[:, i] = top + np.log(np.exp(cand - top[:, None]).sum(axis=1))
-            cand -= beta[:, i: i + 1]
-        at = np.flatnonzero(score > -np.inf)
+            cand = mass[:, i, longest - m:]
+            cand *= beta[:, i + 1: i + m + 1][:, ::-1]
+            beta[:, i] = total = cand.sum(axis=1)
+            cand /= total[:, None]
+            if i % 4 == 0:                                          # only ratios within a piece's reach matter
+                beta[:, i: i + longest + 1] /= beta[:, i: i + 1].copy()
+        at = np.flatnonzero(mass)
         cell, slot = np.divmod(at, longest)
-        row, col = np.divmod(cell, n)
-        start = node + row * (n + 1) + col
-        return start, start + longest - slot, ids.ravel()[at].astype(np.int64), score.ravel()[at]
+        start = node + cell + cell // n                             # a word has one node more than characters
+        return start, start + longest - slot, ids.reshape(-1)[at].astype(np.int64), mass.reshape(-1)[at]
 
     def arcs_beside(self, arc: int) -> int:
         """How many arcs leave the node that ``arc`` leaves."""
@@ -261,17 +278,56 @@ class _Path:
         self.best = float(self.others[self.at]) if len(self.others) else -np.inf
 
 
+def words_of(texts: list[str], lat: Lattices) -> tuple[np.ndarray, np.ndarray]:
+    """The number of words of each text, and the lattice of each word. A word is a
+    separator - the marker of a space (also before the text) or a line end - and
+    what follows up to the next one. No piece has an inner separator, so a text's
+    segmentations are those of its words, one after the other."""
+    real = np.fromiter(map(bool, texts), bool, len(texts))
+    counts = np.zeros(len(texts), np.int64)
+    if not real.any():
+        return counts, counts[:0]
+    lines = pac.split_pattern(pa.array([t for t in texts if t], pa.large_string()), "\n")
+    per_text = pac.list_value_length(lines).to_numpy()
+    cut = pac.split_pattern(pac.list_flatten(lines), " ")
+    per_line = pac.list_value_length(cut).to_numpy().astype(np.int64)
+    text_line = np.cumsum(per_text) - per_text                     # the first line of each text
+    counts[real] = np.add.reduceat(per_line, text_line)
+    coded = pac.list_flatten(cut).dictionary_encode()
+    code = coded.indices.to_numpy()
+    begins = np.delete((np.cumsum(per_line) - per_line), text_line)  # words right after a line end
+    after_end = np.zeros(len(code), bool)
+    after_end[begins] = True
+    strings, which = coded.dictionary.to_pylist(), np.zeros(len(code), np.int64)
+    for mine, sep in ((~after_end, pc.SPACE), (after_end, "\n")):
+        own = code[mine]
+        used = np.flatnonzero(np.bincount(own, minlength=len(strings)))
+        place = np.zeros(len(strings), np.int64)
+        place[used] = lat.index([sep + strings[i] for i in used])
+        which[mine] = place[own]
+    return counts, which
+
+
+def contenders(before: np.ndarray, rest: np.ndarray, top: float, k: int) -> int:
+    """How many of a path's first alternatives can be among its ``k + 1`` largest
+    perturbed values. With 53-bit uniforms a perturbed value lies between 3.7
+    below and 37.5 above its log-mass (or at most 3.7 below the bound ``top``), and
+    the log-masses fall along the path, so later ones cannot win."""
+    phi = before[: len(rest)] + rest
+    phi = phi[phi > -np.inf]
+    if len(phi) <= k:
+        return len(before)
+    floor = min(float(np.partition(phi, len(phi) - k - 1)[len(phi) - k - 1]), top) - 42.0
+    return int(np.searchsorted(-before, -floor, side="right"))
+
+
 def sample_block(texts: list[str], seeds: np.ndarray, k: int, lat: Lattices):
     """Per text a list of ``(piece numbers, log_prob, perturbed, inclusion)``;
     a piece number below zero is a character to be written as bytes."""
-    cut = [pc.pre_tokens(t) for t in texts]
-    counts = np.fromiter(map(len, cut), np.int64, len(cut))
-    flat = np.array([w for c in cut for w in c], dtype=object)
-    which, distinct = pd.factorize(flat) if len(flat) else (np.zeros(0, np.int64), [])
-    which = lat.index(list(distinct))[which] if len(flat) else which
+    counts, which = words_of(texts, lat)
     begins = np.cumsum(counts) - counts
     doc = np.repeat(np.arange(len(texts)), counts)
-    place = np.arange(len(flat)) - begins[doc]
+    place = np.arange(len(which)) - begins[doc]
     seeds = seeds.astype(np.uint64)
     own_seed = _mix(seeds[doc] + (place.astype(np.uint64) + np.uint64(1)) * _BASE)
     first, last = lat.first[which], lat.last[which]
@@ -279,7 +335,7 @@ def sample_block(texts: list[str], seeds: np.ndarray, k: int, lat: Lattices):
     paths: list[list[_Path]] = [[] for _ in texts]
     for rnd in range(k):
         if rnd == 0:
-            at, heads = np.arange(len(flat)), {}
+            at, heads = np.arange(len(which)), {}
             start = first.copy()
         else:  # open the best alternative of each text's agenda
             heads = {}
@@ -308,26 +364,30 @@ def sample_block(texts: list[str], seeds: np.ndarray, k: int, lat: Lattices):
         owner, words = doc[occ], place[occ]
         bounds = np.searchsorted(owner, np.arange(len(texts) + 1))
         lp = lat.logp[arcs]
-        own = np.exp(lp)
-        with np.errstate(divide="ignore"):
-            phi = np.log1p(-np.minimum(own, 1.0))
-        phi[own > 1 - 1e-12] = -np.inf  # nothing else at this node
-        tops = g_root.copy()
+        tops, near = g_root.copy(), np.zeros(len(texts), np.int64)
+        lead = np.zeros(len(arcs))
         for i in (heads or np.flatnonzero(counts)):
             a, b = bounds[i], bounds[i + 1]
             base = 0.0
             if heads:
                 parent, t, arc, held, tops[i] = heads[i]
                 base = float(parent.before[t] + lat.logp[arc])
-            before = np.cumsum(lp[a:b])
-            phi[a:b] += base + before - lp[a:b]
-            path = _Path(arcs[a:b], words[a:b], base + before, tops[i])
+            after = base + np.cumsum(lp[a:b])
+            path = _Path(arcs[a:b], words[a:b], after, tops[i])
+            before = np.concatenate(([base], after[:-1])) if b > a else after
+            lead[a:b] = before
+            near[i] = contenders(before, lat.rest[arcs[a: min(b, a + FIRST)]], tops[i], k)
             if heads:
                 path.graft(parent, t, arc, base)
                 path.split, path.excluded = t, held[:-1]
             paths[i].append(path)
-        index = np.arange(len(arcs)) - bounds[owner] if len(arcs) else arcs
-        others = _truncated(phi, tops[owner], uniform(seeds[owner], rnd * 1_000_003 + 700_000, index))
+        # only these alternatives can still be opened or be the threshold
+        ends = np.cumsum(near)
+        who = np.repeat(np.arange(len(texts)), near)
+        index = np.arange(len(who)) - (ends - near)[who]
+        flat = bounds[who] + index
+        others = _truncated(lead[flat] + lat.rest[arcs[flat]], tops[who],
+                            uniform(seeds[who], rnd * 1_000_003 + 700_000, index))
         for i in (heads or np.flatnonzero(counts)):
             path, head = paths[i][-1], np.zeros(0)
             if heads:
@@ -337,7 +397,7 @@ def sample_block(texts: list[str], seeds: np.ndarray, k: int, lat: Lattices):
                 if left > 1e-12 and len(held) < lat.arcs_beside(arc):
                     u = uniform(seeds[i: i + 1], rnd * 1_000_003 + 900_000, t)
                     head[t:] = _truncated(np.array([parent.before[t] + np.log(left)]), top, u)
-            path.agenda(np.concatenate((head, others[bounds[i]: bounds[i + 1]])))
+            path.agenda(np.concatenate((head, others[ends[i] - near[i]: ends[i]])))
     out = []
     for i, mine in enumerate(paths):
         kappa = max((p.best for p in mine), default=-np.inf)
