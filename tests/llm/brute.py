@@ -105,3 +105,33 @@ def personal_spans(text):
     out += [(m.start(), m.end(), "phone") for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t)
             if 10 <= len(digits(m[0])) <= 15]
     return out
+
+
+def shingles(text, size=5):
+    w = alnum_words(text)
+    return frozenset(tuple(w[k:k + size]) for k in range(max(len(w) - size + 1, 1))) if w else frozenset()
+
+
+def jaccard(docs, threshold=0.8):
+    """doc_id -> (links, smallest id of the class, shingles), by all pairs that share a shingle."""
+    sets = {i: shingles(t) for i, t in docs}
+    found, holders = Counter(), {}
+    for i, s in sets.items():
+        for t in s:
+            holders.setdefault(t, []).append(i)
+    for ids in holders.values():
+        found.update((a, b) for k, a in enumerate(ids) for b in ids[k + 1:])
+    links, root = Counter(), {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for (a, b), n in found.items():
+        if n >= threshold * (len(sets[a]) + len(sets[b]) - n) - 1e-9:
+            links[a] += 1
+            links[b] += 1
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+    return {i: (links[i], find(i), len(s)) for i, s in sets.items()}
