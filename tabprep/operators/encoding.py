@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tabprep.functions.missing import present
 from tabprep.operators.cleaning import stacked_values
-from tabprep.operators.joins import BROADCAST_ROW_LIMIT
+from tabprep.operators.joins import sized_broadcast
 from tabprep.operators.ranges import ordered_prefix_sum
 from tabprep.splits import Splits
 
@@ -82,8 +82,7 @@ def apply_label_encoder(df: DataFrame, state: LabelCodes, cols: Sequence[str]) -
         else:
             table = state.codes.where(F.col("column") == c).select(
                 F.col("value").alias(f"_v_{c}"), F.col("code").alias(f"_c_{c}"))
-            if state.sizes.get(c, 0) <= BROADCAST_ROW_LIMIT:
-                table = F.broadcast(table)
+            table = sized_broadcast(table, state.sizes.get(c, 0))
             out = out.join(table, F.col(c).cast("string") == F.col(f"_v_{c}"), "left")
             code_cols[c] = F.col(f"_c_{c}")
 
@@ -102,8 +101,7 @@ def decode_labels(df: DataFrame, state: LabelCodes, cols: Sequence[str]) -> Data
     for c in cols:
         table = state.codes.where(F.col("column") == c).select(
             F.col("value").alias(f"_v_{c}"), F.col("code").alias(f"_c_{c}"))
-        if state.sizes.get(c, 0) <= BROADCAST_ROW_LIMIT:
-            table = F.broadcast(table)
+        table = sized_broadcast(table, state.sizes.get(c, 0))
         out = (out.join(table, F.col(c) == F.col(f"_c_{c}"), "left")
                .withColumn(c, F.col(f"_v_{c}")).drop(f"_v_{c}", f"_c_{c}"))
     return out.select(*df.columns)

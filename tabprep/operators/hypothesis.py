@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabprep.functions.missing import present
-from tabprep.operators import pvalues
+from tabprep.operators import filters, pvalues
 from tabprep.operators.ranges import ordered_prefix_sum
 
 @F.pandas_udf(T.DoubleType())
@@ -185,9 +185,7 @@ def run_tests(df: DataFrame, label: str = "arr_delay",
               multi: Sequence[str] = MULTICLASS_FEATURES, alpha: float = 0.05) -> DataFrame:
     """H3: Welch on the binary features, Kruskal-Wallis on the multi-class
     ones, skipping absent columns; one row per tested feature."""
-    present = set(df.columns)
-    b = [f for f in binary if f in present]
-    m = [f for f in multi if f in present]
+    b, m = filters.existing(df, binary), filters.existing(df, multi)
     parts = []
     if b:
         parts.append(_with_all(welch_t(df, b, label, alpha), b, "welch_t", "skipped: not binary"))

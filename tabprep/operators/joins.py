@@ -6,9 +6,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-# Lookups are broadcast only below this many rows; above it the join shuffles.
+# Lookups are broadcast only below this many rows and estimated bytes; above, the join shuffles.
 BROADCAST_ROW_LIMIT = 2_000_000
+BROADCAST_BYTE_LIMIT = 128 * 1024 * 1024
+#: Estimated bytes of a value: numbers and dates 8, text 40, anything else 400.
+TEXT_BYTES, OTHER_BYTES = 40, 400
+
+
+def row_bytes(schema: T.StructType) -> int:
+    """Estimated bytes of a row in a broadcast table."""
+    def width(t: T.DataType) -> int:
+        if isinstance(t, T.StringType):
+            return TEXT_BYTES
+        return OTHER_BYTES if isinstance(t, (T.ArrayType, T.MapType, T.StructType, T.BinaryType)) else 8
+    return 16 + sum(width(f.dataType) for f in schema.fields)
 
 
 def keep_rows(df: DataFrame, keys: DataFrame, key: str = "row_id") -> DataFrame:
@@ -28,10 +41,12 @@ def drop_rows(df: DataFrame, keys: DataFrame, key: str = "row_id") -> DataFrame:
 
 def sized_broadcast(small: DataFrame, n_rows: int | None = None,
                     limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
-    """Broadcast hint only when the row count is proven small."""
+    """Broadcast hint only when the counted rows, and the bytes estimated from
+    them, are small."""
     if n_rows is None:
         n_rows = small.count()
-    return F.broadcast(small) if n_rows <= limit else small
+    fits = n_rows <= limit and n_rows * row_bytes(small.schema) <= BROADCAST_BYTE_LIMIT
+    return F.broadcast(small) if fits else small
 
 
 def lookup(df: DataFrame, mapping: DataFrame, key: str, value: str, default=None,

@@ -1,9 +1,10 @@
 """Tail probabilities for the tests, on scalars (no scipy).
 
 - Student t: ``P(|T| > t) = I_{df/(df+t^2)}(df/2, 1/2)``, the regularised
-  incomplete beta by its continued fraction (modified Lentz).
-- Chi-square: ``P(X > x) = Q(k/2, x/2)``, the regularised upper incomplete
-  gamma by its series below ``a + 1`` and its continued fraction above.
+  incomplete beta function by its continued fraction (DLMF 8.17.22). For very
+  many degrees of freedom the normal tail of the expansion of t in 1/df.
+- Chi-square: ``P(X > x) = Q(k/2, x/2)``, the regularised upper incomplete gamma
+  function by its power series (DLMF 8.7.1) or continued fraction (DLMF 8.9.2).
 
 These run inside a pandas UDF over the few result rows (one per tested
 feature), never over data rows.
@@ -11,50 +12,59 @@ feature), never over data rows.
 
 from __future__ import annotations
 
+import itertools
 import math
+from typing import Iterable, Iterator
 
-_EPS = 1e-15
-_TINY = 1e-300
-_MAX_ITER = 10_000
-
-
-def _betacf(a: float, b: float, x: float) -> float:
-    qab, qap, qam = a + b, a + 1.0, a - 1.0
-    c, d = 1.0, 1.0 - qab * x / qap
-    d = 1.0 / (d if abs(d) > _TINY else _TINY)
-    h = d
-    for m in range(1, _MAX_ITER + 1):
-        m2 = 2 * m
-        aa = m * (b - m) * x / ((qam + m2) * (a + m2))
-        d = 1.0 + aa * d
-        d = 1.0 / (d if abs(d) > _TINY else _TINY)
-        c = 1.0 + aa / c
-        c = c if abs(c) > _TINY else _TINY
-        h *= d * c
-        aa = -(a + m) * (qab + m) * x / ((a + m2) * (qap + m2))
-        d = 1.0 + aa * d
-        d = 1.0 / (d if abs(d) > _TINY else _TINY)
-        c = 1.0 + aa / c
-        c = c if abs(c) > _TINY else _TINY
-        delta = d * c
-        h *= delta
-        if abs(delta - 1.0) < _EPS:
+PRECISION = 1e-15
+SMALLEST = 1e-300
+#: Degrees of freedom from which the expansion around the normal tail is exact
+#: to double precision, and half of them from which gamma ratios are expanded.
+NORMAL_DF = 1e6
+EXPAND_FROM = 500.0
+
+
+def continued_fraction(terms: Iterable[tuple[float, float]]) -> float:
+    """``a1 / (b1 + a2 / (b2 + ...))`` of the pairs ``(a, b)``, by the ratio
+    recurrence of successive numerators and denominators."""
+    value = upper = SMALLEST
+    lower = 0.0
+    for a, b in terms:
+        lower = 1.0 / (b + a * lower or SMALLEST)
+        upper = b + a / upper or SMALLEST
+        value *= upper * lower
+        if abs(upper * lower - 1.0) < PRECISION:
             break
-    return h
+    return value
+
+
+def _beta_terms(a: float, b: float, x: float) -> Iterator[tuple[float, float]]:
+    yield 1.0, 1.0
+    for m in range(10_000):
+        yield -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1)), 1.0
+        yield (m + 1) * (b - m - 1) * x / ((a + 2 * m + 1) * (a + 2 * m + 2)), 1.0
+
+
+def _ln_gamma_step(a: float) -> float:
+    """``ln Gamma(a + 1/2) - ln Gamma(a)``; for large ``a`` by its asymptotic
+    series, where the difference of two large logarithms would lose digits."""
+    if a < EXPAND_FROM:
+        return math.lgamma(a + 0.5) - math.lgamma(a)
+    return 0.5 * math.log(a) - 1 / (8 * a) + 1 / (192 * a ** 3) - 1 / (640 * a ** 5)
 
 
 def betainc(a: float, b: float, x: float) -> float:
     """Regularised incomplete beta ``I_x(a, b)``."""
-    if x <= 0.0:
-        return 0.0
-    if x >= 1.0:
-        return 1.0
-    ln_front = (math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)
-                + a * math.log(x) + b * math.log1p(-x))
-    front = math.exp(ln_front)
-    if x < (a + 1.0) / (a + b + 2.0):
-        return front * _betacf(a, b, x) / a
-    return 1.0 - front * _betacf(b, a, 1.0 - x) / b
+    if x <= 0.0 or x >= 1.0:
+        return float(x >= 1.0)
+    if x * (a + b + 2.0) > a + 1.0:  # the fraction converges fast on the other side
+        return 1.0 - betainc(b, a, 1.0 - x)
+    if b == 0.5 or a == 0.5:
+        ln_beta = 0.5 * math.log(math.pi) - _ln_gamma_step(a if b == 0.5 else b)
+    else:
+        ln_beta = math.lgamma(a) + math.lgamma(b) - math.lgamma(a + b)
+    weight = math.exp(a * math.log(x) + b * math.log1p(-x) - ln_beta) / a
+    return weight * continued_fraction(_beta_terms(a, b, x))
 
 
 def t_two_sided_p(t: float | None, df: float | None) -> float | None:
@@ -63,6 +73,10 @@ def t_two_sided_p(t: float | None, df: float | None) -> float | None:
         return None
     if math.isinf(t):
         return 0.0
+    t = abs(t)
+    if df >= NORMAL_DF and t ** 4 < df:
+        z = t - (t ** 3 + t) / (4 * df) + (13 * t ** 5 + 8 * t ** 3 + 3 * t) / (96 * df * df)
+        return math.erfc(z / math.sqrt(2))
     return betainc(df / 2.0, 0.5, df / (df + t * t))
 
 
@@ -70,34 +84,16 @@ def gammaincc(a: float, x: float) -> float:
     """Regularised upper incomplete gamma ``Q(a, x)``."""
     if x <= 0.0:
         return 1.0
-    ln_front = -x + a * math.log(x) - math.lgamma(a)
-    if x < a + 1.0:
-        term = total = 1.0 / a
-        ap = a
-        for _ in range(_MAX_ITER):
-            ap += 1.0
-            term *= x / ap
-            total += term
-            if abs(term) < abs(total) * _EPS:
-                break
-        return max(0.0, 1.0 - total * math.exp(ln_front))
-    b = x + 1.0 - a
-    c = 1.0 / _TINY
-    d = 1.0 / b
-    h = d
-    for i in range(1, _MAX_ITER + 1):
-        an = -i * (i - a)
-        b += 2.0
-        d = an * d + b
-        d = d if abs(d) > _TINY else _TINY
-        c = b + an / c
-        c = c if abs(c) > _TINY else _TINY
-        d = 1.0 / d
-        delta = d * c
-        h *= delta
-        if abs(delta - 1.0) < _EPS:
-            break
-    return math.exp(ln_front) * h
+    weight = math.exp(a * math.log(x) - x - math.lgamma(a))
+    if x > a + 1.0:
+        return weight * continued_fraction(
+            (1.0, x + 1.0 - a) if k == 0 else (k * (a - k), x + 2 * k + 1.0 - a) for k in range(10_000))
+    total = term = 1.0 / a
+    for k in itertools.count(1):
+        term *= x / (a + k)
+        total += term
+        if term < total * PRECISION:
+            return max(0.0, 1.0 - weight * total)
 
 
 def chi2_sf(x: float | None, df: float | None) -> float | None:

@@ -32,7 +32,9 @@ from tabprep.plans import flights as fl
 from tabprep.plans import oracle_sql as osql
 from tabprep.plans.oracle_sql import r, with_flights, with_stages
 from tabprep.sources import checkpoint as ck
+from tabprep.session import new_path
 from tabprep.sources.fixtures import flights_view, table
+from tabprep.sources.readers import read_flights
 from tabprep.splits import Splits
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -132,6 +134,33 @@ def q_flights_scan(spark, sf_dir):
     return _round_doubles(flights_view(spark, sf_dir))
 
 
+ORDER_SCAN_SQL = f"""select o_orderkey, o_custkey, {r('o_totalprice')} as o_totalprice, o_orderpriority,
+  cast(o_orderdate as varchar) as o_orderdate from orders"""
+
+
+def _order_scan(df: DataFrame) -> DataFrame:
+    return df.select(F.col("o_orderkey").cast("bigint"), F.col("o_custkey").cast("bigint"),
+                     rnd(F.col("o_totalprice").cast("double")).alias("o_totalprice"), "o_orderpriority",
+                     F.col("o_orderdate").cast("string").alias("o_orderdate"))
+
+
+@query("scan_parquet", ORDER_SCAN_SQL)
+def q_scan_parquet(spark, sf_dir):
+    """A native table through the guarded Parquet scan."""
+    return _order_scan(read_flights(spark, f"{sf_dir.rstrip('/')}/orders.parquet", fmt="parquet"))
+
+
+@query("scan_csv", ORDER_SCAN_SQL)
+def q_scan_csv(spark, sf_dir):
+    """A native table written as CSV files and scanned again, the column
+    types found by one pass over the whole files."""
+    path = new_path(spark, "orders-csv")
+    (table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority",
+                                           F.col("o_orderdate").cast("string").alias("o_orderdate"))
+     .write.option("header", True).csv(path))
+    return _order_scan(read_flights(spark, path, fmt="csv"))
+
+
 @query("stage_shapes", with_stages("""
 select 'loaded' as stage, 'train' as split, count(*) as n_rows, 12 as n_cols from train0
 union all select 'loaded', 'test', count(*), 12 from test0
@@ -302,8 +331,10 @@ def q_lookup(spark, sf_dir):
     """J4 / E4 apply: the training hour map looked up for the test split, with
     the mean of hour means for unseen hours."""
     run = _run(spark, sf_dir)
-    return run.featured.test.select("row_id", "crs_dep_hour",
-                                    rnd("avg_delay_per_hour").alias("avg_delay_per_hour"))
+    hours = run.hour_map
+    found = joins.lookup(run.featured.test.drop(hours.value), hours.mapping, hours.key, hours.value,
+                         default=hours.default, n_mapping_rows=hours.n_keys)
+    return found.select("row_id", "crs_dep_hour", rnd("avg_delay_per_hour").alias("avg_delay_per_hour"))
 
 
 @query("union_splits", with_stages("""
@@ -502,6 +533,19 @@ def q_minmax(spark, sf_dir):
 PRE_COLS = osql.NUMERICAL + osql.CATEGORICAL
 
 
+@query("outlier_flags_nan", """
+with v as (select event_id, case when event_id % 17 = 0 then null else cast(value as double) end as x from events),
+s as (select avg(x) as m, stddev_samp(x) as d from v)
+select event_id, coalesce(abs((x - m) / nullif(d, 0)) > 2.0, false) as is_outlier from v, s""")
+def q_outliers_nan(spark, sf_dir):
+    """C9 on a native table with planted NaN: a missing value never flags and
+    leaves the other rows' z-scores alone."""
+    ev = table(spark, sf_dir, "events").select(
+        "event_id", F.when(F.col("event_id") % 17 == 0, F.lit(float("nan"))).otherwise(
+            F.col("value").cast("double")).alias("x"))
+    return cleaning.outlier_flags(ev, ["x"], 2.0, key="event_id").select("event_id", "is_outlier")
+
+
 @query("preprocessed", with_stages(
     _sql_round_cols(PRE_COLS + ["arr_delay"], ["'train' as split", "row_id", "fl_date"], "ptrain")
     + " union all " +

@@ -10,6 +10,7 @@ local (tests, the benchmark) is a fresh temporary folder set instead.
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -79,20 +80,22 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
     Cuts the lineage (later jobs start from the files, so a lost executor only
     costs re-reading them) and gives the optimizer real size statistics for
-    its broadcast decisions.
+    its broadcast decisions. The folder is removed when the session's JVM ends.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.mode("overwrite").parquet(path)
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
     return spark.read.parquet(path)
 
 
-def is_local(spark: SparkSession) -> bool:
-    return (spark.sparkContext.master or "").startswith("local")
-
-
-def env_int(name: str, default: int) -> int:
-    try:
-        return int(os.environ.get(name, default))
-    except ValueError:
-        return default
+def ship_package(spark: SparkSession) -> str:
+    """Send this package to the executors as a zip file, for clusters on which it
+    is not installed (the Arrow functions are found there by import). Call it
+    once per session; returns the zip's path on the driver."""
+    root = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="tabprep-ship-")
+    archive = shutil.make_archive(os.path.join(folder, "tabprep"), "zip", os.path.dirname(root), "tabprep")
+    spark.sparkContext.addPyFile(archive)
+    return archive
