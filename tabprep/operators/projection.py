@@ -21,13 +21,20 @@ holds more than ``block_rows`` queries and ``block_rows`` candidates; each
 block emits its local k best per query, and a final per-query window keeps
 the k best of those (the global top k is always among the block top k lists).
 
-Exact by construction; the work is the pruned candidate pairs, not n².
+Exact by construction. In few dimensions (up to ``LOW_DIMENSIONS``) there are
+``8 sqrt(n)`` pivots, so cells and the distances to pivots both grow as n^1.5 and
+the work is the pruned candidate pairs. In many dimensions the triangle
+inequality prunes next to nothing; exact neighbours are then all pairs, and one
+cell in bounded query x candidate blocks (no replication by pivots) is the
+cheapest exact plan.
 """
 
 from __future__ import annotations
 
 from typing import Sequence
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -36,6 +43,16 @@ from pyspark.sql import functions as F
 from tabprep.operators import sampling
 
 SALTS = 64
+LOW_DIMENSIONS = 6
+#: Pivots per square root of the rows in few dimensions.
+PIVOTS = 8
+#: Entries of a distance matrix that a task holds at a time.
+MATRIX = 4_000_000
+
+
+def _within(counts: np.ndarray) -> np.ndarray:
+    """0..c-1 for every count c, one after the other."""
+    return np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
 
 
 def _vectors(df: DataFrame, features: Sequence[str] | str, key: str) -> DataFrame:
@@ -50,15 +67,17 @@ def _vectors(df: DataFrame, features: Sequence[str] | str, key: str) -> DataFram
 
 def knn_graph(df: DataFrame, features: Sequence[str] | str, k: int = 15,
               key: str = "row_id", n_pivots: int | None = None,
-              rows_per_cell: int = 2000, seed: int = 42,
-              block_rows: int = 20_000) -> DataFrame:
+              seed: int = 42, block_rows: int | None = None, report: dict | None = None) -> DataFrame:
     """``src, dst, rank, dist``: the k nearest other rows of every row
-    (Euclidean; ties by ``dst``)."""
+    (Euclidean; ties by ``dst``). Blocks hold at most 20,000 rows and at least
+    a quarter of a small table. ``report`` receives the rows and compared pairs."""
     data = _vectors(df, features, key)
     n = data.count()
     if n <= 1:
         return df.sparkSession.createDataFrame([], "src bigint, dst bigint, rank int, dist double")
-    p_count = n_pivots or int(min(1024, max(1, n // rows_per_cell)))
+    dimensions = len(data.first()["_v"])
+    p_count = n_pivots or (min(n, PIVOTS * math.isqrt(n)) if dimensions <= LOW_DIMENSIONS else 1)
+    block_rows = block_rows or min(20_000, max(256, -(-n // 4)))
     pivot_rows = sampling.sample_n(data, p_count, "_key", seed, "pivot").collect()
     pivots = np.array([r["_v"] for r in sorted(pivot_rows, key=lambda r: r["_key"])], dtype=float)
     kk = k + 1
@@ -67,16 +86,21 @@ def knn_graph(df: DataFrame, features: Sequence[str] | str, k: int = 15,
         return np.sqrt(np.maximum(
             (v * v).sum(1)[:, None] - 2 * v @ pivots.T + (pivots * pivots).sum(1)[None, :], 0.0))
 
+    def slices(v: np.ndarray):
+        size = max(1, MATRIX // len(pivots))
+        return (v[a: a + size] for a in range(0, len(v), size))
+
     def stats(batches):
         best = None
         rmax = np.zeros(len(pivots))
         for pdf in batches:
-            v = np.stack(pdf["_v"].to_numpy()).astype(float)
-            d = dist_to_pivots(v)
-            own = d.argmin(1)
-            np.maximum.at(rmax, own, d[np.arange(len(own)), own])
-            part = np.sort(d, axis=0)[:kk]
-            best = part if best is None else np.sort(np.vstack([best, part]), axis=0)[:kk]
+            every = np.stack(pdf["_v"].to_numpy()).astype(float)
+            for v in slices(every):
+                d = dist_to_pivots(v)
+                own = d.argmin(1)
+                np.maximum.at(rmax, own, d[np.arange(len(own)), own])
+                part = np.sort(d, axis=0)[:kk]
+                best = part if best is None else np.sort(np.vstack([best, part]), axis=0)[:kk]
         if best is None:
             return
         rows = [(int(a), int(j), float(best[j, a])) for a in range(len(pivots))
@@ -121,9 +145,10 @@ def knn_graph(df: DataFrame, features: Sequence[str] | str, k: int = 15,
         q = np.zeros(len(pivots), dtype=np.int64)
         c = np.zeros(len(pivots), dtype=np.int64)
         for pdf in batches:
-            own, hit = targets(np.stack(pdf["_v"].to_numpy()).astype(float))
-            np.add.at(q, own, 1)
-            c += hit.sum(0)
+            for v in slices(np.stack(pdf["_v"].to_numpy()).astype(float)):
+                own, hit = targets(v)
+                np.add.at(q, own, 1)
+                c += hit.sum(0)
         yield pd.DataFrame({"cell": np.arange(len(pivots), dtype=np.int32), "q": q, "c": c})
 
     sizes = (data.mapInPandas(cell_sizes, "cell int, q long, c long").groupBy("cell")
@@ -134,43 +159,39 @@ def knn_graph(df: DataFrame, features: Sequence[str] | str, k: int = 15,
         q_chunks[r["cell"]] = max(1, -(-int(r["q"]) // block_rows))
         c_chunks[r["cell"]] = max(1, -(-int(r["c"]) // block_rows))
 
+    if report is not None:
+        report.update(rows=n, pairs=sum(int(r["q"]) * int(r["c"]) for r in sizes))
+
     def route(batches):
         for pdf in batches:
-            keys = pdf["_key"].to_numpy()
-            vals = pdf["_v"].to_numpy()
-            own, hit = targets(np.stack(vals).astype(float))
-            rows_i, cells = np.nonzero(hit)
-            is_own = cells == own[rows_i]
-            simple = (q_chunks[cells] == 1) & (c_chunks[cells] == 1)
-            # cells of one block: one row per (row, cell), vectorized
-            yield pd.DataFrame({
-                "cell": cells[simple].astype("int32"), "qc": np.zeros(simple.sum(), "int32"),
-                "cc": np.zeros(simple.sum(), "int32"), "query": is_own[simple],
-                "cand": np.ones(simple.sum(), bool), "_key": keys[rows_i[simple]],
-                "_v": vals[rows_i[simple]]})
-            if simple.all():
-                continue
-            # oversized cells: a query meets every candidate block, a candidate
-            # every query block (blocks chosen by a hash of the key)
+            keys, vals = pdf["_key"].to_numpy(), pdf["_v"].to_numpy()
             mix = (keys.astype(np.int64) * 0x9E3779B1) & 0x7FFFFFFF
-            out = {"cell": [], "qc": [], "cc": [], "query": [], "cand": [], "_key": [], "_v": []}
-
-            def emit(a, qc, cc, query, cand, i):
-                out["cell"].append(a); out["qc"].append(qc); out["cc"].append(cc)
-                out["query"].append(query); out["cand"].append(cand)
-                out["_key"].append(keys[i]); out["_v"].append(vals[i])
-
-            for i, a, mine in zip(rows_i[~simple], cells[~simple], is_own[~simple]):
-                qn, cn = int(q_chunks[a]), int(c_chunks[a])
-                cy = int(mix[i] % cn)
-                qy = int(mix[i] % qn) if mine else -1
-                if mine:
-                    for cc in range(cn):
-                        emit(a, qy, cc, True, cc == cy, i)
-                for qc in range(qn):
-                    if qc != qy:
-                        emit(a, qc, cy, False, True, i)
-            yield pd.DataFrame(out).astype({"cell": "int32", "qc": "int32", "cc": "int32"})
+            first = 0
+            for v in slices(np.stack(vals).astype(float)):
+                own, hit = targets(v)
+                rows, cells = np.nonzero(hit)
+                mine = cells == own[rows]
+                rows = rows + first
+                first += len(v)
+                qn, cn = q_chunks[cells], c_chunks[cells]
+                cy = mix[rows] % cn
+                qy = np.where(mine, mix[rows] % qn, -1)
+                # a query meets every candidate block of its cell, a candidate
+                # every query block (blocks chosen by a hash of the key)
+                asks = np.repeat(np.flatnonzero(mine), cn[mine])
+                block = _within(cn[mine])
+                offers = np.repeat(np.arange(len(rows)), qn)
+                query = _within(qn)
+                other = query != qy[offers]  # the own block's row is a candidate already
+                offers, query = offers[other], query[other]
+                at = np.concatenate((asks, offers))
+                yield pd.DataFrame({
+                    "cell": cells[at].astype("int32"),
+                    "qc": np.concatenate((qy[asks], query)).astype("int32"),
+                    "cc": np.concatenate((block, cy[offers])).astype("int32"),
+                    "query": np.arange(len(at)) < len(asks),
+                    "cand": np.concatenate((block == cy[asks], np.ones(len(offers), bool))),
+                    "_key": keys[rows[at]], "_v": vals[rows[at]]})
 
     routed = data.mapInPandas(
         route, "cell int, qc int, cc int, query boolean, cand boolean, _key bigint, "
@@ -181,31 +202,29 @@ def knn_graph(df: DataFrame, features: Sequence[str] | str, k: int = 15,
         qry = pdf[pdf["query"].to_numpy()]
         out = []
         if len(cand) == 0 or len(qry) == 0:
-            return pd.DataFrame(out, columns=["src", "dst", "rank", "dist"])
+            return pd.DataFrame(out, columns=["src", "dst", "dist"])
         ckeys = cand["_key"].to_numpy()
         cvecs = np.stack(cand["_v"].to_numpy()).astype(float)
         qkeys = qry["_key"].to_numpy()
         qvecs = np.stack(qry["_v"].to_numpy()).astype(float)
         cnorm = (cvecs * cvecs).sum(1)
-        for s0 in range(0, len(qkeys), 512):
-            qv, qk = qvecs[s0:s0 + 512], qkeys[s0:s0 + 512]
-            d2 = (qv * qv).sum(1)[:, None] - 2 * qv @ cvecs.T + cnorm[None, :]
-            d = np.sqrt(np.maximum(d2, 0.0))
+        size = max(1, MATRIX // len(ckeys))
+        for a in range(0, len(qkeys), size):
+            qv, qk = qvecs[a: a + size], qkeys[a: a + size]
+            d = np.sqrt(np.maximum((qv * qv).sum(1)[:, None] - 2 * qv @ cvecs.T + cnorm[None, :], 0.0))
             d[qk[:, None] == ckeys[None, :]] = np.inf            # not its own neighbour
-            for row in range(len(qk)):
-                finite = np.isfinite(d[row]).sum()
-                m = min(k, int(finite))
-                if m <= 0:
-                    continue
-                # select with the fast expanded form, with a margin, then rank
-                # the few survivors by exact distance (ties by key)
-                t = np.partition(d[row], m - 1)[m - 1]
-                near = np.nonzero(d[row] <= t * (1 + 1e-6) + 1e-9)[0]
-                exact = np.sqrt(((cvecs[near] - qv[row]) ** 2).sum(1))
-                order = np.lexsort((ckeys[near], exact))[:m]
-                for j in order:
-                    out.append((int(qk[row]), int(ckeys[near][j]), float(exact[j])))
-        return pd.DataFrame(out, columns=["src", "dst", "dist"])
+            # select with the fast expanded form, with a margin, then rank the
+            # few survivors by exact distance (ties by key)
+            m = min(k, len(ckeys)) - 1
+            bound = np.partition(d, m, axis=1)[:, m]
+            bound = np.where(np.isfinite(bound), bound * (1 + 1e-6) + 1e-9, np.finfo(float).max)
+            row, col = np.nonzero(d <= bound[:, None])
+            exact = np.sqrt(((cvecs[col] - qv[row]) ** 2).sum(1))
+            order = np.lexsort((ckeys[col], exact, row))
+            row, col, exact = row[order], col[order], exact[order]
+            near = _within(np.bincount(row, minlength=len(qk))) < k
+            out.append(pd.DataFrame({"src": qk[row[near]], "dst": ckeys[col[near]], "dist": exact[near]}))
+        return pd.concat(out)
 
     local = routed.groupBy("cell", "qc", "cc").applyInPandas(
         nearest, "src bigint, dst bigint, dist double")

@@ -956,6 +956,23 @@ def q_forest(spark, sf_dir):
     return models.permutation_importance(model, train, PRE_COLS, "arr_delay", 2)
 
 
+@query("knn_parts", """
+with p as (select p_partkey as id, cast(p_retailprice as double) as x, cast(p_size as double) * 20 as y from part)
+select src, dst, cast(rank as int) as rank, dist from (
+  select a.id as src, b.id as dst, round(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)), 6) + 0.0 as dist,
+    row_number() over (partition by a.id order by
+      sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)), b.id) as rank
+  from p a join p b on a.id <> b.id) where rank <= 5""")
+def q_knn_parts(spark, sf_dir):
+    """R7 in two dimensions (price and scaled size of parts), where the pivot
+    cells prune nearly all pairs."""
+    p = table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("id"), F.col("p_retailprice").cast("double").alias("x"),
+        (F.col("p_size").cast("double") * 20).alias("y"))
+    g = projection.knn_graph(p, ["x", "y"], 5, key="id")
+    return g.select("src", "dst", F.col("rank").cast("int"), rnd("dist").alias("dist"))
+
+
 @query("knn_graph", """
 select src, dst, cast(rank as int) as rank, dist from (
   select a.vec_id as src, b.vec_id as dst,

@@ -69,3 +69,10 @@ def test_knn_graph_has_no_pairwise_product(spark):
     p = plan(projection.knn_graph(emb, "embedding", 5, key="vec_id"))
     assert "CartesianProduct" not in p
     assert "BroadcastNestedLoopJoin" not in p
+
+
+def test_knn_cells_prune_in_few_dimensions(spark):
+    report = {}
+    points = spark.range(3000).select("id", F.rand(3).alias("x"), F.rand(4).alias("y"))
+    projection.knn_graph(points, ["x", "y"], 5, key="id", report=report)
+    assert report["rows"] == 3000 and report["pairs"] < 0.1 * 3000 ** 2
