@@ -15,6 +15,7 @@ skew (a value held by a third of the rows is one bucket with min = max).
 
 from __future__ import annotations
 
+import datetime
 import math
 import sys
 from typing import Sequence
@@ -23,6 +24,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BUCKETS = 4096
 # driver-side bounds per selection pass: rows of the bucket table and
@@ -226,6 +228,32 @@ def describe_table(df: DataFrame, cols: Sequence[str], approx: bool = False) ->
               "q25 double, q50 double, q75 double, max double")
 
 
+def describe_dates(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """A2 for date and timestamp columns: ``feature, count, mean, min, q25, q50,
+    q75, max`` as timestamp texts (to the second, UTC), by the same passes over
+    the days since 1970-01-01. A column without values has NULLs."""
+    types = {f.name: f.dataType for f in df.schema.fields}
+
+    def days(c: str) -> Column:
+        if isinstance(types[c], T.DateType):
+            return F.datediff(F.col(c), F.lit("1970-01-01").cast("date")).cast("double")
+        return F.unix_micros(F.col(c).cast("timestamp")) / F.lit(86_400e6)
+
+    def text(v: float | None) -> str | None:
+        if v is None:
+            return None
+        moment = datetime.datetime(1970, 1, 1) + datetime.timedelta(seconds=round(v * 86_400))
+        return moment.strftime("%Y-%m-%d %H:%M:%S")
+
+    numbers = df.select(*[days(c).alias(c) for c in cols])
+    stats = column_stats(numbers, cols)
+    q = exact_quantiles(numbers, cols, [0.25, 0.5, 0.75], stats)
+    rows = [(c, int(stats[c]["n"]), *map(text, (stats[c]["mean"], stats[c]["min"], *q[c], stats[c]["max"])))
+            for c in cols]
+    return df.sparkSession.createDataFrame(
+        rows, "feature string, count bigint, mean string, min string, q25 string, q50 string, q75 string, max string")
+
+
 def _f(v) -> float | None:
     return None if v is None else float(v)
 

@@ -596,6 +596,25 @@ def q_describe(spark, sf_dir):
         F.col("count").cast("bigint"), "mean", "std", "min", "q25", "q50", "q75", "max"))
 
 
+def _date_sql(split: str, src: str) -> str:
+    day = "datediff('day', date '1970-01-01', cast(fl_date as date))"
+    text = lambda v: (f"strftime(make_timestamp(cast(round({v} * 86400) * 1000000 as bigint)), "
+                      "'%Y-%m-%d %H:%M:%S')")
+    return f"""select '{split}' as split, 'fl_date' as feature, count(fl_date) as count, {text(f'avg({day})')} as mean,
+  {text(f'min({day})')} as min, {text(f'quantile_cont({day}, 0.25)')} as q25,
+  {text(f'quantile_cont({day}, 0.5)')} as q50, {text(f'quantile_cont({day}, 0.75)')} as q75,
+  {text(f'max({day})')} as max from {src}"""
+
+
+@query("describe_dates", with_stages(_union_sql([_date_sql("train", "ptrain"), _date_sql("test", "ptest")])))
+def q_describe_dates(spark, sf_dir):
+    """A2 of the date column of both splits."""
+    run = _run(spark, sf_dir, "preprocess")
+    parts = [describe.describe_dates(d, ["fl_date"]).select(F.lit(n).alias("split"), "*")
+             for n, d in run.preprocessed.items()]
+    return parts[0].unionByName(parts[1])
+
+
 def _hist_sql(src: str, cols: list[str], bins: int = 30) -> str:
     parts = []
     for c in cols:
