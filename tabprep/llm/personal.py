@@ -15,10 +15,12 @@ every text. An estimate needs ``MIN_SUPPORT`` distinct texts in which t and e
 stand together: what stands beside an entity once or twice is no evidence.
 
 *Plan.* One Arrow pass finds entities and their context words (a bounded number
-of rows per occurrence, so no pairs within a group are formed); grouped counts
-over distinct texts; terms with enough support are few and are looked up in all
-documents by one scan with an equi-join (broadcast below a counted size); the
-last pass marks base spans and the disclosing terms that its text holds.
+of rows per occurrence, so no pairs within a group are formed). The number of
+texts with a term is one grouped count over the distinct terms of all texts; it
+is reduced to the terms that have a pair with enough support. Only the terms
+that then disclose something - rare ones, since a frequent term cannot reach the
+threshold - are looked up in the texts (an equi-join, broadcast below a counted
+size). The last pass marks base spans and the disclosing terms of its text.
 
 Defined results: a null text is an empty one (no span); equal texts count once
 in all statistics and have equal spans; repeated rows stay repeated; other
@@ -95,6 +97,15 @@ def term_of(word: str) -> str:
     return word.strip(".,;:!?\"'()[]<>#*$%&|").lower()
 
 
+def text_terms(text: str):
+    """The distinct terms of a text as a column: marks beside white space are
+    taken off, so are those at both ends."""
+    marks = r"""[.,;:!?"'()\[\]<>#*$%&|]+"""
+    bare = F.regexp_replace(text, rf"(^|[\x20\x09-\x0D]){marks}", " ")
+    bare = F.regexp_replace(bare, rf"{marks}(?=[\x20\x09-\x0D]|$)", "")
+    return F.array_distinct(words(F.lower(bare), SPACE_GAP))
+
+
 def _contexts(context: int):
     """``tkey, text`` -> one row per entity occurrence and distinct nearby term."""
     def run(batches):
@@ -132,13 +143,17 @@ def _contexts(context: int):
 
 def disclosure(docs: DataFrame, text: str = "text", context: int = CONTEXT, min_support: int = MIN_SUPPORT,
                generalise: float = GENERALISE, remove: float = REMOVE) -> tuple[DataFrame, DataFrame]:
-    """``docs`` with ``tkey`` -> the disclosing terms ``(term, disclosure, action)``
+    """``docs`` with ``doc_id, tkey, text`` -> the disclosing terms ``(term, disclosure, action)``
     and ``(tkey, terms)`` of the texts that hold some."""
     spark = docs.sparkSession
     seen = materialize(docs.select("tkey", F.coalesce(F.col(text), F.lit("")).alias("text"))
                        .mapInArrow(_contexts(context), "tkey string, entity string, term string")
                        .distinct(), "personal-context")
-    texts = docs.select("tkey").distinct().count()
+    # copies of a text count once: its first row does, by its share among repeated rows
+    rows = docs.groupBy("tkey", "doc_id").agg(F.count("*").alias("c")).groupBy("tkey").agg(
+        F.sum("c").alias("m"), F.min(F.struct("doc_id", "c")).alias("first"))
+    rows = materialize(rows.select("tkey", "m", "first.*"), "personal-keys")
+    texts, copied = rows.agg(F.count("*"), F.count(F.when(F.col("m") > 1, 1))).first()
     per_entity = seen.groupBy("entity").agg(F.countDistinct("tkey").alias("n_e"))
     pairs = (seen.filter("term is not null").groupBy("entity", "term").agg(F.count("*").alias("n_te"))
              .filter(F.col("n_te") >= min_support).join(per_entity, "entity"))
@@ -148,12 +163,14 @@ def disclosure(docs: DataFrame, text: str = "text", context: int = CONTEXT, min_
     if not n_wanted:
         return (spark.createDataFrame([], "term string, disclosure double, action string"),
                 spark.createDataFrame([], "tkey string, terms array<string>"))
-    marks = r"""^[.,;:!?"'()\[\]<>#*$%&|]+|[.,;:!?"'()\[\]<>#*$%&|]+$"""
-    all_words = docs.select("tkey", F.explode_outer(words(text, SPACE_GAP)).alias("word"))
-    held = materialize(all_words.select("tkey", F.lower(F.regexp_replace("word", marks, "")).alias("term"))
-                       .join(small_or_shuffled(wanted, n_wanted), "term", "left_semi")
-                       .groupBy("term", "tkey").agg(F.lit(1).alias("one")), "personal-terms")
-    per_term = held.groupBy("term").agg(F.count("*").alias("n_t"))
+    copies = rows.filter("m > 1").select("tkey", F.col("doc_id").alias("_first"), "c")
+    weight = F.when(F.col("c").isNull(), 1.0).when(F.col("doc_id").eqNullSafe(F.col("_first")), 1.0 / F.col("c")
+                                                   ).otherwise(0.0)
+    weighed = (docs.join(small_or_shuffled(copies, copied), "tkey", "left").select("text", weight.alias("weight"))
+               .filter("weight > 0"))
+    per_term = (weighed.select("weight", F.explode(text_terms("text")).alias("term"))
+                .groupBy("term").agg(F.round(F.sum("weight")).cast("long").alias("n_t"))
+                .join(small_or_shuffled(wanted, n_wanted), "term", "left_semi"))
     info = F.log2(F.lit(float(max(texts, 1))) / F.col("n_e"))
     mutual = F.log2(F.lit(float(max(texts, 1))) * F.col("n_te") / (F.col("n_t") * F.col("n_e")))
     terms = (pairs.join(per_term, "term").withColumn("disclosure", F.when(info > 0, mutual / info))
@@ -161,8 +178,9 @@ def disclosure(docs: DataFrame, text: str = "text", context: int = CONTEXT, min_
              .filter(F.col("disclosure") >= generalise)
              .withColumn("action", F.when(F.col("disclosure") >= remove, "remove").otherwise("generalise")))
     terms = materialize(terms, "personal-disclosing")
-    per_text = held.join(terms, "term").groupBy("tkey").agg(F.sort_array(F.collect_set(F.concat_ws(
-        ":", "action", "term"))).alias("terms"))
+    side = small_or_shuffled(terms.select("term", "action"), terms.count())
+    per_text = (docs.select("tkey", F.explode(text_terms("text")).alias("term")).join(side, "term")
+                .groupBy("tkey").agg(F.sort_array(F.collect_set(F.concat_ws(":", "action", "term"))).alias("terms")))
     return terms, materialize(per_text, "personal-texts")
 
 
