@@ -97,7 +97,7 @@ def test_intersections_and_runs():
     want = [[len(np.intersect1d(a, b)) for b in sets] for a in sets]
     assert (chosen_path.intersections(sets) == want).all()
     assert (chosen_path.intersections(sets[:10], sets[10:]) == np.array(want)[:10, 10:]).all()
-    assert chosen_path.runs_for(0.99999, 0.8, 2.5, 3) == 7
+    assert chosen_path.runs_for(0.9999, 0.8, 1.25, 3) == 17
 
 
 def test_shingle_sets_follow_the_words():
