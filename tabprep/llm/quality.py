@@ -40,7 +40,7 @@ SET_WORDS = 2000
 MIN_CHARS = 200
 MIN_WORDS = 100
 MIN_REFERENCE = 1000
-MAX_CLASS_DISTANCE = 0.25
+MAX_CLASS_DISTANCE = 0.3
 MAX_WORD_DISTANCE = 0.45
 REPEAT = 5
 
