@@ -16,8 +16,8 @@ stand together: what stands beside an entity once or twice is no evidence.
 
 *Plan.* One Arrow pass finds entities and their context words (a bounded number
 of rows per occurrence, so no pairs within a group are formed). The number of
-texts with a term is one grouped count over the distinct terms of all texts; it
-is reduced to the terms that have a pair with enough support. Only the terms
+texts with a term is one grouped count over the distinct terms of all texts, the
+pairs with enough support are joined with it. Only the terms
 that then disclose something - rare ones, since a frequent term cannot reach the
 threshold - are looked up in the texts (an equi-join, broadcast below a counted
 size). The last pass marks base spans and the disclosing terms of its text.
@@ -158,9 +158,8 @@ def disclosure(docs: DataFrame, text: str = "text", context: int = CONTEXT, min_
     pairs = (seen.filter("term is not null").groupBy("entity", "term").agg(F.count("*").alias("n_te"))
              .filter(F.col("n_te") >= min_support).join(per_entity, "entity"))
     pairs = materialize(pairs, "personal-pairs")
-    wanted = pairs.select("term").distinct()
-    n_wanted = wanted.count()
-    if not n_wanted:
+    n_pairs = pairs.count()
+    if not n_pairs:
         return (spark.createDataFrame([], "term string, disclosure double, action string"),
                 spark.createDataFrame([], "tkey string, terms array<string>"))
     copies = rows.filter("m > 1").select("tkey", F.col("doc_id").alias("_first"), "c")
@@ -169,11 +168,10 @@ def disclosure(docs: DataFrame, text: str = "text", context: int = CONTEXT, min_
     weighed = (docs.join(small_or_shuffled(copies, copied), "tkey", "left").select("text", weight.alias("weight"))
                .filter("weight > 0"))
     per_term = (weighed.select("weight", F.explode(text_terms("text")).alias("term"))
-                .groupBy("term").agg(F.round(F.sum("weight")).cast("long").alias("n_t"))
-                .join(small_or_shuffled(wanted, n_wanted), "term", "left_semi"))
+                .groupBy("term").agg(F.round(F.sum("weight")).cast("long").alias("n_t")))
     info = F.log2(F.lit(float(max(texts, 1))) / F.col("n_e"))
     mutual = F.log2(F.lit(float(max(texts, 1))) * F.col("n_te") / (F.col("n_t") * F.col("n_e")))
-    terms = (pairs.join(per_term, "term").withColumn("disclosure", F.when(info > 0, mutual / info))
+    terms = (per_term.join(small_or_shuffled(pairs, n_pairs), "term").withColumn("disclosure", F.when(info > 0, mutual / info))
              .groupBy("term").agg(F.max("disclosure").alias("disclosure"))
              .filter(F.col("disclosure") >= generalise)
              .withColumn("action", F.when(F.col("disclosure") >= remove, "remove").otherwise("generalise")))
