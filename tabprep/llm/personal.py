@@ -9,15 +9,18 @@ with entity e, ``n(t)`` with term t and ``n(t, e)`` with t within ``CONTEXT``
 words of e, the pointwise mutual information ``log2(N n(t,e) / (n(t) n(e)))``
 is compared with the entity's information ``log2(N / n(e))``. The disclosure of
 t about e is their ratio: 1 if t occurs only beside e, 0 if it is independent.
+The share of t's texts with e is shrunk, ``(n(t,e) + PRIOR_TEXTS m) / (n(t) +
+PRIOR_TEXTS)``, to the pooled share m of all pairs with entities of its kind: so
+every entity gets a verdict, also one of a single text, and little evidence
+discloses less than much (for a word seen once, about one bit less than all).
 Terms that reach ``GENERALISE`` for some entity are replaced by a generalised
 form (``<word>``, ``<number>``), those that reach ``REMOVE`` are removed, in
-every text. An estimate needs ``MIN_SUPPORT`` distinct texts in which t and e
-stand together: what stands beside an entity once or twice is no evidence.
+every text.
 
 *Plan.* One Arrow pass finds entities and their context words (a bounded number
 of rows per occurrence, so no pairs within a group are formed). The number of
 texts with a term is one grouped count over the distinct terms of all texts, the
-pairs with enough support are joined with it. Only the terms
+pairs are joined with it. Only the terms
 that then disclose something - rare ones, since a frequent term cannot reach the
 threshold - are looked up in the texts (an equi-join, broadcast below a counted
 size). The last pass marks base spans and the disclosing terms of its text.
@@ -49,7 +52,8 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
 CONTEXT = 5
-MIN_SUPPORT = 5
+#: Texts that the pooled share of a kind counts as.
+PRIOR_TEXTS = 1.0
 GENERALISE = 0.8
 REMOVE = 0.95
 
@@ -141,7 +145,7 @@ def _contexts(context: int):
     return run
 
 
-def disclosure(docs: DataFrame, text: str = "text", context: int = CONTEXT, min_support: int = MIN_SUPPORT,
+def disclosure(docs: DataFrame, text: str = "text", context: int = CONTEXT, prior_texts: float = PRIOR_TEXTS,
                generalise: float = GENERALISE, remove: float = REMOVE) -> tuple[DataFrame, DataFrame]:
     """``docs`` with ``doc_id, tkey, text`` -> the disclosing terms ``(term, disclosure, action)``
     and ``(tkey, terms)`` of the texts that hold some."""
@@ -156,7 +160,7 @@ def disclosure(docs: DataFrame, text: str = "text", context: int = CONTEXT, min_
     texts, copied = rows.agg(F.count("*"), F.count(F.when(F.col("m") > 1, 1))).first()
     per_entity = seen.groupBy("entity").agg(F.countDistinct("tkey").alias("n_e"))
     pairs = (seen.filter("term is not null").groupBy("entity", "term").agg(F.count("*").alias("n_te"))
-             .filter(F.col("n_te") >= min_support).join(per_entity, "entity"))
+             .join(per_entity, "entity").withColumn("kind", F.substring_index("entity", ":", 1)).drop("entity"))
     pairs = materialize(pairs, "personal-pairs")
     n_pairs = pairs.count()
     if not n_pairs:
@@ -170,8 +174,10 @@ def disclosure(docs: DataFrame, text: str = "text", context: int = CONTEXT, min_
     per_term = (weighed.select("weight", F.explode(text_terms("text")).alias("term"))
                 .groupBy("term").agg(F.round(F.sum("weight")).cast("long").alias("n_t")))
     info = F.log2(F.lit(float(max(texts, 1))) / F.col("n_e"))
-    mutual = F.log2(F.lit(float(max(texts, 1))) * F.col("n_te") / (F.col("n_t") * F.col("n_e")))
-    terms = (per_term.join(small_or_shuffled(pairs, n_pairs), "term").withColumn("disclosure", F.when(info > 0, mutual / info))
+    pairs = materialize(per_term.join(small_or_shuffled(pairs, n_pairs), "term"), "personal-shares")
+    pool = pairs.groupBy("kind").agg((F.sum("n_te") / F.sum("n_t")).alias("m"))
+    share = (F.col("n_te") + prior_texts * F.col("m")) / (F.col("n_t") + prior_texts)
+    terms = (pairs.join(F.broadcast(pool), "kind").withColumn("disclosure", F.when(info > 0, 1 + F.log2(share) / info))
              .groupBy("term").agg(F.max("disclosure").alias("disclosure"))
              .filter(F.col("disclosure") >= generalise)
              .withColumn("action", F.when(F.col("disclosure") >= remove, "remove").otherwise("generalise")))
@@ -226,13 +232,13 @@ def _mark(batches):
 
 
 def find_personal(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", context: int = CONTEXT,
-                  min_support: int = MIN_SUPPORT, generalise: float = GENERALISE,
+                  prior_texts: float = PRIOR_TEXTS, generalise: float = GENERALISE,
                   remove: float = REMOVE) -> DataFrame:
     """One row per document row: ``doc_id, spans`` (``kind:start:end`` in order,
     code points) and ``sanitised`` text."""
     d = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     d = d.withColumn("tkey", F.md5("text"))
-    _, per_text = disclosure(d, "text", context, min_support, generalise, remove)
+    _, per_text = disclosure(d, "text", context, prior_texts, generalise, remove)
     n = per_text.count()
     marked = d.join(small_or_shuffled(per_text, n), "tkey", "left").select("text", "terms", "doc_id")
     return marked.mapInArrow(_mark, "spans array<string>, sanitised string, "
