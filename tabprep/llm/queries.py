@@ -65,9 +65,10 @@ def op1_decontaminate(spark, sf_dir):
 # The rules of the contract, in its order.
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
              ("com", "/fr/", "allow"), ("com", "/de/", "block")]
-#: Domains whose pages are listed, as name prefixes of the canonical host.
+#: Domains whose pages are listed, as whole labels of the canonical host.
 LISTED_NAMES = ["adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm"]
-_LISTED = "^(" + "|".join(LISTED_NAMES) + r")\."
+_LISTED = "^(" + "|".join(LISTED_NAMES) + r")\."  # the oracle's: at the start of the host only
+_LISTED_HOST = r"^([^/?]*\.)?(" + "|".join(LISTED_NAMES) + r")([.:/?]|$)"
 _OP9_HOST = r"""translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1),
  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"""
 
@@ -96,7 +97,7 @@ def op9_urlfilter(spark, sf_dir):
     spellings (scheme, ``www.``, tracking parameters, ``.html``) are found."""
     pages = table(spark, sf_dir, "pages")
     forms = pages.select(urlfilter.canonical("url").alias("canon"))
-    listed = forms.filter(F.col("canon").rlike(_LISTED))
+    listed = forms.filter(F.col("canon").rlike(_LISTED_HOST))
     return urlfilter.judge(pages, listed, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
