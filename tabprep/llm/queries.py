@@ -11,8 +11,8 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabprep.llm import (chosen_path, decontaminate, language_id, personal, quality, sampled_pieces, secrets, suffix_tree,
-                         token_counts, urlfilter)
+from tabprep.llm import (byte_pairs, chosen_path, decontaminate, language_id, personal, quality, sampled_pieces, secrets,
+                         suffix_tree, token_counts, urlfilter)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -206,3 +206,12 @@ def op6_sampled_pieces(spark, sf_dir):
 @query("op8_chosen_path")
 def op8_chosen_path(spark, sf_dir):
     return chosen_path.jaccard_classes(table(spark, sf_dir, "documents"))
+
+
+# ------------------------------------------------------------------ 13 byte-level BPE
+@query("op13_byte_pairs")
+def op13_byte_pairs(spark, sf_dir):
+    found = byte_pairs.encode(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+                        F.sha2("decoded", 256).alias("decoded_sha256"))
