@@ -11,8 +11,8 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabprep.llm import (byte_pairs, chosen_path, decontaminate, language_id, personal, quality, sampled_pieces, secrets,
-                         suffix_tree, token_counts, urlfilter)
+from tabprep.llm import (alignment, byte_pairs, chosen_path, decontaminate, language_id, personal, quality, sampled_pieces,
+                         secrets, suffix_tree, token_counts, urlfilter)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -208,6 +208,13 @@ def op8_chosen_path(spark, sf_dir):
     return chosen_path.jaccard_classes(table(spark, sf_dir, "documents"))
 
 
+# ------------------------------------------------------------------ 11 cross-tokenizer alignment
+@query("op11_alignment")
+def op11_alignment(spark, sf_dir):
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
+    return alignment.align(table(spark, sf_dir, "documents"), groups=digest).withColumnRenamed("groups", "groups_sha256")
+
+
 # ------------------------------------------------------------------ 13 byte-level BPE
 @query("op13_byte_pairs")
 def op13_byte_pairs(spark, sf_dir):

@@ -98,6 +98,6 @@ class Numbers(dict):
 
 def sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Sums of ``values`` over consecutive stretches of ``counts`` members."""
-    total = np.concatenate((np.zeros(1, values.dtype), np.cumsum(values)))
+    total = np.concatenate((np.zeros((1, *values.shape[1:]), values.dtype), np.cumsum(values, axis=0)))
     ends = np.cumsum(counts)
     return total[ends] - total[ends - counts]
