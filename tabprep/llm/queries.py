@@ -11,8 +11,8 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabprep.llm import (alignment, byte_pairs, chosen_path, decontaminate, language_id, personal, quality, sampled_pieces,
-                         secrets, suffix_tree, token_counts, urlfilter)
+from tabprep.llm import (alignment, byte_pairs, chosen_path, decontaminate, hard_negatives, language_id, personal, quality,
+                         sampled_pieces, secrets, suffix_tree, token_counts, urlfilter)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -215,6 +215,28 @@ def op11_alignment(spark, sf_dir):
     return alignment.align(table(spark, sf_dir, "documents"), groups=digest).withColumnRenamed("groups", "groups_sha256")
 
 
+# ------------------------------------------------------------------ 12 hard negatives
+@query("op12_hard_negatives", """
+with ints as (select vec_id, cast(case when vec_id % 7 = 0 then (label + 1) % 10 else label end as bigint) as label,
+    list_transform(embedding, lambda x: floor(256 * cast(x as double))) as v from embeddings
+  where label is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scores as (select a.vec_id as anchor_id, r.vec_id as other, a.label = r.label as same,
+    cast(list_inner_product(a.v, r.v) as bigint) as score
+  from ints a join ints r on a.vec_id <> r.vec_id where a.vec_id % 50 = 0),
+positives as (select anchor_id, other as positive_id, score as positive_score from scores where same
+  qualify row_number() over (partition by anchor_id order by score desc, other) <= 5),
+found as (select p.anchor_id, p.positive_id, s.other as negative_id, p.positive_score, s.score as negative_score,
+    row_number() over (partition by p.anchor_id, p.positive_id order by s.score desc, s.other) as rank
+  from positives p join scores s on s.anchor_id = p.anchor_id and not s.same
+    and 50 * p.positive_score <= 100 * s.score and 100 * s.score <= 95 * p.positive_score)
+select anchor_id, positive_id, cast(rank as integer) as rank, negative_id, positive_score, negative_score
+from found where rank <= 3""")
+def op12_hard_negatives(spark, sf_dir):
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), label=label)
+
+
 # ------------------------------------------------------------------ 13 byte-level BPE
 @query("op13_byte_pairs")
 def op13_byte_pairs(spark, sf_dir):
