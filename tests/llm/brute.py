@@ -135,3 +135,28 @@ def jaccard(docs, threshold=0.8):
             x, y = find(a), find(b)
             root[max(x, y)] = min(x, y)
     return {i: (links[i], find(i), len(s)) for i, s in sets.items()}
+
+
+def best_segmentation(text, pieces):
+    """``(score, tokens)`` of the best segmentation of a whole text, from its end: every
+    position has the best of the pieces (or bytes) that start there; ties go to fewer tokens."""
+    t = (pieces_space() + text.replace(" ", pieces_space())) if text else ""
+    best = [(0.0, 0)] * (len(t) + 1)
+    for i in range(len(t) - 1, -1, -1):
+        options = []
+        for j in range(i + 1, min(len(t), i + pieces.longest) + 1):
+            if t[i:j] in pieces.ids:
+                options.append((pieces.scores[t[i:j]] + best[j][0], -1 + best[j][1]))
+        if t[i] not in pieces.ids:
+            n = len(t[i].encode())
+            options.append((n * BYTE_LOG_PROB + best[i + 1][0], -n + best[i + 1][1]))
+        best[i] = max(options)
+    return best[0][0], -best[0][1]
+
+
+#: Log-probability of a character's byte.
+BYTE_LOG_PROB = -14.0
+
+
+def pieces_space():
+    return "\ud800"

@@ -5,7 +5,6 @@ import pytest
 
 from tabprep.llm import pieces as pc
 from tabprep.llm import queries as q
-from tabprep.llm import token_counts
 from tests.conftest import SF001
 from tests.llm import brute
 
@@ -46,12 +45,12 @@ def test_suffix_tree(spark, texts001):
 
 def test_token_counts(spark, texts001):
     pieces, texts = pc.load(), dict(texts001)
-    trie = token_counts.ForwardTrie(pieces)
     got = rows(spark, "op4_token_counts")
     assert len(got) == len(texts001)
-    for r in sorted(got, key=lambda r: len(texts[r.doc_id]))[:80]:  # one recurrence over the whole text
-        score, n = trie.walk(pc.SPACE + texts[r.doc_id].replace(" ", pc.SPACE))
-        assert n == r.n_tokens and score == pytest.approx(r.score, rel=1e-9)
+    for r in got:
+        score, n = brute.best_segmentation(texts[r.doc_id] or "", pieces)
+        assert r.score == pytest.approx(score, rel=1e-9)
+        assert n == r.n_tokens and r.n_pre_tokens == (len(texts[r.doc_id].split(" ")) if texts[r.doc_id] else 0)
 
 
 def test_personal(spark, texts001):

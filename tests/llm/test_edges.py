@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabprep.llm import (chosen_path, decontaminate, language_id, personal, quality, sampled_pieces, secrets,
-                         shingles, suffix_tree, token_counts, urlfilter)
+                         shingles, suffix_tree, token_counts, units, urlfilter)
 from tabprep.llm import pieces as pc
 from tests.llm import brute
 from tests.llm.conftest import edge_rows
@@ -212,16 +212,22 @@ def test_sampled_edges(spark, edge, empty):
     assert sampled_pieces.sample(empty).count() == 0
 
 
-def test_trie_shares_prefixes_and_survives_a_reset(spark, docs001):
+def test_trie_shares_prefixes_and_survives_a_reset(monkeypatch, texts001):
     pieces = pc.load()
-    trie = token_counts.ForwardTrie(pieces)
-    words = ["then", "thenceforth", "the", "thé", "▁x", "", "漢字", "then"]
-    for w in words:
-        assert trie.insert(pc.SPACE + w) == trie.walk(pc.SPACE + w)
-    assert len(trie) < 1 + sum(len(w) + 1 for w in words[:7])
-    a = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(docs001).collect()}
-    b = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(docs001, max_nodes=50).collect()}
-    assert a == b
+    vocab = sampled_pieces.Vocabulary(pieces)
+    words = sorted({pc.SPACE + w for w in ["then", "thenceforth", "the", "thé", "▁x", "", "漢字", "a\nb", "\ue000x", "😀"]})
+    score, tokens, nodes = token_counts.trie_scores(words, vocab)
+    prefixes = {w[:n] for w in words for n in range(1, len(w) + 1)}
+    assert nodes == len(prefixes)
+    for w, s, n in zip(words, score, tokens):
+        assert (s, n) == token_counts.walk(w, pieces)
+    texts = [t or "" for _, t in texts001] + ["x" * 100 + " " + "é" * 60]
+    whole = [np.concatenate(x) for x in zip(*token_counts.Counter(pieces).count(texts))]
+    monkeypatch.setattr(units, "MAX_UNITS", 50)
+    monkeypatch.setattr(token_counts, "TRIE_WORDS", 7)
+    small = token_counts.Counter(pieces)
+    parts = [np.concatenate(x) for x in zip(*(y for t in texts for y in small.count([t])))]
+    assert all((a == b).all() for a, b in zip(whole, parts))
 
 
 def test_codewords_and_many_languages():
