@@ -20,7 +20,7 @@ Random numbers are a hash of the row key, the round, the position and the step,
 so a row's samples do not depend on its batch, partition or executor.
 
 Lattices are made once per distinct word (see :func:`words_of`) and kept for the task's next
-blocks of texts (up to ``MAX_WORDS``), all steps are array operations over a
+blocks of texts (up to ``MAX_ARCS`` arcs), all steps are array operations over a
 block, and there is no shuffle. Decoding joins
 the pieces' bytes and gives the text back exactly.
 
@@ -33,22 +33,28 @@ result.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pac
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabprep.llm import pieces as pc
+from tabprep.llm import units
 
 SAMPLES = 3
 SEED = 17
 #: Exponent of the piece probabilities (1: the model's own distribution).
 ALPHA = 0.3
 #: Characters of text whose lattices and paths are in memory at a time.
-BLOCK_CHARS = 2_000_000
-#: Words whose lattices a task keeps; more are dropped and made anew when needed.
-MAX_WORDS = 300_000
+BLOCK_CHARS = 400_000
+#: Characters of text whose words are numbered, and get their lattices, together.
+ROUND_CHARS = 2_000_000
+#: Arcs of lattices that a task keeps (24 bytes each); more are dropped and made anew when needed.
+MAX_ARCS = 5_000_000
+#: Words whose lattices are made at a time.
+ADDED = 20_000
 #: Alternatives from which a path's cut-off is estimated.
 FIRST = 64
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -120,22 +126,26 @@ class Lattices:
     x piece lengths."""
 
     def __init__(self, vocab: Vocabulary, alpha: float = ALPHA):
-        self.vocab, self.alpha, self.known = vocab, alpha, {}
+        self.vocab, self.alpha, self.numbers = vocab, alpha, units.Numbers()
         self.mass = {n: np.exp(alpha * s) for n, (_, _, s) in vocab.by_length.items()}
-        self.first, self.last = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.ptr = np.zeros(1, np.int64)
-        self.end, self.piece = np.zeros(0, np.int32), np.zeros(0, np.int32)
-        self.logp, self.cdf, self.rest = np.zeros(0), np.zeros(0, np.float32), np.zeros(0, np.float32)
-
-    def index(self, words: list[str]) -> np.ndarray:
-        """The numbers of distinct words, making the lattices that are missing."""
-        new = [w for w in words if w not in self.known]
-        if new:
-            self._add(new)
-        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        self.held = {name: units.Grown(kind) for name, kind in (
+            ("first", np.int64), ("last", np.int64), ("ptr", np.int64), ("end", np.int32), ("piece", np.int32),
+            ("logp", np.float64), ("cdf", np.float32), ("rest", np.float32))}
+        self._grow(ptr=np.zeros(1, np.int64))
+
+    def _grow(self, **more):
+        for name, values in more.items():
+            self.held[name].add(values)
+        for name, held in self.held.items():
+            setattr(self, name, held.all)
+
+    def learn(self):
+        """Make the lattices of the words that were numbered and have none."""
+        fresh, self.numbers.fresh = self.numbers.fresh, []
+        for a in range(0, len(fresh), ADDED):
+            self._add([w if w[:1] == "\n" else pc.SPACE + w for w in fresh[a: a + ADDED]])
 
     def _add(self, words: list[str]):
-        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words))))
         size = np.fromiter(map(len, words), np.int64, len(words))
         by_size = np.argsort(size, kind="stable")
         chars = np.frombuffer("".join([words[i] for i in by_size]).encode("utf-32-le", "surrogatepass"),
@@ -145,7 +155,7 @@ class Lattices:
         sizes, counts = np.unique(size, return_counts=True)
         for n, mine in zip(sizes.tolist(), np.split(by_size, np.cumsum(counts)[:-1])):
             first[mine] = nodes + np.arange(len(mine)) * (n + 1)
-            rows = max(1, 200_000 // (n * min(n, self.vocab.pieces.longest)))  # bounds the arrays of a slice
+            rows = max(1, 400_000 // (n * min(n, self.vocab.pieces.longest)))  # bounds the arrays of a slice
             for a in range(0, len(mine), rows):
                 w = min(rows, len(mine) - a)
                 part = chars[at: at + w * n].reshape(w, n)
@@ -160,16 +170,10 @@ class Lattices:
         cdf = (total - np.concatenate(([0.0], total))[np.concatenate(([0], ptr))[start]]).astype(np.float32)
         cdf[ptr[np.diff(ptr, prepend=0) > 0] - 1] = np.inf  # rounding never runs past a node's arcs
         base = len(self.ptr) - 1
-        self.first = np.concatenate((self.first, base + first))
-        self.last = np.concatenate((self.last, base + first + size))
-        self.ptr = np.concatenate((self.ptr, ptr + len(self.end)))
-        self.end = np.concatenate((self.end, (end + base).astype(np.int32)))
-        self.piece = np.concatenate((self.piece, piece.astype(np.int32)))
-        logp = np.log(own)
         with np.errstate(divide="ignore"):
             rest = np.where(own > 1 - 1e-12, -np.inf, np.log1p(-np.minimum(own, 1.0)))  # all other arcs of the node
-        self.logp, self.cdf = np.concatenate((self.logp, logp)), np.concatenate((self.cdf, cdf))
-        self.rest = np.concatenate((self.rest, rest.astype(np.float32)))
+        self._grow(first=base + first, last=base + first + size, ptr=ptr + len(self.end), end=end + base, piece=piece,
+                   logp=np.log(own), cdf=cdf, rest=rest)
 
     def _slice(self, chars: np.ndarray, node: int):
         """Arcs ``(source, target, piece, probability given the source)`` of words of one length."""
@@ -207,11 +211,6 @@ class Lattices:
         start = node + cell + cell // n                             # a word has one node more than characters
         return start, start + longest - slot, ids.reshape(-1)[at].astype(np.int64), mass.reshape(-1)[at]
 
-    def arcs_beside(self, arc: int) -> int:
-        """How many arcs leave the node that ``arc`` leaves."""
-        node = int(np.searchsorted(self.ptr, arc, side="right")) - 1
-        return int(self.ptr[node + 1] - self.ptr[node])
-
     def choose(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
         """An arc of each node for a uniform number."""
         arc = self.ptr[node]
@@ -283,28 +282,9 @@ def words_of(texts: list[str], lat: Lattices) -> tuple[np.ndarray, np.ndarray]:
     separator - the marker of a space (also before the text) or a line end - and
     what follows up to the next one. No piece has an inner separator, so a text's
     segmentations are those of its words, one after the other."""
-    real = np.fromiter(map(bool, texts), bool, len(texts))
-    counts = np.zeros(len(texts), np.int64)
-    if not real.any():
-        return counts, counts[:0]
-    lines = pac.split_pattern(pa.array([t for t in texts if t], pa.large_string()), "\n")
-    per_text = pac.list_value_length(lines).to_numpy()
-    cut = pac.split_pattern(pac.list_flatten(lines), " ")
-    per_line = pac.list_value_length(cut).to_numpy().astype(np.int64)
-    text_line = np.cumsum(per_text) - per_text                     # the first line of each text
-    counts[real] = np.add.reduceat(per_line, text_line)
-    coded = pac.list_flatten(cut).dictionary_encode()
-    code = coded.indices.to_numpy()
-    begins = np.delete((np.cumsum(per_line) - per_line), text_line)  # words right after a line end
-    after_end = np.zeros(len(code), bool)
-    after_end[begins] = True
-    strings, which = coded.dictionary.to_pylist(), np.zeros(len(code), np.int64)
-    for mine, sep in ((~after_end, pc.SPACE), (after_end, "\n")):
-        own = code[mine]
-        used = np.flatnonzero(np.bincount(own, minlength=len(strings)))
-        place = np.zeros(len(strings), np.int64)
-        place[used] = lat.index([sep + strings[i] for i in used])
-        which[mine] = place[own]
+    cut = [t.replace("\n", " \n").split(" ") if t else [] for t in texts]  # a word of a line begins with its line end
+    which, counts = lat.numbers.of(cut)
+    lat.learn()
     return counts, which
 
 
@@ -321,10 +301,11 @@ def contenders(before: np.ndarray, rest: np.ndarray, top: float, k: int) -> int:
     return int(np.searchsorted(-before, -floor, side="right"))
 
 
-def sample_block(texts: list[str], seeds: np.ndarray, k: int, lat: Lattices):
+def sample_block(texts: list[str], seeds: np.ndarray, k: int, lat: Lattices, words=None):
     """Per text a list of ``(piece numbers, log_prob, perturbed, inclusion)``;
-    a piece number below zero is a character to be written as bytes."""
-    counts, which = words_of(texts, lat)
+    a piece number below zero is a character to be written as bytes. ``words``: what
+    :func:`words_of` gives for the texts, where it is known."""
+    counts, which = words_of(texts, lat) if words is None else words
     begins = np.cumsum(counts) - counts
     doc = np.repeat(np.arange(len(texts)), counts)
     place = np.arange(len(which)) - begins[doc]
@@ -341,19 +322,28 @@ def sample_block(texts: list[str], seeds: np.ndarray, k: int, lat: Lattices):
             heads = {}
             for i, mine in enumerate(paths):
                 parent = max(mine, key=lambda p: p.best, default=None)
-                if parent is None or parent.best == -np.inf:
-                    continue
-                t, top = parent.at, parent.best
-                node = int(np.searchsorted(lat.ptr, parent.arcs[t], side="right")) - 1
-                gone = [int(parent.arcs[t]), *(parent.excluded if t == parent.split else [])]
-                free = [a for a in range(lat.ptr[node], lat.ptr[node + 1]) if a not in gone]
-                p = np.exp(lat.logp[free] - lat.logp[free].max()).cumsum()
-                u = float(uniform(seeds[i: i + 1], rnd * 1_000_003 + 500_000, t)[0])
-                arc = free[min(int(np.searchsorted(p, u * p[-1])), len(free) - 1)]
-                heads[i] = (parent, t, arc, [*gone, arc], top)
-                parent.close(t)
+                if parent is not None and parent.best > -np.inf:
+                    heads[i] = (parent, parent.at, parent.best)
             if not heads:
                 break
+            some, at = np.fromiter(heads, np.int64), np.array([h[1] for h in heads.values()])
+            nodes = np.searchsorted(lat.ptr, [p.arcs[t] for p, t, _ in heads.values()], side="right") - 1
+            choice = uniform(seeds[some], rnd * 1_000_003 + 500_000, at)
+            left, before = np.zeros(len(some)), np.zeros(len(some))
+            for j, (i, (parent, t, top)) in enumerate(heads.items()):
+                gone = [int(parent.arcs[t]), *(parent.excluded if t == parent.split else [])]
+                free = [a for a in range(lat.ptr[nodes[j]], lat.ptr[nodes[j] + 1]) if a not in gone]
+                mass = np.exp(lat.logp[free])
+                p = mass.cumsum()
+                n = min(int(p.searchsorted(choice[j] * p[-1])), len(free) - 1)
+                heads[i] = (parent, t, free[n], [*gone, free[n]], top)
+                if len(free) > 1:                    # what the node's further arcs have, for this path's agenda
+                    left[j], before[j] = 1.0 - math.fsum(np.exp(lat.logp[[*gone, free[n]]])), parent.before[t]
+                parent.close(t)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                phi = np.where(left > 1e-12, before + np.log(left), -np.inf)
+            further = dict(zip(heads, _truncated(phi, np.array([h[4] for h in heads.values()]),
+                                                 uniform(seeds[some], rnd * 1_000_003 + 900_000, at))))
             words = [begins[i] + h[0].words[h[1]] for i, h in heads.items()]
             at = np.concatenate([np.arange(w, begins[i] + counts[i]) for w, i in zip(words, heads)])
             start = first[at]
@@ -391,12 +381,8 @@ def sample_block(texts: list[str], seeds: np.ndarray, k: int, lat: Lattices):
         for i in (heads or np.flatnonzero(counts)):
             path, head = paths[i][-1], np.zeros(0)
             if heads:
-                parent, t, arc, held, top = heads[i]
-                left = 1.0 - float(np.exp(lat.logp[held]).sum())
-                head = np.full(t + 1, -np.inf)  # the alternatives before the split belong to the parent
-                if left > 1e-12 and len(held) < lat.arcs_beside(arc):
-                    u = uniform(seeds[i: i + 1], rnd * 1_000_003 + 900_000, t)
-                    head[t:] = _truncated(np.array([parent.before[t] + np.log(left)]), top, u)
+                head = np.full(heads[i][1] + 1, -np.inf)  # the alternatives before the split belong to the parent
+                head[-1] = further[i]
             path.agenda(np.concatenate((head, others[ends[i] - near[i]: ends[i]])))
     out = []
     for i, mine in enumerate(paths):
@@ -425,29 +411,31 @@ def _sampler(pieces, k: int, alpha: float):
         for batch in batches:
             texts = batch.column(0).to_pylist()
             seeds = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            a = 0
-            while a < len(texts):
-                b, size = a, 0
-                while b < len(texts) and (b == a or size + len(texts[b]) <= BLOCK_CHARS):
-                    size += len(texts[b])
-                    b += 1
-                if len(lat.known) > MAX_WORDS:
+            for first, last in units.blocks(texts, ROUND_CHARS):  # the new words of a round get lattices together
+                if len(lat.end) > MAX_ARCS:
                     lat = Lattices(vocab, alpha)
-                found = sample_block(texts[a:b], seeds[a:b], k, lat)
-                rows = [(a + i, r, to_ids(s[0], vocab), *s[1:]) for i, f in enumerate(found) for r, s in enumerate(f, 1)]
-                ends = np.cumsum([0, *(len(x[2]) for x in rows)])
-                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(
-                    np.concatenate([x[2] for x in rows]).astype(np.int32)))
-                same = [b"".join(raw[x[2]].tolist())[1:] == texts[x[0]].encode("utf-8", "replace") for x in rows]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(2).take(pa.array([x[0] for x in rows], pa.int64())),
-                     pa.array([x[1] for x in rows], pa.int32()), ids,
-                     *(pa.array([x[j] for x in rows], pa.float64()) for j in (3, 4, 5)), pa.array(same, pa.bool_())],
-                    ["doc_id", "rank", "ids", "log_prob", "perturbed", "inclusion", "round_trip"])
-                a = b
+                counts, which = words_of(texts[first:last], lat)
+                ends = np.cumsum(counts)
+                for a, b in units.blocks(texts[first:last], BLOCK_CHARS):
+                    words = counts[a:b], which[ends[a] - counts[a]: ends[b - 1]]
+                    yield batch_of(batch.column(2), texts, first + a, sample_block(
+                        texts[first + a: first + b], seeds[first + a: first + b], k, lat, words), vocab, raw)
     return run
 
 
+def batch_of(doc_ids, texts: list[str], first: int, found: list, vocab: Vocabulary, raw: np.ndarray) -> pa.RecordBatch:
+    """The samples of the texts from ``first`` on as rows."""
+    rows = [(first + i, r, to_ids(s[0], vocab), *s[1:]) for i, f in enumerate(found) for r, s in enumerate(f, 1)]
+    ends = np.cumsum([0, *(len(x[2]) for x in rows)])
+    ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(
+        np.concatenate([x[2] for x in rows]).astype(np.int32)))
+    same = [b"".join(raw[x[2]].tolist())[1:] == texts[x[0]].encode("utf-8", "replace") for x in rows]
+    return pa.RecordBatch.from_arrays(
+        [doc_ids.take(pa.array([x[0] for x in rows], pa.int64())), pa.array([x[1] for x in rows], pa.int32()), ids,
+         *(pa.array([x[j] for x in rows], pa.float64()) for j in (3, 4, 5)), pa.array(same, pa.bool_())],
+        ["doc_id", "rank", "ids", "log_prob", "perturbed", "inclusion", "round_trip"])
+
+
 def sample(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = SAMPLES, seed: int = SEED,
            alpha: float = ALPHA, model: str = pc.MODEL) -> DataFrame:
     """Up to ``k`` rows per document row: ``doc_id, rank, ids, log_prob,
