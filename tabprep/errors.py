@@ -31,3 +31,11 @@ class SingleClassError(TabprepError):
 
 class UnknownStrategyError(TabprepError, ValueError):
     """A strategy name that the operator does not know."""
+
+
+class MalformedRecordsError(TabprepError, ValueError):
+    """Records of a text file have more fields than its header."""
+
+    def __init__(self, count: int, path: str):
+        self.count = count
+        super().__init__(f"{count} record(s) of {path} have more fields than the header")

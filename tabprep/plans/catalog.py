@@ -34,7 +34,7 @@ from tabprep.plans.oracle_sql import r, with_flights, with_stages
 from tabprep.sources import checkpoint as ck
 from tabprep.session import new_path
 from tabprep.sources.fixtures import flights_view, table
-from tabprep.sources.readers import read_flights
+from tabprep.sources.readers import MISSING_TOKENS, read_flights
 from tabprep.splits import Splits
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -161,6 +161,23 @@ def q_scan_csv(spark, sf_dir):
     return _order_scan(read_flights(spark, path, fmt="csv"))
 
 
+_MISSING_SQL = ", ".join(f"'{t}'" for t in MISSING_TOKENS)
+
+
+@query("scan_csv_quoted", f"""
+select doc_id, cast(length(t) as bigint) as n_text, md5(t) as text_md5,
+  case when lang in ({_MISSING_SQL}) then null else lang end as lang
+from (select *, case when text in ({_MISSING_SQL}) then null else text end as t from documents)""")
+def q_scan_csv_quoted(spark, sf_dir):
+    """Texts with quotes, separators and line ends, written as CSV and scanned again."""
+    path = new_path(spark, "documents-csv")
+    (table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+     .write.option("header", True).option("escape", '"').option("quoteAll", True)
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
+    return read_flights(spark, path, fmt="csv").select(
+        "doc_id", F.length("text").cast("bigint").alias("n_text"), F.md5("text").alias("text_md5"), "lang")
+
+
 @query("stage_shapes", with_stages("""
 select 'loaded' as stage, 'train' as split, count(*) as n_rows, 12 as n_cols from train0
 union all select 'loaded', 'test', count(*), 12 from test0

@@ -6,7 +6,7 @@ import tempfile
 import pytest
 from pyspark.sql import functions as F
 
-from tabprep.errors import EmptyInputError, MissingColumnsError, MissingSourceError
+from tabprep.errors import EmptyInputError, MalformedRecordsError, MissingColumnsError, MissingSourceError
 from tabprep.sources import checkpoint as ck
 from tabprep.sources import readers
 
@@ -24,6 +24,38 @@ def test_read_csv_missing_tokens(spark):
     assert dict(df.dtypes)["cancelled"] == "bigint"
 
 
+def csv_file(text):
+    path = os.path.join(tempfile.mkdtemp(prefix="tabprep-csv-"), "f.csv")
+    with open(path, "w", newline="") as f:
+        f.write(text)
+    return path
+
+
+def test_csv_dialect(spark):
+    """Doubled quotes, separators and line ends in quoted fields, backslashes, short
+    records, white space around a missing token, numbers that only look like ones."""
+    path = csv_file('name,v,ok,x\n"a ""b"" c, d",5,True,1d\n"line\nend",6,false,2\n"back\\",7,,3\n NA ,8\n"",9,TRUE,\n')
+    df = readers.read_flights(spark, path)
+    assert [(r["name"], r.v, r.ok, r.x) for r in df.orderBy("v").collect()] == [
+        ('a "b" c, d', 5, True, "1d"), ("line\nend", 6, False, "2"), ("back\\", 7, None, "3"), (" NA ", 8, None, None),
+        (None, 9, True, None)]
+    assert dict(df.dtypes) == {"name": "string", "v": "bigint", "ok": "boolean", "x": "string"}
+
+
+@pytest.mark.parametrize("bad", ["1,2,3", '1,2,', '"a,b",2,,', '"q ""x"", y",2,"3"'])
+def test_csv_records_with_surplus_fields(spark, bad):
+    path = csv_file(f'a,b\n"x, ""y""",2\n{bad}\n3\n')
+    with pytest.raises(MalformedRecordsError) as e:
+        readers.read_flights(spark, path)
+    assert e.value.count == 1
+    with pytest.raises(Exception, match="more fields"):
+        readers.read_flights(spark, path, schema=readers.T.StructType([])).collect()
+    rest = readers.read_flights(spark, path, on_bad="side")
+    assert sorted((r.a, r.b) for r in rest.collect()) == [("3", None), ('x, "y"', 2)]
+    assert [r.record for r in readers.rejected_records(spark, path).collect()] == [bad]
+    assert rest.select("b").count() == 2
+
+
 def test_guards(spark):
     with pytest.raises(MissingSourceError):
         readers.read_flights(spark, "/nonexistent/x.csv")
@@ -52,7 +84,12 @@ def test_entry_contract(spark):
     assert out.count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
     import importlib.util
-    assert ("pipeline" in entry.queries()) == (importlib.util.find_spec("corpus_pipeline") is not None)
+    there = all(importlib.util.find_spec(m) for m in ("corpus_pipeline", "tabprep.llm"))
+    try:
+        there = there and importlib.util.find_spec("tabprep.llm.queries") is not None
+    except ModuleNotFoundError:
+        there = False
+    assert ("pipeline" in entry.queries()) == there
 
 
 def test_streaming_stateless_stage(spark, flights001, run001):
