@@ -13,43 +13,26 @@ consequence:
   ranked one by one, and heavy ties (half the targets are 0 after balancing)
   collapse into single values.
 
-Statistics and degrees of freedom are column expressions; p-values come from
-a pandas UDF over the handful of result rows.
+Statistics, degrees of freedom and p-values (:mod:`tabprep.functions.tails`) are
+column expressions over the handful of result rows.
 """
 
 from __future__ import annotations
 
+import math
 from typing import Sequence
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from tabprep.functions import tails
 from tabprep.functions.missing import present
-from tabprep.operators import filters, pvalues
+from tabprep.operators import filters
 from tabprep.operators.ranges import ordered_prefix_sum
+from tabprep.session import materialize
 
-@F.pandas_udf(T.DoubleType())
-def _t_p(t: pd.Series, dof: pd.Series) -> pd.Series:
-    return pd.Series([pvalues.t_two_sided_p(None if pd.isna(a) else float(a),
-                                            None if pd.isna(b) else float(b))
-                      for a, b in zip(t, dof)], dtype="float64")
 
-
-@F.pandas_udf(T.DoubleType())
-def _chi2_p(h: pd.Series, dof: pd.Series) -> pd.Series:
-    return pd.Series([pvalues.chi2_sf(None if pd.isna(a) else float(a),
-                                      None if pd.isna(b) else float(b))
-                      for a, b in zip(h, dof)], dtype="float64")
-
-
-def t_p_value(t: Column, dof: Column) -> Column:
-    return _t_p(t, dof)
-
-
-def chi2_p_value(h: Column, dof: Column) -> Column:
-    return _chi2_p(h, dof)
+RESULT = ["feature", "test", "n_classes", "n", "statistic", "df"]
 
 
 def stacked_classes(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
@@ -104,15 +87,15 @@ def welch_table(df: DataFrame, features: Sequence[str], label: str) -> DataFrame
 
 def welch_t(df: DataFrame, features: Sequence[str] | str, label: str,
             alpha: float = 0.05) -> DataFrame:
-    """H1: ``feature, test, n_classes, n, statistic, df, p_value, significant,
-    status``."""
+    """H1: ``feature, test, n_classes, n, statistic, df, p_value, log10_p, significant,
+    status`` (the logarithm also where p is below the smallest double)."""
     feats = [features] if isinstance(features, str) else list(features)
     wt = welch_table(df, feats, label)
-    p = t_p_value(F.col("statistic"), F.col("df"))
+    ln_p = tails.ln_t_two_sided(F.col("statistic"), F.col("df"))
     return wt.select(
         "feature", F.lit("welch_t").alias("test"), "n_classes",
-        (F.col("n1") + F.col("n2")).cast("bigint").alias("n"), "statistic", "df",
-        p.alias("p_value")).select(
+        (F.col("n1") + F.col("n2")).cast("bigint").alias("n"), "statistic", "df", ln_p.alias("_ln")).select(
+        *RESULT, F.exp("_ln").alias("p_value"), (F.col("_ln") / math.log(10)).alias("log10_p")).select(
         "*", F.coalesce(F.col("p_value") < F.lit(alpha), F.lit(False)).alias("significant"),
         F.when(F.col("n_classes") != 2, F.lit("skipped: not binary"))
          .when(F.col("statistic").isNull(), F.lit("undefined"))
@@ -122,8 +105,8 @@ def welch_t(df: DataFrame, features: Sequence[str] | str, label: str,
 def kruskal_table(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
     """H2 without p: ``feature, n_classes, n, statistic, df`` - H with the
     tie correction; NULL when all targets are equal or fewer than 3 classes."""
-    counts = (stacked_classes(df, features, label).groupBy("feature", "cls", "y")
-              .agg(F.count(F.lit(1)).alias("n")))
+    counts = materialize(stacked_classes(df, features, label).groupBy("feature", "cls", "y")
+                         .agg(F.count(F.lit(1)).alias("n")), "class-values")
     vc = counts.groupBy("feature", "y").agg(F.sum("n").alias("t"))
     ranks = ordered_prefix_sum(vc, ["feature"], ["y"], "t").withColumn(
         "midrank", F.col("before") + (F.col("t") + F.lit(1)) / F.lit(2.0))
@@ -152,14 +135,15 @@ def kruskal_table(df: DataFrame, features: Sequence[str], label: str) -> DataFra
 
 def kruskal(df: DataFrame, features: Sequence[str] | str, label: str,
             alpha: float = 0.05) -> DataFrame:
-    """H2: ``feature, test, n_classes, n, statistic, df, p_value, significant,
+    """H2: ``feature, test, n_classes, n, statistic, df, p_value, log10_p, significant,
     status`` (p from the chi-square tail with k - 1 df)."""
     feats = [features] if isinstance(features, str) else list(features)
     kt = kruskal_table(df, feats, label)
-    p = chi2_p_value(F.col("statistic"), F.col("df").cast("double"))
+    ln_p = tails.ln_chi2_tail(F.col("statistic"), F.col("df"))
     return kt.select(
         "feature", F.lit("kruskal").alias("test"), "n_classes", "n", "statistic",
-        F.col("df").cast("double").alias("df"), p.alias("p_value")).select(
+        F.col("df").cast("double").alias("df"), ln_p.alias("_ln")).select(
+        *RESULT, F.exp("_ln").alias("p_value"), (F.col("_ln") / math.log(10)).alias("log10_p")).select(
         "*", F.coalesce(F.col("p_value") < F.lit(alpha), F.lit(False)).alias("significant"),
         F.when(F.col("n_classes") <= 2, F.lit("skipped: needs 3+ categories"))
          .when(F.col("statistic").isNull(), F.lit("undefined"))
@@ -176,7 +160,7 @@ def _with_all(tests: DataFrame, features: Sequence[str], test: str, status: str)
     asked = tests.sparkSession.createDataFrame([(f,) for f in features], "feature string")
     return asked.join(tests, "feature", "left").select(
         "feature", F.lit(test).alias("test"), F.coalesce("n_classes", F.lit(0)).alias("n_classes"), "n", "statistic",
-        "df", "p_value", F.coalesce("significant", F.lit(False)).alias("significant"),
+        "df", "p_value", "log10_p", F.coalesce("significant", F.lit(False)).alias("significant"),
         F.coalesce("status", F.lit(status)).alias("status"))
 
 

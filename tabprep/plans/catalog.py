@@ -863,13 +863,43 @@ def q_battery_stats(spark, sf_dir):
                     rnd("statistic").alias("statistic"), rnd("df").alias("df"))
 
 
-@query("hypothesis_battery")
+def _battery_p_sql() -> str:
+    """The tail integrals by Simpson's rule: of ``cos^(df-1)`` from ``atan(|t| / sqrt(df))`` on
+    (Student), of ``s^(k/2-1) e^(-s)`` from ``H/2`` on (chi-square), as far as they matter."""
+    unrounded = _battery_sql().replace(f", {osql.DIGITS}) + 0.0)", ", 15) + 0.0)")
+    return f"""battery as ({unrounded}),
+ends as (select *, case test when 'welch_t' then atan(abs(statistic) / sqrt(df)) else statistic / 2 end as lo,
+    case test when 'welch_t' then lgamma((df + 1) / 2) - lgamma(df / 2) - ln(pi()) / 2 + ln(2.0)
+      else -lgamma(df / 2) end as scale
+  from battery where statistic is not null and statistic <> 0),
+spans as (select *, case test when 'welch_t' then least(pi() / 2, lo + least(12 / sqrt(df - 1), 45 / ((df - 1) * tan(lo)))) - lo
+    else 60 + 4 * df end as width from ends),
+points as (select *, lo + width * i / 8000 as z,
+    case when i = 0 or i = 8000 then 1 when i % 2 = 1 then 4 else 2 end as weight
+  from spans, generate_series(0, 8000) as g(i)),
+heights as (select *, case test when 'welch_t' then (df - 1) * ln(greatest(cos(z), 1e-300) / cos(lo))
+    else (df / 2 - 1) * ln(z / lo) - (z - lo) end as h from points),
+tails as (select feature, test, any_value(scale) + ln(sum(weight * exp(h)) * any_value(width) / 24000)
+    + any_value(case test when 'welch_t' then (df - 1) * ln(cos(lo)) else (df / 2 - 1) * ln(lo) - lo end) as ln_p
+  from heights group by feature, test)
+select feature, test, n_classes, n, {r('statistic')} as statistic, {r('df')} as df, {r('exp(p)', 9)} as p_value, {r('p / ln(10)')} as log10_p,
+  coalesce(exp(p) < 0.05, false) as significant,
+  case when test = 'welch_t' and n_classes <> 2 then 'skipped: not binary'
+    when test = 'kruskal' and n_classes <= 2 then 'skipped: needs 3+ categories'
+    when statistic is null then 'undefined' else 'ok' end as status
+from (select b.*, case when b.statistic = 0 then 0.0 else t.ln_p end as p
+  from battery b left join tails t using (feature, test))"""
+
+
+@query("hypothesis_battery", with_stages(_battery_p_sql()).replace("\nbattery as (", ",\nbattery as (", 1))
 def q_battery(spark, sf_dir):
     """H3: Welch on the binary features, Kruskal-Wallis on the multi-class
-    ones, with p-values and significance at 0.05 (p-values of odd-df and t
-    tests have no SQL closed form; checked against closed forms in tests)."""
+    ones, with p-values and significance at 0.05."""
     run = _run(spark, sf_dir)
-    return hypothesis.run_tests(run.featured.train, "arr_delay")
+    t = hypothesis.run_tests(run.featured.train, "arr_delay")
+    return t.select("feature", "test", F.col("n_classes").cast("int"), F.col("n").cast("bigint"),
+                    rnd("statistic").alias("statistic"), rnd("df").alias("df"), rnd("p_value", 9).alias("p_value"),
+                    rnd("log10_p").alias("log10_p"), "significant", "status")
 
 
 # --------------------------------------------------------------------------- models

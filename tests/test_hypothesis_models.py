@@ -7,22 +7,45 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tabprep.operators import hypothesis, models, projection, pvalues
+from tabprep.functions import tails
+from tabprep.operators import hypothesis, models, projection
 
 from .conftest import SF001
 
 
-@pytest.mark.parametrize("x", [0.1, 1.0, 3.7, 12.0, 40.0])
-def test_chi2_closed_forms(x):
-    assert pvalues.chi2_sf(x, 2) == pytest.approx(math.exp(-x / 2), rel=1e-10)
-    assert pvalues.chi2_sf(x, 4) == pytest.approx(math.exp(-x / 2) * (1 + x / 2), rel=1e-10)
-    assert pvalues.chi2_sf(x, 1) == pytest.approx(math.erfc(math.sqrt(x / 2)), rel=1e-9)
-
-
-@pytest.mark.parametrize("t", [0.0, 0.5, 2.0, 10.0])
-def test_t_closed_forms(t):
-    assert pvalues.t_two_sided_p(t, 1) == pytest.approx(1 - 2 * math.atan(t) / math.pi, abs=1e-12)
-    assert pvalues.t_two_sided_p(t, 2) == pytest.approx(1 - t / math.sqrt(2 + t * t), abs=1e-12)
+def tail(spark, column, rows):
+    df = spark.createDataFrame(rows, "v double, df double")
+    return [r.p for r in df.select(column(F.col("v"), F.col("df")).alias("p")).collect()]
+
+
+def test_chi2_closed_forms(spark):
+    xs = [0.1, 1.0, 3.7, 12.0, 40.0, 700.0]
+    two, four, one = (tail(spark, tails.ln_chi2_tail, [(x, k) for x in xs]) for k in (2.0, 4.0, 1.0))
+    for x, p2, p4, p1 in zip(xs, two, four, one):
+        assert p2 == pytest.approx(-x / 2, rel=1e-11)
+        assert p4 == pytest.approx(-x / 2 + math.log1p(x / 2), rel=1e-11)
+        assert math.exp(p1) == pytest.approx(math.erfc(math.sqrt(x / 2)), rel=1e-10)
+    many = tail(spark, tails.ln_chi2_tail, [(900.0, 1000.0), (5000.0, 1000.0), (0.0, 3.0), (1.0, 0.0)])
+    poisson = sum(math.exp(j * math.log(450) - 450 - math.lgamma(j + 1)) for j in range(500))
+    assert math.exp(many[0]) == pytest.approx(poisson, rel=1e-10)
+    assert many[1] < -700 and many[2:] == [0.0, None]
+
+
+def test_t_closed_forms(spark):
+    ts = [0.0, 0.5, 2.0, 10.0, 1e4]
+    one, two, five = (tail(spark, tails.ln_t_two_sided, [(t, k) for t in ts]) for k in (1.0, 2.0, 5.0))
+    for t, p1, p2, p5 in zip(ts, one, two, five):
+        assert math.exp(p1) == pytest.approx(2 / math.pi * math.atan2(1, t), rel=1e-11)
+        assert math.exp(p2) == pytest.approx(2 / (math.sqrt(2 + t * t) * (math.sqrt(2 + t * t) + t)), rel=1e-11)
+        if t < 100:
+            a = math.atan(t / math.sqrt(5))
+            c = math.cos(a)
+            assert math.exp(p5) == pytest.approx(1 - 2 / math.pi * (a + math.sin(a) * (c + 2 / 3 * c ** 3)), abs=1e-13)
+    far = tail(spark, tails.ln_t_two_sided, [(1.5, 9.9e5), (1.5, 1.1e6), (80.0, 5000.0), (float("inf"), 3.0),
+                                             (float("nan"), 3.0), (1.0, 0.0)])
+    normal = math.erfc(1.5 / math.sqrt(2))
+    assert math.exp(far[0]) == pytest.approx(normal, rel=1e-5) and math.exp(far[1]) == pytest.approx(normal, rel=1e-5)
+    assert far[2] < -1500 and far[3] == float("-inf") and far[4:] == [None, None]
 
 
 def test_kruskal_brute_force(spark):
@@ -37,7 +60,9 @@ def test_kruskal_brute_force(spark):
     t = pdf["y"].value_counts().to_numpy()
     h /= 1 - (t ** 3 - t).sum() / (n ** 3 - n)
     assert got["statistic"] == pytest.approx(h, rel=1e-12)
-    assert got["p_value"] == pytest.approx(pvalues.chi2_sf(h, 3))
+    x = h / 2  # three degrees of freedom
+    assert got["p_value"] == pytest.approx(math.erfc(math.sqrt(x)) + 2 * math.sqrt(x / math.pi) * math.exp(-x))
+    assert got["log10_p"] == pytest.approx(math.log10(got["p_value"]))
 
 
 def test_welch_sign_and_skips(spark):
