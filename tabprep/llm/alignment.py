@@ -31,6 +31,7 @@ not read; an empty table gives an empty result.
 from __future__ import annotations
 
 import os
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -76,7 +77,7 @@ class Tokenizers:
     def encode(self, fresh: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         """The ids of units. Each begins with the space that B puts before a text,
         or with a line end, which no piece goes beyond."""
-        ids_a = [e.ids for e in self.a.encode_batch(fresh, add_special_tokens=False)]
+        ids_a = [e.ids for e in self.a.encode_batch_fast(fresh, add_special_tokens=False)]
         ids_b = self.b.encode([u[1:] if u[0] == " " else u for u in fresh], num_threads=1)
         ids_b = [[self.space] if u == " " else ids if u[0] == " " else ids[1:] for u, ids in zip(fresh, ids_b)]
         return ids_a, ids_b
@@ -99,7 +100,16 @@ def terminals(ends_a: np.ndarray, ends_b: np.ndarray) -> np.ndarray:
 
 def _ragged(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-    return np.fromiter((i for x in lists for i in x), np.int64, int(sizes.sum())), sizes
+    return np.fromiter(chain.from_iterable(lists), np.int64, int(sizes.sum())), sizes
+
+
+def _joined(raw: list[bytes], ids: np.ndarray) -> np.ndarray:
+    return np.frombuffer(b"".join(map(raw.__getitem__, ids.tolist())), np.uint8)
+
+
+def _texts(size: int, separators: str) -> np.ndarray:
+    """The decimal ids, each followed by the first separator, then by the second."""
+    return np.array([f"{i}{s}" for s in separators for i in range(size)], object)
 
 
 def _distinct(group: np.ndarray, ids: np.ndarray):
@@ -125,9 +135,12 @@ class Aligner:
 
     def __init__(self, source: str, model: bytes, counts=None):
         self.both = Tokenizers(source, model)
+        self.with_lines = counts is not None             # the first pass only counts pairs
         self.size_a = np.array([len(r) for r in self.both.raw_a], np.int64)
         self.size_b = np.array([len(r) for r in self.both.raw_b], np.int64)
         self.width = len(self.size_b)                    # an id pair is a * width + b
+        if self.with_lines:
+            self.text_a, self.text_b = _texts(len(self.size_a), ",|"), _texts(len(self.size_b), ",;")
         self.counts = counts                             # (pairs in order, their counts, best count of each id of A)
         self._forget()
 
@@ -143,14 +156,13 @@ class Aligner:
             self._align(fresh[a:b])
 
     def _align(self, fresh: list[str]):
-        both, raw_a, raw_b = self.both, self.both.raw_a, self.both.raw_b
-        lists_a, lists_b = both.encode(fresh)
-        valid = np.zeros(len(fresh), np.int64)
-        for i, (u, x, y) in enumerate(zip(fresh, lists_a, lists_b)):
-            want = u.encode()
-            valid[i] = b"".join([raw_a[t] for t in x]) == want == b"".join([raw_b[t] for t in y])
-        ids_a, n_a = _ragged([x if v else [] for x, v in zip(lists_a, valid)])
-        ids_b, n_b = _ragged([x if v else [] for x, v in zip(lists_b, valid)])
+        lists_a, lists_b = self.both.encode(fresh)
+        ids_a, n_a = _ragged(lists_a)
+        ids_b, n_b = _ragged(lists_b)
+        valid = self._valid([u.encode() for u in fresh], ids_a, n_a, ids_b, n_b)
+        if not valid.all():
+            ids_a, ids_b = ids_a[np.repeat(valid, n_a)], ids_b[np.repeat(valid, n_b)]
+            n_a, n_b = n_a * valid, n_b * valid
         end = terminals(np.cumsum(self.size_a[ids_a]), np.cumsum(self.size_b[ids_b])) if len(ids_a) else ids_a
         labels, group = np.unique(end, return_inverse=True)
         group_a, group_b = group[: len(ids_a)], group[len(ids_a):]
@@ -161,7 +173,8 @@ class Aligner:
         facts[:, 0], facts[:, 1], facts[:, 2] = valid, n_a, n_b
         facts[:, 3] = np.bincount(of_unit, minlength=len(fresh))
         np.add.at(facts[:, 4], of_unit, in_a * in_b)
-        self.lines += self._lines(ids_a, ids_b, in_a, in_b, facts[:, 3])
+        if self.with_lines:
+            self.lines += self._lines(ids_a, ids_b, in_a, in_b, group_a, group_b, n_a + n_b)
         unit, pair, n = self._links(group_a, ids_a, group_b, ids_b, of_unit)
         sizes = np.bincount(unit, minlength=len(fresh))
         if self.counts is None:
@@ -179,16 +192,26 @@ class Aligner:
             self.rare_times.add(n[~heavy])
         self.facts.add(facts)
 
-    @staticmethod
-    def _lines(ids_a, ids_b, in_a, in_b, groups) -> list[str]:
-        """The groups of each unit as text."""
-        text_a, text_b = list(map(str, ids_a.tolist())), list(map(str, ids_b.tolist()))
-        out, i, j = [], 0, 0
-        for x, y in zip(in_a.tolist(), in_b.tolist()):
-            out.append(",".join(text_a[i: i + x]) + "|" + ",".join(text_b[j: j + y]))
-            i, j = i + x, j + y
-        ends = np.cumsum(groups).tolist()
-        return [";".join(out[a:b]) for a, b in zip([0, *ends], ends)]
+    def _valid(self, wanted: list[bytes], ids_a, n_a, ids_b, n_b) -> np.ndarray:
+        """Which units both token sequences join to."""
+        size = np.fromiter(map(len, wanted), np.int64, len(wanted))
+        valid = (units.sums(self.size_a[ids_a], n_a) == size) & (units.sums(self.size_b[ids_b], n_b) == size)
+        want = np.frombuffer(b"".join([w for w, v in zip(wanted, valid) if v]), np.uint8)
+        other = ((want != _joined(self.both.raw_a, ids_a[np.repeat(valid, n_a)]))
+                 | (want != _joined(self.both.raw_b, ids_b[np.repeat(valid, n_b)])))
+        sized = np.flatnonzero(valid)
+        valid[sized[np.unique(np.searchsorted(np.cumsum(size[sized]), np.flatnonzero(other), side="right"))]] = False
+        return valid
+
+    def _lines(self, ids_a, ids_b, in_a, in_b, group_a, group_b, tokens) -> list[str]:
+        """The groups of each unit as text: the ids of A, then those of B, group by group."""
+        upto_a, upto_b = np.cumsum(in_a), np.cumsum(in_b)
+        i, j = np.arange(len(ids_a)), np.arange(len(ids_b))
+        parts = np.empty(len(ids_a) + len(ids_b), object)
+        parts[i + (upto_b - in_b)[group_a]] = self.text_a[ids_a + (i == upto_a[group_a] - 1) * len(self.size_a)]
+        parts[j + upto_a[group_b]] = self.text_b[ids_b + (j == upto_b[group_b] - 1) * len(self.size_b)]
+        flat, ends = parts.tolist(), np.cumsum(tokens).tolist()
+        return ["".join(flat[a:b])[:-1] for a, b in zip([0, *ends], ends)]
 
     def _links(self, group_a, ids_a, group_b, ids_b, of_unit):
         """``(unit, id pair, multiplicity)`` of all groups, summed per unit. Groups are
@@ -242,7 +265,7 @@ class Aligner:
     def per_text(self, which: np.ndarray, counts: np.ndarray, lists: units.Ragged, times: np.ndarray):
         """The distinct id pairs of each text ``(text, pair, multiplicity)`` from those of its units."""
         owner = np.repeat(np.arange(len(counts)), counts)
-        span = np.int64(len(self.lines))
+        span = np.int64(len(self.numbers))
         key, n = summed(owner * span + which, np.ones(len(which), np.int64))
         owner, unit = np.divmod(key, span) if len(key) else (key, key)
         at, sizes = lists.places(unit)
