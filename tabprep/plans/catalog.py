@@ -241,14 +241,18 @@ def q_class_sizes(spark, sf_dir):
     return df.groupBy(cls.alias("class")).agg(F.count(F.lit(1)).cast("bigint").alias("n"))
 
 
-@query("leakage_dropped", with_stages(_sql_round_cols(
-    ["crs_elapsed_time", "distance", "arr_delay"],
-    ["row_id", "fl_date", "airline_code", "origin", "dest", "crs_dep_time", "crs_arr_time"],
-    "train1")))
+def _leakage_sql(split: str, src: str) -> str:
+    return _sql_round_cols(["crs_elapsed_time", "distance", "arr_delay"],
+                           [f"'{split}' as split", "row_id", "fl_date", "airline_code", "origin", "dest", "crs_dep_time",
+                            "crs_arr_time"], src)
+
+
+@query("leakage_dropped", with_stages(_leakage_sql("train", "train1") + " union all " + _leakage_sql("test", "test1")))
 def q_leakage(spark, sf_dir):
-    """Leakage columns removed (only those present)."""
+    """Leakage columns removed from both splits (only those present)."""
     run = _run(spark, sf_dir)
-    return _round_doubles(filters.drop_leakage(run.loaded.train))
+    train, test = (_round_doubles(filters.drop_leakage(d)).withColumn("split", F.lit(n)) for n, d in run.loaded.items())
+    return train.unionByName(test)
 
 
 @query("feature_preview", with_stages(f"""
@@ -397,20 +401,25 @@ def q_dedup_lineitem(spark, sf_dir):
         li, ["l_orderkey", "l_linenumber"], key="l_partkey"))
 
 
-@query("null_counts", with_stages("""
-select 'train' as split, feature, n_null from (unpivot (
+def _null_counts_sql(split: str, src: str) -> str:
+    return f"""
+select '{split}' as split, feature, n_null from (unpivot (
   select count(*) - count(row_id) as row_id, count(*) - count(fl_date) as fl_date,
     count(*) - count(airline_code) as airline_code, count(*) - count(origin) as origin,
     count(*) - count(dest) as dest, count(*) - count(crs_dep_time) as crs_dep_time,
     count(*) - count(crs_arr_time) as crs_arr_time,
     count(*) - count(crs_elapsed_time) as crs_elapsed_time,
     count(*) - count(distance) as distance, count(*) - count(arr_delay) as arr_delay
-  from train2) on columns(*) into name feature value n_null)"""))
+  from {src}) on columns(*) into name feature value n_null)"""
+
+
+@query("null_counts", with_stages(_null_counts_sql("train", "train2") + " union all " + _null_counts_sql("test", "test2")))
 def q_null_counts(spark, sf_dir):
-    """NULLs per column of the deduplicated training split, one aggregate."""
-    nc = cleaning.null_counts(_deduped(_run(spark, sf_dir)).train)
-    return nc.select(F.lit("train").alias("split"), F.col("column").alias("feature"),
-                     F.col("n_null").cast("bigint"))
+    """NULLs per column of both deduplicated splits, one aggregate each."""
+    train, test = (cleaning.null_counts(d).select(F.lit(n).alias("split"), F.col("column").alias("feature"),
+                                                  F.col("n_null").cast("bigint"))
+                   for n, d in _deduped(_run(spark, sf_dir)).items())
+    return train.unionByName(test)
 
 
 def _fill_query(strategy: str, value=None, fit_on: str = "each"):
