@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabprep.operators.joins import row_bytes
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 #: What separates words of (lower-case) letters and digits, where everything
@@ -15,6 +17,8 @@ SPACE_GAP = r"[\x20\x09-\x0D]+"
 
 #: Rows up to which a lookup side is broadcast; larger ones are shuffled.
 BROADCAST_ROWS = 500_000
+#: Bytes, estimated from the schema, up to which it is.
+BROADCAST_BYTES = 64 * 1024 * 1024
 
 
 def col(c) -> Column:
@@ -42,14 +46,26 @@ def text_key(text, row_id) -> Column:
                       F.concat(F.lit("~"), F.coalesce(col(row_id).cast("string"), F.lit(""))))
 
 
-def small_or_shuffled(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """A broadcast hint only when the counted ``rows`` stay below ``limit``."""
-    return F.broadcast(df) if rows <= limit else df
+def small_or_shuffled(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """A broadcast hint only when the counted ``rows`` stay below ``limit`` and the
+    bytes estimated from them and the schema below ``max_bytes``."""
+    return F.broadcast(df) if rows <= limit and rows * row_bytes(df.schema) <= max_bytes else df
+
+
+def whole_rows(docs: DataFrame, **keys: Column) -> DataFrame:
+    """``docs`` with all its columns in one, ``row``, beside ``keys``: whatever names
+    the columns have, none clashes with a key or with the other side of a join."""
+    return docs.select(F.struct(*[quoted(c) for c in docs.columns]).alias("row"), *[k.alias(n) for n, k in keys.items()])
+
+
+def quoted(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
 
 
 def without_texts(docs: DataFrame, keys: DataFrame, text: str = "text", limit: int = BROADCAST_ROWS) -> DataFrame:
     """``docs`` (all columns) without the texts whose MD5 is in ``keys.tkey``
     (a written table of distinct keys; a null text counts as empty). The keys are
     broadcast below a counted size, so that the texts are not shuffled."""
-    side = small_or_shuffled(keys.select(F.col("tkey").alias("_text_key")), keys.count(), limit)
-    return docs.join(side, F.md5(F.coalesce(F.col(text), F.lit(""))) == F.col("_text_key"), "left_anti")
+    side = small_or_shuffled(keys.select(F.col("tkey").alias("key")), keys.count(), limit)
+    rows = whole_rows(docs, key=F.md5(F.coalesce(quoted(text), F.lit(""))))
+    return rows.join(side, "key", "left_anti").select("row.*")

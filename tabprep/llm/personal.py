@@ -22,8 +22,8 @@ of rows per occurrence, so no pairs within a group are formed). The number of
 texts with a term is one grouped count over the distinct terms of all texts, the
 pairs are joined with it. Only the terms
 that then disclose something - rare ones, since a frequent term cannot reach the
-threshold - are looked up in the texts (an equi-join, broadcast below a counted
-size). The last pass marks base spans and the disclosing terms of its text.
+threshold - are looked up in the texts (equi-joins, broadcast below a counted
+number of rows and estimated bytes). The last pass marks base spans and the disclosing terms of its text.
 
 Defined results: a null text is an empty one (no span); equal texts count once
 in all statistics and have equal spans; repeated rows stay repeated; other
@@ -55,6 +55,8 @@ CONTEXT = 5
 #: Texts that the pooled share of a kind counts as.
 PRIOR_TEXTS = 1.0
 GENERALISE = 0.8
+#: Estimated bytes of a look-up side that is broadcast; all of them grow with the corpus.
+SIDE_BYTES = 2 * 1024 * 1024
 REMOVE = 0.95
 
 
@@ -83,7 +85,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     """``(start, kind, end)`` sorted; kinds are indexes into :data:`KINDS`."""
     out = [(s, 0, e) for s, e in _emails(text)]
     for m in IP.finditer(text):
-        if all(len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in m[0].split(".")):
+        if all(len(x) <= 3 and int(x or "0") <= 255 for x in (part.lstrip("0") for part in m[0].split("."))):
             out.append((m.start(), 1, m.end()))
     for m in CARD.finditer(text):
         digits = NOT_DIGIT.sub("", m[0])
@@ -169,12 +171,12 @@ def disclosure(docs: DataFrame, text: str = "text", context: int = CONTEXT, prio
     copies = rows.filter("m > 1").select("tkey", F.col("doc_id").alias("_first"), "c")
     weight = F.when(F.col("c").isNull(), 1.0).when(F.col("doc_id").eqNullSafe(F.col("_first")), 1.0 / F.col("c")
                                                    ).otherwise(0.0)
-    weighed = (docs.join(small_or_shuffled(copies, copied), "tkey", "left").select("text", weight.alias("weight"))
+    weighed = (docs.join(small_or_shuffled(copies, copied, max_bytes=SIDE_BYTES), "tkey", "left").select("text", weight.alias("weight"))
                .filter("weight > 0"))
     per_term = (weighed.select("weight", F.explode(text_terms("text")).alias("term"))
                 .groupBy("term").agg(F.round(F.sum("weight")).cast("long").alias("n_t")))
     info = F.log2(F.lit(float(max(texts, 1))) / F.col("n_e"))
-    pairs = materialize(per_term.join(small_or_shuffled(pairs, n_pairs), "term"), "personal-shares")
+    pairs = materialize(per_term.join(small_or_shuffled(pairs, n_pairs, max_bytes=SIDE_BYTES), "term"), "personal-shares")
     pool = pairs.groupBy("kind").agg((F.sum("n_te") / F.sum("n_t")).alias("m"))
     share = (F.col("n_te") + prior_texts * F.col("m")) / (F.col("n_t") + prior_texts)
     terms = (pairs.join(F.broadcast(pool), "kind").withColumn("disclosure", F.when(info > 0, 1 + F.log2(share) / info))
@@ -182,7 +184,7 @@ def disclosure(docs: DataFrame, text: str = "text", context: int = CONTEXT, prio
              .filter(F.col("disclosure") >= generalise)
              .withColumn("action", F.when(F.col("disclosure") >= remove, "remove").otherwise("generalise")))
     terms = materialize(terms, "personal-disclosing")
-    side = small_or_shuffled(terms.select("term", "action"), terms.count())
+    side = small_or_shuffled(terms.select("term", "action"), terms.count(), max_bytes=SIDE_BYTES)
     per_text = (docs.select("tkey", F.explode(text_terms("text")).alias("term")).join(side, "term")
                 .groupBy("tkey").agg(F.sort_array(F.collect_set(F.concat_ws(":", "action", "term"))).alias("terms")))
     return terms, materialize(per_text, "personal-texts")
@@ -240,6 +242,6 @@ def find_personal(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", c
     d = d.withColumn("tkey", F.md5("text"))
     _, per_text = disclosure(d, "text", context, prior_texts, generalise, remove)
     n = per_text.count()
-    marked = d.join(small_or_shuffled(per_text, n), "tkey", "left").select("text", "terms", "doc_id")
+    marked = d.join(small_or_shuffled(per_text, n, max_bytes=SIDE_BYTES), "tkey", "left").select("text", "terms", "doc_id")
     return marked.mapInArrow(_mark, "spans array<string>, sanitised string, "
                                     f"doc_id {dict(d.dtypes)['doc_id']}").select("doc_id", "spans", "sanitised")

@@ -67,7 +67,6 @@ URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.
              ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 #: Domains whose pages are listed, as whole labels of the canonical host.
 LISTED_NAMES = ["adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm"]
-_LISTED = "^(" + "|".join(LISTED_NAMES) + r")\."  # the oracle's: at the start of the host only
 _LISTED_HOST = r"^([^/?]*\.)?(" + "|".join(LISTED_NAMES) + r")([.:/?]|$)"
 _OP9_HOST = r"""translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1),
  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"""
@@ -88,7 +87,7 @@ forms as (select *, case when regexp_replace(regexp_replace(host, '^(www|m)\\.',
     then regexp_replace(regexp_replace(host, '^(www|m)\\.', ''), '\\.?(:80|:443)?$', '')
       || regexp_replace(regexp_replace(path, '(/index)?\\.html?$', ''), '/+$', '')
       || case when q <> '' then '?' || q else '' end end as canon from parts),
-listed as (select distinct canon from forms where regexp_matches(canon, '{_LISTED}'))
+listed as (select distinct canon from forms where regexp_matches(canon, '{_LISTED_HOST}'))
 select page_id, host, path, {_op9_rule(0)} as rule,
   coalesce({_op9_rule(1)}, case when canon in (select canon from listed) then 'block' else 'allow' end) as verdict
 from forms""")
@@ -103,10 +102,11 @@ def op9_urlfilter(spark, sf_dir):
 
 # ------------------------------------------------------------------ 10 secret scan
 def _op10_spans(kind: str) -> str:
-    """DuckDB: the base spans of one kind from the matches and the pieces between them."""
-    regex, group, least = {"assign": secrets.ASSIGN, "access": secrets.ACCESS, "hex": secrets.HEX}[kind]
+    """DuckDB: the spans of one kind from the matches and the pieces between them."""
+    rank = ["assign", "access", "hex", "live"].index(kind)
+    regex, group, least = secrets.PATTERNS[rank]
     regex = regex.replace("'", "''")
-    return f"""select doc_id, '{kind}' as kind, {secrets.BASE_KINDS.index(kind)} as rank, s as start_, s + len_ as end_
+    return f"""select doc_id, '{kind}' as kind, {rank} as rank, s as start_, s + len_ as end_, v
   from (select doc_id, v, length(m) as len_, sum(length(g) + length(m)) over (partition by doc_id order by i)
       - length(m) as s
     from (select doc_id, unnest(range(1, len(ms) + 1)) as i, unnest(ms) as m, unnest(vs) as v,
@@ -116,24 +116,34 @@ def _op10_spans(kind: str) -> str:
   where length(v) >= {least}"""
 
 
-def _op10_check() -> str:
-    return f"""
-with docs as (select doc_id, coalesce(text, '') as t from documents),
-spans as ({' union all '.join(_op10_spans(k) for k in secrets.BASE_KINDS)}),
+_OP10_SQL = f"""
+with docs as (select doc_id, coalesce(text, '') as t, coalesce(source, '?') as owner,
+  coalesce(source, '?') || '/' || coalesce(lang, '?') as repo from documents),
+base as ({' union all '.join(_op10_spans(k) for k in secrets.BASE_KINDS)}),
+bare as (select * from ({_op10_spans('live')}) b where regexp_matches(v, '[0-9]') and regexp_matches(v, '[A-Za-z]')
+  and not exists (select 1 from base x where x.doc_id = b.doc_id and x.start_ < b.end_ and b.start_ < x.end_)),
+holders as (select v, owner, repo, rank < 3 as in_base from (select * from base union all select * from bare) join docs using (doc_id)),
+classes as (select v, bool_or(in_base) as known, case
+    when count(distinct owner) >= {secrets.WIDE_OWNERS} or count(distinct repo) >= {secrets.WIDE_REPOS} then 'example'
+    when count(distinct owner) <= {secrets.OWN_OWNERS} and count(distinct repo) <= {secrets.OWN_REPOS}
+      and len(list_distinct(string_split(v, ''))) >= {secrets.LIVE_CHARS} then 'live' else 'shared' end as class
+  from holders group by v),
+every as (select * from base union all select bare.* from bare join classes using (v)
+  where class = 'live' or known and class <> 'example'),
+lines as (select e.doc_id, e.rank, e.kind, e.start_, e.v, class,
+  e.kind || ':' || cast(e.start_ as bigint) || ':' || cast(e.end_ as bigint) as line from every e join classes using (v)),
 per_doc as (select doc_id, count(*) filter (kind = 'assign') as a, count(*) filter (kind = 'access') as c,
-  count(*) filter (kind = 'hex') as h,
-  string_agg(kind || ':' || cast(start_ as bigint) || ':' || cast(end_ as bigint), ',' order by start_, rank) as s
-  from spans group by doc_id)
+  count(*) filter (kind = 'hex') as h, string_agg(line, ',' order by start_, rank) filter (rank < 3) as base_spans,
+  string_agg(line, ',' order by start_, rank) as spans,
+  count(distinct v) filter (rank < 3 and class = 'live') as own,
+  count(distinct v) filter (rank < 3 and class = 'example') as wide from lines group by doc_id)
 select doc_id, coalesce(a, 0) as n_assign, coalesce(c, 0) as n_access, coalesce(h, 0) as n_hex,
-  sha256(coalesce(s, '')) as base_sha256, coalesce(s, '') as base_spans
+  sha256(coalesce(base_spans, '')) as base_sha256, coalesce(spans, '') as spans,
+  coalesce(own, 0) as n_owner_specific, coalesce(wide, 0) as n_widely_copied
 from docs left join per_doc using (doc_id)"""
 
 
-#: The base spans as DuckDB SQL; the tests compare them and add the corpus counts by brute force.
-OP10_BASE_SQL = _op10_check()
-
-
-@query("op10_secrets")
+@query("op10_secrets", _OP10_SQL)
 def op10_secrets(spark, sf_dir):
     found = secrets.find_secrets(table(spark, sf_dir, "documents"))
     line = lambda kind, s: F.concat_ws(":", kind, s["start"].cast("string"), s["end"].cast("string"))

@@ -10,8 +10,11 @@ Base spans are always reported (with their class); a bare token becomes a
 ``live`` span only if its value is owner-specific or is a base value elsewhere
 that is not an example.
 
-Spans are found with built-in functions: the pieces between the matches
-(``split``) and the matches give the code-point offsets.
+Spans are found with built-in functions: one scan lists the matches of each text with
+the lengths of the gaps between them (``split``). Everything further works on the
+matches, one row each: distinct ones per text, offsets by running sums, bare tokens
+that overlap base spans by running extremes. So the work is linear in the matches of a
+text, and no text is shuffled.
 
 Counting never gathers a value's documents: rows are reduced to distinct
 (hash, owner, repository), then to (hash, owner), then to the hash, each with a
@@ -20,15 +23,16 @@ row per task.
 
 Defined results: a null text is an empty one (no span); a null owner or
 repository counts as one unknown owner or repository; equal texts have equal
-spans; repeated rows stay repeated; other columns are not read.
+spans; repeated rows stay repeated; other columns are not read (:func:`redact` keeps
+them, whatever their names); an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabprep.llm.common import text_key
+from tabprep.llm.common import quoted, small_or_shuffled, text_key, whole_rows
 from tabprep.session import materialize
 
 # The base patterns, the group that holds the value and its least length.
@@ -38,133 +42,145 @@ HEX = (r"[0-9a-f]+", 0, 32)
 #: Long tokens without a keyword; kept if letters and digits are mixed.
 BARE = (r"[A-Za-z0-9+/_=-]{20,}", 0, 20)
 BASE_KINDS = ["assign", "access", "hex"]
-#: Distinct owners from which on a value is a widely copied example.
-WIDE_OWNERS = 5
-#: Owners up to which a value is owner-specific.
-OWN_OWNERS = 1
+PATTERNS, BARE_RANK = [ASSIGN, ACCESS, HEX, BARE], 3
+#: Distinct owners, or repositories, from which on a value is a widely copied example.
+WIDE_OWNERS, WIDE_REPOS = 5, 10
+#: Owners and repositories up to which a value is owner-specific.
+OWN_OWNERS, OWN_REPOS = 1, 3
 #: Distinct characters that a live-looking value has at least.
 LIVE_CHARS = 10
 
 
-def _matches(text: str, kind: str, pattern: tuple[str, int, int]) -> Column:
-    """``array<struct<start,end,kind,value>>`` of the leftmost non-overlapping
-    matches whose value is long enough; offsets in code points, end exclusive."""
-    regex, group, least = pattern
+EMPTY = "array<struct<rank:int,pos:int,gap:int,len:int,value:string>>"
+
+
+def _matches(text: str, rank: int) -> Column:
+    """The leftmost non-overlapping matches of one kind with the length of the gap
+    before each (code points)."""
+    regex, group, least = PATTERNS[rank]
     # hex runs are maximal, so shorter ones need not be listed to be dropped
-    whole = {"hex": r"[0-9a-f]{%d,}" % least}.get(kind, regex)
+    whole = r"[0-9a-f]{%d,}" % least if PATTERNS[rank] is HEX else regex
     t = F.col(text)
     found = F.regexp_extract_all(t, F.lit(whole), F.lit(0))
     values = F.regexp_extract_all(t, F.lit(whole), F.lit(group)) if group else found
     gaps = F.split(t, whole, -1)
     rows = F.arrays_zip(found.alias("m"), values.alias("v"), F.slice(gaps, 1, F.size(found)).alias("g"))
-    empty = F.array().cast("array<struct<start:int,end:int,kind:string,value:string>>")
-    start = F.struct(F.lit(0).alias("at"), empty.alias("out"))
-
-    def step(acc: Column, r: Column) -> Column:
-        begin = acc["at"] + F.char_length(r["g"])
-        end = begin + F.char_length(r["m"])
-        one = F.struct(begin.alias("start"), end.alias("end"), F.lit(kind).alias("kind"), r["v"].alias("value"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
-
-    spans = F.aggregate(rows, start, step, lambda acc: acc["out"])
-    long_enough = F.filter(spans, lambda s: F.char_length(s["value"]) >= least)
-    return F.when(t.rlike(whole), long_enough).otherwise(empty)
+    return F.when(t.rlike(whole), F.transform(rows, lambda r, i: F.struct(
+        F.lit(rank).alias("rank"), i.alias("pos"), F.char_length(r["g"]).alias("gap"),
+        F.char_length(r["m"]).alias("len"), r["v"].alias("value")))).otherwise(F.array().cast(EMPTY))
 
 
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: str = "source",
          repo: str = "lang") -> DataFrame:
-    """``doc_id, tkey, owner, repo, base, bare``: base spans and bare tokens of
-    each document row (``base`` by start, then kind)."""
-    d = docs.select(F.col(doc_id).alias("doc_id"), F.col(owner).cast("string").alias("owner"),
-                    F.concat_ws("/", F.coalesce(F.col(owner).cast("string"), F.lit("?")),
-                                F.coalesce(F.col(repo).cast("string"), F.lit("?"))).alias("repo"),
+    """``doc_id, tkey, owner, repo, found``: the matches of each document row."""
+    own = F.coalesce(F.col(owner).cast("string"), F.lit("?"))
+    d = docs.select(F.col(doc_id).alias("doc_id"), own.alias("owner"),
+                    F.concat_ws("/", own, F.coalesce(F.col(repo).cast("string"), F.lit("?"))).alias("repo"),
                     F.coalesce(F.col(text), F.lit("")).alias("text"))
-    d = d.withColumn("tkey", text_key("text", "doc_id"))
-    kinds = {"assign": ASSIGN, "access": ACCESS, "hex": HEX, "bare": BARE}
-    d = d.select("doc_id", "tkey", F.coalesce("owner", F.lit("?")).alias("owner"), "repo",
-                 *[_matches("text", k, p).alias(k) for k, p in kinds.items()])
-    order = F.transform(F.concat(*BASE_KINDS), lambda s: F.struct(
-        s["start"].alias("start"),
-        F.when(s["kind"] == "assign", 0).when(s["kind"] == "access", 1).otherwise(2).alias("rank"),
-        s["end"].alias("end"), s["kind"].alias("kind"), s["value"].alias("value")))
-    mixed = F.filter("bare", lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[A-Za-z]"))
-    base = F.sort_array(order)
-    outside = F.filter(mixed, lambda s: ~F.exists(F.col("base"), lambda b: (b["start"] < s["end"])
-                                                  & (s["start"] < b["end"])))
-    return d.withColumn("base", base).select("doc_id", "tkey", "owner", "repo", "base", outside.alias("bare"))
-
-
-def ownership(scanned: DataFrame, wide_owners: int = WIDE_OWNERS, own_owners: int = OWN_OWNERS,
-              live_chars: int = LIVE_CHARS) -> DataFrame:
+    return d.select("doc_id", text_key("text", "doc_id").alias("tkey"), "owner", "repo",
+                    F.concat(*[_matches("text", k) for k in range(len(PATTERNS))]).alias("found"))
+
+
+def spans(scanned: DataFrame) -> DataFrame:
+    """``tkey, rank, start, end, value``: the base spans of each distinct text, and its
+    bare tokens (letters and digits mixed) outside them."""
+    each = scanned.filter(F.size("found") > 0).select("tkey", F.inline("found")).distinct().repartition("tkey")
+    so_far = Window.partitionBy("tkey", "rank").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    each = each.withColumn("end", F.sum(F.col("gap") + F.col("len")).over(so_far).cast("int"))
+    least = F.lit(None).cast("int")
+    for rank, (_, _, n) in enumerate(PATTERNS):
+        least = F.when(F.col("rank") == rank, n).otherwise(least)
+    mixed = F.col("value").rlike("[0-9]") & F.col("value").rlike("[A-Za-z]")
+    each = each.select("tkey", "rank", (F.col("end") - F.col("len")).alias("start"), "end", "value").filter(
+        (F.char_length("value") >= least) & ((F.col("rank") < BARE_RANK) | mixed))
+    base = F.col("rank") < BARE_RANK
+    upto = Window.partitionBy("tkey").orderBy("start").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    since = Window.partitionBy("tkey").orderBy(F.col("start").desc()).rangeBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    each = each.withColumn("ended", F.max(F.when(base, F.col("end"))).over(upto)).withColumn(
+        "begun", F.min(F.when(base, F.col("start"))).over(since))
+    free = (F.coalesce("ended", F.lit(0)) <= F.col("start")) & F.coalesce(F.col("begun") >= F.col("end"), F.lit(True))
+    return each.filter(base | free).drop("ended", "begun")
+
+
+def ownership(scanned: DataFrame, found: DataFrame, wide_owners: int = WIDE_OWNERS, wide_repos: int = WIDE_REPOS,
+              own_owners: int = OWN_OWNERS, own_repos: int = OWN_REPOS, live_chars: int = LIVE_CHARS) -> DataFrame:
     """One row per value hash: ``hash, owners, repos, in_base, random, class``
-    (``example``, ``live`` or ``shared``)."""
-    cols = ["owner", "repo"]
-    each = scanned.select(*cols, F.explode(F.concat(
-        F.transform("base", lambda s: F.struct(s["value"].alias("value"), F.lit(True).alias("in_base"))),
-        F.transform("bare", lambda s: F.struct(s["value"].alias("value"), F.lit(False).alias("in_base"))))).alias("c"))
-    # the classes of characters that the value has decide whether it looks random
-    random = F.size(F.array_distinct(F.split(F.col("c.value"), ""))) >= live_chars
-    per_repo = (each.select(F.sha2("c.value", 256).alias("hash"), *cols, F.col("c.in_base").alias("in_base"),
-                            random.alias("random"))
-                .groupBy("hash", *cols).agg(F.max("in_base").alias("in_base"), F.max("random").alias("random")))
-    per_owner = per_repo.groupBy("hash", "owner").agg(
-        F.count("*").alias("repos"), F.max("in_base").alias("in_base"), F.max("random").alias("random"))
-    per_hash = per_owner.groupBy("hash").agg(
-        F.count("*").alias("owners"), F.sum("repos").alias("repos"), F.max("in_base").alias("in_base"),
-        F.max("random").alias("random"))
-    return per_hash.withColumn("class", F.when(F.col("owners") >= wide_owners, "example").when(
-        (F.col("owners") <= own_owners) & F.col("random"), "live").otherwise("shared"))
+    (``example``, ``live`` or ``shared``) from the scan and its spans."""
+    holders = scanned.filter(F.size("found") > 0).select("tkey", "owner", "repo").distinct()
+    # many distinct characters: the value looks random
+    random = F.size(F.array_distinct(F.split("value", ""))) >= live_chars
+    values = found.select("tkey", F.sha2("value", 256).alias("hash"), (F.col("rank") < BARE_RANK).alias("in_base"),
+                          random.alias("random")).distinct()
+    flags = [F.max("in_base").alias("in_base"), F.max("random").alias("random")]
+    per_repo = values.join(holders, "tkey").groupBy("hash", "owner", "repo").agg(*flags)
+    per_owner = per_repo.groupBy("hash", "owner").agg(F.count("*").alias("repos"), *flags)
+    per_hash = per_owner.groupBy("hash").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos"), *flags)
+    wide = (F.col("owners") >= wide_owners) | (F.col("repos") >= wide_repos)
+    own = (F.col("owners") <= own_owners) & (F.col("repos") <= own_repos) & F.col("random")
+    return per_hash.withColumn("class", F.when(wide, "example").when(own, "live").otherwise("shared"))
+
+
+def _verdicts(docs: DataFrame, doc_id: str, text: str, owner: str, repo: str, **limits) -> tuple[DataFrame, DataFrame]:
+    """The written scan, and the spans with ``hash``, ``class`` and whether they are
+    reported (base spans) or ``live`` (added)."""
+    scanned = materialize(scan(docs, doc_id, text, owner, repo), "secret-scan")
+    found = materialize(spans(scanned), "secret-spans")
+    classes = ownership(scanned, found, **limits).select("hash", "class", F.col("in_base").alias("known"))
+    seen = found.withColumn("hash", F.sha2("value", 256)).join(classes, "hash")
+    live = (F.col("class") == "live") | F.col("known") & (F.col("class") != "example")
+    return scanned, seen.withColumn("live", (F.col("rank") == BARE_RANK) & live)
 
 
 def find_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: str = "source",
-                 repo: str = "lang", wide_owners: int = WIDE_OWNERS, own_owners: int = OWN_OWNERS,
-                 live_chars: int = LIVE_CHARS) -> DataFrame:
+                 repo: str = "lang", **limits) -> DataFrame:
     """One row per document row: ``doc_id, tkey, base, live, classes``.
 
-    ``base`` are the base spans, ``live`` the added ones, ``classes`` the class
-    of each distinct base value hash of the text. The scan (spans only, no
-    texts) is written once and read by the counts and the result."""
-    scanned = materialize(scan(docs, doc_id, text, owner, repo), "secret-scan")
-    classes = ownership(scanned, wide_owners, own_owners, live_chars)
-    # verdicts depend on the value only, so each text is looked up once
-    texts = (scanned.filter((F.size("base") > 0) | (F.size("bare") > 0))
-             .groupBy("tkey").agg(F.first("base").alias("base"), F.first("bare").alias("bare")))
-    each = texts.select("tkey", F.explode(F.concat(
-        F.transform("base", lambda s: F.struct(F.sha2(s["value"], 256).alias("hash"), s["start"].alias("start"),
-                                               s["end"].alias("end"), F.lit(True).alias("in_base"))),
-        F.transform("bare", lambda s: F.struct(F.sha2(s["value"], 256).alias("hash"), s["start"].alias("start"),
-                                               s["end"].alias("end"), F.lit(False).alias("in_base"))))).alias("s"))
-    seen = each.select("tkey", "s.*").join(
-        classes.select("hash", "class", F.col("in_base").alias("known")), "hash")
-    live = ~F.col("in_base") & ((F.col("class") == "live") | F.col("known") & (F.col("class") != "example"))
+    ``base`` are the base spans (by start, then kind), ``live`` the added ones,
+    ``classes`` the class of each distinct base value hash of the text. The scan
+    (matches only, no texts) is written once and read by the counts and the result."""
+    scanned, seen = _verdicts(docs, doc_id, text, owner, repo, **limits)
+    base = F.col("rank") < BARE_RANK
+    kind = F.element_at(F.array(*[F.lit(k) for k in BASE_KINDS]), F.col("rank") + 1)
     # written, so that the join with all documents has a known side to broadcast
     # or, beyond, two shuffles of which a hot text's partition can be split
     per_text = materialize(seen.groupBy("tkey").agg(
-        F.sort_array(F.collect_set(F.when(live, F.struct("start", "end")))).alias("live"),
-        F.sort_array(F.collect_set(F.when(F.col("in_base"), F.struct("hash", "class")))).alias("classes")), "secrets")
-    return (scanned.join(per_text, "tkey", "left")
-            .select("doc_id", "tkey", "base",
-                    F.coalesce("live", F.array().cast("array<struct<start:int,end:int>>")).alias("live"),
-                    F.coalesce("classes", F.array().cast("array<struct<hash:string,class:string>>"))
-                    .alias("classes")))
+        F.sort_array(F.collect_list(F.when(base, F.struct("start", "rank", "end", kind.alias("kind"), "value")))).alias("base"),
+        F.sort_array(F.collect_list(F.when(F.col("live"), F.struct("start", "end")))).alias("live"),
+        F.sort_array(F.collect_set(F.when(base, F.struct("hash", "class")))).alias("classes")), "secrets")
+    none = lambda c, t: F.coalesce(c, F.array().cast(t)).alias(c)
+    return scanned.select("doc_id", "tkey").join(per_text, "tkey", "left").select(
+        "doc_id", "tkey", none("base", "array<struct<start:int,rank:int,end:int,kind:string,value:string>>"),
+        none("live", "array<struct<start:int,end:int>>"), none("classes", "array<struct<hash:string,class:string>>"))
 
 
-def redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mark: str = "[SECRET]", **options) -> DataFrame:
+def redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mark: str = "[SECRET]", owner: str = "source",
+           repo: str = "lang", **limits) -> DataFrame:
     """``docs`` with the spans of live-looking and shared values replaced by
-    ``mark``; widely copied examples stay. All columns are kept."""
-    found = find_secrets(docs, doc_id, text, **options)
-    wide = F.transform(F.filter("classes", lambda c: c["class"] == "example"), lambda c: c["hash"])
-    gone = F.concat(
-        F.transform(F.filter("base", lambda s: ~F.array_contains(F.col("_wide"), F.sha2(s["value"], 256))),
-                    lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))), F.col("live"))
-    spans = (found.filter((F.size("base") > 0) | (F.size("live") > 0))
-             .select("tkey", "base", "live", wide.alias("_wide")).dropDuplicates(["tkey"])
-             .select(F.col("tkey").alias("_tkey"), F.sort_array(gone).alias("_gone")))
-    cut = F.expr(f"""aggregate(_gone, named_struct('at', 0, 'out', ''), (a, s) -> if(s.end <= a.at, a,
-        named_struct('at', s.end, 'out', concat(a.out, substring(`{text}`, a.at + 1, greatest(s.start - a.at, 0)),
-        if(s.start >= a.at, '{mark}', '')))),
-        a -> concat(a.out, substring(`{text}`, a.at + 1)))""")
-    keyed = docs.withColumn("_tkey", text_key(F.coalesce(F.col(text), F.lit("")), doc_id))
-    out = keyed.join(spans, "_tkey", "left")
-    changed = F.when(F.size("_gone") > 0, cut).otherwise(F.col(text))
-    return out.select(*[changed.alias(c) if c == text else F.col(c) for c in docs.columns])
+    ``mark`` (one for spans that overlap); widely copied examples stay. All columns are
+    kept, whatever their names; null texts stay null."""
+    _, seen = _verdicts(docs, doc_id, text, owner, repo, **limits)
+    gone = seen.filter(F.col("live") | (F.col("rank") < BARE_RANK) & (F.col("class") != "example"))
+    before = Window.partitionBy("tkey").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy("tkey").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, 0)
+    gone = gone.select("tkey", "start", "end", F.max("end").over(before).alias("ended")).withColumn(
+        "part", F.sum(F.when(F.col("start") < F.col("ended"), 0).otherwise(1)).over(upto))
+    cuts = gone.groupBy("tkey", "part").agg(F.min("start").alias("start"), F.max("end").alias("end")).groupBy("tkey").agg(
+        F.sort_array(F.collect_list(F.struct("start", "end"))).alias("cuts"))
+    cuts = materialize(cuts, "secret-cuts")
+    rows = whole_rows(docs, tkey=text_key(F.coalesce(quoted(text), F.lit("")), quoted(doc_id)))
+    rows = rows.join(small_or_shuffled(cuts, cuts.count()), "tkey", "left")
+    # four bytes a character, so that a piece is found by its offset; the lambda's
+    # variable keeps the encoded text from being made anew for every piece
+    whole = F.array(F.struct(F.encode(F.coalesce(F.col("row")[text], F.lit("")), "UTF-32").alias("u"), F.col("cuts").alias("c")))
+
+    def pieces(z: Column) -> Column:
+        at = lambda i: F.when(i == 0, 0).otherwise(F.get(z["c"], i - 1)["end"])
+        cut = lambda start, length: F.decode(F.substring(z["u"], 4 * start + 1, 4 * length), "UTF-32")
+        head = F.transform(z["c"], lambda s, i: cut(at(i), s["start"] - at(i)))
+        last = F.element_at(z["c"], -1)["end"]
+        return F.array_join(F.concat(head, F.array(F.decode(F.substring(z["u"], 4 * last + 1, F.length(z["u"])), "UTF-32"))), mark)
+
+    changed = F.when(F.size("cuts") > 0, F.get(F.transform(whole, pieces), 0)).otherwise(F.col("row")[text])
+    return rows.withColumn("changed", changed).select(*[
+        F.col("changed").alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns])

@@ -99,7 +99,7 @@ def personal_spans(text):
     out = [(m.start(), m.end(), "email")
            for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
     out += [(m.start(), m.end(), "ip") for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t)
-            if all(int(x) <= 255 for x in m[0].split("."))]
+            if all(re.fullmatch("0*([0-9]{1,2}|1[0-9][0-9]|2[0-4][0-9]|25[0-5])", x) for x in m[0].split("."))]
     out += [(m.start(), m.end(), "card") for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t)
             if 14 <= len(digits(m[0])) <= 19 and luhn(digits(m[0]))]
     out += [(m.start(), m.end(), "phone") for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t)

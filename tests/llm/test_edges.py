@@ -4,6 +4,7 @@ clashing column names; the ways beyond the size limits; the methods' own parts."
 import itertools
 import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -134,12 +135,62 @@ def test_ownership_separates_copies_from_live_values(spark):
     assert [c["class"] for c in got[0].classes] == ["example"] and got[23].live == []
     assert [c["class"] for c in got[20].classes] == ["live"]
     assert [(s.start, s.end) for s in got[21].live] == [(6, 26)] and len(got[22].live) == 1
-    clean = {r.doc_id: r.text for r in secrets.redact(df.withColumn("_tkey", F.lit(1)).withColumn("x", F.lit(2))
-                                                      .drop("_tkey")).collect()}
+    clean = {r.doc_id: r.text for r in secrets.redact(df.withColumn("tkey", F.lit(1)).withColumn("x", F.lit(2))).collect()}
     assert live not in clean[20] + clean[21] and wide in clean[0] and wide in clean[23] and clean[24] is None
     assert clean[21] == "again [SECRET] bare"
 
 
+def test_many_matches_in_one_text_are_linear(spark):
+    n = 100_000
+    text = "".join(f"Zz81LpR4tVb7{i:06d}Yc3aaQ é " for i in range(n)) + "token = k9Q2mZx81LpR4tVb7Yc3"
+    df = spark.createDataFrame([(1, text, "en", "s1"), (2, "x", "en", "s2")], "doc_id long, text string, lang string, source string")
+    began = time.time()
+    got = {r.doc_id: r for r in secrets.find_secrets(df).select(
+        "doc_id", F.size("live").alias("n"), F.size("base").alias("b"), F.try_element_at("live", F.lit(-1)).alias("last")).collect()}
+    assert (got[1].n, got[1].b, got[2].n) == (n, 1, 0) and got[1].last.end == (n - 1) * 27 + 24
+    clean = {r.doc_id: r.text for r in secrets.redact(df).collect()}
+    assert clean[1] == "[SECRET] é " * n + "[SECRET]" and clean[2] == "x"
+    assert time.time() - began < 60
+
+
+def test_repositories_decide_too(spark):
+    live = "k9Q2mZx81LpR4tVb7Yc3"
+    docs = [(i, f"token = {live}{'abcd'[k]}", f"r{i}", "s1") for k, n in enumerate((2, 5, 12)) for i in range(n)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")
+    got = secrets.find_secrets(df).select("base", "classes").collect()
+    assert {r.base[0].value[-1]: r.classes[0]["class"] for r in got} == {"a": "live", "b": "shared", "c": "example"}
+
+
+STAGES = {
+    "redact": lambda s, d: secrets.redact(d),
+    "one_per_class": lambda s, d: chosen_path.one_per_class(d),
+    "keep_identified": lambda s, d: language_id.keep_identified(d),
+    "drop_contaminated": lambda s, d: decontaminate.drop_contaminated(d, items(s, [(1, edge_rows()[4][1])])),
+}
+
+
+@pytest.mark.parametrize("name", STAGES)
+def test_stages_keep_columns_of_any_name(spark, edge, empty, name):
+    """The kept rows are those that the same stage keeps without further columns."""
+    plain = STAGES[name](spark, edge.select("doc_id", "text", "lang", "source"))
+    clash = edge.withColumns({c: F.lit(8) for c in ("_tkey", "_text_key", "_twice", "_cuts", "cuts", "changed", "row.x", "doc", "spans")})
+    got = STAGES[name](spark, clash)
+    assert got.columns == clash.columns
+    rows = [r.asDict() for r in got.collect()]
+    assert all(r["_tkey"] == r["cuts"] == r["row.x"] == 8 and r["tkey"] == 7 for r in rows)
+    key = lambda r: (str(r["doc_id"]), str(r["text"]))
+    assert sorted(map(key, rows)) == sorted((str(r.doc_id), str(r.text)) for r in plain.collect()) and rows
+    assert STAGES[name](spark, empty).count() == 0
+
+
+def test_very_long_digit_runs_are_no_address(spark):
+    texts = ["x " + "0" * 5000 + ".1.1.1 y", "0" * 5000 + "9" * 5000 + ".1.2.3", "000255.001.0.00"]
+    want = [[f"{k}:{s}:{e}" for s, e, k in sorted(brute.personal_spans(t))] for t in texts]
+    assert [len(w) for w in want] == [1, 0, 1]
+    got = personal.find_personal(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert [[s for s in r.spans if not s.startswith("term")] for r in sorted(got)] == want
+
+
 def test_terms_that_disclose_an_entity_are_removed(spark):
     docs = [(i, f"note {i} the falcon9 mail bob.{0}@corp.example.com said {i + 1}") for i in range(12)]
     docs += [(100 + i, f"the mail note of day {i} said nothing new") for i in range(200)]
