@@ -413,7 +413,7 @@ select '{split}' as split, feature, n_null from (unpivot (
   from {src}) on columns(*) into name feature value n_null)"""
 
 
-@query("null_counts", with_stages(_null_counts_sql("train", "train2") + " union all " + _null_counts_sql("test", "test2")))
+@query("null_counts", with_stages(_null_counts_sql("train", "train2") + " union all " + _null_counts_sql("test", "test1")))
 def q_null_counts(spark, sf_dir):
     """NULLs per column of both deduplicated splits, one aggregate each."""
     train, test = (cleaning.null_counts(d).select(F.lit(n).alias("split"), F.col("column").alias("feature"),
