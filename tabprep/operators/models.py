@@ -1,4 +1,4 @@
-"""Forest, permutation importance, PCA, LDA and labelled projections.
+"""PCA, LDA and labelled projections (R1-R3 are in :mod:`forest`).
 
 Second moments (covariance, within-class scatter) come from two distributed
 passes: every partition reduces its rows to ``n`` and ``sum x``, then to
@@ -19,8 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabprep.operators import sampling
-from tabprep.session import materialize
+from tabprep.operators.forest import fit_forest, permutation_importance  # noqa: F401 - R1-R3
 
 
 def _vector_cols(df: DataFrame, features: Sequence[str] | str) -> list[Column]:
@@ -232,22 +231,6 @@ def projection_with(proj: DataFrame, df: DataFrame, cols: Sequence[str],
 
 
 # --------------------------------------------------------------------------- forest
-def fit_forest(df: DataFrame, features: Sequence[str], label: str, trees: int = 10,
-               max_depth: int = 10, seed: int = 42, max_bins: int = 64):
-    """Random forest regression (Spark ML, distributed trees), every
-    feature considered at each split as in the studied pipeline. Spark caps
-    tree depth at 30; the default here is 10."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import RandomForestRegressor
-
-    data = VectorAssembler(inputCols=list(features), outputCol="_features",
-                           handleInvalid="skip").transform(df)
-    rf = RandomForestRegressor(featuresCol="_features", labelCol=label, numTrees=trees,
-                               maxDepth=max_depth, seed=seed, maxBins=max_bins,
-                               featureSubsetStrategy="all", predictionCol="_pred")
-    return rf.fit(data)
-
-
 def r2_score(pred: DataFrame, label: str, prediction: str = "_pred",
              group: Sequence[str] = ()) -> DataFrame:
     """Coefficient of determination, optionally per group (one aggregate)."""
@@ -256,43 +239,3 @@ def r2_score(pred: DataFrame, label: str, prediction: str = "_pred",
         F.sum((y - yh) * (y - yh)).alias("ss_res"),
         (F.var_pop(y) * F.count(y)).alias("ss_tot"))
     return agg.withColumn("r2", F.lit(1.0) - F.try_divide(F.col("ss_res"), F.col("ss_tot")))
-
-
-def permutation_importance(model, df: DataFrame, features: Sequence[str], label: str,
-                           n_repeats: int = 2, seed: int = 42, key: str = "row_id") -> DataFrame:
-    """R2 + R3: drop in R² when one feature is permuted, mean and population
-    std over repeats, ascending by mean (ties by name).
-
-    A repeat has one permutation of the rows that all its features share: every
-    row is joined once with its donor, the row that holds its permuted rank (two
-    shuffles of ``n_repeats`` times the table, whatever the number of features).
-    Swapping one feature at a time for the donor's is a projection in the stage
-    that scores, so the features x repeats copies never cross a shuffle; each
-    feature's importance is still that of a uniform permutation.
-    """
-    from pyspark.ml.feature import VectorAssembler
-
-    feats = list(features)
-    names = F.array(*[F.lit(f) for f in feats])
-    base = df.select(key, label, *feats).na.drop()
-    ranked = materialize(sampling.hash_rank(base, key, seed, "perm-base", out="_base"), "ranked")
-    donors = ranked.select("_base", *[F.col(f).cast("double").alias(f"_d{i}") for i, f in enumerate(feats)])
-    h = F.md5(F.concat(F.lit("perm:"), F.col("_r").cast("string"), F.lit(f":{seed}:"), F.col(key).cast("string")))
-    copies = ranked.drop("_base").withColumn("_r", F.explode(F.array(*[F.lit(r) for r in range(n_repeats)])))
-    permuted = sampling.rank_by(copies, h, key, ["_r"], out="_base").join(donors, "_base")
-    wide = permuted.withColumn("_f", F.explode(F.sequence(F.lit(0), F.lit(len(feats) - 1))))
-    wide = wide.select(label, "_f", "_r", *[
-        F.when(F.col("_f") == F.lit(i), F.col(f"_d{i}")).otherwise(F.col(f).cast("double")).alias(f)
-        for i, f in enumerate(feats)])
-    assembler = VectorAssembler(inputCols=feats, outputCol="_features")
-    scored = model.transform(assembler.transform(wide))
-    r2 = r2_score(scored, label, "_pred", ["_f", "_r"])
-    base_r2 = r2_score(model.transform(assembler.transform(
-        ranked.select(key, label, *[F.col(f).cast("double").alias(f) for f in feats]))),
-        label, "_pred").first()["r2"]
-    drops = r2.select(F.element_at(names, F.col("_f") + 1).alias("_f"),
-                      (F.lit(base_r2) - F.col("r2")).alias("drop"))
-    return (drops.groupBy(F.col("_f").alias("feature"))
-            .agg(F.avg("drop").alias("importance_mean"),
-                 F.stddev_pop("drop").alias("importance_std"))
-            .orderBy("importance_mean", "feature"))

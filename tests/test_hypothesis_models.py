@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabprep.functions import tails
-from tabprep.operators import hypothesis, models, projection
+from tabprep.operators import forest, hypothesis, models, projection
 
 from .conftest import SF001
 
@@ -131,6 +131,63 @@ def test_permutation_importance_planted(spark):
     assert imp["signal"] == max(imp.values())
 
 
+def planted(spark, n=1500):
+    rng = np.random.default_rng(8)
+    x = rng.integers(0, 40, (n, 4)).astype(float)
+    x[:, 3] = np.arange(n)                              # rows differ, so leaves can be pure
+    y = np.round(x[:, 0] * x[:, 1] + 5 * rng.normal(size=n), 3)
+    pdf = pd.DataFrame({"row_id": np.arange(n), **{f"f{j}": x[:, j] for j in range(4)}, "y": y})
+    return spark.createDataFrame(pdf), pdf
+
+
+@pytest.mark.parametrize("leaf_rows", [10_000, 200])
+def test_forest_leaves_are_pure(spark, leaf_rows):
+    df, pdf = planted(spark)
+    feats = ["f0", "f1", "f2", "f3"]
+    model = forest.fit_forest(df, feats, "y", trees=2, leaf_rows=leaf_rows, bootstrap=False)
+    got = forest.predict(model, df, ["row_id"]).toPandas().set_index("row_id").prediction
+    assert np.allclose(got.loc[pdf.row_id], pdf.y, atol=1e-9)
+    assert model.nodes.filter("feature = -1 and tree = 0").count() > 1000
+
+
+def test_large_forests_give_the_same_by_routing(spark, monkeypatch):
+    df, _ = planted(spark, 600)
+    feats = ["f0", "f1", "f2", "f3"]
+    model = forest.fit_forest(df, feats, "y", trees=3, leaf_rows=80)
+    near = forest.predict(model, df, ["row_id"]).toPandas().set_index("row_id").prediction.sort_index()
+    imp = forest.permutation_importance(model, df, feats, "y").collect()
+    monkeypatch.setattr(forest, "FOREST_BYTES", 0)
+    far = forest.predict(model, df, ["row_id"]).toPandas().set_index("row_id").prediction.sort_index()
+    assert np.allclose(near, far, atol=1e-12) and near.nunique() > 100
+    for a, b in zip(imp, forest.permutation_importance(model, df, feats, "y").collect()):
+        assert a.feature == b.feature and a.importance_mean == pytest.approx(b.importance_mean, abs=1e-9)
+    assert {imp[-1].feature, imp[-2].feature} == {"f0", "f1"}
+
+
+def test_grown_tree_splits_as_brute_force():
+    rng = np.random.default_rng(9)
+    for _ in range(30):
+        n = int(rng.integers(2, 40))
+        x, y, w = rng.integers(0, 6, (n, 3)).astype(float), rng.integers(0, 4, n).astype(float), rng.integers(1, 4, n).astype(float)
+        feature, cut, left, right, value = forest.grow(x, y, w)
+
+        def error(rows):
+            return (w[rows] * (y[rows] - np.average(y[rows], weights=w[rows])) ** 2).sum() if len(rows) else 0.0
+
+        def check(k, rows):
+            assert value[k] == pytest.approx(np.average(y[rows], weights=w[rows]))
+            options = [error(rows[x[rows, j] <= v]) + error(rows[x[rows, j] > v])
+                       for j in range(3) for v in np.unique(x[rows, j])[:-1]]
+            if feature[k] < 0:
+                assert not options or len(set(y[rows])) == 1
+                return
+            goes = x[rows, feature[k]] <= cut[k]
+            assert error(rows[goes]) + error(rows[~goes]) == pytest.approx(min(options), abs=1e-9)
+            check(left[k], rows[goes])
+            check(right[k], rows[~goes])
+        check(0, np.arange(n))
+
+
 def test_knn_hot_cell_blocks(spark):
     # a dense cluster holding a third of the rows, split into 3x3 blocks
     rng = np.random.default_rng(11)
