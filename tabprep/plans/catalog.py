@@ -936,21 +936,69 @@ def q_pca_cov(spark, sf_dir):
     return out.select("a", "b", rnd("cov").alias("cov"))
 
 
-@query("pca_scores")
+def _dominant(name: str, matrix: str) -> str:
+    """CTEs: the unit eigenvector ``v`` (largest entry positive) and eigenvalue ``l`` of
+    the largest eigenvalue of the symmetric matrix ``c`` of the one-row table ``matrix``, by
+    squaring the matrix 40 times (its trace kept at 1)."""
+    trace = "list_sum(list_transform(range(1, len({0}) + 1), lambda i: {0}[i][i]))"
+    return f"""
+{name}_p(t, m) as (select 0, list_transform(c, lambda r: list_transform(r, lambda x: x / {trace.format('c')})) from {matrix}
+  union all select t + 1, list_transform(q, lambda r: list_transform(r, lambda x: x / {trace.format('q')}))
+  from (select t, list_transform(m, lambda r: list_transform(m, lambda s: list_inner_product(r, s))) as q
+    from {name}_p where t < 40)),
+{name}_c as (select m[list_position(d, list_max(d))] as u from (select m, list_transform(range(1, len(m) + 1),
+  lambda i: m[i][i]) as d from {name}_p where t = 40)),
+{name}_u as (select u, list_transform(u, lambda x: abs(x)) as size from {name}_c),
+{name}_v as (select list_transform(u, lambda x: x / sqrt(list_inner_product(u, u))
+  * sign(u[list_position(size, list_max(size))])) as v from {name}_u),
+{name} as (select v, list_inner_product(v, list_transform(c, lambda r: list_inner_product(r, v))) as l from {name}_v, {matrix})"""
+
+
+def _pca_sql(source: str, cols: list[str], select: str, ctes: str = "") -> str:
+    """The first two principal axes (``pc.v1, v2, l1, l2, total, mu``) of the columns, then ``select``."""
+    covs = ", ".join("[" + ", ".join(f"covar_samp({a}, {b})" for b in cols) + "]" for a in cols)
+    body = f"""cov as (select [{covs}] as c, [{', '.join(f'avg({a})' for a in cols)}] as mu,
+  {' + '.join(f'var_samp({a})' for a in cols)} as total from {source}),{_dominant('one', 'cov')},
+rest as (select list_transform(range(1, len(c) + 1), lambda i: list_transform(range(1, len(c) + 1),
+  lambda j: c[i][j] - l * v[i] * v[j])) as c from cov, one),{_dominant('two', 'rest')},
+pc as (select one.v as v1, two.v as v2, one.l as l1, two.l as l2, total, mu from cov, one, two)
+{select}"""
+    return f"with recursive {ctes}{body}"
+
+
+def _stages_pca(select: str) -> str:
+    return _pca_sql("(select " + ", ".join(f"cast({c} as double) as {c}" for c in PCA_COLS) + " from ptrain)", PCA_COLS,
+                    select, osql.stage_ctes() + ",\n")
+
+
+def _score_sql(vector: str, k: int) -> str:
+    return r(f"list_inner_product(list_transform(range(1, len(mu) + 1), lambda i: {vector}[i] - mu[i]), v{k})")
+
+
+_PTRAIN_VECTOR = "[" + ", ".join(f"cast({c} as double)" for c in PCA_COLS) + "]"
+
+
+@query("pca_scores", _stages_pca(f"""select row_id, {_score_sql('x', 1)} as pc1, {_score_sql('x', 2)} as pc2
+from (select row_id, {_PTRAIN_VECTOR} as x from ptrain), pc"""))
 def q_pca_scores(spark, sf_dir):
     """Two principal components of the scaled features for every
     training row (no row cap)."""
     run = _run(spark, sf_dir, "preprocess")
     scores, _ = models.pca(run.preprocessed.train, PCA_COLS, 2)
-    return scores
+    return scores.select("row_id", rnd("pc1").alias("pc1"), rnd("pc2").alias("pc2"))
+
 
+_EMBEDDED = "(select " + ", ".join(f"cast(embedding[{i}] as double) as x{i}" for i in range(1, 65)) + " from embeddings)"
 
-@query("pca_embeddings")
+
+@query("pca_embeddings", _pca_sql(_EMBEDDED, [f"x{i}" for i in range(1, 65)], f"""
+select vec_id, {_score_sql('x', 1)} as pc1, {_score_sql('x', 2)} as pc2
+from (select vec_id, cast(embedding as double[]) as x from embeddings), pc"""))
 def q_pca_embeddings(spark, sf_dir):
     """R4 on a native vector column: two components of every embedding."""
     emb = table(spark, sf_dir, "embeddings")
     scores, _ = models.pca(emb, "embedding", 2, key="vec_id")
-    return scores
+    return scores.select("vec_id", rnd("pc1").alias("pc1"), rnd("pc2").alias("pc2"))
 
 
 @query("lda_scatter", """
@@ -980,14 +1028,17 @@ def q_lda(spark, sf_dir):
     return scores
 
 
-@query("projection_labels")
+@query("projection_labels", _stages_pca(f"""select x.row_id, {_score_sql('x', 1)} as pc1, {_score_sql('x', 2)} as pc2,
+  case when f.arr_delay > 15 then 1 else 0 end as label_binary, f.airline_code
+from (select row_id, {_PTRAIN_VECTOR} as x from ptrain) x join ftrain f using (row_id), pc"""))
 def q_projection_labels(spark, sf_dir):
     """PCA scores with the late-over-15-minutes label and the airline
     code, as the data behind the coloured scatter plots."""
     run = _run(spark, sf_dir, "preprocess")
     scores, _ = models.pca(run.preprocessed.train, PCA_COLS, 2)
     lab = filters.binary_label(run.featured.train, "arr_delay")
-    return models.projection_with(scores, lab, ["label_binary", "airline_code"])
+    return models.projection_with(scores, lab, ["label_binary", "airline_code"]).select(
+        "row_id", rnd("pc1").alias("pc1"), rnd("pc2").alias("pc2"), "label_binary", "airline_code")
 
 
 @query("projection_classes", with_stages("""
@@ -1012,13 +1063,18 @@ def q_pca_explained(spark, sf_dir):
     return out.agg(rnd(F.sum("v")).alias("total_variance"), F.count(F.lit(1)).cast("int").alias("n_features"))
 
 
-@query("pca_loadings")
+_LOADINGS_SQL = " union all ".join(
+    f"select '{c}' as feature, {k} as component, {r(f'v{k}[{i}]')} as loading, {r(f'l{k} / total')} as explained_ratio from pc"
+    for k in (1, 2) for i, c in enumerate(PCA_COLS, 1))
+
+
+@query("pca_loadings", _stages_pca(_LOADINGS_SQL))
 def q_pca_loadings(spark, sf_dir):
-    """Loadings and explained variance ratio of the first two components
-    (orthonormality and eigenvalues are checked in the tests)."""
+    """Loadings and explained variance ratio of the first two components."""
     run = _run(spark, sf_dir, "preprocess")
     model = models.fit_pca(run.preprocessed.train, PCA_COLS, 2)
-    return models.pca_loadings(model, spark, PCA_COLS)
+    return models.pca_loadings(model, spark, PCA_COLS).select(
+        "feature", "component", rnd("loading").alias("loading"), rnd("explained_ratio").alias("explained_ratio"))
 
 
 @query("forest_importance")
