@@ -1009,11 +1009,10 @@ c as (select e.vec_id, e.i, e.v - m.mu as d from e join m on e.label = m.label a
 select cast(x.i as int) as a, cast(y.i as int) as b, round(sum(x.d * y.d), 6) + 0.0 as s_w
 from c x join c y on x.vec_id = y.vec_id group by x.i, y.i""")
 def q_lda_scatter(spark, sf_dir):
-    """R5 (checkable part): within-class scatter of the embeddings by label,
-    from one grouped pass of partial Gram matrices."""
+    """R5 (checkable part): within-class scatter of the embeddings by label, as the
+    discriminants use it."""
     emb = table(spark, sf_dir, "embeddings")
-    m = models.moments(emb, "embedding", "label")
-    sw = sum(m.scatter[g] for g in m.groups)
+    sw = models.fit_lda(emb, "embedding", "label").within
     p = sw.shape[0]
     rows = [(i, j, float(sw[i, j])) for i in range(p) for j in range(p)]
     out = spark.createDataFrame(rows, "a int, b int, s_w double")

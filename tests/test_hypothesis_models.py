@@ -96,6 +96,36 @@ def test_lda_components_limit(spark):
         models.fit_lda(df, ["a", "b"], "c", 2)
 
 
+def test_pca_of_thousands_of_features(spark):
+    rng = np.random.default_rng(12)
+    n, p = 60, 5000
+    x = rng.normal(size=(n, 3)) @ (rng.normal(size=(3, p)) * np.array([[9.0], [5.0], [2.0]])) + 0.01 * rng.normal(size=(n, p)) + 3
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "row_id long, v array<double>").repartition(3)
+    scores, model = models.pca(df, "v", 2)
+    centred = x - x.mean(0)
+    u, s, vt = np.linalg.svd(centred, full_matrices=False)
+    assert np.allclose(model.explained_variance, s[:2] ** 2 / (n - 1), rtol=1e-8)
+    assert np.allclose(model.explained_ratio, s[:2] ** 2 / (s ** 2).sum(), rtol=1e-8)
+    for j in range(2):
+        assert abs(vt[j] @ model.components[:, j]) == pytest.approx(1, abs=1e-8)
+    got = scores.toPandas().sort_values("row_id")
+    assert np.allclose(got[["pc1", "pc2"]], centred @ model.components, atol=1e-6)
+
+
+def test_lda_of_ten_thousand_classes(spark):
+    rng = np.random.default_rng(13)
+    c, p = 10_000, 4
+    g = np.repeat(np.arange(c), 2)
+    x = rng.normal(size=(c, p))[g] * np.array([4.0, 1, 1, 1]) + 0.1 * rng.normal(size=(2 * c, p))
+    df = spark.createDataFrame(pd.DataFrame({"row_id": np.arange(2 * c), "g": g, **{f"x{j}": x[:, j] for j in range(p)}}))
+    _, model = models.lda_projection(df, [f"x{j}" for j in range(p)], "g", 2)
+    m = (x[::2] + x[1::2]) / 2
+    d = x - m[g]
+    assert model.n_classes == c and np.allclose(model.within, d.T @ d)
+    centred = m - x.mean(0)
+    assert np.allclose(model.between, 2 * centred.T @ centred)
+
+
 @pytest.mark.parametrize("pivots,spread", [(1, 0), (8, 0), (8, 24)])
 def test_knn_exact_against_brute_force(spark, pivots, spread):
     emb = spark.read.parquet(f"{SF001}/embeddings.parquet")
