@@ -16,7 +16,8 @@ the rarity-ordered shingles has length 1: the rarest shingle. The plan:
 
 Texts are split into words once, nothing but matching positions is shuffled,
 and copies of a text are looked up once. The shingle table is broadcast only
-when its counted size is below ``broadcast_rows``, else it is shuffled.
+when its counted size is below ``broadcast_rows``; beyond, a Bloom filter of bounded
+size takes its place in the scan, and what passes is joined with it by a shuffle.
 
 Defined results: a null or empty text has no words and no hit; an item without
 words has no window; an item without an id is left out; equal texts get equal
@@ -30,10 +31,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabprep.llm.common import ALNUM_GAP, BROADCAST_ROWS, ascii_lower, text_key, without_texts, words
+from tabprep.llm.urlfilter import BITS_PER_URL, HASHES, _block, _mask
 from tabprep.session import materialize
 
 WINDOW = 10
 SHINGLE = 5
+#: 64-bit words of the Bloom filter of a large shingle table at most (16 MB).
+MAX_BLOCKS = 1 << 20
 
 
 def word_array(text) -> Column:
@@ -59,24 +63,47 @@ def _digest(arr: str, at, length: int) -> Column:
     return F.md5(F.array_join(F.slice(F.col(arr), at + 1, length), " "))
 
 
+def _possible(at: DataFrame, keys: DataFrame, n_keys: int) -> DataFrame:
+    """The positions whose ``key`` passes a blocked Bloom filter of ``keys``, a broadcast
+    table of at most ``MAX_BLOCKS`` words."""
+    blocks = max(1, min(MAX_BLOCKS, n_keys * BITS_PER_URL // 64))
+    bloom = keys.select(_block("key", blocks), _mask("key", HASHES).alias("mask")).groupBy("block").agg(
+        F.bit_or("mask").alias("word"))
+    want = _mask("key", HASHES)
+    return (at.withColumn("block", _block("key", blocks)).join(F.broadcast(bloom), "block")
+            .filter(F.col("word").bitwiseAND(want) == want))
+
+
 def candidate_positions(docs: DataFrame, grams: DataFrame, sizes: list[int], lengths: list[int],
-                        small: bool) -> DataFrame:
+                        small: bool, n_grams: int = 0) -> DataFrame:
     """``(doc_id, tkey, n, pos, k, key, digests)``: the positions of ``docs(doc_id, tkey, w)``
-    whose shingle of ``k`` words is in ``grams``, and one row without key per document row."""
+    whose shingle of ``k`` words is in ``grams``, and one row without key per document row.
+    Without a ``small`` shingle table the positions pass a Bloom filter of it in the scan and
+    only those that do are shuffled, with their digests and without the words."""
     out = None
+    digests = F.array(*[_digest("w", F.col("pos"), n) for n in lengths])
     for k in sizes:
         keys = grams.filter(F.col("k") == k).select("key", F.lit(k).alias("k")).distinct()
         # the outer form keeps documents without words, and no filter on the words is inferred
         at = docs.select("doc_id", "tkey", "w", F.posexplode_outer("w").alias("pos", "_word")).select(
             "doc_id", "tkey", "w", "pos", _shingle("w", F.col("pos"), k).alias("key"))
-        rows = at.join(F.broadcast(keys) if small else keys, "key", "left")
-        marker = F.coalesce(F.col("pos") == 0, F.lit(True))
-        rows = rows.filter(F.col("k").isNotNull() & F.col("pos").isNotNull() | (marker if k == sizes[0] else F.lit(False)))
-        known = F.col("k").isNotNull() & F.col("pos").isNotNull()
-        rows = rows.select("doc_id", "tkey", F.size("w").alias("n"), "pos", F.when(known, F.col("k")).alias("k"),
-                           F.when(known, F.col("key")).alias("key"),
-                           F.when(known, F.array(*[_digest("w", F.col("pos"), n) for n in lengths])).alias("digests"),
-                           (marker if k == sizes[0] else F.lit(False)).alias("marker"))
+        if small:
+            rows = at.join(F.broadcast(keys), "key", "left")
+            marker = F.coalesce(F.col("pos") == 0, F.lit(True))
+            rows = rows.filter(F.col("k").isNotNull() & F.col("pos").isNotNull() | (marker if k == sizes[0] else F.lit(False)))
+            known = F.col("k").isNotNull() & F.col("pos").isNotNull()
+            rows = rows.select("doc_id", "tkey", F.size("w").alias("n"), "pos", F.when(known, F.col("k")).alias("k"),
+                               F.when(known, F.col("key")).alias("key"), F.when(known, digests).alias("digests"),
+                               (marker if k == sizes[0] else F.lit(False)).alias("marker"))
+        else:
+            rows = _possible(at.filter("pos is not null"), keys, n_grams).select(
+                "doc_id", "tkey", F.size("w").alias("n"), "pos", F.lit(k).alias("k"), "key", digests.alias("digests"),
+                F.lit(False).alias("marker")).join(keys.select("key"), "key", "left_semi")
+            if k == sizes[0]:
+                none = lambda t: F.lit(None).cast(t)
+                rows = rows.unionByName(docs.select(
+                    "doc_id", "tkey", F.size("w").alias("n"), F.lit(0).alias("pos"), none("int").alias("k"),
+                    none("long").alias("key"), none("array<string>").alias("digests"), F.lit(True).alias("marker")))
         out = rows if out is None else out.unionByName(rows)
     return out
 
@@ -122,10 +149,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
             F.sequence(F.lit(0), F.col("len") - k)).alias("off"))
         g = g.select("wid", "len", "k", "off", _shingle("ww", F.col("off"), k).alias("key"))
         grams = g if grams is None else grams.unionByName(g)
-    small = sum(r["count"] * (r["len"] - r["k"] + 1) for r in shape) <= broadcast_rows
+    n_grams = sum(r["count"] * (r["len"] - r["k"] + 1) for r in shape)
+    small = n_grams <= broadcast_rows
     base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     base = base.select("doc_id", text_key("text", "doc_id").alias("tkey"), word_array("text").alias("w"))
-    candidates = materialize(candidate_positions(base, grams, sizes, lengths, small), "decontaminate")
+    candidates = materialize(candidate_positions(base, grams, sizes, lengths, small, n_grams), "decontaminate")
     found = find_windows(candidates, grams, small)
     # copies of a text repeat its occurrences: sets remove them map-side
     spans = (found.groupBy("tkey").agg(F.collect_set(F.struct("start", "len")).alias("spans"),

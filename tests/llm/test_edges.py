@@ -4,6 +4,7 @@ clashing column names; the ways beyond the size limits; the methods' own parts."
 import itertools
 import math
 import random
+import re
 import time
 
 import numpy as np
@@ -69,9 +70,26 @@ def test_windows_beyond_the_broadcast_limit(spark, docs001, texts001):
             assert (r.n_words, r.n_hit, len(r.item_ids)) == want[r.doc_id][:3]
 
 
+def test_no_exchange_carries_the_words_beyond_the_limit(spark, docs001):
+    grams = spark.createDataFrame([(i, 5) for i in range(1000)], "key long, k int")
+    base = docs001.select("doc_id", decontaminate.text_key("text", "doc_id").alias("tkey"), decontaminate.word_array("text").alias("w"))
+    rows = decontaminate.candidate_positions(base, grams, [5], [10], False, 1000)
+    plan = spark._jvm.PythonSQLUtils.explainString(rows._jdf.queryExecution(), "formatted")
+    inputs = [part.split("\n")[1] for part in re.split(r"\n\(\d+\) ", plan) if part.startswith("Exchange")]
+    assert inputs and all(re.search(r"\[(.*)\]", i) and not re.search(r"\bw#", i) for i in inputs), inputs
+
+
+def test_many_short_sets_in_one_bucket(spark):
+    """A hot template: thousands of short sets that share a bucket are compared in chunks."""
+    docs = [(i, f"one two three four five x{i}") for i in range(3000)] + [(9000 + i, "one two three four five six") for i in range(9)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: (r.class_id, r.n_links) for r in chosen_path.jaccard_classes(df, bucket_members=400).collect()}
+    assert all(got[i] == (i, 0) for i in range(3000)) and all(got[9000 + i] == (9000, 8) for i in range(9))
+
+
 def test_chosen_path_with_small_buckets_and_chunks(spark, docs001, texts001):
     want = brute.jaccard(texts001)
-    got = chosen_path.jaccard_classes(docs001, small=2, bucket_tokens=300)
+    got = chosen_path.jaccard_classes(docs001, small=2, bucket_tokens=300, bucket_members=3)
     assert all((r.n_links, r.class_id, r.n_shingles) == want[r.doc_id] for r in got.collect())
 
 
