@@ -39,3 +39,7 @@ class MalformedRecordsError(TabprepError, ValueError):
     def __init__(self, count: int, path: str):
         self.count = count
         super().__init__(f"{count} record(s) of {path} have more fields than the header")
+
+
+class CheckpointError(TabprepError):
+    """A folder holds no finished checkpoint, or not what its manifest says."""

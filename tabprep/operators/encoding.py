@@ -188,3 +188,9 @@ def preprocess(splits: Splits, numerical: Sequence[str], categorical: Sequence[s
     mm = spark.createDataFrame([(r["column"], r["mean"], r["scale"]) for r in mm_rows], schema)
     out = enc.map(lambda d: apply_affine(apply_affine(d, std_rows), mm_rows))
     return out, Preprocessor(codes, std, mm)
+
+
+def apply_preprocessor(df: DataFrame, prep: Preprocessor, categorical: Sequence[str]) -> DataFrame:
+    """New rows through fitted codes and scalers (E1 to E3), as :func:`preprocess` does with the splits."""
+    coded = df if prep.codes is None else apply_label_encoder(df, prep.codes, categorical)
+    return apply_affine(apply_affine(coded, prep.standard), prep.minmax)

@@ -194,25 +194,35 @@ def q_stage_shapes(spark, sf_dir):
                       F.col("n_cols").cast("int"))
 
 
-@query("checkpoint_roundtrip", with_stages("""
-select split, count(*) as n_rows, cast(sum(row_id) as bigint) as sum_row_id,
-  """ + r("sum(arr_delay)") + """ as sum_target
+_ALL_FEATURES = " + ".join(f"cast({c} as double)" for c in fl.FEATURES)
+
+
+@query("checkpoint_roundtrip", with_stages(f"""
+select f.split, count(*) as n_rows, cast(sum(f.row_id) as bigint) as sum_row_id, {r("sum(f.arr_delay)")} as sum_target,
+  {r("sum(p.features * p.features)", 4)} as square_features
 from (select 'train' as split, row_id, arr_delay from ftrain
-      union all select 'test', row_id, arr_delay from ftest) group by split"""))
+      union all select 'test', row_id, arr_delay from ftest) f
+join (select row_id, {_ALL_FEATURES} as features from ptrain union all select row_id, {_ALL_FEATURES} from ptest) p using (row_id)
+group by f.split"""))
 def q_checkpoint_roundtrip(spark, sf_dir):
-    """S4 + S5: write the cleaned splits (with the hour map), read them back,
-    verify the columns, summarise."""
-    from tabprep.session import new_path
-
-    run = _run(spark, sf_dir)
+    """S4 + S5: write the cleaned splits with the hour map, codes and scalers, read all
+    back, verify, and transform the rows with the restored state (E1-E4 on new rows)."""
+    run = _run(spark, sf_dir, "preprocess")
     path = new_path(spark, "checkpoint-cleaned")
-    ck.save_splits(run.featured, path, state={"hour_map": run.hour_map.mapping})
+    ck.save_splits(run.featured, path, hour_map=run.hour_map, prep=run.prep)
     back = ck.load_splits(spark, path, expect_columns=run.featured.train.columns)
-    parts = [d.select(F.lit(n).alias("split"), "row_id", "arr_delay") for n, d in back.items()]
+    hour_map, prep = ck.load_fitted(spark, path)
+    parts = []
+    for name, d in back.items():
+        d = features.apply_target_mean(d.drop(hour_map.value), hour_map)
+        d = encoding.apply_preprocessor(d, prep, fl.CATEGORICAL)
+        total = sum((F.col(c).cast("double") for c in fl.FEATURES[1:]), F.col(fl.FEATURES[0]).cast("double"))
+        parts.append(d.select(F.lit(name).alias("split"), "row_id", "arr_delay", total.alias("features")))
     return (parts[0].unionByName(parts[1]).groupBy("split")
             .agg(F.count(F.lit(1)).cast("bigint").alias("n_rows"),
                  F.sum("row_id").cast("bigint").alias("sum_row_id"),
-                 rnd(F.sum("arr_delay")).alias("sum_target")))
+                 rnd(F.sum("arr_delay")).alias("sum_target"),
+                 rnd(F.sum(F.col("features") * F.col("features")), 4).alias("square_features")))
 
 
 # --------------------------------------------------------------------------- filters

@@ -1,57 +1,129 @@
 """Checkpoint splits as Parquet, read them back, report stage shapes.
 
-A checkpoint is a directory with ``train/`` and ``test/`` Parquet folders and,
-optionally, one folder per piece of fitted state (encoder codes, scaler
-parameters, hour map) so that test data can be transformed later without the
-training data. Writing it also cuts the lineage.
+A checkpoint is a folder with one folder per save, which holds ``train/``, ``test/`` and a
+folder per piece of fitted state, and a manifest that names the save to read: format
+version, row counts, schemas and the state's scalars. The manifest is put in place last,
+by a rename. So a save that is interrupted leaves the checkpoint as it was (or, the first
+time, without a manifest, which :func:`load_splits` refuses), and readers never see half
+of one. Fitted encoders, scalers and target means are restored with it, to transform new
+rows without the training data. Writing also cuts the lineage.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
 from typing import Mapping, Sequence
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from tabprep.errors import CheckpointError
+from tabprep.operators.encoding import LabelCodes, Preprocessor
+from tabprep.operators.features import TargetMean
 from tabprep.splits import Splits
 
+FORMAT = 2
+MANIFEST = "manifest.json"
+
+
+def _fs(spark: SparkSession, path: str):
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop, hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _write_manifest(spark: SparkSession, root: str, manifest: dict) -> None:
+    hidden, fs = _fs(spark, f"{root}/manifest-{uuid.uuid4().hex}.json")
+    out = fs.create(hidden, True)
+    out.write(json.dumps(manifest, sort_keys=True).encode())
+    out.close()
+    final, _ = _fs(spark, f"{root}/{MANIFEST}")
+    jvm = spark.sparkContext._jvm
+    replace = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    replace[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(
+        final.toUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(hidden, final, replace)
+
+
+def read_manifest(spark: SparkSession, path: str) -> dict:
+    """The manifest of a checkpoint; refuses a folder without one or of another format."""
+    root = path.rstrip("/")
+    file, fs = _fs(spark, f"{root}/{MANIFEST}")
+    if not fs.exists(file):
+        raise CheckpointError(f"{root} has no finished checkpoint")
+    found = json.loads("\n".join(r["value"] for r in spark.read.text(f"{root}/{MANIFEST}").collect()))
+    if found.get("format") != FORMAT:
+        raise CheckpointError(f"{root} has format {found.get('format')}, not {FORMAT}")
+    return found
+
 
 def save_splits(splits: Splits, path: str, state: Mapping[str, DataFrame] | None = None,
-                spark: SparkSession | None = None) -> dict:
-    """Write both splits (and fitted state) under ``path``; overwrite.
+                spark: SparkSession | None = None, hour_map: TargetMean | None = None,
+                prep: Preprocessor | None = None) -> dict:
+    """Write both splits and fitted state under ``path``; the checkpoint there is
+    replaced once all is written.
 
     Returns the row counts of both splits, observed during the writes
     themselves (no extra count job).
     """
-    counts = {}
-    for name, df in splits.items():
-        obs = Observation(f"save_{name}")
-        df.observe(obs, F.count(F.lit(1)).alias("n_rows")).write.mode("overwrite").parquet(
-            f"{path.rstrip('/')}/{name}")
-        counts[name] = obs.get["n_rows"]
-    for name, df in (state or {}).items():
-        df.write.mode("overwrite").parquet(f"{path.rstrip('/')}/state_{name}")
-    return counts
+    spark = spark or splits.train.sparkSession
+    root, save = path.rstrip("/"), f"save-{uuid.uuid4().hex[:12]}"
+    tables, scalars = dict(state or {}), {}
+    if hour_map is not None:
+        tables["target_mean"] = hour_map.mapping
+        scalars["target_mean"] = {"default": hour_map.default, "n_keys": hour_map.n_keys, "key": hour_map.key,
+                                  "value": hour_map.value}
+    if prep is not None:
+        tables |= {"standard": prep.standard, "minmax": prep.minmax}
+        if prep.codes is not None:
+            tables["codes"] = prep.codes.codes
+            scalars["codes"] = prep.codes.sizes
+    counts, schemas = {}, {}
+    for name, df in [*splits.items(), *((f"state_{n}", d) for n, d in tables.items())]:
+        obs = Observation(f"save_{name}_{save}")
+        df.observe(obs, F.count(F.lit(1)).alias("n_rows")).write.parquet(f"{root}/{save}/{name}")
+        counts[name], schemas[name] = obs.get["n_rows"], json.loads(df.schema.json())
+    _write_manifest(spark, root, {"format": FORMAT, "save": save, "rows": counts, "schemas": schemas, "scalars": scalars})
+    return {name: counts[name] for name, _ in splits.items()}
+
+
+def _table(spark: SparkSession, path: str, manifest: dict, name: str) -> DataFrame:
+    if name not in manifest["rows"]:
+        raise CheckpointError(f"the checkpoint has no {name}")
+    df = spark.read.parquet(f"{path.rstrip('/')}/{manifest['save']}/{name}")
+    names = [f["name"] for f in manifest["schemas"][name]["fields"]]
+    if df.columns != names or df.count() != manifest["rows"][name]:  # the count comes from the files' footers
+        raise CheckpointError(f"{name} of the checkpoint is not what was saved")
+    return df
 
 
 def load_splits(spark: SparkSession, path: str,
                 expect_columns: Sequence[str] | None = None) -> Splits:
-    """Read a checkpoint written by :func:`save_splits`; verify the two
-    splits have the same columns (and the expected ones, when given)."""
-    root = path.rstrip("/")
-    train = spark.read.parquet(f"{root}/train")
-    test = spark.read.parquet(f"{root}/test")
+    """Read a checkpoint written by :func:`save_splits`; verify columns and
+    row counts against its manifest (and the expected columns, when given)."""
+    manifest = read_manifest(spark, path)
+    train, test = (_table(spark, path, manifest, n) for n in ("train", "test"))
     if sorted(train.columns) != sorted(test.columns):
         raise ValueError(
             f"checkpoint splits disagree on columns: {train.columns} vs {test.columns}")
     if expect_columns is not None and sorted(train.columns) != sorted(expect_columns):
         raise ValueError(f"checkpoint columns {train.columns} != expected {list(expect_columns)}")
-    return Splits(train.select(*sorted(train.columns, key=train.columns.index)),
-                  test.select(*train.columns))
+    return Splits(train, test.select(*train.columns))
 
 
 def load_state(spark: SparkSession, path: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{path.rstrip('/')}/state_{name}")
+    return _table(spark, path, read_manifest(spark, path), f"state_{name}")
+
+
+def load_fitted(spark: SparkSession, path: str) -> tuple[TargetMean | None, Preprocessor | None]:
+    """The fitted target means and preprocessor of a checkpoint, to transform new rows."""
+    manifest = read_manifest(spark, path)
+    state, scalars = (lambda n: _table(spark, path, manifest, f"state_{n}")), manifest["scalars"]
+    hour_map = TargetMean(state("target_mean"), **scalars["target_mean"]) if "target_mean" in scalars else None
+    if "state_standard" not in manifest["rows"]:
+        return hour_map, None
+    codes = LabelCodes(state("codes"), scalars["codes"]) if "codes" in scalars else None
+    return hour_map, Preprocessor(codes, state("standard"), state("minmax"))
 
 
 def stage_report(stages: Mapping[str, Splits], key: str = "row_id",

@@ -6,7 +6,7 @@ import tempfile
 import pytest
 from pyspark.sql import functions as F
 
-from tabprep.errors import EmptyInputError, MalformedRecordsError, MissingColumnsError, MissingSourceError
+from tabprep.errors import CheckpointError, EmptyInputError, MalformedRecordsError, MissingColumnsError, MissingSourceError
 from tabprep.sources import checkpoint as ck
 from tabprep.sources import readers
 
@@ -78,6 +78,23 @@ def test_checkpoint_roundtrip(spark, run001):
     assert rep[("cleaned", "train")] == (504, 20)
 
 
+def test_interrupted_saves_leave_the_checkpoint_as_it_was(spark, run001):
+    path = tempfile.mkdtemp(prefix="tabprep-splits-")
+    broken = run001.featured._replace(test=run001.featured.test.withColumn("x", F.raise_error(F.lit("lost")).cast("int")))
+    with pytest.raises(Exception, match="lost"):
+        ck.save_splits(broken, path)
+    with pytest.raises(CheckpointError):  # train is there, the manifest is not
+        ck.load_splits(spark, path)
+    ck.save_splits(run001.featured, path, hour_map=run001.hour_map)
+    with pytest.raises(Exception, match="lost"):
+        ck.save_splits(broken, path)
+    assert ck.load_splits(spark, path).train.count() == 504
+    hour_map, prep = ck.load_fitted(spark, path)
+    assert prep is None and hour_map.n_keys == 24 and hour_map.default == run001.hour_map.default
+    ck.save_splits(run001.featured.map(lambda d: d.limit(7)), path)
+    assert ck.load_splits(spark, path).test.count() == 7
+
+
 def test_entry_contract(spark):
     import __spark_entry__ as entry
     out = entry.entry(spark)
