@@ -114,10 +114,9 @@ def _texts(size: int, separators: str) -> np.ndarray:
 
 def _distinct(group: np.ndarray, ids: np.ndarray):
     """The distinct ids of each group, with multiplicities."""
-    order = np.lexsort((ids, group))
-    group, ids = group[order], ids[order]
-    first = np.flatnonzero(np.concatenate(([True], (group[1:] != group[:-1]) | (ids[1:] != ids[:-1]))))
-    return group[first], ids[first], np.diff(np.append(first, len(ids)))
+    span = np.int64(ids.max() + 1)
+    key, n = summed(group * span + ids, np.ones(len(ids), np.int64))
+    return *np.divmod(key, span), n
 
 
 def summed(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -164,7 +163,9 @@ class Aligner:
             ids_a, ids_b = ids_a[np.repeat(valid, n_a)], ids_b[np.repeat(valid, n_b)]
             n_a, n_b = n_a * valid, n_b * valid
         end = terminals(np.cumsum(self.size_a[ids_a]), np.cumsum(self.size_b[ids_b])) if len(ids_a) else ids_a
-        labels, group = np.unique(end, return_inverse=True)
+        terminal = np.zeros(len(ids_b), np.int64)
+        terminal[end] = 1
+        labels, group = np.flatnonzero(terminal), (np.cumsum(terminal) - 1)[end]
         group_a, group_b = group[: len(ids_a)], group[len(ids_a):]
         n_groups = len(labels)
         of_unit = np.repeat(np.arange(len(fresh)), n_b)[labels]
@@ -172,7 +173,7 @@ class Aligner:
         facts = np.zeros((len(fresh), 7), np.int64)
         facts[:, 0], facts[:, 1], facts[:, 2] = valid, n_a, n_b
         facts[:, 3] = np.bincount(of_unit, minlength=len(fresh))
-        np.add.at(facts[:, 4], of_unit, in_a * in_b)
+        facts[:, 4] = np.bincount(of_unit, in_a * in_b, len(fresh))
         if self.with_lines:
             self.lines += self._lines(ids_a, ids_b, in_a, in_b, group_a, group_b, n_a + n_b)
         unit, pair, n = self._links(group_a, ids_a, group_b, ids_b, of_unit)
@@ -186,8 +187,8 @@ class Aligner:
             heavy = known[at] == pair
             c = np.where(heavy, count[at], 0) * n
             top = np.where(heavy & (count[at] == best[pair // self.width]), n, 0)
-            np.add.at(facts[:, 5], unit, top)
-            np.add.at(facts[:, 6], unit, c)
+            facts[:, 5] = units.sums(top, sizes)
+            facts[:, 6] = units.sums(c, sizes)
             self.rare.add(pair[~heavy], np.bincount(unit[~heavy], minlength=len(fresh)))
             self.rare_times.add(n[~heavy])
         self.facts.add(facts)
@@ -231,13 +232,11 @@ class Aligner:
             left = np.repeat(mine, n)
             right = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + first_b[ga[left]]
             pair, m = a[left] * self.width + b[right], ma[left] * mb[right]
-            unit = of_unit[ga[left]]
-            order = np.lexsort((pair, unit))
-            unit, pair, m = unit[order], pair[order], m[order]
-            first = np.flatnonzero(np.concatenate(([True], (unit[1:] != unit[:-1]) | (pair[1:] != pair[:-1]))))
-            units_.append(unit[first])
-            keys.append(pair[first])
-            times.append(np.add.reduceat(m, first))
+            span = np.int64(len(self.size_a)) * self.width
+            key, m = summed(of_unit[ga[left]] * span + pair, m)
+            units_.append(key // span)
+            keys.append(key % span)
+            times.append(m)
             done = last
         unit, pair, m = (np.concatenate(x) for x in (units_, keys, times))
         order = np.argsort(unit, kind="stable")          # a unit cut in two may name a pair twice; sums do not mind
