@@ -21,10 +21,10 @@ holds more than ``block_rows`` queries and ``block_rows`` candidates; each
 block emits its local k best per query, and a final per-query window keeps
 the k best of those (the global top k is always among the block top k lists).
 
-Exact by construction. In few dimensions (up to ``LOW_DIMENSIONS``) there are
-``8 sqrt(n)`` pivots, so cells and the distances to pivots both grow as n^1.5 and
-the work is the pruned candidate pairs. In many dimensions the triangle
-inequality prunes next to nothing; exact neighbours are then all pairs, and one
+Exact by construction. That is the way with a given number of pivots. In few
+dimensions (up to ``LOW_DIMENSIONS``) the default is the space tree of
+:mod:`tabprep.operators.space`, which keeps nothing that grows on the driver. In many
+dimensions bounds prune next to nothing; exact neighbours are then all pairs, and one
 cell in bounded query x candidate blocks (no replication by pivots) is the
 cheapest exact plan.
 """
@@ -33,19 +33,15 @@ from __future__ import annotations
 
 from typing import Sequence
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabprep.operators import sampling
+from tabprep.operators import sampling, space
 
 SALTS = 64
 LOW_DIMENSIONS = 6
-#: Pivots per square root of the rows in few dimensions.
-PIVOTS = 8
 #: Entries of a distance matrix that a task holds at a time.
 MATRIX = 4_000_000
 
@@ -55,6 +51,31 @@ def _within(counts: np.ndarray) -> np.ndarray:
     return np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
 
 
+def nearest_rows(qvecs: np.ndarray, qkeys: np.ndarray, cvecs: np.ndarray, ckeys: np.ndarray, k: int):
+    """``(src, dst, dist)``: each query's ``k`` nearest other candidates (ties by key),
+    a bounded matrix at a time."""
+    out = [(qkeys[:0], ckeys[:0], np.zeros(0))]
+    cnorm = (cvecs * cvecs).sum(1)
+    size = max(1, MATRIX // max(len(ckeys), 1))
+    for a in range(0, len(qkeys) if len(ckeys) else 0, size):
+        qv, qk = qvecs[a: a + size], qkeys[a: a + size]
+        d = np.sqrt(np.maximum((qv * qv).sum(1)[:, None] - 2 * qv @ cvecs.T + cnorm[None, :], 0.0))
+        d[qk[:, None] == ckeys[None, :]] = np.inf            # not its own neighbour
+        # select with the fast expanded form, with a margin, then rank the
+        # few survivors by exact distance (ties by key)
+        m = min(k, len(ckeys)) - 1
+        bound = np.partition(d, m, axis=1)[:, m]
+        slack = 1e-6 * (1 + np.sqrt((qv * qv).sum(1) + cnorm.max()))
+        bound = np.where(np.isfinite(bound), bound * (1 + 1e-6) + slack, np.finfo(float).max)
+        row, col = np.nonzero(d <= bound[:, None])
+        exact = np.sqrt(((cvecs[col] - qv[row]) ** 2).sum(1))
+        order = np.lexsort((ckeys[col], exact, row))
+        row, col, exact = row[order], col[order], exact[order]
+        near = _within(np.bincount(row, minlength=len(qk))) < k
+        out.append((qk[row[near]], ckeys[col[near]], exact[near]))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
 def _vectors(df: DataFrame, features: Sequence[str] | str, key: str) -> DataFrame:
     if isinstance(features, str):
         v = F.transform(F.col(features), lambda x: x.cast("double"))
@@ -76,7 +97,9 @@ def knn_graph(df: DataFrame, features: Sequence[str] | str, k: int = 15,
     if n <= 1:
         return df.sparkSession.createDataFrame([], "src bigint, dst bigint, rank int, dist double")
     dimensions = len(data.first()["_v"])
-    p_count = n_pivots or (min(n, PIVOTS * math.isqrt(n)) if dimensions <= LOW_DIMENSIONS else 1)
+    if dimensions <= LOW_DIMENSIONS and n_pivots is None:
+        return space.knn_cells(data, n, dimensions, k, report=report)
+    p_count = n_pivots or 1
     block_rows = block_rows or min(20_000, max(256, -(-n // 4)))
     pivot_rows = sampling.sample_n(data, p_count, "_key", seed, "pivot").collect()
     pivots = np.array([r["_v"] for r in sorted(pivot_rows, key=lambda r: r["_key"])], dtype=float)
@@ -200,31 +223,14 @@ def knn_graph(df: DataFrame, features: Sequence[str] | str, k: int = 15,
     def nearest(pdf: pd.DataFrame) -> pd.DataFrame:
         cand = pdf[pdf["cand"].to_numpy()]
         qry = pdf[pdf["query"].to_numpy()]
-        out = []
         if len(cand) == 0 or len(qry) == 0:
-            return pd.DataFrame(out, columns=["src", "dst", "dist"])
+            return pd.DataFrame([], columns=["src", "dst", "dist"])
         ckeys = cand["_key"].to_numpy()
         cvecs = np.stack(cand["_v"].to_numpy()).astype(float)
         qkeys = qry["_key"].to_numpy()
         qvecs = np.stack(qry["_v"].to_numpy()).astype(float)
-        cnorm = (cvecs * cvecs).sum(1)
-        size = max(1, MATRIX // len(ckeys))
-        for a in range(0, len(qkeys), size):
-            qv, qk = qvecs[a: a + size], qkeys[a: a + size]
-            d = np.sqrt(np.maximum((qv * qv).sum(1)[:, None] - 2 * qv @ cvecs.T + cnorm[None, :], 0.0))
-            d[qk[:, None] == ckeys[None, :]] = np.inf            # not its own neighbour
-            # select with the fast expanded form, with a margin, then rank the
-            # few survivors by exact distance (ties by key)
-            m = min(k, len(ckeys)) - 1
-            bound = np.partition(d, m, axis=1)[:, m]
-            bound = np.where(np.isfinite(bound), bound * (1 + 1e-6) + 1e-9, np.finfo(float).max)
-            row, col = np.nonzero(d <= bound[:, None])
-            exact = np.sqrt(((cvecs[col] - qv[row]) ** 2).sum(1))
-            order = np.lexsort((ckeys[col], exact, row))
-            row, col, exact = row[order], col[order], exact[order]
-            near = _within(np.bincount(row, minlength=len(qk))) < k
-            out.append(pd.DataFrame({"src": qk[row[near]], "dst": ckeys[col[near]], "dist": exact[near]}))
-        return pd.concat(out)
+        src, dst, dist = nearest_rows(qvecs, qkeys, cvecs, ckeys, k)
+        return pd.DataFrame({"src": src, "dst": dst, "dist": dist})
 
     local = routed.groupBy("cell", "qc", "cc").applyInPandas(
         nearest, "src bigint, dst bigint, dist double")

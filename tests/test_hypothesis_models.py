@@ -235,3 +235,27 @@ def test_knn_hot_cell_blocks(spark):
         order = np.lexsort((keys, d[i]))[:4]
         got = g[g.src == i].sort_values("rank")
         assert list(got.dst) == list(order)
+
+
+@pytest.mark.parametrize("shape", ["uniform", "clusters", "equal"])
+def test_space_cells_are_exact(spark, shape, monkeypatch):
+    """Many small cells; tight clusters with far points between; hundreds of equal points."""
+    from tabprep.operators import space
+
+    rng = np.random.default_rng(21)
+    n, k = 700, 4
+    x = rng.random((n, 2))
+    if shape == "clusters":
+        x = rng.normal(scale=1e-3, size=(n, 2)) + rng.integers(0, 3, (n, 1))
+        x[:9] = rng.random((9, 2)) * 50
+    if shape == "equal":
+        x[100:400] = 0.5
+        x[400:500, 0] = 0.25
+    monkeypatch.setattr(space, "CHUNK_ROWS", 60)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "_key long, _v array<double>")
+    g = space.knn_cells(df, n, 2, k, cell_rows=30).toPandas().sort_values(["src", "rank"])
+    d = np.sqrt(((x[:, None, :] - x[None, :, :]) ** 2).sum(-1))
+    np.fill_diagonal(d, np.inf)
+    want = np.stack([np.lexsort((np.arange(n), d[i]))[:k] for i in range(n)])
+    assert (g.dst.to_numpy().reshape(n, k) == want).all() and (g["rank"].to_numpy().reshape(n, k) == np.arange(1, k + 1)).all()
+    assert np.allclose(g.dist.to_numpy().reshape(n, k), np.take_along_axis(d, want, 1))
