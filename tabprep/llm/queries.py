@@ -163,11 +163,68 @@ def op10_secrets(spark, sf_dir):
 
 
 # ------------------------------------------------------------------ 2 quality rules
-@query("op2_quality")
+def _op2_count(pattern: str) -> str:
+    quoted = pattern.replace("'", "''")
+    return f"length(t) - length(regexp_replace(t, '{quoted}', '', 'g'))"
+
+
+def _op2_sql() -> str:
+    classes = [p for _, p in quality.CLASSES[:-1]]  # disjoint; then the rest of ASCII, then what is beyond it
+    ascii_ = _op2_count(quality.CLASSES[-1][1])
+    counts = [_op2_count(p) for p in classes]
+    bins = ", ".join([*counts, f"({ascii_}) - ({' + '.join(f'({c})' for c in counts)})", f"length(t) - ({ascii_})"])
+    space = quality.CLASSES[[n for n, _ in quality.CLASSES].index("space")][1]
+
+    def distance(kind: str) -> str:
+        return f"""select d.doc_id, sqrt(greatest(sum(case when p > 0 then p * log2(2 * p / (p + q)) else 0 end
+    + case when q > 0 then q * log2(2 * q / (p + q)) else 0 end) / 2, 0)) as distance
+  from (select o.doc_id, coalesce(b.v, 0) / o.size as p, r.q from {kind}_docs o join {kind}_ref r using (lang)
+    left join {kind}_bins b on b.doc_id = o.doc_id and b.bin = r.bin) d group by d.doc_id"""
+    return f"""
+with docs as (select doc_id, lang, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as w
+  from documents),
+lines as (select doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) as l from docs),
+windows as (select doc_id, i, w[i + 1 : i + {quality.REPEAT}] as ww
+  from (select doc_id, w, unnest(range(0, len(w) - {quality.REPEAT - 1})) as i from docs where len(w) >= {quality.REPEAT})),
+twice as (select doc_id, ww from windows group by doc_id, ww having count(*) > 1),
+repeated as (select doc_id, count(distinct p) as n from (select doc_id, unnest(range(i, i + {quality.REPEAT})) as p
+  from windows join twice using (doc_id, ww)) group by doc_id),
+base as (select d.doc_id, d.lang, cast(len(w) as bigint) as n_words, length(regexp_replace(t, '{space}', '', 'g')) as word_chars,
+    {_op2_count(quality.SYMBOLS)} as n_symbols, cast(len(l) - len(list_distinct(l)) as bigint) as n_dup_lines,
+    coalesce(r.n, 0) as n_repeat_words, length(t) as n_chars, [{bins}] as classes
+  from docs d join lines using (doc_id) left join repeated r using (doc_id)),
+judged as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed from base),
+words as (select doc_id, lang, unnest(w) as word from docs where lang is not null),
+common as (select * from (select lang, word, row_number() over (partition by lang order by count(*) desc, word) as bin
+  from words group by lang, word) where bin <= {quality.COMMON}),
+hits as (select doc_id, bin, count(*) as v from words join common using (lang, word) group by doc_id, bin),
+known as (select * from judged where lang in (select lang from common)),
+word_bins as (select * from hits union all
+  select doc_id, 0, n_words - coalesce(s, 0) from known left join (select doc_id, sum(v) as s from hits group by doc_id) using (doc_id)),
+class_bins as (select doc_id, unnest(range(1, 8)) as bin, unnest(classes) as v from judged),
+enough as (select lang from known where not base_failed group by lang having sum(n_words) >= {quality.MIN_REFERENCE}),
+word_ref as (select lang, bin, coalesce(s, 0) / sum(s) over (partition by lang) as q
+  from (select lang, bin from common union select lang, 0 from common) join enough using (lang)
+  left join (select lang, bin, sum(v) as s from word_bins join known using (doc_id) where not base_failed
+    group by lang, bin) using (lang, bin)),
+class_ref as (select lang, bin, s / sum(s) over (partition by lang) as q from (select lang, bin, sum(v) as s
+  from class_bins join known using (doc_id) join enough using (lang) where not base_failed group by lang, bin)),
+word_docs as (select doc_id, lang, n_words as size from known where n_words >= {quality.MIN_WORDS}),
+class_docs as (select doc_id, lang, n_chars as size from known where n_chars >= {quality.MIN_CHARS}),
+word_far as ({distance('word')}), class_far as ({distance('class')})
+select j.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  not base_failed and not (coalesce(c.distance > {quality.MAX_CLASS_DISTANCE}, false)
+    or coalesce(v.distance > {quality.MAX_WORD_DISTANCE}, false)) as kept,
+  round(c.distance, 6) + 0.0 as class_distance, round(v.distance, 6) + 0.0 as word_distance
+from judged j left join class_far c using (doc_id) left join word_far v using (doc_id)"""
+
+
+@query("op2_quality", _op2_sql())
 def op2_quality(spark, sf_dir):
+    six = lambda c: (F.round(c, 6) + F.lit(0.0)).alias(c)
     return quality.judge(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
-        "class_distance", "word_distance")
+        six("class_distance"), six("word_distance"))
 
 
 # ------------------------------------------------------------------ 3 suffix tree

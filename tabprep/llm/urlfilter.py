@@ -14,7 +14,8 @@ positives. The filter table is broadcast only below a counted size.
 
 Defined results: a null URL or one without ``://`` has an empty host and path,
 no rule and no canonical form, hence ``allow``; null or empty list entries are
-ignored; repeated rows stay repeated; other columns are not read.
+ignored; repeated rows stay repeated; other columns are not read; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations

@@ -308,7 +308,7 @@ def test_codewords_and_many_languages():
     assert (best == 0).all() and (share == 1).all()
 
 
-def test_suffix_tree_probabilities_sum_to_one(spark):
+def test_suffix_tree_scores_are_finite_and_negative(spark):
     docs = spark.createDataFrame([(i, "a b a b c a b" if i % 2 else "b a c c a") for i in range(40)],
                                  "doc_id long, text string")
     # every continuation of a text's first word, and the end, under the model learned from the same rows
