@@ -17,7 +17,7 @@ from tabprep.functions import features as ff
 from tabprep.operators.joins import sized_broadcast
 from tabprep.session import materialize
 
-# The engineered columns in the order the studied pipeline previews them.
+# The engineered columns in the order the studied pipeline previews them.
 NEW_FEATURES = [
     "fl_date", "month", "is_holiday_month", "day_of_week", "is_weekend", "season",
     "crs_dep_hour", "time_of_day", "flight_type", "route", "crs_arr_hour",

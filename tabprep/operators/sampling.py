@@ -80,10 +80,10 @@ def prefix_bound(df: DataFrame, n: int, key: str, seed: int = DEFAULT_SEED,
             return None
         prefix, before = chosen["p"], run
         if chosen["count"] <= boundary_rows or digits >= 32:
-            need = n - before
-            group = (probe.where(F.substring("_h", 1, len(prefix)) == F.lit(prefix))
-                     .orderBy("_h", "_k").limit(need).collect())
-            last = group[need - 1]
+            group = probe.where(F.substring("_h", 1, len(prefix)) == F.lit(prefix))
+            if digits < 32:  # rows of one whole hash are rows of one key
+                group = group.orderBy("_h", "_k").limit(n - before)
+            last = group.agg(F.max(F.struct("_h", "_k")).alias("last")).first()["last"]
             return (last["_h"], last["_k"])
         digits = min(32, digits + PREFIX_DIGITS)
 
