@@ -18,6 +18,7 @@ from typing import NamedTuple, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabprep.functions.missing import present
 from tabprep.operators.cleaning import stacked_values
@@ -87,10 +88,9 @@ def apply_label_encoder(df: DataFrame, state: LabelCodes, cols: Sequence[str]) -
             code_cols[c] = F.col(f"_c_{c}")
 
     def checked(c: str):
-        code = code_cols[c]
-        missing = F.col(c).isNotNull() & code.isNull()
-        return F.when(missing, F.raise_error(F.lit(f"unseen label in column {c}"))) \
-            .otherwise(code).cast("int").alias(c)
+        # the code is named once: every mention in an expression is a look-up of its own
+        unseen = F.when(F.col(c).isNotNull(), F.raise_error(F.lit(f"unseen label in column {c}")))
+        return F.coalesce(code_cols[c], unseen).cast("int").alias(c)
 
     return out.select(*[checked(c) if c in code_cols else F.col(c) for c in df.columns])
 
@@ -107,9 +107,15 @@ def decode_labels(df: DataFrame, state: LabelCodes, cols: Sequence[str]) -> Data
     return out.select(*df.columns)
 
 
-def _x(c: str):
-    """The column as a double, NaN as NULL."""
-    return present(F.col(c).cast("double"))
+def _x(c: str, types: dict | None = None):
+    """The column as a double, NaN as NULL. Integral columns (by ``types``) hold no NaN
+    and are named once, since a mention may stand for a look-up of a code."""
+    known = (types or {}).get(c)
+    return present(F.col(c).cast("double"), known if isinstance(known, T.IntegralType) else None)
+
+
+def _types(df: DataFrame) -> dict:
+    return {f.name: f.dataType for f in df.schema.fields}
 
 
 def fit_standard(train: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -143,13 +149,13 @@ def apply_affine(df: DataFrame, params: DataFrame | list) -> DataFrame:
     """E2/E3 apply: ``(x - mean) / scale`` per fitted column, as literals
     (the parameter table has one row per column)."""
     rows = params.collect() if isinstance(params, DataFrame) else params
-    repl = {}
+    repl, types = {}, _types(df)
     for r in rows:
         c = r["column"]
         if r["mean"] is None:
-            repl[c] = _x(c)
+            repl[c] = _x(c, types)
         else:
-            repl[c] = (_x(c) - F.lit(float(r["mean"]))) / F.lit(float(r["scale"]))
+            repl[c] = (_x(c, types) - F.lit(float(r["mean"]))) / F.lit(float(r["scale"]))
     return df.withColumns(repl) if repl else df
 
 
@@ -167,11 +173,11 @@ def preprocess(splits: Splits, numerical: Sequence[str], categorical: Sequence[s
     enc = splits if codes is None else splits.map(
         lambda d: apply_label_encoder(d, codes, categorical))
     # both parameter tables from one aggregate over the encoded training split
-    aggs = []
+    aggs, types = [], _types(enc.train)
     for i, c in enumerate(numerical):
-        aggs += [F.avg(_x(c)).alias(f"m{i}"), F.stddev_pop(_x(c)).alias(f"s{i}")]
+        aggs += [F.avg(_x(c, types)).alias(f"m{i}"), F.stddev_pop(_x(c, types)).alias(f"s{i}")]
     for i, c in enumerate(categorical):
-        aggs += [F.min(_x(c)).alias(f"lo{i}"), F.max(_x(c)).alias(f"hi{i}")]
+        aggs += [F.min(_x(c, types)).alias(f"lo{i}"), F.max(_x(c, types)).alias(f"hi{i}")]
     row = enc.train.agg(*aggs).first() if aggs else None
     std_rows, mm_rows = [], []
     for i, c in enumerate(numerical):

@@ -85,6 +85,19 @@ def test_label_codes_numeric_order_and_roundtrip(spark):
     assert dict(back.select("row_id", "s").collect()) == {1: "b", 2: "a"}
 
 
+def test_a_code_is_looked_up_once_a_row(spark):
+    tr = spark.createDataFrame([(1, 10, "b"), (2, 2, "a"), (3, None, None)], "row_id long, m int, s string")
+    codes = encoding.fit_label_encoder(Splits(tr, tr), ["m", "s"])
+    enc = encoding.apply_label_encoder(tr, codes, ["m", "s"])
+    out = encoding.apply_affine(enc, [{"column": c, "mean": 0.5, "scale": 2.0} for c in ("m", "s")])
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("raise_error(") == 2               # a mention of a column's code is a look-up
+    assert sorted(tuple(r) for r in out.collect()) == [(1, 0.25, 0.25), (2, -0.25, -0.25), (3, None, None)]
+    new = spark.createDataFrame([(4, 11, "a")], "row_id long, m int, s string")
+    with pytest.raises(Exception, match="unseen label in column m"):
+        encoding.apply_label_encoder(new, codes, ["m", "s"]).collect()
+
+
 def test_scalers(spark):
     tr = spark.createDataFrame([(1, 1.0, 3), (2, 2.0, 3), (3, 6.0, 3)], "row_id long, x double, c int")
     std = encoding.fit_standard(tr, ["x"])
