@@ -194,6 +194,40 @@ def test_large_forests_give_the_same_by_routing(spark, monkeypatch):
     assert {imp[-1].feature, imp[-2].feature} == {"f0", "f1"}
 
 
+def test_variants_are_walked_from_where_they_leave_the_path(spark):
+    df, pdf = planted(spark, 500)
+    feats = ["f0", "f1", "f2", "f3"]
+    model = forest.fit_forest(df, feats, "y", trees=3, leaf_rows=80)
+    x = pdf[feats].to_numpy()
+    donor = np.random.default_rng(4).permutation(x)
+    scorer, plain = forest._scorer(model, forest._parts(model)[0]), forest._broadcast(model).value
+    got = scorer.sums(x, donor) / 3
+    for f in range(5):
+        changed = x.copy()
+        if f < 4:
+            changed[:, f] = donor[:, f]
+        assert np.array_equal(got[:, f], plain.predict(changed))
+    steps = sum(len(scorer.leaves(np.concatenate((x, donor), axis=1), r)[1]) for r in scorer.root)
+    assert 0 < steps < 3 * 4 * len(x)                  # fewer than all variants in all trees
+
+
+@pytest.mark.parametrize("fetch", [300, 3_000_000])
+def test_importance_of_a_forest_in_parts_moves_sums_only(spark, monkeypatch, fetch):
+    df, _ = planted(spark, 600)
+    feats = ["f0", "f1", "f2", "f3"]
+    model = forest.fit_forest(df, feats, "y", trees=3, leaf_rows=80)
+    near = forest.permutation_importance(model, df, feats, "y").collect()
+    monkeypatch.setattr(forest, "FOREST_BYTES", 700 * forest.SCORER_BYTES)
+    monkeypatch.setattr(forest, "FETCH_NODES", fetch)
+    parts = forest._parts(model)
+    assert 3 <= len(parts) <= 12 and sum(g[2] for p in parts for g in p) == model.n_nodes
+    monkeypatch.setattr(forest, "_routed", None)        # rows are not sent to the leaves any more
+    far = forest.permutation_importance(model, df, feats, "y").collect()
+    for a, b in zip(near, far):
+        assert a.feature == b.feature and a.importance_mean == pytest.approx(b.importance_mean, abs=1e-9)
+        assert a.importance_std == pytest.approx(b.importance_std, abs=1e-9)
+
+
 def test_grown_tree_splits_as_brute_force():
     rng = np.random.default_rng(9)
     for _ in range(30):
