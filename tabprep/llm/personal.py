@@ -23,7 +23,8 @@ texts with a term is one grouped count over the distinct terms of all texts, the
 pairs are joined with it. Only the terms
 that then disclose something - rare ones, since a frequent term cannot reach the
 threshold - are looked up in the texts (equi-joins, broadcast below a counted
-number of rows and estimated bytes). The last pass marks base spans and the disclosing terms of its text.
+number of rows and estimated bytes; beyond, only rows that pass a Bloom filter of the
+look-up side's keys are shuffled to it). The last pass marks base spans and the disclosing terms of its text.
 
 Defined results: a null text is an empty one (no span); equal texts count once
 in all statistics and have equal spans; repeated rows stay repeated; other
@@ -38,7 +39,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabprep.llm.common import SPACE_GAP, small_or_shuffled, text_key, words
+from tabprep.llm.common import BROADCAST_ROWS, SPACE_GAP, small_or_shuffled, text_key, words
+from tabprep.llm.urlfilter import BITS_PER_URL, HASHES, _block, _mask
+from tabprep.operators.joins import row_bytes
 from tabprep.session import materialize
 
 KINDS = ["email", "ip", "card", "phone", "term"]
@@ -58,6 +61,8 @@ GENERALISE = 0.8
 #: Estimated bytes of a look-up side that is broadcast; all of them grow with the corpus.
 SIDE_BYTES = 2 * 1024 * 1024
 REMOVE = 0.95
+#: 64-bit words of a look-up side's Bloom filter at most.
+MAX_BLOCKS = 1 << 20
 
 
 def luhn(digits: str) -> bool:
@@ -147,6 +152,31 @@ def _contexts(context: int):
     return run
 
 
+def split_by(rows: DataFrame, side: DataFrame, n: int, key: str) -> tuple[DataFrame, DataFrame]:
+    """``rows`` whose ``key`` may be among the ``n`` of ``side`` by a Bloom filter, a broadcast
+    table of at most ``MAX_BLOCKS`` words, and those whose key is not."""
+    blocks = max(1, min(MAX_BLOCKS, n * BITS_PER_URL // 64))
+    bloom = side.select(_block(key, blocks), _mask(key, HASHES).alias("mask")).groupBy("block").agg(
+        F.bit_or("mask").alias("_word"))
+    want = _mask(key, HASHES)
+    probed = rows.withColumn("block", _block(key, blocks)).join(F.broadcast(bloom), "block", "left")
+    may = F.coalesce(F.col("_word").bitwiseAND(want) == want, F.lit(False))
+    return probed.filter(may).select(*rows.columns), probed.filter(~may).select(*rows.columns)
+
+
+def looked_up(rows: DataFrame, side: DataFrame, n: int, key: str, how: str = "left") -> DataFrame:
+    """``rows`` joined with the ``n`` rows of ``side``: a broadcast below the limits. Beyond them
+    only the rows whose key may be in it are shuffled, not all the texts."""
+    if n <= BROADCAST_ROWS and n * row_bytes(side.schema) <= SIDE_BYTES:
+        return rows.join(F.broadcast(side), key, how)
+    may, rest = split_by(rows, side, n, key)
+    met = may.join(side, key, how)
+    if how == "inner":
+        return met
+    return met.unionByName(rest.select("*", *[F.lit(None).cast(f.dataType).alias(f.name)
+                                              for f in side.schema.fields if f.name != key]))
+
+
 def disclosure(docs: DataFrame, text: str = "text", context: int = CONTEXT, prior_texts: float = PRIOR_TEXTS,
                generalise: float = GENERALISE, remove: float = REMOVE) -> tuple[DataFrame, DataFrame]:
     """``docs`` with ``doc_id, tkey, text`` -> the disclosing terms ``(term, disclosure, action)``
@@ -171,7 +201,7 @@ def disclosure(docs: DataFrame, text: str = "text", context: int = CONTEXT, prio
     copies = rows.filter("m > 1").select("tkey", F.col("doc_id").alias("_first"), "c")
     weight = F.when(F.col("c").isNull(), 1.0).when(F.col("doc_id").eqNullSafe(F.col("_first")), 1.0 / F.col("c")
                                                    ).otherwise(0.0)
-    weighed = (docs.join(small_or_shuffled(copies, copied, max_bytes=SIDE_BYTES), "tkey", "left").select("text", weight.alias("weight"))
+    weighed = (looked_up(docs.select("tkey", "doc_id", "text"), copies, copied, "tkey").select("text", weight.alias("weight"))
                .filter("weight > 0"))
     per_term = (weighed.select("weight", F.explode(text_terms("text")).alias("term"))
                 .groupBy("term").agg(F.round(F.sum("weight")).cast("long").alias("n_t")))
@@ -184,8 +214,8 @@ def disclosure(docs: DataFrame, text: str = "text", context: int = CONTEXT, prio
              .filter(F.col("disclosure") >= generalise)
              .withColumn("action", F.when(F.col("disclosure") >= remove, "remove").otherwise("generalise")))
     terms = materialize(terms, "personal-disclosing")
-    side = small_or_shuffled(terms.select("term", "action"), terms.count(), max_bytes=SIDE_BYTES)
-    per_text = (docs.select("tkey", F.explode(text_terms("text")).alias("term")).join(side, "term")
+    words_of = docs.select("tkey", F.explode(text_terms("text")).alias("term"))
+    per_text = (looked_up(words_of, terms.select("term", "action"), terms.count(), "term", "inner")
                 .groupBy("tkey").agg(F.sort_array(F.collect_set(F.concat_ws(":", "action", "term"))).alias("terms")))
     return terms, materialize(per_text, "personal-texts")
 
@@ -241,7 +271,6 @@ def find_personal(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", c
     d = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     d = d.withColumn("tkey", F.md5("text"))
     _, per_text = disclosure(d, "text", context, prior_texts, generalise, remove)
-    n = per_text.count()
-    marked = d.join(small_or_shuffled(per_text, n, max_bytes=SIDE_BYTES), "tkey", "left").select("text", "terms", "doc_id")
+    marked = looked_up(d, per_text, per_text.count(), "tkey").select("text", "terms", "doc_id")
     return marked.mapInArrow(_mark, "spans array<string>, sanitised string, "
                                     f"doc_id {dict(d.dtypes)['doc_id']}").select("doc_id", "spans", "sanitised")
