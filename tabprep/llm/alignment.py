@@ -49,6 +49,8 @@ HEAVY_SHARE = 5e-7
 EXPANDED, HELD_PAIRS = 2_000_000, 1_500_000
 #: Characters of new units that are aligned at a time.
 ALIGN_CHARS = 500_000
+#: New units that are encoded as one text.
+RUN = 256
 
 
 class Tokenizers:
@@ -73,14 +75,60 @@ class Tokenizers:
         if crossing:
             raise ValueError(f"pieces that go on after a space or line end: {crossing[:3]}")
         self.space = self.b.piece_to_id(FILE_SPACE)
-
-    def encode(self, fresh: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """The ids of units. Each begins with the space that B puts before a text,
-        or with a line end, which no piece goes beyond."""
-        ids_a = [e.ids for e in self.a.encode_batch_fast(fresh, add_special_tokens=False)]
-        ids_b = self.b.encode([u[1:] if u[0] == " " else u for u in fresh], num_threads=1)
-        ids_b = [[self.space] if u == " " else ids if u[0] == " " else ids[1:] for u, ids in zip(fresh, ids_b)]
-        return ids_a, ids_b
+        self.size_a = np.array([len(r) for r in self.raw_a], np.int64)
+        self.size_b = np.array([len(r) for r in self.raw_b], np.int64)
+
+    def _a(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _b(self, texts: list[str]) -> list[list[int]]:
+        """Each begins with the space that B puts before a text, or with a line end,
+        which no piece goes beyond."""
+        ids = self.b.encode([u[1:] if u[0] == " " else u for u in texts], num_threads=1)
+        return [[self.space] if u == " " else x if u[0] == " " else x[1:] for u, x in zip(texts, ids)]
+
+    def encode(self, fresh: list[str], size: np.ndarray):
+        """The ids of units of ``size`` bytes, one after the other, and how many each has,
+        for A and for B. Units are encoded in runs, as texts of so many units: their tokens
+        end where units do. Runs whose tokens do not are encoded a unit at a time."""
+        ends_white = [u[-1].isspace() for u in fresh]
+        first = [0]
+        for i in range(1, len(fresh)):
+            if i - first[-1] >= RUN or ends_white[i] or ends_white[i - 1]:
+                first.append(i)
+        cuts = np.array([*first, len(fresh)])
+        runs = ["".join(fresh[a:b]) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+        return (*_per_unit(self._a, self.size_a, runs, fresh, cuts, size),
+                *_per_unit(self._b, self.size_b, runs, fresh, cuts, size))
+
+
+def _per_unit(encode, size_of: np.ndarray, runs: list[str], fresh: list[str], cuts: np.ndarray, size: np.ndarray):
+    """The ids of all units and how many each has, from those of runs of units."""
+    lists = encode(runs)
+    ids, counts = _ragged(lists)
+    bytes_of = size_of[ids]
+    bad = units.sums(bytes_of, counts) != units.sums(size, np.diff(cuts))
+    if not bad.any():
+        unit_ends, ends = np.cumsum(size), np.cumsum(bytes_of)
+        at = np.searchsorted(ends, unit_ends)
+        off = np.flatnonzero(ends[at] != unit_ends)
+        if not len(off):
+            return ids, np.diff(at, prepend=-1)
+        bad[np.searchsorted(cuts, off, side="right") - 1] = True
+    singles = []
+    for a, b, run, again in zip(cuts[:-1].tolist(), cuts[1:].tolist(), lists, bad.tolist()):
+        if again and b - a > 1:
+            singles += encode(fresh[a:b])
+        elif b - a == 1:
+            singles.append(run)
+        else:
+            ends = np.cumsum(size_of[np.array(run, np.int64)])
+            at = np.searchsorted(ends, np.cumsum(size[a:b])) + 1
+            if (ends[at - 1] != np.cumsum(size[a:b])).any():
+                singles += encode(fresh[a:b])
+            else:
+                singles += [run[i:j] for i, j in zip([0, *at.tolist()], at.tolist())]
+    return _ragged(singles)
 
 
 def terminals(ends_a: np.ndarray, ends_b: np.ndarray) -> np.ndarray:
@@ -135,8 +183,7 @@ class Aligner:
     def __init__(self, source: str, model: bytes, counts=None):
         self.both = Tokenizers(source, model)
         self.with_lines = counts is not None             # the first pass only counts pairs
-        self.size_a = np.array([len(r) for r in self.both.raw_a], np.int64)
-        self.size_b = np.array([len(r) for r in self.both.raw_b], np.int64)
+        self.size_a, self.size_b = self.both.size_a, self.both.size_b
         self.width = len(self.size_b)                    # an id pair is a * width + b
         if self.with_lines:
             self.text_a, self.text_b = _texts(len(self.size_a), ",|"), _texts(len(self.size_b), ",;")
@@ -155,10 +202,9 @@ class Aligner:
             self._align(fresh[a:b])
 
     def _align(self, fresh: list[str]):
-        lists_a, lists_b = self.both.encode(fresh)
-        ids_a, n_a = _ragged(lists_a)
-        ids_b, n_b = _ragged(lists_b)
-        valid = self._valid([u.encode() for u in fresh], ids_a, n_a, ids_b, n_b)
+        wanted = [u.encode() for u in fresh]
+        ids_a, n_a, ids_b, n_b = self.both.encode(fresh, np.fromiter(map(len, wanted), np.int64, len(wanted)))
+        valid = self._valid(wanted, ids_a, n_a, ids_b, n_b)
         if not valid.all():
             ids_a, ids_b = ids_a[np.repeat(valid, n_a)], ids_b[np.repeat(valid, n_b)]
             n_a, n_b = n_a * valid, n_b * valid

@@ -116,3 +116,23 @@ def test_edges(spark, brute, edge, empty):
     want = brute([r[1] for r in edge_rows()])
     assert got == sorted((str(r[0]), *w) for r, w in zip(edge_rows(), want))
     assert alignment.align(empty).count() == 0
+
+
+def test_units_are_encoded_in_runs_as_one_by_one(monkeypatch):
+    import random
+
+    import numpy as np
+
+    from tabprep.llm import alignment, units
+    both = alignment.Tokenizers(*alignment._files(alignment.TOKENIZER, alignment.MODEL))
+    rng, parts = random.Random(3), ["a", "the", "\n", " ", "\t", "\u2581", "\u00e9", "\u6f22", "<s>", "x1", "...", "\r", "\u3000", " b"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(1, 60))) for _ in range(400)]
+    fresh = list(dict.fromkeys(u for t in texts for u in units.UNIT.findall(" " + t)))
+    want = [x for lists in (both._a(fresh), both._b(fresh)) for x in alignment._ragged(lists)]
+    for got, wanted in zip(both.encode(fresh, np.array([len(u.encode()) for u in fresh])), want):
+        assert np.array_equal(got, wanted)
+    sent, plain = [], both._a
+    monkeypatch.setattr(both, "_a", lambda runs: sent.append(len(runs)) or plain(runs))
+    words = [f" word{i}" for i in range(2000)]
+    both.encode(words, np.array([len(u) for u in words]))
+    assert sent == [-(-2000 // alignment.RUN)]          # one text a run, not one a unit
