@@ -50,11 +50,11 @@ ALPHA = 0.3
 #: Characters of text whose lattices and paths are in memory at a time.
 BLOCK_CHARS = 400_000
 #: Characters of text whose words are numbered, and get their lattices, together.
-ROUND_CHARS = 2_000_000
+ROUND_CHARS = 1_000_000
 #: Arcs of lattices that a task keeps (24 bytes each); more are dropped and made anew when needed.
 MAX_ARCS = 5_000_000
 #: Words whose lattices are made at a time.
-ADDED = 20_000
+ADDED = 10_000
 #: Alternatives from which a path's cut-off is estimated.
 FIRST = 64
 _BASE = np.uint64(0x9E3779B97F4A7C15)
