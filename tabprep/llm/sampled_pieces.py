@@ -52,9 +52,13 @@ BLOCK_CHARS = 400_000
 #: Characters of text whose words are numbered, and get their lattices, together.
 ROUND_CHARS = 1_000_000
 #: Arcs of lattices that a task keeps (24 bytes each); more are dropped and made anew when needed.
-MAX_ARCS = 5_000_000
+MAX_ARCS = 3_000_000
+#: Arcs that there is room for from the start (memory is taken as it is filled); more make the arrays grow.
+ROOM = MAX_ARCS + 1_500_000
 #: Words whose lattices are made at a time.
 ADDED = 10_000
+#: Of these, words whose arcs are found at a time.
+SLICE_WORDS = 2_500
 #: Alternatives from which a path's cut-off is estimated.
 FIRST = 64
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -93,44 +97,55 @@ def string_hashes(strings: list[str]) -> np.ndarray:
 
 
 class Vocabulary:
-    """Pieces by length as sorted hashes, with a bitmap before the search."""
+    """Pieces by the leading bits of their hashes; those whose bits another piece has are searched."""
 
     def __init__(self, pieces: pc.Pieces):
         self.pieces = pieces
-        self.by_length, self.bitmap = {}, np.zeros(1 << 20, bool)
-        for n in range(1, pieces.longest + 1):
-            texts = [p for p in pieces.ids if len(p) == n]
-            h = string_hashes(texts)
-            order = np.argsort(h)
-            self.by_length[n] = (h[order], np.array([pieces.ids[texts[i]] for i in order], np.int64),
-                                 np.array([pieces.scores[texts[i]] for i in order]))
-            self.bitmap[(h >> np.uint64(44)).astype(np.int64)] = True
+        texts = list(pieces.ids)
+        self.hashes = string_hashes(texts)
+        self.length = np.fromiter(map(len, texts), np.int64, len(texts))
+        self.ids = np.fromiter((pieces.ids[t] for t in texts), np.int32, len(texts))
+        self.scores = np.fromiter((pieces.scores[t] for t in texts), np.float64, len(texts))
+        self.slots = np.full(1 << 20, -1, np.int32)
+        own = (self.hashes >> np.uint64(44)).astype(np.int64)
+        self.slots[own] = np.arange(len(texts))                     # the last of a slot's pieces
+        hidden = np.flatnonzero(self.slots[own] != np.arange(len(texts)))
+        self.hidden = hidden[np.argsort(self.hashes[hidden])]
 
     def find(self, n: int, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which of the hashes are pieces of length ``n``, and their places in ``by_length[n]``."""
-        hashes = self.by_length[n][0]
-        maybe = np.flatnonzero(self.bitmap[(h >> np.uint64(44)).astype(np.int64)])
-        if not len(hashes) or not len(maybe):
-            return maybe[:0], maybe[:0]
-        own = h[maybe]
-        at = np.searchsorted(hashes, own)
-        at[at == len(hashes)] = 0
-        ok = hashes[at] == own
+        """Which of the hashes are pieces of length ``n``, and the pieces' places."""
+        at = self.slots[h >> np.uint64(44)]
+        maybe = np.flatnonzero(at >= 0)
+        at, own = at[maybe], h[maybe]
+        ok = self.hashes[at] == own
+        if len(self.hidden):
+            other = np.flatnonzero(~ok)
+            place = np.minimum(np.searchsorted(self.hashes[self.hidden], own[other]), len(self.hidden) - 1)
+            at[other] = self.hidden[place]
+            ok[other] = self.hashes[at[other]] == own[other]
+        ok &= self.length[at] == n
         return maybe[ok], at[ok]
 
 
 class Lattices:
     """The lattices of many words: nodes are numbered through, a word of ``n``
     characters (its separator included) has ``n + 1``; arcs are grouped by source node, the longest first.
-    Words of equal length are worked on together, as arrays of words x positions
-    x piece lengths."""
+    Words are worked on together, as arrays of characters x piece lengths; the
+    backward sums take those of equal length at a time."""
 
     def __init__(self, vocab: Vocabulary, alpha: float = ALPHA):
         self.vocab, self.alpha, self.numbers = vocab, alpha, units.Numbers()
-        self.mass = {n: np.exp(alpha * s) for n, (_, _, s) in vocab.by_length.items()}
-        self.held = {name: units.Grown(kind) for name, kind in (
-            ("first", np.int64), ("last", np.int64), ("ptr", np.int64), ("end", np.int32), ("piece", np.int32),
-            ("logp", np.float64), ("cdf", np.float32), ("rest", np.float32))}
+        self.mass = np.exp(alpha * vocab.scores)
+        self.held = {name: units.Grown(kind, room=room) for name, kind, room in (
+            ("first", np.int64, 0), ("last", np.int64, 0), ("ptr", np.int64, MAX_ARCS), ("end", np.int32, ROOM),
+            ("piece", np.int32, ROOM), ("logp", np.float64, ROOM), ("cdf", np.float32, ROOM), ("rest", np.float32, ROOM))}
+        self._grow(ptr=np.zeros(1, np.int64))
+
+    def forget(self):
+        """Drop all words and lattices; the arrays are used again."""
+        self.numbers = units.Numbers()
+        for held in self.held.values():
+            held.n = 0
         self._grow(ptr=np.zeros(1, np.int64))
 
     def _grow(self, **more):
@@ -153,17 +168,14 @@ class Lattices:
         first = np.zeros(len(words), np.int64)
         src, dst, piece, own, at, nodes = [], [], [], [], 0, 0
         sizes, counts = np.unique(size, return_counts=True)
-        for n, mine in zip(sizes.tolist(), np.split(by_size, np.cumsum(counts)[:-1])):
-            first[mine] = nodes + np.arange(len(mine)) * (n + 1)
-            rows = max(1, 400_000 // (n * min(n, self.vocab.pieces.longest)))  # bounds the arrays of a slice
-            for a in range(0, len(mine), rows):
-                w = min(rows, len(mine) - a)
-                part = chars[at: at + w * n].reshape(w, n)
-                at += w * n
-                got = self._slice(part, nodes + a * (n + 1))
-                for whole, x in zip((src, dst, piece, own), got):
-                    whole.append(x)
-            nodes += len(mine) * (n + 1)
+        last = np.cumsum(np.repeat(sizes, counts))                  # where the words end in chars
+        for a in range(0, len(words), SLICE_WORDS):                 # bounds the arrays of a slice
+            mine, n = by_size[a: a + SLICE_WORDS], size[by_size[a: a + SLICE_WORDS]]
+            first[mine] = nodes + np.cumsum(n + 1) - (n + 1)
+            to = int(last[min(a + SLICE_WORDS, len(words)) - 1])
+            for whole, x in zip((src, dst, piece, own), self._slice(chars[at:to], n, nodes)):
+                whole.append(x)
+            at, nodes = to, nodes + to - at + len(mine)
         start, end, piece, own = (np.concatenate(x) for x in (src, dst, piece, own))
         ptr = np.cumsum(np.bincount(start, minlength=nodes))
         total = np.cumsum(own)
@@ -175,30 +187,46 @@ class Lattices:
         self._grow(first=base + first, last=base + first + size, ptr=ptr + len(self.end), end=end + base, piece=piece,
                    logp=np.log(own), cdf=cdf, rest=rest)
 
-    def _slice(self, chars: np.ndarray, node: int):
-        """Arcs ``(source, target, piece, probability given the source)`` of words of one length."""
-        w, n = chars.shape
-        longest = min(n, self.vocab.pieces.longest)
-        mass = np.zeros((w, n, longest))
-        ids = np.zeros((w, n, longest), np.int32)
+    def _slice(self, chars: np.ndarray, size: np.ndarray, node: int):
+        """Arcs ``(source, target, piece, probability given the source)`` of words, the shortest first."""
+        longest = min(int(size[-1]), self.vocab.pieces.longest)
+        mass = np.zeros((len(chars), longest))
+        ids = np.zeros((len(chars), longest), np.int32)
+        ends = np.cumsum(size)
+        left = np.repeat(ends, size) - np.arange(len(chars))        # characters up to the word's end
         code = chars.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(1)
-        h = np.zeros((w, n), np.uint64)
+        h, at = np.zeros(len(chars), np.uint64), np.arange(len(chars))
         for k in range(1, longest + 1):
-            h = h[:, : n - k + 1] * _BASE
-            h += code[:, k - 1:]
-            hit, at = self.vocab.find(k, h.ravel())
-            row, col = np.divmod(hit, n - k + 1)
-            cell = (row * n + col) * longest + (longest - k)
-            mass.reshape(-1)[cell] = self.mass[k][at]
-            ids.reshape(-1)[cell] = self.vocab.by_length[k][1][at]
-        lone = mass[:, :, longest - 1] == 0                         # characters without a piece: their bytes
+            if k > 1:
+                on = left[at] >= k
+                h, at = h[on], at[on]
+            h = h * _BASE + code[at + (k - 1)]
+            hit, which = self.vocab.find(k, h)
+            cell = at[hit] * longest + (longest - k)
+            mass.reshape(-1)[cell] = self.mass[which]
+            ids.reshape(-1)[cell] = self.vocab.ids[which]
+        lone = np.flatnonzero(mass[:, longest - 1] == 0)            # characters without a piece: their bytes
         point = chars[lone].astype(np.int64)
         width = 1 + (point >= 0x80) + (point >= 0x800) + (point >= 0x10000)
         mass[lone, longest - 1] = np.exp(self.alpha * pc.BYTE_SCORE * width)
         ids[lone, longest - 1] = np.where(width == 1, np.array(self.vocab.pieces.byte_ids)[np.minimum(point, 127)],
                                           -point)
+        done = 0
+        for n, w in zip(*(x.tolist() for x in np.unique(size, return_counts=True))):
+            self._backward(mass[done: done + w * n].reshape(w, n, longest))
+            done += w * n
+        at = np.flatnonzero(mass)
+        cell = at // longest
+        nodes = node + np.arange(len(chars)) + np.repeat(np.arange(len(size)), size)  # a word has one more than characters
+        start = nodes[cell]
+        return start, start + longest - (at - cell * longest), ids.reshape(-1)[at].astype(np.int64), mass.reshape(-1)[at]
+
+    @staticmethod
+    def _backward(mass: np.ndarray):
+        """Turn the masses of words of one length into probabilities given the source, by backward sums."""
+        w, n, longest = mass.shape
         beta = np.ones((w, n + 1))
-        for i in range(n - 1, -1, -1):                              # backward sums
+        for i in range(n - 1, -1, -1):
             m = min(longest, n - i)
             cand = mass[:, i, longest - m:]
             cand *= beta[:, i + 1: i + m + 1][:, ::-1]
@@ -206,10 +234,6 @@ class Lattices:
             cand /= total[:, None]
             if i % 4 == 0:                                          # only ratios within a piece's reach matter
                 beta[:, i: i + longest + 1] /= beta[:, i: i + 1].copy()
-        at = np.flatnonzero(mass)
-        cell, slot = np.divmod(at, longest)
-        start = node + cell + cell // n                             # a word has one node more than characters
-        return start, start + longest - slot, ids.reshape(-1)[at].astype(np.int64), mass.reshape(-1)[at]
 
     def choose(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
         """An arc of each node for a uniform number."""
@@ -249,9 +273,8 @@ class _Path:
     """An emitted segmentation of a text: its arcs, the word of each, the
     log-probabilities before each, and the perturbed values of the alternatives."""
 
-    def __init__(self, arcs, words, after, g):
-        self.arcs, self.words, self.g = arcs, words, g
-        self.before = np.concatenate(([0.0], after))
+    def __init__(self, arcs, words, before, g):
+        self.arcs, self.words, self.before, self.g = arcs, words, before, g
         self.split, self.excluded = -1, []
 
     def graft(self, parent: _Path, t: int, arc: int, first: float):
@@ -362,11 +385,11 @@ def sample_block(texts: list[str], seeds: np.ndarray, k: int, lat: Lattices, wor
             if heads:
                 parent, t, arc, held, tops[i] = heads[i]
                 base = float(parent.before[t] + lat.logp[arc])
-            after = base + np.cumsum(lp[a:b])
-            path = _Path(arcs[a:b], words[a:b], after, tops[i])
-            before = np.concatenate(([base], after[:-1])) if b > a else after
-            lead[a:b] = before
-            near[i] = contenders(before, lat.rest[arcs[a: min(b, a + FIRST)]], tops[i], k)
+            before = np.full(b - a + 1, base)
+            before[1:] += np.cumsum(lp[a:b])
+            path = _Path(arcs[a:b], words[a:b], before, tops[i])
+            lead[a:b] = before[:-1]
+            near[i] = contenders(before[:-1], lat.rest[arcs[a: min(b, a + FIRST)]], tops[i], k)
             if heads:
                 path.graft(parent, t, arc, base)
                 path.split, path.excluded = t, held[:-1]
@@ -407,13 +430,13 @@ def _sampler(pieces, k: int, alpha: float):
     def run(batches):
         vocab = Vocabulary(pieces.value)
         lat = Lattices(vocab, alpha)
-        raw = np.array(vocab.pieces.raw, dtype=object)
+        raw = pa.array(vocab.pieces.raw, pa.large_binary())
         for batch in batches:
             texts = batch.column(0).to_pylist()
             seeds = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
             for first, last in units.blocks(texts, ROUND_CHARS):  # the new words of a round get lattices together
                 if len(lat.end) > MAX_ARCS:
-                    lat = Lattices(vocab, alpha)
+                    lat.forget()
                 counts, which = words_of(texts[first:last], lat)
                 ends = np.cumsum(counts)
                 for a, b in units.blocks(texts[first:last], BLOCK_CHARS):
@@ -423,13 +446,17 @@ def _sampler(pieces, k: int, alpha: float):
     return run
 
 
-def batch_of(doc_ids, texts: list[str], first: int, found: list, vocab: Vocabulary, raw: np.ndarray) -> pa.RecordBatch:
+def batch_of(doc_ids, texts: list[str], first: int, found: list, vocab: Vocabulary, raw: pa.Array) -> pa.RecordBatch:
     """The samples of the texts from ``first`` on as rows."""
     rows = [(first + i, r, to_ids(s[0], vocab), *s[1:]) for i, f in enumerate(found) for r, s in enumerate(f, 1)]
     ends = np.cumsum([0, *(len(x[2]) for x in rows)])
-    ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(
-        np.concatenate([x[2] for x in rows]).astype(np.int32)))
-    same = [b"".join(raw[x[2]].tolist())[1:] == texts[x[0]].encode("utf-8", "replace") for x in rows]
+    flat = pa.array(np.concatenate([x[2] for x in rows]).astype(np.int32))
+    ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
+    joined = raw.take(flat)                                         # the bytes of all rows, one after the other
+    at = np.frombuffer(joined.buffers()[1], np.int64)[ends].tolist()
+    data = joined.buffers()[2].to_pybytes() if at[-1] else b""
+    given = [t.encode("utf-8", "replace") for t in texts[first: first + len(found)]]
+    same = [data[a + 1: b] == given[x[0] - first] for x, a, b in zip(rows, at, at[1:])]
     return pa.RecordBatch.from_arrays(
         [doc_ids.take(pa.array([x[0] for x in rows], pa.int64())), pa.array([x[1] for x in rows], pa.int32()), ids,
          *(pa.array([x[j] for x in rows], pa.float64()) for j in (3, 4, 5)), pa.array(same, pa.bool_())],

@@ -81,7 +81,7 @@ def trie_scores(words: list[str], vocab: Vocabulary) -> tuple[np.ndarray, np.nda
         for k, (h, best, count) in enumerate(above[: vocab.pieces.longest], 1):
             level.append((h[parent] * _BASE + code, best[parent], count[parent]))
             hit, at = vocab.find(k, level[-1][0])
-            s, t = vocab.by_length[k][2][at] + level[-1][1][hit], level[-1][2][hit] + 1
+            s, t = vocab.scores[at] + level[-1][1][hit], level[-1][2][hit] + 1
             if k == 1:
                 lone[hit] = False
             better = (s > top[hit]) | (s == top[hit]) & (t < n[hit])

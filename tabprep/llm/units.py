@@ -36,8 +36,8 @@ def blocks(texts: list[str], chars: int = BLOCK_CHARS):
 class Grown:
     """An array that doubles when it is full."""
 
-    def __init__(self, dtype, shape: tuple = ()):
-        self.held, self.n = np.zeros((64, *shape), dtype), 0
+    def __init__(self, dtype, shape: tuple = (), room: int = 0):
+        self.held, self.n = np.zeros((max(64, room), *shape), dtype), 0
 
     def add(self, values):
         last = self.n + len(values)
