@@ -46,7 +46,7 @@ AMBIGUOUS = 0.5
 HOLD_OUT_MOD, HOLD_OUT_REST = 4, 2
 UNKNOWN = "und"
 #: Bytes of text whose features are in memory at a time.
-BLOCK_BYTES = 2_000_000
+BLOCK_BYTES = 200_000
 
 
 def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
