@@ -57,8 +57,8 @@ MAX_ARCS = 3_000_000
 ROOM = MAX_ARCS + 1_500_000
 #: Words whose lattices are made at a time.
 ADDED = 10_000
-#: Of these, words whose arcs are found at a time.
-SLICE_WORDS = 2_500
+#: Characters of words (or one word more) whose arcs are found at a time.
+SLICE_CHARS = 25_000
 #: Alternatives from which a path's cut-off is estimated.
 FIRST = 64
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -167,12 +167,11 @@ class Lattices:
                               np.uint32)
         first = np.zeros(len(words), np.int64)
         src, dst, piece, own, at, nodes = [], [], [], [], 0, 0
-        sizes, counts = np.unique(size, return_counts=True)
-        last = np.cumsum(np.repeat(sizes, counts))                  # where the words end in chars
-        for a in range(0, len(words), SLICE_WORDS):                 # bounds the arrays of a slice
-            mine, n = by_size[a: a + SLICE_WORDS], size[by_size[a: a + SLICE_WORDS]]
+        cuts = np.flatnonzero(np.diff(np.cumsum(size[by_size]) // SLICE_CHARS)) + 1  # bounds the arrays of a slice
+        for mine in np.split(by_size, cuts):
+            n = size[mine]
             first[mine] = nodes + np.cumsum(n + 1) - (n + 1)
-            to = int(last[min(a + SLICE_WORDS, len(words)) - 1])
+            to = at + int(n.sum())
             for whole, x in zip((src, dst, piece, own), self._slice(chars[at:to], n, nodes)):
                 whole.append(x)
             at, nodes = to, nodes + to - at + len(mine)

@@ -35,3 +35,15 @@ def test_every_piece_is_found():
         assert hit.tolist() == list(range(len(texts)))
         assert vocab.ids[at].tolist() == [pieces.ids[t] for t in texts]
         assert len(vocab.find(n + 1, sampled_pieces.string_hashes(texts))[0]) == 0
+
+
+def test_long_words_are_worked_on_in_slices(monkeypatch):
+    vocab = sampled_pieces.Vocabulary(pc.load())
+    rng, sizes, cut = random.Random(8), [], sampled_pieces.Lattices._slice
+    words = ["".join(rng.choice("etaoinshrdlué漢") for _ in range(9_000)) for _ in range(12)] + ["ab", "cd"]
+    monkeypatch.setattr(sampled_pieces.Lattices, "_slice", lambda *a: sizes.append(len(a[1])) or cut(*a))
+    lat = sampled_pieces.Lattices(vocab)
+    number = [lat.numbers[w] for w in words]
+    lat.learn()
+    assert sum(sizes) == sum(map(len, words)) + len(words) and max(sizes) < sampled_pieces.SLICE_CHARS + 10_000
+    assert [lat.last[n] - lat.first[n] for n in number] == [len(w) + 1 for w in words]
