@@ -37,6 +37,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,14 +48,12 @@ SAMPLES = 3
 SEED = 17
 #: Exponent of the piece probabilities (1: the model's own distribution).
 ALPHA = 0.3
-#: Characters of text whose lattices and paths are in memory at a time.
-BLOCK_CHARS = 400_000
-#: Characters of text whose words are numbered, and get their lattices, together.
-ROUND_CHARS = 1_000_000
+#: Characters of text (or one text) whose words, lattices and paths are in memory at a time.
+BLOCK_CHARS = 200_000
 #: Arcs of lattices that a task keeps (24 bytes each); more are dropped and made anew when needed.
-MAX_ARCS = 3_000_000
+MAX_ARCS = 1_000_000
 #: Arcs that there is room for from the start (memory is taken as it is filled); more make the arrays grow.
-ROOM = MAX_ARCS + 1_500_000
+ROOM = MAX_ARCS + 500_000
 #: Words whose lattices are made at a time.
 ADDED = 10_000
 #: Characters of words (or one word more) whose arcs are found at a time.
@@ -323,11 +322,10 @@ def contenders(before: np.ndarray, rest: np.ndarray, top: float, k: int) -> int:
     return int(np.searchsorted(-before, -floor, side="right"))
 
 
-def sample_block(texts: list[str], seeds: np.ndarray, k: int, lat: Lattices, words=None):
+def sample_block(texts: list[str], seeds: np.ndarray, k: int, lat: Lattices):
     """Per text a list of ``(piece numbers, log_prob, perturbed, inclusion)``;
-    a piece number below zero is a character to be written as bytes. ``words``: what
-    :func:`words_of` gives for the texts, where it is known."""
-    counts, which = words_of(texts, lat) if words is None else words
+    a piece number below zero is a character to be written as bytes."""
+    counts, which = words_of(texts, lat)
     begins = np.cumsum(counts) - counts
     doc = np.repeat(np.arange(len(texts)), counts)
     place = np.arange(len(which)) - begins[doc]
@@ -431,31 +429,28 @@ def _sampler(pieces, k: int, alpha: float):
         lat = Lattices(vocab, alpha)
         raw = pa.array(vocab.pieces.raw, pa.large_binary())
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            seeds = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            for first, last in units.blocks(texts, ROUND_CHARS):  # the new words of a round get lattices together
+            sizes = compute.utf8_length(batch.column(0)).to_pylist()
+            for first, last in units.cuts(sizes, BLOCK_CHARS):
+                rows = batch.slice(first, last - first)         # only a block's texts are held as Python's
+                texts = rows.column(0).to_pylist()
+                seeds = rows.column(1).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
                 if len(lat.end) > MAX_ARCS:
                     lat.forget()
-                counts, which = words_of(texts[first:last], lat)
-                ends = np.cumsum(counts)
-                for a, b in units.blocks(texts[first:last], BLOCK_CHARS):
-                    words = counts[a:b], which[ends[a] - counts[a]: ends[b - 1]]
-                    yield batch_of(batch.column(2), texts, first + a, sample_block(
-                        texts[first + a: first + b], seeds[first + a: first + b], k, lat, words), vocab, raw)
+                yield batch_of(rows.column(2), texts, sample_block(texts, seeds, k, lat), vocab, raw)
     return run
 
 
-def batch_of(doc_ids, texts: list[str], first: int, found: list, vocab: Vocabulary, raw: pa.Array) -> pa.RecordBatch:
-    """The samples of the texts from ``first`` on as rows."""
-    rows = [(first + i, r, to_ids(s[0], vocab), *s[1:]) for i, f in enumerate(found) for r, s in enumerate(f, 1)]
+def batch_of(doc_ids, texts: list[str], found: list, vocab: Vocabulary, raw: pa.Array) -> pa.RecordBatch:
+    """The samples of the texts as rows."""
+    rows = [(i, r, to_ids(s[0], vocab), *s[1:]) for i, f in enumerate(found) for r, s in enumerate(f, 1)]
     ends = np.cumsum([0, *(len(x[2]) for x in rows)])
     flat = pa.array(np.concatenate([x[2] for x in rows]).astype(np.int32))
     ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
     joined = raw.take(flat)                                         # the bytes of all rows, one after the other
     at = np.frombuffer(joined.buffers()[1], np.int64)[ends].tolist()
     data = joined.buffers()[2].to_pybytes() if at[-1] else b""
-    given = [t.encode("utf-8", "replace") for t in texts[first: first + len(found)]]
-    same = [data[a + 1: b] == given[x[0] - first] for x, a, b in zip(rows, at, at[1:])]
+    given = [t.encode("utf-8", "replace") for t in texts]
+    same = [data[a + 1: b] == given[x[0]] for x, a, b in zip(rows, at, at[1:])]
     return pa.RecordBatch.from_arrays(
         [doc_ids.take(pa.array([x[0] for x in rows], pa.int64())), pa.array([x[1] for x in rows], pa.int32()), ids,
          *(pa.array([x[j] for x in rows], pa.float64()) for j in (3, 4, 5)), pa.array(same, pa.bool_())],

@@ -23,14 +23,20 @@ MAX_CHARS, MAX_UNITS = 16_000_000, 600_000
 
 def blocks(texts: list[str], chars: int = BLOCK_CHARS):
     """Slices ``(first, last)`` of at most so many characters (or one text)."""
-    first, size = 0, 0
-    for i, text in enumerate(texts):
-        if i > first and size + len(text) > chars:
+    return cuts(map(len, texts), chars)
+
+
+def cuts(sizes, most: int):
+    """Slices ``(first, last)`` of members with these sizes, of at most ``most`` together (or one member)."""
+    first, last, held = 0, 0, 0
+    for i, size in enumerate(sizes):
+        if i > first and held + size > most:
             yield first, i
-            first, size = i, 0
-        size += len(text)
-    if first < len(texts):
-        yield first, len(texts)
+            first, held = i, 0
+        held += size
+        last = i + 1
+    if first < last:
+        yield first, last
 
 
 class Grown:

@@ -6,7 +6,7 @@ import tracemalloc
 import numpy as np
 import pyarrow as pa
 
-from tabprep.llm import chosen_path, language_id
+from tabprep.llm import chosen_path, language_id, pieces, sampled_pieces
 
 
 def peak_mb(work):
@@ -53,3 +53,24 @@ def test_sketches_come_in_slices_of_a_batch():
     finally:
         chosen_path.BLOCK_BYTES = held
     assert len(parts) > 5 and pa.Table.from_batches(parts).to_pylist() == whole.to_pylist()
+
+
+def test_sampling_holds_a_block_of_a_batch():
+    texts = ["", *some_texts(800, 100), "one"]
+    rows = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(range(len(texts))), pa.array(map(str, texts))],
+                                      ["text", "seed", "doc_id"])
+
+    class Loaded:
+        value = pieces.load()
+
+    run, held = sampled_pieces._sampler(Loaded, 3, sampled_pieces.ALPHA), sampled_pieces.BLOCK_CHARS
+    mb, got = peak_mb(lambda: [len(b) for b in run([rows])])
+    assert sum(map(len, texts)) > 500_000 and len(got) > 2 and sum(got) == 3 * len(texts) - 2 and mb < 130
+    some = rows.slice(0, 40)
+    whole = pa.Table.from_batches(run([some]))
+    sampled_pieces.BLOCK_CHARS = 900
+    try:
+        parts = list(run([some]))
+    finally:
+        sampled_pieces.BLOCK_CHARS = held
+    assert len(parts) > 20 and pa.Table.from_batches(parts).to_pylist() == whole.to_pylist()
