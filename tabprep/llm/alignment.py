@@ -15,12 +15,13 @@ align the distinct units of their texts, a block of new units at a time, and a t
 groups are those of its units. A link is a pair of occurrences in one group; the
 links of a unit are kept as id pairs with multiplicities.
 
-The corpus count of an id pair is the number of texts that hold it linked. Tasks
-count distinct pairs per text and merge before they send; a grouped sum makes a
-written table. A second pass looks up the counts of pairs with a share of at least
-``HEAVY_SHARE`` (so a bounded number is broadcast, and no shuffled key is hot) and
-the highest count of every id of A (bounded by the vocabulary); the rare rest is
-joined with the table by a shuffle.
+One pass encodes and aligns: it writes every text's figures, groups, and distinct
+linked id pairs with multiplicities. The corpus count of an id pair is the number of
+texts that hold it linked. Tasks count the written pairs and merge before they send;
+a grouped sum makes a written table. Another pass over the written pairs looks up the
+counts of those with a share of at least ``HEAVY_SHARE`` (so a bounded number is
+broadcast, and no shuffled key is hot) and the highest count of every id of A (bounded
+by the vocabulary); the rare rest is joined with the table by a shuffle.
 
 Special tokens' strings are plain text. A text that is null or empty, or whose
 tokens of A or B do not join to a space and the text, has no tokens: zeros and
@@ -35,8 +36,10 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 from tabprep.llm import units
 from tabprep.llm.byte_pairs import TOKENIZER, alphabet
@@ -45,10 +48,12 @@ from tabprep.session import materialize
 
 #: Share of all (text, pair) rows from which a pair's count is broadcast.
 HEAVY_SHARE = 5e-7
-#: Id pairs of units expanded at a time, and pair counts kept before a flush.
+#: Id pairs expanded, or looked up, at a time, and pair counts kept before a flush.
 EXPANDED, HELD_PAIRS = 2_000_000, 1_500_000
 #: Characters of new units that are aligned at a time.
-ALIGN_CHARS = 500_000
+ALIGN_CHARS = 200_000
+#: Characters of text whose units are numbered before the new ones are worked on.
+ROUND_CHARS = 2_000_000
 #: New units that are encoded as one text.
 RUN = 256
 
@@ -180,21 +185,17 @@ def summed(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Aligner:
     """Aligns texts; remembers the groups and links of their units."""
 
-    def __init__(self, source: str, model: bytes, counts=None):
+    def __init__(self, source: str, model: bytes):
         self.both = Tokenizers(source, model)
-        self.with_lines = counts is not None             # the first pass only counts pairs
         self.size_a, self.size_b = self.both.size_a, self.both.size_b
         self.width = len(self.size_b)                    # an id pair is a * width + b
-        if self.with_lines:
-            self.text_a, self.text_b = _texts(len(self.size_a), ",|"), _texts(len(self.size_b), ",;")
-        self.counts = counts                             # (pairs in order, their counts, best count of each id of A)
+        self.text_a, self.text_b = _texts(len(self.size_a), ",|"), _texts(len(self.size_b), ",;")
         self._forget()
 
     def _forget(self):
         self.numbers, self.lines = units.Numbers(), []
         self.pairs, self.times = units.Ragged(), units.Grown(np.int64)  # links of a unit: id pairs and how often
-        self.rare, self.rare_times = units.Ragged(), units.Grown(np.int64)
-        self.facts = units.Grown(np.int64, (7,))         # valid, tokens of A and B, groups, links, best links, sum of counts
+        self.facts = units.Grown(np.int64, (5,))         # valid, tokens of A and B, groups, links
 
     def _learn(self):
         fresh, self.numbers.fresh = self.numbers.fresh, []
@@ -216,27 +217,14 @@ class Aligner:
         n_groups = len(labels)
         of_unit = np.repeat(np.arange(len(fresh)), n_b)[labels]
         in_a, in_b = np.bincount(group_a, minlength=n_groups), np.bincount(group_b, minlength=n_groups)
-        facts = np.zeros((len(fresh), 7), np.int64)
+        facts = np.zeros((len(fresh), 5), np.int64)
         facts[:, 0], facts[:, 1], facts[:, 2] = valid, n_a, n_b
         facts[:, 3] = np.bincount(of_unit, minlength=len(fresh))
         facts[:, 4] = np.bincount(of_unit, in_a * in_b, len(fresh))
-        if self.with_lines:
-            self.lines += self._lines(ids_a, ids_b, in_a, in_b, group_a, group_b, n_a + n_b)
+        self.lines += self._lines(ids_a, ids_b, in_a, in_b, group_a, group_b, n_a + n_b)
         unit, pair, n = self._links(group_a, ids_a, group_b, ids_b, of_unit)
-        sizes = np.bincount(unit, minlength=len(fresh))
-        if self.counts is None:
-            self.pairs.add(pair, sizes)
-            self.times.add(n)
-        else:
-            known, count, best = self.counts
-            at = np.minimum(np.searchsorted(known, pair), len(known) - 1)
-            heavy = known[at] == pair
-            c = np.where(heavy, count[at], 0) * n
-            top = np.where(heavy & (count[at] == best[pair // self.width]), n, 0)
-            facts[:, 5] = units.sums(top, sizes)
-            facts[:, 6] = units.sums(c, sizes)
-            self.rare.add(pair[~heavy], np.bincount(unit[~heavy], minlength=len(fresh)))
-            self.rare_times.add(n[~heavy])
+        self.pairs.add(pair, np.bincount(unit, minlength=len(fresh)))
+        self.times.add(n)
         self.facts.add(facts)
 
     def _valid(self, wanted: list[bytes], ids_a, n_a, ids_b, n_b) -> np.ndarray:
@@ -300,7 +288,7 @@ class Aligner:
         if self.numbers.fresh:
             self._learn()
         for a, b, which, counts in done:
-            facts = units.sums(self.facts.all[which], counts) if len(which) else np.zeros((b - a, 7), np.int64)
+            facts = units.sums(self.facts.all[which], counts) if len(which) else np.zeros((b - a, 5), np.int64)
             bad = facts[:, 0] != counts
             if bad.any():
                 facts[bad] = 0
@@ -319,58 +307,91 @@ class Aligner:
         return *np.divmod(key, span), n
 
 
-def _pair_counter(files):
-    """The number of texts that hold each id pair linked, merged in the task."""
+def _aligner(files):
+    """Per text the figures, the groups, and the distinct id pairs linked, with multiplicities."""
     def run(batches):
-        aligner, held, size = Aligner(*files.value), [], 0
-
-        def batch(parts):
-            keys, n = summed(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
-            return keys, n
-
+        aligner = Aligner(*files.value)
         for rows in batches:
-            texts = rows.column(0).to_pylist()
-            for first, last in units.blocks(texts, 8 * units.BLOCK_CHARS):
-                for _, _, which, counts, _ in aligner.texts(texts[first:last]):
-                    _, pair, _ = aligner.per_text(which, counts, aligner.pairs, aligner.times.all)
-                    held.append(summed(pair, np.ones(len(pair), np.int64)))
-                    size += len(held[-1][0])
-                    if size > 2 * HELD_PAIRS:
-                        held = [batch(held)]
-                        size = len(held[0][0])
-                        if size > HELD_PAIRS:
-                            yield pa.RecordBatch.from_arrays([pa.array(x) for x in held.pop()], ["pair", "n"])
-                            size = 0
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in batch(held)], ["pair", "n"])
+            sizes = compute.utf8_length(rows.column(1)).to_pylist()
+            for first, last in units.cuts(sizes, ROUND_CHARS):
+                mine = rows.slice(first, last - first)
+                for a, b, which, counts, facts in aligner.texts(mine.column(1).to_pylist()):
+                    cuts, numbers = [0, *np.cumsum(counts).tolist()], which.tolist()
+                    lines = [";".join([aligner.lines[u] for u in numbers[i:j]]) for i, j in zip(cuts, cuts[1:])]
+                    owner, pair, n = aligner.per_text(which, counts, aligner.pairs, aligner.times.all)
+                    yield pa.RecordBatch.from_arrays(
+                        [mine.column(0).slice(a, b - a), *(pa.array(facts[:, k]) for k in range(1, 5)),
+                         pa.array(lines, pa.string()), _pair_lists(pair, n, np.bincount(owner, minlength=b - a))],
+                        ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups", "links"])
     return run
 
 
-def _describer(files):
-    """Per text the groups, the counts, what the broadcast pairs give, and the rare pairs to join."""
+def _pair_lists(pair: np.ndarray, n: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
+    ends = pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32))
+    return pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([pa.array(pair), pa.array(n)], ["pair", "m"]))
+
+
+def _lists_of(column: pa.ListArray):
+    """What :func:`_pair_lists` has made a column of, some rows at a time: ``(first, last, pair, n, sizes)``."""
+    sizes = compute.list_value_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
+    for a, b in units.cuts(sizes.tolist(), EXPANDED):
+        pair, n = (x.to_numpy() for x in column.slice(a, b - a).flatten().flatten())
+        yield a, b, pair, n, sizes[a:b]
+
+
+def _count_pairs(batches):
+    """The number of texts that hold each id pair linked, merged in the task."""
+    held, size = [], 0
+
+    def batch(parts):
+        return summed(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
+
+    for rows in batches:
+        for _, _, pair, _, _ in _lists_of(rows.column(0)):
+            held.append(summed(pair, np.ones(len(pair), np.int64)))
+            size += len(held[-1][0])
+            if size > 2 * HELD_PAIRS:
+                held = [batch(held)]
+                size = len(held[0][0])
+                if size > HELD_PAIRS:
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in held.pop()], ["pair", "n"])
+                    size = 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in batch(held)], ["pair", "n"])
+
+
+def _looker(tables, width: int):
+    """Beside the columns before ``links``, the last one: what the broadcast pairs give, and the rare pairs to join."""
     def run(batches):
-        aligner = Aligner(*files.value)
+        known, count, best = tables.value                # pairs in order, their counts, best count of each id of A
         for rows in batches:
-            texts = rows.column(1).to_pylist()
-            for first, last in units.blocks(texts, 8 * units.BLOCK_CHARS):
-                for a, b, which, counts, facts in aligner.texts(texts[first:last]):
-                    cuts, numbers = [0, *np.cumsum(counts).tolist()], which.tolist()
-                    lines = [";".join([aligner.lines[u] for u in numbers[i:j]]) for i, j in zip(cuts, cuts[1:])]
-                    owner, pair, n = aligner.per_text(which, counts, aligner.rare, aligner.rare_times.all)
-                    ends = pa.array(np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=b - a)))), pa.int32())
-                    rare = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([pa.array(pair), pa.array(n)], ["pair", "m"]))
-                    yield pa.RecordBatch.from_arrays(
-                        [rows.column(0).slice(first + a, b - a), *(pa.array(facts[:, k]) for k in range(1, 7)),
-                         pa.array(lines, pa.string()), rare],
-                        ["doc_id", "n_a", "n_b", "n_groups", "n_links", "heavy_best", "heavy_sum", "groups", "rare"])
+            for a, b, pair, n, sizes in _lists_of(rows.column(rows.num_columns - 1)):
+                at = np.minimum(np.searchsorted(known, pair), len(known) - 1)
+                heavy = known[at] == pair
+                of = np.where(heavy, count[at], 0)
+                top = np.where(heavy & (of == best[pair // width]), n, 0)
+                left = np.bincount(np.repeat(np.arange(b - a), sizes)[~heavy], minlength=b - a)
+                yield pa.RecordBatch.from_arrays(
+                    [*(c.slice(a, b - a) for c in rows.columns[:-1]), pa.array(units.sums(top, sizes)),
+                     pa.array(units.sums(of * n, sizes)), _pair_lists(pair[~heavy], n[~heavy], left)],
+                    [*rows.schema.names[:-1], "heavy_best", "heavy_sum", "rare"])
     return run
 
 
-def link_counts(docs: DataFrame, text: str = "text", tokenizer: str = TOKENIZER, model: str = MODEL) -> DataFrame:
-    """The corpus count of every id pair: ``pair`` (``a * size of B's vocabulary + b``), ``n``."""
+def linked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer: str = TOKENIZER,
+           model: str = MODEL) -> DataFrame:
+    """One row per document row: ``doc_id, n_a, n_b, n_groups, n_links, groups`` and ``links``, its distinct id
+    pairs ``pair`` (``a * size of B's vocabulary + b``) with multiplicities ``m``."""
     files = docs.sparkSession.sparkContext.broadcast(_files(tokenizer, model))
-    return (docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"))
-            .mapInArrow(_pair_counter(files), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")))
+    d = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    return d.mapInArrow(_aligner(files), f"doc_id {dict(d.dtypes)['doc_id']}, n_a long, n_b long, n_groups long, "
+                                         "n_links long, groups string, links array<struct<pair:long,m:long>>")
+
+
+def link_counts(found: DataFrame) -> DataFrame:
+    """The corpus count of every id pair of rows with ``links``: ``pair``, ``n``."""
+    return (found.select("links").mapInArrow(_count_pairs, "pair long, n long")
+            .groupBy("pair").agg(F.sum("n").alias("n")))
 
 
 def _files(tokenizer: str, model: str) -> tuple[str, bytes]:
@@ -389,8 +410,9 @@ def align(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer
     source, proto = _files(tokenizer, model)
     both = Tokenizers(source, proto)
     width, n_ids = len(both.raw_b), len(both.raw_a)
-    counts = materialize(link_counts(docs, text, tokenizer, model).withColumn(
-        "a", F.expr(f"cast(pair div {width} as int)")), "link-counts")
+    found = linked(docs, doc_id, text, tokenizer, model)
+    found = materialize(found.withColumn("groups", F.col("groups") if groups is None else groups), "linked")
+    counts = materialize(link_counts(found).withColumn("a", F.expr(f"cast(pair div {width} as int)")), "link-counts")
     best = counts.groupBy("a").agg(F.max("n").alias("best"))          # one row per id of A at most
     top = best.toPandas()
     highest = np.zeros(n_ids, np.int64)
@@ -401,13 +423,10 @@ def align(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer
     keys = heavy.pair.to_numpy(np.int64)
     order = np.argsort(keys)
     tables = (np.append(keys[order], np.iinfo(np.int64).max), np.append(heavy.n.to_numpy(np.int64)[order], 0), highest)
-    d = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    found = d.mapInArrow(_describer(sc.broadcast((source, proto, tables))),
-                         f"doc_id {dict(d.dtypes)['doc_id']}, n_a long, n_b long, n_groups long, n_links long, "
-                         "heavy_best long, heavy_sum long, groups string, rare array<struct<pair:long,m:long>>")
-    found = found.withColumn("groups", F.col("groups") if groups is None else groups).withColumn(
-        "row", F.monotonically_increasing_id())
-    found = materialize(found, "aligned")
+    schema = StructType(found.drop("links").schema.fields).add("heavy_best", "long").add("heavy_sum", "long").add(
+        "rare", ArrayType(StructType().add("pair", "long").add("m", "long")))
+    found = found.mapInArrow(_looker(sc.broadcast(tables), width), schema)
+    found = materialize(found.withColumn("row", F.monotonically_increasing_id()), "aligned")
     rare = (found.select("row", F.inline("rare"))
             .join(counts.filter(F.col("n") < least), "pair").join(F.broadcast(best), "a")
             .groupBy("row").agg(F.sum(F.col("m") * F.col("n")).alias("rare_sum"),

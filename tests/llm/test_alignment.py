@@ -136,3 +136,19 @@ def test_units_are_encoded_in_runs_as_one_by_one(monkeypatch):
     words = [f" word{i}" for i in range(2000)]
     both.encode(words, np.array([len(u) for u in words]))
     assert sent == [-(-2000 // alignment.RUN)]          # one text a run, not one a unit
+
+
+def test_each_text_is_encoded_once(spark, brute):
+    """The corpus counts and the look-ups take the written id pairs, not the texts."""
+    rng = random.Random(9)
+    texts = ["".join(rng.choice(SIGNS) for _ in range(rng.randint(0, 30))) for _ in range(60)] + [None, ""]
+    seen = spark.sparkContext.accumulator(0)
+
+    def counting(batches):
+        for rows in batches:
+            seen.add(rows.num_rows)
+            yield rows
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").mapInArrow(counting, "doc_id long, text string")
+    got = rows_of(alignment.align(df, heavy_share=0.01))
+    assert seen.value == len(texts)
+    assert got == sorted((str(i), *w) for i, w in enumerate(brute(texts)))
