@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabprep.llm.common import without_texts
+from tabprep.llm.common import BATCH_ROWS, released, without_texts
 from tabprep.session import materialize
 
 FEATURES = 1 << 15
@@ -210,7 +210,7 @@ def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
                     F.col(doc_id).alias("doc_id"),
                     (F.crc32(id_text) % HOLD_OUT_MOD == HOLD_OUT_REST).alias("held_out"),
                     F.md5(F.coalesce(F.col(text), F.lit(""))).alias("tkey"))
-    out = d.mapInArrow(_predict(model), "lang_pred string, score double, ambiguous boolean, "
+    out = d.mapInArrow(released(_predict(model)), "lang_pred string, score double, ambiguous boolean, "
                                         f"doc_id {dict(d.dtypes)['doc_id']}, held_out boolean, tkey string")
     return out.select("doc_id", "held_out", "lang_pred", "score", "ambiguous", "tkey")
 
@@ -221,4 +221,4 @@ def keep_identified(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     or whose nearest codeword is ambiguous. Predictions depend on the text, so
     the rejected texts are taken out by their key."""
     rejected = identify(docs, doc_id, text, lang, model).filter((F.col("lang_pred") == UNKNOWN) | F.col("ambiguous"))
-    return without_texts(docs, materialize(rejected.select("tkey").distinct(), "rejected"), text)
+    return without_texts(docs, materialize(rejected.select("tkey").distinct(), "rejected", BATCH_ROWS), text)

@@ -43,6 +43,7 @@ from pyspark.sql import functions as F
 
 from tabprep.llm import pieces as pc
 from tabprep.llm import units
+from tabprep.llm.common import released
 
 SAMPLES = 3
 SEED = 17
@@ -465,5 +466,5 @@ def sample(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int =
     key = F.coalesce(F.col(doc_id).cast("string"), F.lit(""))
     d = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"), F.xxhash64(F.lit(seed), key).alias("seed"),
                     F.col(doc_id).alias("doc_id"))
-    return d.mapInArrow(_sampler(pieces, k, alpha), f"doc_id {dict(d.dtypes)['doc_id']}, rank int, ids array<int>, "
-                                             "log_prob double, perturbed double, inclusion double, round_trip boolean")
+    return d.mapInArrow(released(_sampler(pieces, k, alpha)), f"doc_id {dict(d.dtypes)['doc_id']}, rank int, ids array<int>, "
+                                                       "log_prob double, perturbed double, inclusion double, round_trip boolean")

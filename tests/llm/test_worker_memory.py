@@ -6,7 +6,9 @@ import tracemalloc
 import numpy as np
 import pyarrow as pa
 
-from tabprep.llm import chosen_path, language_id, pieces, sampled_pieces
+import corpus_pipeline
+from tabprep import session
+from tabprep.llm import chosen_path, common, language_id, pieces, sampled_pieces
 
 
 def peak_mb(work):
@@ -74,3 +76,48 @@ def test_sampling_holds_a_block_of_a_batch():
     finally:
         sampled_pieces.BLOCK_CHARS = held
     assert len(parts) > 20 and pa.Table.from_batches(parts).to_pylist() == whole.to_pylist()
+
+
+def test_batches_of_texts_are_bounded_in_the_pipeline(spark, monkeypatch):
+    def counted(*_):
+        def run(batches):
+            for batch in batches:
+                n = batch.num_rows
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(2), pa.array([n] * n, pa.int32()), pa.array([[1]] * n, pa.list_(pa.int32())),
+                     *(pa.array([0.0] * n) for _ in range(3)), pa.array([True] * n)],
+                    ["doc_id", "rank", "ids", "log_prob", "perturbed", "inclusion", "round_trip"])
+        return run
+
+    monkeypatch.setattr(sampled_pieces, "_sampler", counted)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    docs = spark.range(2 * common.BATCH_ROWS + 7, numPartitions=1).selectExpr("id as doc_id", "'some text' as text")
+    got = [r["rank"] for r in corpus_pipeline.sample_segmentations(spark, docs, "").select("rank").collect()]
+    assert len(got) == 2 * common.BATCH_ROWS + 7 and max(got) <= common.BATCH_ROWS
+    assert spark.conf.get(name) == before
+
+
+def test_a_smaller_batch_of_the_session_is_kept(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, 5)
+        with session.arrow_rows(spark, 100):
+            assert spark.conf.get(name) == "5"
+        with session.arrow_rows(spark, 3):
+            assert spark.conf.get(name) == "3"
+        assert spark.conf.get(name) == "5"
+    finally:
+        spark.conf.set(name, before)
+
+
+def test_a_pass_gives_back_what_it_freed(monkeypatch):
+    given = []
+
+    class Pool:
+        def release_unused(self):
+            given.append(1)
+
+    monkeypatch.setattr(common.pa, "default_memory_pool", Pool)
+    assert list(common.released(lambda batches: (2 * x for x in batches))([1, 2])) == [2, 4] and given == [1]
