@@ -15,11 +15,13 @@ kNN-join scheme for MapReduce-style engines (Lu et al., VLDB 2012):
 4. per cell, a numpy kernel finds every query's k nearest candidates and
    emits only those k rows (ties by key).
 
-A cell larger than ``block_rows`` (one dense cluster can hold a third of the
-data) is split into query chunks x candidate chunks by key hash, so no task
-holds more than ``block_rows`` queries and ``block_rows`` candidates; each
-block emits its local k best per query, and a final per-query window keeps
-the k best of those (the global top k is always among the block top k lists).
+A large cell (one dense cluster can hold a third of the data) is split into
+query chunks x candidate chunks by key hash. A task holds a block's queries
+(``QUERY_VALUES`` coordinates) and the k best of each so far while its candidates
+pass by in Arrow batches; each block emits its local k best per query, and a
+final per-query window keeps the k best of those (the global top k is always
+among the block top k lists). Rows are repeated for their blocks by Spark, not
+in Python.
 
 Exact by construction. That is the way with a given number of pivots. In few
 dimensions (up to ``LOW_DIMENSIONS``) the default is the space tree of
@@ -35,8 +37,10 @@ from typing import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabprep.operators import sampling, space
 
@@ -44,6 +48,10 @@ SALTS = 64
 LOW_DIMENSIONS = 6
 #: Entries of a distance matrix that a task holds at a time.
 MATRIX = 4_000_000
+#: Entries of it in a block, whose candidates come batch by batch.
+BLOCK_MATRIX = 1_000_000
+#: Coordinates of a block's queries, which a task holds, and of its candidates, which pass by.
+QUERY_VALUES, CANDIDATE_VALUES = 3_200_000, 12_800_000
 
 
 def _within(counts: np.ndarray) -> np.ndarray:
@@ -76,9 +84,112 @@ def nearest_rows(qvecs: np.ndarray, qkeys: np.ndarray, cvecs: np.ndarray, ckeys:
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
+def _matrix(column) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1).astype(float)
+
+
+class _Block:
+    """The queries of a block and the ``k`` nearest candidates of each so far, in order."""
+
+    def __init__(self, k: int):
+        self.k, self.held, self.queries, self.seen = k, [], None, 0
+
+    def add(self, keys: np.ndarray, v: np.ndarray, query: np.ndarray, cand: np.ndarray) -> None:
+        """Rows of the block, its queries first."""
+        n = int(query.sum())
+        if n:
+            self.held.append((keys[:n], v[:n], cand[:n]))
+        if n < len(keys):
+            self._begin()
+            self._meet(keys[n:], v[n:])
+
+    def _begin(self) -> None:
+        if self.queries is not None:
+            return
+        if not self.held:
+            self.held.append((np.zeros(0, np.int64), np.zeros((0, 1)), np.zeros(0, bool)))
+        keys, v, cand = (np.concatenate(x) for x in zip(*self.held))
+        self.held, self.queries = [], (keys, v)
+        self.norm = (v * v).sum(1)
+        self.dst, self.dist = np.zeros((len(keys), self.k), np.int64), np.full((len(keys), self.k), np.inf)
+        own = np.flatnonzero(cand)
+        for a in range(0, len(own), BLOCK_MATRIX // 100):
+            at = own[a: a + BLOCK_MATRIX // 100]
+            self._meet(keys[at], v[at])
+
+    def _meet(self, ckeys: np.ndarray, cvecs: np.ndarray) -> None:
+        keys, vecs = self.queries
+        cnorm = (cvecs * cvecs).sum(1)
+        widest = cnorm.max(initial=0.0, where=np.isfinite(cnorm))
+        # |q|^2 - 2 q c + |c|^2 as one product
+        right = np.concatenate((-2 * cvecs, np.ones((len(cvecs), 1)), cnorm[:, None]), axis=1).T
+        size = max(1, BLOCK_MATRIX // max(len(ckeys), 1))
+        for a in range(0, len(keys) if len(ckeys) else 0, size):
+            qk, qv, norm = keys[a: a + size], vecs[a: a + size], self.norm[a: a + size]
+            d = np.concatenate((qv, norm[:, None], np.ones((len(qv), 1))), axis=1) @ right
+            bound = self.dist[a: a + size, -1]
+            if self.seen < len(ckeys) and self.k <= len(ckeys):  # too few so far
+                near = np.where(qk[:, None] == ckeys[None, :], np.inf, d)
+                near = np.partition(near, self.k - 1, axis=1)[:, self.k - 1]
+                bound = np.minimum(bound, np.sqrt(np.maximum(near, 0.0)))
+            # with a margin: the few rows that stay are ranked by their exact distance
+            with np.errstate(over="ignore"):
+                limit = np.square(bound * (1 + 1e-6) + 1e-6 * (1 + np.sqrt(norm + widest)))
+            row, col = np.nonzero(d <= np.where(np.isfinite(limit), limit, np.finfo(float).max)[:, None])
+            other = qk[row] != ckeys[col]                        # not its own neighbour
+            row, col = row[other], col[other]
+            self._keep(a + row, ckeys[col], np.sqrt(((cvecs[col] - qv[row]) ** 2).sum(1)))
+        self.seen += len(ckeys)
+
+    def _keep(self, row: np.ndarray, dst: np.ndarray, dist: np.ndarray) -> None:
+        if not len(row):
+            return
+        changed, place = np.unique(row, return_inverse=True)
+        old = np.isfinite(self.dist[changed])
+        row = np.concatenate((np.nonzero(old)[0], place))
+        dst, dist = (np.concatenate((held[changed][old], more)) for held, more in ((self.dst, dst), (self.dist, dist)))
+        order = np.lexsort((dst, dist, row))
+        row, dst, dist = row[order], dst[order], dist[order]
+        rank = _within(np.bincount(row, minlength=len(changed)))
+        first = rank < self.k
+        row, rank = changed[row[first]], rank[first]
+        self.dst[row, rank], self.dist[row, rank] = dst[first], dist[first]
+
+    def rows(self):
+        self._begin()
+        keys, _ = self.queries
+        for a in range(0, len(keys), 10_000):
+            near = np.isfinite(self.dist[a: a + 10_000])
+            src = a + np.nonzero(near)[0]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys[src]), pa.array(self.dst[a: a + 10_000][near]), pa.array(self.dist[a: a + 10_000][near])],
+                ["src", "dst", "dist"])
+
+
+def _nearest_groups(k: int):
+    """Arrow pass over rows sorted by block, a block's queries first: its candidates pass by."""
+    def run(batches):
+        at, block = None, None
+        for batch in batches:
+            places = np.stack([batch.column(c).to_numpy() for c in ("cell", "qc", "cc")], axis=1)
+            starts = np.flatnonzero(np.append(True, (places[1:] != places[:-1]).any(axis=1))) if len(places) else []
+            for a, b in zip(starts, [*starts[1:], len(places)]):
+                if at is None or (places[a] != at).any():
+                    if block is not None:
+                        yield from block.rows()
+                    at, block = places[a], _Block(k)
+                part = batch.slice(a, b - a)
+                block.add(part.column("_key").to_numpy(), _matrix(part.column("_v")),
+                          *(part.column(c).to_numpy(zero_copy_only=False) for c in ("query", "cand")))
+        if block is not None:
+            yield from block.rows()
+    return run
+
+
 def _vectors(df: DataFrame, features: Sequence[str] | str, key: str) -> DataFrame:
-    if isinstance(features, str):
-        v = F.transform(F.col(features), lambda x: x.cast("double"))
+    if isinstance(features, str):  # floats are made doubles where they are computed with
+        float_ = df.schema[features].dataType == T.ArrayType(T.FloatType(), df.schema[features].dataType.containsNull)
+        v = F.col(features) if float_ else F.transform(F.col(features), lambda x: x.cast("double"))
     else:
         v = F.array(*[F.col(c).cast("double") for c in features])
     # a row with a missing coordinate has no distance: not a query, not a neighbour
@@ -90,17 +201,20 @@ def knn_graph(df: DataFrame, features: Sequence[str] | str, k: int = 15,
               key: str = "row_id", n_pivots: int | None = None,
               seed: int = 42, block_rows: int | None = None, report: dict | None = None) -> DataFrame:
     """``src, dst, rank, dist``: the k nearest other rows of every row
-    (Euclidean; ties by ``dst``). Blocks hold at most 20,000 rows and at least
-    a quarter of a small table. ``report`` receives the rows and compared pairs."""
+    (Euclidean; ties by ``dst``). Blocks have at most ``block_rows`` queries and candidates; by
+    default a quarter of a small table, within bounds. ``report`` receives the rows and compared pairs."""
     data = _vectors(df, features, key)
     n = data.count()
     if n <= 1:
         return df.sparkSession.createDataFrame([], "src bigint, dst bigint, rank int, dist double")
     dimensions = len(data.first()["_v"])
     if dimensions <= LOW_DIMENSIONS and n_pivots is None:
-        return space.knn_cells(data, n, dimensions, k, report=report)
+        wide = data.withColumn("_v", F.transform("_v", lambda x: x.cast("double")))
+        return space.knn_cells(wide, n, dimensions, k, report=report)
     p_count = n_pivots or 1
-    block_rows = block_rows or min(20_000, max(256, -(-n // 4)))
+    quarter = max(256, -(-n // 4))
+    query_rows = block_rows or min(max(256, QUERY_VALUES // max(dimensions, 1)), quarter)
+    cand_rows = block_rows or min(max(256, CANDIDATE_VALUES // max(dimensions, 1)), quarter)
     pivot_rows = sampling.sample_n(data, p_count, "_key", seed, "pivot").collect()
     pivots = np.array([r["_v"] for r in sorted(pivot_rows, key=lambda r: r["_key"])], dtype=float)
     kk = k + 1
@@ -179,61 +293,40 @@ def knn_graph(df: DataFrame, features: Sequence[str] | str, k: int = 15,
     q_chunks = np.ones(len(pivots), dtype=np.int64)
     c_chunks = np.ones(len(pivots), dtype=np.int64)
     for r in sizes:
-        q_chunks[r["cell"]] = max(1, -(-int(r["q"]) // block_rows))
-        c_chunks[r["cell"]] = max(1, -(-int(r["c"]) // block_rows))
+        q_chunks[r["cell"]] = max(1, -(-int(r["q"]) // query_rows))
+        c_chunks[r["cell"]] = max(1, -(-int(r["c"]) // cand_rows))
 
     if report is not None:
         report.update(rows=n, pairs=sum(int(r["q"]) * int(r["c"]) for r in sizes))
 
     def route(batches):
-        for pdf in batches:
-            keys, vals = pdf["_key"].to_numpy(), pdf["_v"].to_numpy()
-            mix = (keys.astype(np.int64) * 0x9E3779B1) & 0x7FFFFFFF
+        for batch in batches:
             first = 0
-            for v in slices(np.stack(vals).astype(float)):
+            for v in slices(_matrix(batch.column("_v"))):
                 own, hit = targets(v)
                 rows, cells = np.nonzero(hit)
-                mine = cells == own[rows]
-                rows = rows + first
+                ends = np.concatenate(([0], np.cumsum(np.bincount(rows, minlength=len(v)))))
+                part = batch.slice(first, len(v))
                 first += len(v)
-                qn, cn = q_chunks[cells], c_chunks[cells]
-                cy = mix[rows] % cn
-                qy = np.where(mine, mix[rows] % qn, -1)
-                # a query meets every candidate block of its cell, a candidate
-                # every query block (blocks chosen by a hash of the key)
-                asks = np.repeat(np.flatnonzero(mine), cn[mine])
-                block = _within(cn[mine])
-                offers = np.repeat(np.arange(len(rows)), qn)
-                query = _within(qn)
-                other = query != qy[offers]  # the own block's row is a candidate already
-                offers, query = offers[other], query[other]
-                at = np.concatenate((asks, offers))
-                yield pd.DataFrame({
-                    "cell": cells[at].astype("int32"),
-                    "qc": np.concatenate((qy[asks], query)).astype("int32"),
-                    "cc": np.concatenate((block, cy[offers])).astype("int32"),
-                    "query": np.arange(len(at)) < len(asks),
-                    "cand": np.concatenate((block == cy[asks], np.ones(len(offers), bool))),
-                    "_key": keys[rows[at]], "_v": vals[rows[at]]})
-
-    routed = data.mapInPandas(
-        route, "cell int, qc int, cc int, query boolean, cand boolean, _key bigint, "
-               "_v array<double>")
-
-    def nearest(pdf: pd.DataFrame) -> pd.DataFrame:
-        cand = pdf[pdf["cand"].to_numpy()]
-        qry = pdf[pdf["query"].to_numpy()]
-        if len(cand) == 0 or len(qry) == 0:
-            return pd.DataFrame([], columns=["src", "dst", "dist"])
-        ckeys = cand["_key"].to_numpy()
-        cvecs = np.stack(cand["_v"].to_numpy()).astype(float)
-        qkeys = qry["_key"].to_numpy()
-        qvecs = np.stack(qry["_v"].to_numpy()).astype(float)
-        src, dst, dist = nearest_rows(qvecs, qkeys, cvecs, ckeys, k)
-        return pd.DataFrame({"src": src, "dst": dst, "dist": dist})
-
-    local = routed.groupBy("cell", "qc", "cc").applyInPandas(
-        nearest, "src bigint, dst bigint, dist double")
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(own.astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(cells.astype(np.int32))),
+                     part.column("_key"), part.column("_v")], ["own", "cells", "_key", "_v"])
+
+    routed = data.mapInArrow(route, f"own int, cells array<int>, _key bigint, _v {dict(data.dtypes)['_v']}")
+    # a query meets every candidate block of its cell, a candidate every query block (blocks
+    # chosen by a hash of the key); the own block's row is a candidate already
+    chunks_of = lambda counts: F.get(F.array(*[F.lit(int(c)) for c in counts]), F.col("cell"))
+    block = lambda tag, counts: F.pmod(F.xxhash64(F.lit(tag), F.col("_key")), counts).cast("int")
+    met = routed.select("own", "_key", "_v", F.explode("cells").alias("cell")).withColumns(
+        {"qn": chunks_of(q_chunks), "cn": chunks_of(c_chunks)}).withColumns(
+        {"qy": F.when(F.col("cell") == F.col("own"), block("query", F.col("qn"))).otherwise(-1), "cy": block("candidate", F.col("cn"))})
+    asks = F.when(F.col("qy") >= 0, F.transform(F.sequence(F.lit(0), F.col("cn") - 1), lambda c: F.struct(
+        F.col("qy").alias("qc"), c.alias("cc"), F.lit(True).alias("query"), (c == F.col("cy")).alias("cand")))).otherwise(F.array())
+    offers = F.transform(F.filter(F.sequence(F.lit(0), F.col("qn") - 1), lambda q: q != F.col("qy")), lambda q: F.struct(
+        q.alias("qc"), F.col("cy").alias("cc"), F.lit(False).alias("query"), F.lit(True).alias("cand")))
+    met = met.select("cell", "_key", "_v", F.explode(F.concat(asks, offers)).alias("at")).select("cell", "at.*", "_key", "_v")
+    local = (met.repartition("cell", "qc", "cc").sortWithinPartitions("cell", "qc", "cc", F.desc("query"))
+             .mapInArrow(_nearest_groups(k), "src bigint, dst bigint, dist double"))
     # merge the block lists: each query has at most k rows per candidate block
     w = Window.partitionBy("src").orderBy("dist", "dst")
     return (local.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
